@@ -22,15 +22,15 @@ from granary.llm.common import table
 #: Bytes of labelled text per language that an automaton is built from, and texts per language sampled for it.
 TRAIN_BYTES, TRAIN_TEXTS = 49_152, 400
 #: A phrase ends at each multiple of this many bytes of a text, so that long texts are parsed in parallel lanes.
-LANE = 2048
+LANE = 1024
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_SPACED = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
 def normal(text: str) -> bytes:
-    """Lower case, with runs of other characters than letters as one space."""
-    return _NOT_LETTERS.sub(" ", text.lower()).encode()
+    """Lower case UTF-8, with a space for each other ASCII character than a letter."""
+    return text.lower().encode().translate(_SPACED)
 
 
 def suffix_automaton(data: bytes) -> list[dict[int, int]]:
@@ -64,30 +64,33 @@ def suffix_automaton(data: bytes) -> list[dict[int, int]]:
 
 
 class CrossParser:
-    """One flat transition table for all languages; entry 0 means that the phrase ends.
+    """One flat transition table for all languages; an entry is the next state's row's place, 0 ends the phrase.
 
     Each state's row has a column per byte that occurs in any training text. Bytes that occur in none share
-    column 0, which leads nowhere. Languages' states follow each other.
+    column 0, which leads nowhere. Languages' states follow each other, after a row that is no state.
     """
 
     def __init__(self, samples: dict[str, bytes]):
         self.languages = sorted(samples)
         used = sorted(set(b"".join(samples.values())))
-        self.column = np.zeros(256, np.int64)
+        self.column = np.zeros(256, np.int32)
         self.column[used] = np.arange(1, len(used) + 1)
         width = len(used) + 1
-        parts, self.roots, base = [], [], 0
+        parts, roots, base = [np.zeros((1, width), np.int32)], [], 1
         for lang in self.languages:
             moves = suffix_automaton(samples[lang])
-            grid = np.zeros((len(moves) + (base == 0), width), np.int32)
-            skip = int(base == 0)  # state 0 of the table is no state: the first language starts at 1
+            grid = np.zeros((len(moves), width), np.int32)
             rows = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
-            grid[rows + skip, self.column[np.fromiter((c for m in moves for c in m), np.int64)]] = np.fromiter((t for m in moves for t in m.values()), np.int64) + base + skip
+            columns = self.column[np.fromiter((c for m in moves for c in m), np.int64)]
+            grid[rows, columns] = (np.fromiter((t for m in moves for t in m.values()), np.int64) + base) * width
             parts.append(grid)
-            self.roots.append(base + skip)
+            roots.append(base * width)
             base += len(grid)
-        self.width = width
-        self.table = np.concatenate(parts).ravel() if parts else np.zeros(1, np.int32)
+        self.table = np.concatenate(parts).ravel()
+        self.roots = np.array(roots, np.int32)[:, None]
+        #: Where a phrase that begins with a byte goes; an unknown byte is a phrase by itself.
+        self.first = np.array([self.table[r : r + width] for r in roots], np.int32).reshape(len(roots), width)
+        self.first = np.where(self.first == 0, self.roots, self.first)
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Phrases of each text by each language, as a matrix."""
@@ -101,20 +104,17 @@ class CrossParser:
         size = np.minimum(LANE, sizes[owner] - within * LANE)
         order = np.argsort(-size, kind="stable")
         owner, at, size = owner[order], at[order], size[order]
-        roots = np.array(self.roots, np.int32)[:, None]
-        restart = roots.astype(np.int64) * self.width
-        state = np.repeat(roots, len(at), axis=1)
-        count = np.zeros((len(self.roots), len(at)), np.int32)
+        state = np.repeat(self.roots, len(at), axis=1)
+        count = np.zeros(state.shape, np.int32)
         alive = np.searchsorted(-size, -np.arange(1, LANE + 1), "right")  # lanes of at least so many bytes
         for k in range(int(size[0]) if len(size) else 0):
             n = alive[k]
             column = data[at[:n] + k]
-            step = self.table[state[:, :n].astype(np.int64) * self.width + column]
+            step = self.table.take(state[:, :n] + column)
             ended = step == 0
-            count[:, :n] += ended
-            fresh = self.table[restart + column]  # the byte that did not fit starts the next phrase
-            step = np.where(ended, np.where(fresh == 0, roots, fresh), step)
-            state[:, :n] = step
+            np.add(count[:, :n], ended, out=count[:, :n])
+            np.copyto(step, self.first.take(column, axis=1), where=ended)  # the byte that did not fit starts the next phrase
+            state = step
         total = np.zeros((len(texts), len(self.roots)), np.int64)
         for j in range(len(self.roots)):
             total[:, j] = np.bincount(owner, count[j] + 1, minlength=len(texts))
