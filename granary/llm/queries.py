@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import chat_format, jaccard_join, language_id, media_ogg, token_counts, url_filters
+from granary.llm import chat_format, jaccard_join, language_id, media_ogg, suffix_dedup, token_counts, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_media_ogg": media_ogg.query,
         "op4_url_filters": url_filters.query,
         "op5_jaccard_join": jaccard_join.query,
+        "op7_suffix_dedup": suffix_dedup.query,
         "op8_chat_format": chat_format.query,
         "op9_token_counts": token_counts.query,
         "op10_language_id": language_id.query,
