@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import chat_format, jaccard_join, language_id, media_ogg, suffix_dedup, token_counts, url_filters
+from granary.llm import chat_format, decontaminate, jaccard_join, language_id, media_ogg, sentencepieces, suffix_dedup, token_counts, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepieces": sentencepieces.query,
         "op2_media_ogg": media_ogg.query,
+        "op3_decontaminate": decontaminate.query,
         "op4_url_filters": url_filters.query,
         "op5_jaccard_join": jaccard_join.query,
         "op7_suffix_dedup": suffix_dedup.query,
