@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import chat_format, decontaminate, jaccard_join, language_id, media_ogg, sentencepieces, suffix_dedup, token_counts, url_filters
+from granary.llm import chat_format, decontaminate, jaccard_join, language_id, media_ogg, quality, sentencepieces, suffix_dedup, token_counts, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontaminate": decontaminate.query,
         "op4_url_filters": url_filters.query,
         "op5_jaccard_join": jaccard_join.query,
+        "op6_quality": quality.query,
         "op7_suffix_dedup": suffix_dedup.query,
         "op8_chat_format": chat_format.query,
         "op9_token_counts": token_counts.query,

@@ -82,11 +82,6 @@ def pack(core: np.ndarray, part: np.ndarray, low: np.ndarray, high: np.ndarray)
     return core << 24 | part << 16 | low << 8 | high
 
 
-def row_key() -> F.Column:
-    """What ties a row's parts together again; rows of equal doc_id and text have equal parts."""
-    return F.xxhash64("doc_id", "text")
-
-
 def all_blocks(texts: DataFrame, length: int) -> DataFrame:
     """(h, f, rk, place) of each block: h for its core, f for all bytes that its windows cover."""
 
@@ -299,14 +294,16 @@ def repeated_starts(texts: DataFrame, length: int) -> DataFrame:
     return kept.join(parts, ["h", "f"]).select("rk", (core - F.col("high")).alias("first"), (core - F.col("low")).alias("last"))
 
 
-def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, spans, kept) of each row of docs (doc_id, text), kept as binary.
+def dedup(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = ("doc_id",), as_text: bool = False) -> DataFrame:
+    """The columns of keep, and (n_bytes, n_removed, n_spans, spans, kept) of each row of docs (doc_id, text).
+
+    kept is binary; with as_text a string, without the characters that lost a byte.
 
     A byte goes if a string of length bytes that covers it also starts anywhere else, in the same text too;
     every occurrence goes. Texts are UTF-8 bytes; a null text counts as empty; one shorter than length stays.
     Equal rows count as different texts.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rk", row_key())
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), *keep).withColumn("rk", F.xxhash64(docs["doc_id"], "text"))
     runs = repeated_starts(texts, length)
     per_row = runs.groupBy("rk").agg(F.collect_set(F.struct("first", "last")).alias("runs"))  # at most a text's own blocks
 
@@ -315,7 +312,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
                 sizes, removed, spans, kept = [], [], [], []
-                for text, found in zip(some.column(1).cast(pa.binary()), some.column(2)):
+                for text, found in zip(some.column(0).cast(pa.binary()), some.column(1)):
                     raw, cut = text.as_py(), []
                     for r in sorted(((r["first"], r["last"] + length) for r in found.as_py() or [])):
                         if cut and r[0] <= cut[-1][1]:
@@ -328,12 +325,12 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     spans.append([{"first": a, "end": b} for a, b in cut])
                     kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
                 span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-                made = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(map(len, spans), pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())]
-                yield pa.RecordBatch.from_arrays([some.column(0), *made], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+                made = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(map(len, spans), pa.int64()), pa.array(spans, span), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*some.columns[2:], *made], names=[*keep, "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = texts.join(per_row, "rk", "left").select("doc_id", "text", "runs")
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<first: long, end: long>>, kept binary")
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    joined = texts.join(per_row, "rk", "left").select("text", "runs", *keep)
+    return joined.mapInArrow(run, fields + "n_bytes long, n_removed long, n_spans long, spans array<struct<first: long, end: long>>, kept " + ("string" if as_text else "binary"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
