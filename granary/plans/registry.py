@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.plans import text
+from granary.plans import linking, search, text, vectors
 
-MODULES = (text,)
+MODULES = (text, linking, vectors, search)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
