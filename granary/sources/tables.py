@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +13,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df checkpointed in the folder named by spark.checkpoint.dir; where none is set, which only a local session
+    may do, in a fresh temporary one."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return df.checkpoint()
+
+
 def insert_ignore(store: DataFrame, new: DataFrame, key: str, order: Column) -> DataFrame:
     """The store with those rows of new whose key it lacks; of new rows with one key the first by order."""
     first = new.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("__n = 1").drop("__n")
