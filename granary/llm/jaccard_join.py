@@ -1,7 +1,7 @@
 """N-gram Jaccard join by grouped prefixes.
 
 A document's set holds its distinct n-word shingles, hashed to 64 bits. Shingles are ordered from rare to
-frequent; two sets that are similar enough share a shingle among their first few (the prefix). Documents of
+frequent; two sets that are similar enough share a number of shingles among their first ones (the prefix). Documents of
 equal sets collapse into one, sets of equal prefix and size into one group. Groups that share a prefix shingle
 are paired, filtered by size and by a parity bitmap, expanded to their members, and the members are compared on
 their texts.
@@ -72,8 +72,15 @@ def frequency_classes(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def prefix_size(size: int, percent: int) -> int:
-    """Elements that two sets of at least this similarity cannot both lack, whatever the order."""
-    return size - -(-percent * size // 100) + 1
+    """The first elements of a set, in any order, of which a set of at least this similarity shares as many with
+    its own first ones as shared_least says for the smaller set."""
+    base = size - -(-percent * size // 100) + 1
+    return min(size, base + base // 4)
+
+
+def shared_least(size: str, percent: int) -> str:
+    """SQL: prefix elements that a set of this size shares with a similar set that is not smaller."""
+    return f"(1 + ({size} - ({percent} * {size} + 99) div 100 + 1) div 4)"
 
 
 def set_features(texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -165,11 +172,12 @@ def components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     postings = stored(posted.join(shared, "token"), "jaccard-postings")  # only shingles that two groups share
 
     heads = member.filter("gid = rep").select("gid", "rep", "n_shingles", "parity")
-    stars = postings.filter("gid <> hub").select("hub", "gid").distinct()
+    stars = postings.filter("gid <> hub").groupBy("hub", "gid").agg(F.count("*").alias("common"))
     across = (
         stars.join(heads.selectExpr("gid as hub", "struct(rep, n_shingles, parity) as x"), "hub")
         .join(heads.selectExpr("gid", "struct(rep, n_shingles, parity) as y"), "gid")
         .filter(_may_be_similar(percent, "x", "y"))
+        .filter(f"common >= {shared_least('least(x.n_shingles, y.n_shingles)', percent)}")
         .selectExpr("x.rep as a", "y.rep as b")
     )
     inside = member.filter("members > 1 and gid <> rep").selectExpr("gid as a", "rep as b")
@@ -180,18 +188,21 @@ def components(docs: DataFrame, n: int, percent: int) -> DataFrame:
         member.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
         .select("gid", F.struct("rep", "n_shingles", "parity", F.coalesce("component", "rep").alias("component")).alias("x"))
     )
-    lists = postings.select("token", "gid").unionByName(member.filter("members > 1").select(F.xxhash64(F.lit("group"), "gid").alias("token"), "gid").distinct())
-    entries = lists.join(node, "gid").select("token", "x")
+    alike = member.filter("members > 1").select(F.xxhash64(F.lit("group"), "gid").alias("token"), "gid").distinct()
+    lists = postings.select("token", "gid", F.lit(1).alias("weight")).unionByName(alike.withColumn("weight", F.lit(1 << 20)))  # a group shares its prefix
+    entries = lists.join(node, "gid").select("token", "x", "weight")
     per = entries.groupBy("token", "x.component").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("component", "n").alias("main"), F.count("*").alias("parts"))
-    open_lists = stored(entries.join(per.filter("parts > 1"), "token").select("token", "main", "x"), "jaccard-open")
+    open_lists = stored(entries.join(per.filter("parts > 1"), "token").select("token", "main", "x", "weight"), "jaccard-open")
     minor = open_lists.filter("x.component <> main")
     pairs = (
         minor.select("token", F.col("x").alias("y"))
         .join(open_lists, "token")
         .filter("x.component <> y.component AND (x.component = main OR x.rep < y.rep)")
         .filter(_may_be_similar(percent, "x", "y"))
-        .selectExpr("least(x.rep, y.rep) as a", "greatest(x.rep, y.rep) as b")
-        .distinct()
+        .groupBy(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+        .agg(F.sum("weight").alias("common"), F.min(F.least("x.n_shingles", "y.n_shingles")).alias("size"))
+        .filter(f"common >= {shared_least('size', percent)}")
+        .select("a", "b")
     )
     links = stored(verified(pairs, texts, n, percent), "jaccard-links").unionByName(star_links)
     final = connected(links).withColumnRenamed("node", "rep")
