@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.plans import graph, linking, scrub, search, text, vectors
+from granary.plans import graph, lens, linking, scrub, search, text, vectors
 
-MODULES = (text, linking, vectors, search, scrub, graph)
+MODULES = (text, linking, vectors, search, scrub, graph, lens)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
