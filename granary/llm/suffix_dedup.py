@@ -279,9 +279,10 @@ def resolve(rows: DataFrame, block: int) -> DataFrame:
 def repeated_starts(texts: DataFrame, length: int) -> DataFrame:
     """(rk, first, last): runs of starts that repeat, for texts (rk, text)."""
     blocks = stored(all_blocks(texts, length), "suffix-blocks")
-    twice = blocks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # stored, so that the join has a shuffle on both sides, which Spark can split where a core is very frequent
+    twice = stored(blocks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "suffix-twice")
     kept = stored(blocks.join(twice, "h", "left_semi"), "suffix-kept")
-    discard(blocks)
+    discard(blocks, twice)
     first = F.min(F.struct("rk", "place")).alias("first")
     classes = stored(kept.groupBy("h", "f").agg(F.count("*").alias("n"), first).select("h", "f", "n", "first.*"), "suffix-classes")
     several = classes.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
