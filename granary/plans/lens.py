@@ -13,7 +13,7 @@ from granary.plans.text import paths, paths_sql
 from granary.sources import tables as store
 from granary.sources.tables import table
 
-KINDS, EXTRACT, IGNORE = ("class", "method"), ("steel", "brass"), ("tin", "promo")
+KINDS, EXTRACT, IGNORE = ("class", "method"), ("economy", "small"), ("_1", "#7")
 NOW = "2024-02-01 00:00:00"
 
 
@@ -33,7 +33,7 @@ def lens_overview(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lens_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    return L.buckets(symbols(spark, sf), (("metal", "steel|brass"), ("small", "small"), ("plated", "plated")))
+    return L.buckets(symbols(spark, sf), (("economy", "econ"), ("small", "small|_5"), ("nines", "9")))
 
 
 def lens_details(spark: SparkSession, sf: str) -> DataFrame:
@@ -225,11 +225,11 @@ def _relevance_sql() -> str:
 
 
 QUERIES = {
-    "lens_filter": (lens_filter, f"WITH {_S} SELECT p_partkey, name, kind FROM s WHERE kind IN ('class', 'method') AND regexp_matches(name, '(?i)(steel|brass)') AND NOT regexp_matches(name, '(?i)(tin|promo)') AND NOT regexp_matches(path, '(?i)(tin|promo)')"),
+    "lens_filter": (lens_filter, f"WITH {_S} SELECT p_partkey, name, kind FROM s WHERE kind IN ('class', 'method') AND regexp_matches(name, '(?i)(economy|small)') AND NOT regexp_matches(name, '(?i)(_1|#7)') AND NOT regexp_matches(path, '(?i)(_1|#7)')"),
     "lens_overview": (lens_overview, f"WITH {_S} SELECT kind, count(*) AS n, count(DISTINCT path) AS files FROM s GROUP BY 1"),
     "lens_buckets": (
         lens_buckets,
-        f"""WITH {_S}, b AS (SELECT name, list_filter([CASE WHEN regexp_matches(name, '(?i)(steel|brass)') THEN 'metal' END, CASE WHEN regexp_matches(name, '(?i)(small)') THEN 'small' END, CASE WHEN regexp_matches(name, '(?i)(plated)') THEN 'plated' END], lambda x: x IS NOT NULL) AS b FROM s),
+        f"""WITH {_S}, b AS (SELECT name, list_filter([CASE WHEN regexp_matches(name, '(?i)(econ)') THEN 'economy' END, CASE WHEN regexp_matches(name, '(?i)(small|_5)') THEN 'small' END, CASE WHEN regexp_matches(name, '(?i)(9)') THEN 'nines' END], lambda x: x IS NOT NULL) AS b FROM s),
         r AS (SELECT name, unnest(CASE WHEN len(b) > 0 THEN b ELSE ['others'] END) AS bucket FROM b) SELECT bucket, count(*) AS n, min(name) AS first FROM r GROUP BY 1""",
     ),
     "lens_details": (
