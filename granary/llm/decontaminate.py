@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from granary.llm.common import NOT_WORD, shingle_hashes, table, utf8_blocks, word_hashes
 
 GRAM = 3
-#: An n-gram is rare if at most this share of the corpus's n-grams are it; an item's FEWEST rarest always are seeds.
-RARE, FEWEST = 2e-5, 8
+#: An n-gram is rare if it occurs at most so often, or if at most this share of the corpus's n-grams are it; of the
+#: n-grams of an item that occur at all, the FEWEST rarest always are seeds.
+RARE_COUNT, RARE, FEWEST = 100, 2e-5, 8
 #: Points for an equal word, another word, and a word left out or put in.
 MATCH, DIFFER, GAP = 2, -1, 1
 #: Share of the points of an exact copy from which on a passage counts as one.
@@ -68,11 +69,13 @@ class Items:
     def keep_rare(self, counts: np.ndarray, total: int) -> None:
         """From now on only seeds are indexed. counts: of each key in the corpus of total n-grams."""
         count = np.repeat(counts, np.diff(self.first))
+        occurs = count > 0
+        self.gram, self.item, self.offset, count = self.gram[occurs], self.item[occurs], self.offset[occurs], count[occurs]
         order = np.lexsort((self.gram, count, self.item))
         start = np.searchsorted(self.item[order], self.item[order], "left")
         nth = np.empty(len(order), np.int64)
         nth[order] = np.arange(len(order)) - start
-        seed = (count <= RARE * total) | (nth < FEWEST)
+        seed = (count <= max(RARE_COUNT, RARE * total)) | (nth < FEWEST)
         self.gram, self.item, self.offset = self.gram[seed], self.item[seed], self.offset[seed]
         self.index()
 

@@ -87,13 +87,11 @@ class CrossParser:
             roots.append(base * width)
             base += len(grid)
         self.table = np.concatenate(parts).ravel()
-        self.roots = np.array(roots, np.int32)[:, None]
-        #: Where a phrase that begins with a byte goes; an unknown byte is a phrase by itself.
+        #: Where a phrase that begins with a byte goes; after an unknown byte, which is a phrase by itself, nothing goes on.
         self.first = np.array([self.table[r : r + width] for r in roots], np.int32).reshape(len(roots), width)
-        self.first = np.where(self.first == 0, self.roots, self.first)
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
-        """Phrases of each text by each language, as a matrix."""
+        """Phrases of each text by each language, as a matrix: bytes at which one begins."""
         sizes = np.array([len(t) for t in texts], np.int64)
         data = self.column[np.frombuffer(b"".join(texts), np.uint8)]
         starts = np.cumsum(sizes) - sizes
@@ -104,7 +102,7 @@ class CrossParser:
         size = np.minimum(LANE, sizes[owner] - within * LANE)
         order = np.argsort(-size, kind="stable")
         owner, at, size = owner[order], at[order], size[order]
-        state = np.repeat(self.roots, len(at), axis=1)
+        state = np.zeros((len(self.first), len(at)), np.int32)
         count = np.zeros(state.shape, np.int32)
         alive = np.searchsorted(-size, -np.arange(1, LANE + 1), "right")  # lanes of at least so many bytes
         for k in range(int(size[0]) if len(size) else 0):
@@ -113,11 +111,11 @@ class CrossParser:
             step = self.table.take(state[:, :n] + column)
             ended = step == 0
             np.add(count[:, :n], ended, out=count[:, :n])
-            np.copyto(step, self.first.take(column, axis=1), where=ended)  # the byte that did not fit starts the next phrase
+            np.copyto(step, self.first.take(column, axis=1), where=ended)  # the byte that does not fit begins a phrase
             state = step
-        total = np.zeros((len(texts), len(self.roots)), np.int64)
-        for j in range(len(self.roots)):
-            total[:, j] = np.bincount(owner, count[j] + 1, minlength=len(texts))
+        total = np.zeros((len(texts), len(self.first)), np.int64)
+        for j in range(len(self.first)):
+            total[:, j] = np.bincount(owner, count[j], minlength=len(texts))
         return total
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:

@@ -1,0 +1,420 @@
+"""Each operator against a plain version of itself, and on awkward tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from granary.llm import chat_format, components, decontaminate, jaccard_join, language_id, media_ogg, quality, queries, sentencepieces, suffix_dedup, token_counts, url_filters
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(rng, n, base=200):
+    return " ".join(f"w{rng.randrange(base)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def awkward():
+    """Nulls everywhere, empty, blank, tiny, long, repeated and odd texts."""
+    rng = random.Random(5)
+    long = words(rng, 30_000, 5000)
+    texts = [None, "", "   ", "one", "one two", "one two three", "one two three", "ONE two three", long, long, long[:-500], "<|endoftext|> <s> ▁x\x00 \\b <|im_end|>", "é日本語🙂 ½ ﬁ", "a" * 3000, "ab" * 1500, words(rng, 80), "!!! ??? 123"]
+    rows = [(k, t, None if k % 3 == 0 else ("aa", "bb")[k % 2], None, None) for k, t in enumerate(texts)]
+    return [*rows, rows[4], (None, "one two three", "aa", None, None), (None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def awkward_docs(spark, awkward):
+    clashing = {c: F.lit(7) for c in ("component", "rep", "n", "h", "k", "token", "rk", "left", "low", "score", "pieces", "media", "pattern", "kept", "item_id", "x", "a", "b")}
+    return spark.createDataFrame(awkward, DOC).withColumns(clashing)
+
+
+def plain_components(rows, n, percent):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.setdefault(i, []).append({tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set())
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for x in ids:
+        for y in ids:
+            if x < y and any(a and b and 100 * len(a & b) >= percent * len(a | b) for a in sets[x] for b in sets[y]):
+                a, b = find(x), find(y)
+                parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def near_copies(rng, n=60):
+    """Families of near copies, one large, with passages that several share."""
+    passage = words(rng, 60)
+    base = [words(rng, rng.randrange(5, 300), 3000) for _ in range(8)]
+    rows = []
+    for k in range(n):
+        w = base[0 if k % 2 else rng.randrange(len(base))].split()
+        for _ in range(rng.randrange(0, 6)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(50)}"
+        rows.append((k, " ".join(w) + (" " + passage if k % 5 == 0 else "")))
+    return rows
+
+
+@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80), (3, 50)])
+def test_jaccard_join_finds_all_links(spark, n, percent):
+    rows = near_copies(random.Random(n))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.components(docs, n, percent).collect()}
+    assert got == plain_components(rows, n, percent)
+
+
+def test_jaccard_join_awkward(awkward_docs, awkward):
+    out = jaccard_join.components(awkward_docs, 3, 90).collect()
+    assert len(out) == len(awkward)
+    expected = plain_components([(r[0], r[1]) for r in awkward if r[0] is not None], 3, 90)
+    assert {r.doc_id: r.component_id for r in out if r.doc_id is not None} == expected
+    assert all(r.component_id is None for r in out if r.doc_id is None)
+    assert all((r.n_shingles == 0) == (r.doc_id in (0, 1, 2)) for r in out if r.doc_id is not None)
+
+
+@pytest.mark.parametrize("size", [10, 60, 400, 1000])
+def test_prefixes_share_enough(size):
+    """Sets just similar enough share as many prefix shingles as is asked for, in any order."""
+    rng = random.Random(size)
+    for percent in (80, 90):
+        keep = -(-size * percent // 100)
+        a = set(range(size))
+        b = set(rng.sample(sorted(a), keep))
+        for _ in range(20):
+            order = {x: rng.random() for x in a}
+            pa_, pb = (sorted(s, key=order.get)[: jaccard_join.prefix_size(len(s), percent)] for s in (a, b))
+            least = 1 + (len(b) - (percent * len(b) + 99) // 100 + 1) // 4
+            assert len(set(pa_) & set(pb)) >= min(least, len(b))
+
+
+def test_connected_components(spark):
+    rng = random.Random(1)
+    links = [(k, k + 1) for k in range(40, 70)] + [(rng.randrange(30), rng.randrange(30)) for _ in range(18)] + [(5, 5)]
+    got = {r.node: r.component for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    assert got == {x: find(x) for x in list(parent)}
+    assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def plain_dedup(texts, length):
+    raw = [(t or "").encode() for t in texts]
+    count = Counter(t[p : p + length] for t in raw for p in range(len(t) - length + 1))
+    out = []
+    for t in raw:
+        cover = bytearray(len(t))
+        for p in range(len(t) - length + 1):
+            if count[t[p : p + length]] > 1:
+                cover[p : p + length] = b"\1" * length
+        kept = bytes(x for x, c in zip(t, cover) if not c)
+        out.append((len(t), sum(cover), len(re.findall(b"\1+", bytes(cover))), kept))
+    return out
+
+
+@pytest.mark.parametrize("group", [256, 2])
+def test_suffix_dedup_is_exact(spark, group, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    rng = random.Random(11)
+    shared = [words(rng, 90), words(rng, 70), "é" * 250]
+    texts = []
+    for k in range(60):
+        parts = [words(rng, rng.randrange(5, 60)) for _ in range(3)]
+        if k % 2:
+            parts.insert(1, shared[k % 3])
+        if k % 7 == 0:
+            parts += [shared[0]] * 2
+        texts.append(" ".join(parts))
+    texts += [texts[3], texts[3][:500], "z" * 2000, "zz" * 150, "", None, "x" * 399]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k, _ in rows] == plain_dedup(texts, 400)
+
+
+def test_suffix_dedup_awkward(awkward_docs, awkward):
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup(awkward_docs).collect())
+    small = [r[1] for r in awkward]
+    long = [t for t in small if t and len(t) > 10_000]
+    assert len(got) == len(awkward)
+    assert got == sorted([*plain_dedup([t for t in small if t not in long], 400), *((len(t), len(t), 1, b"") for t in long)])
+
+
+def test_intervals_are_all_common_prefix_intervals():
+    rng = random.Random(2)
+    for _ in range(50):
+        common = [rng.randrange(5) for _ in range(rng.randrange(1, 12))]
+        plain = set()
+        for a in range(len(common)):
+            for b in range(a, len(common)):
+                least = min(common[a : b + 1])
+                if (a == 0 or common[a - 1] < least) and (b == len(common) - 1 or common[b + 1] < least):
+                    plain.add((a, b + 1, least))
+        assert set(suffix_dedup.intervals(common)) == plain
+
+
+def test_ogg_round_trip_and_damage():
+    rng = random.Random(3)
+    for size in (1, 63, 64, 255, 256, 4000, 12_240, 12_241, 100_000):
+        payload = media_ogg.payload_of(bytes(rng.randrange(256) for _ in range(size)))
+        media = media_ogg.encode_ogg(payload, b"note")
+        streams = media_ogg.read_ogg(media)
+        assert media_ogg.features(streams)[0] == payload and len(streams) == 2
+        sound = next(s for s in streams.values() if s["packets"][0][:4] == b"pcm8")
+        assert sound["ends"][1:] == [min(k + media_ogg.PACKET, len(payload)) for k in range(0, len(payload), media_ogg.PACKET)]
+        for at in (5, 22, len(media) // 2, len(media) - 1):
+            bad = bytearray(media)
+            bad[at] ^= 1
+            with pytest.raises(ValueError):
+                media_ogg.read_ogg(bytes(bad))
+        with pytest.raises(ValueError):
+            media_ogg.read_ogg(media[:-10])
+
+
+def test_ogg_checksum_by_definition():
+    def slow(data):
+        crc = 0
+        for byte in data:
+            crc ^= byte << 24
+            for _ in range(8):
+                crc = (crc << 1 ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
+        return crc
+
+    for data in (b"", b"OggS", bytes(range(256)) * 3):
+        assert media_ogg.page_checksum(data) == slow(data)
+
+
+def test_media_awkward(awkward_docs, awkward):
+    out = media_ogg.media_features(media_ogg.add_media(awkward_docs)).collect()
+    assert len(out) == len(awkward) and all(r.error is None for r in out)
+    by_text = {}
+    for r in awkward:
+        payload = media_ogg.payload_of((r[1] or "").encode())
+        by_text.setdefault((len((r[1] or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])), 0)
+    assert {(r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in out} == set(by_text)
+    broken = media_ogg.media_features(media_ogg.add_media(awkward_docs).withColumn("media", F.lit(b"junk"))).first()
+    assert broken.payload_bytes is None and "ValueError" in broken.error
+
+
+def test_sentencepiece_agrees_and_is_lossless(spark, awkward_docs, awkward):
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(sentencepieces.MODEL))
+    plain = {r.doc_id: r for r in sentencepieces.encode(awkward_docs, dropout=0.0).collect()}
+    for r in awkward:
+        if r[0] is not None and "▁" not in (r[1] or ""):
+            assert list(plain[r[0]].pieces) == library.encode(r[1] or "")
+    seen = set()
+    for dropout in (0.0, 0.1, 0.9):
+        coded = sentencepieces.encode(awkward_docs, dropout=dropout)
+        out = sentencepieces.decode(coded.withColumnRenamed("text", "original"), keep=("doc_id", "original")).collect()
+        assert len(out) == len(awkward) and all(r.decoded == (r.original or "") for r in out)
+        seen.add(sum(len(r.pieces) for r in out))
+    assert len(seen) == 3
+    again = [sorted((str(r.doc_id), list(r.pieces)) for r in sentencepieces.encode(awkward_docs, seed=s).collect()) for s in (1, 1, 2)]
+    assert again[0] == again[1] != again[2]
+
+
+def test_sentencepiece_streams_vary_repeated_words():
+    import public_tokenizers
+
+    model = sentencepieces.PieceModel(public_tokenizers.path(sentencepieces.MODEL))
+    pieces = model.encode(["international " * 200], 0.3, 9)[0]
+    forms = set(" ".join(map(str, pieces.tolist())).split(str(pieces[0])))
+    assert len(forms) > 2
+
+
+def test_token_counts_as_the_library(awkward_docs, awkward):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path(token_counts.VOCABULARY))
+    out = token_counts.count_tokens(awkward_docs).collect()
+    expected = sorted((len((r[1] or "").encode()), len(library.encode(r[1] or "", add_special_tokens=False).ids)) for r in awkward)
+    assert sorted((r.n_bytes, r.n_tokens) for r in out) == expected
+    assert all(r.over_limit == (r.n_tokens > 1024) for r in out)
+
+
+def test_cross_parser_counts_greedy_phrases():
+    rng = random.Random(4)
+    train = {"a": bytes(rng.choice(b"abcd ") for _ in range(400)), "b": bytes(rng.choice(b"cdef ") for _ in range(300))}
+    parser = language_id.CrossParser(train)
+
+    def plain(text, sample):
+        n = 0
+        for lo in range(0, len(text), language_id.LANE):
+            part, at = text[lo : lo + language_id.LANE], 0
+            while at < len(part):
+                size = 1
+                while at + size < len(part) and part[at : at + size + 1] in sample:
+                    size += 1
+                at, n = at + size, n + 1
+        return n
+
+    texts = [bytes(rng.choice(b"abcdefg ") for _ in range(k)) for k in (1, 5, 100, 1023, 1024, 1025, 5000)]
+    got = parser.phrases(texts)
+    for text, row in zip(texts, got.tolist()):
+        assert row == [plain(text, train["a"]), plain(text, train["b"])]
+
+
+def test_language_accuracy_and_awkward(spark, data, awkward_docs, awkward):
+    out = language_id.query(spark, data)
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang")
+    tested = out.filter("held_out").join(docs, "doc_id").select((F.col("lang") == F.col("lang_pred")).cast("int").alias("ok"), "score").collect()
+    assert np.mean([r.ok for r in tested]) > 0.9 and all(0 <= r.score <= 1 for r in tested)
+    rows = language_id.identify(awkward_docs, language_id.train(awkward_docs), keep=("doc_id",)).collect()
+    assert len(rows) == len(awkward) and {r.lang_pred for r in rows} <= {"aa", "bb", "und"}
+    assert all(r.lang_pred == "und" and r.score == 0 for r in rows if r.doc_id in (0, 1, 2, 16))
+
+
+def plain_alignment(a, b):
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(0, row[j] + (2 if x == y else -1), row[j + 1] - 1, new[j] - 1))
+        row, best = new, max(best, *new)
+    return best / (2 * len(a))
+
+
+def test_alignment_is_smith_waterman():
+    rng = np.random.default_rng(6)
+    items = [rng.integers(2, 9, rng.integers(1, 20)).astype(np.uint64) for _ in range(40)]
+    windows = [rng.integers(2, 9, rng.integers(1, 40)).astype(np.uint64) for _ in range(40)]
+    got = decontaminate.align(items, windows)
+    assert np.allclose(got, [plain_alignment(a.tolist(), b.tolist()) for a, b in zip(items, windows)])
+
+
+def test_decontamination_finds_edited_copies(spark, awkward_docs):
+    rng = random.Random(8)
+    items = [(k, words(rng, 30, 4000)) for k in range(6)] + [(6, None), (7, ""), (8, "too short"), (0, words(rng, 25, 4000))]
+    docs, expected = [], set()
+    for k in range(80):
+        text = words(rng, rng.randrange(20, 300), 4000).split()
+        if k % 4 == 0:
+            item = items[k // 4 % 6]
+            edited = item[1].upper().split() if k % 8 else item[1].split()
+            for at in rng.sample(range(len(edited)), 4):
+                edited[at] = "other" if at % 2 else "two words"
+            text[10:10] = edited
+            expected.add((k, item[0]))
+        docs.append((k, ", ".join(text)))
+    docs += [(100, None), (101, ""), (102, items[2][1]), (102, items[2][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
+    out = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in out} == expected | {(102, 2)}
+    assert [r.score for r in out if r.doc_id == 102] == [1.0, 1.0]
+    assert decontaminate.contaminated(awkward_docs, bench).count() == 0
+    assert decontaminate.contaminated(awkward_docs, bench.limit(0)).count() == 0
+
+
+def test_url_filters(spark):
+    urls = [None, "", "nothing", "http://Example.COM/en/7x?q", "https://a.example.com/en/8#x", "https://notexample.com/en/9", "http://b.net/de/1", "http://x.example.net/de/8", "http://x.org/es", "http://x.org/es/",
+            "http://x.org?u=/es/", "https://play.casino.example.org/fr/", "https://casino-history.example.org/casino/history/", "ftp://a://b.com/en/1", "http://x.io/CGI-BIN/x", "http://x.io/cgi-bin", "http://big-casinos.io/", "http://example.com/EN/7"]
+    docs = spark.createDataFrame([(k, u) for k, u in enumerate(urls + [urls[3]])], "page_id long, url string")
+    got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in url_filters.filter_urls(docs).collect()}
+    assert len(got) == len(set(urls))
+    assert got[None] == got[""] == got["nothing"] == ("", "", None, "allow")
+    assert got[urls[3]] == ("example.com", "/en/7x", "example.com/en/7", "allow")
+    assert got[urls[4]] == ("a.example.com", "/en/8", "com/en/", "block")
+    assert got[urls[5]][2] == "com/en/" and got[urls[6]][2] == "net/de/" and got[urls[7]] == ("x.example.net", "/de/8", "example.net/de/8", "block")
+    assert got[urls[8]][2] is None and got[urls[9]][2] == "org/es/" and got[urls[10]][:3] == ("x.org", "", None)
+    assert got[urls[11]] == ("play.casino.example.org", "/fr/", None, "block") and got[urls[12]][3] == "allow"
+    assert got[urls[13]] == ("a:", "//b.com/en/1", None, "allow") and got[urls[14]][3] == got[urls[15]][3] == "block" and got[urls[16]][3] == "allow"
+    assert got[urls[17]] == ("example.com", "/EN/7", None, "allow")
+    assert url_filters.filter_urls(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        url_filters.rule_rows((), [("block", "*ads*")])
+
+
+def test_rules_are_indexed_by_their_rarest_token(spark):
+    docs = spark.createDataFrame([("http://wp.io/login/%d" % k,) for k in range(5)] + [("http://x.io/wp/",)] * 1, "url string")
+    index = url_filters.rule_index(spark, docs, url_filters.rule_rows((), [("block", "^wp^login^")]))
+    assert index.first().token == "login"
+
+
+def test_chat_folds_events(spark):
+    events = [(1, 1, 8, "open", "user", None), (1, 1, 9, "delta", None, "helo"), (1, 1, 10, "edit", None, "hello"), (1, 1, 11, "delta", None, "!"), (1, 2, 16, "open", "assistant", None),
+              (1, 2, 17, "delta", None, "draft"), (1, 2, 18, "regenerate", None, None), (1, 2, 20, "delta", None, "b"), (1, 2, 19, "delta", None, "a"), (2, 1, 9, "delta", None, "no start")]
+    got = {(r.conv_id, r.msg): (r.role, r.text) for r in chat_format.fold(spark.createDataFrame(events, "conv_id long, msg long, seq long, kind string, role string, text string")).collect()}
+    assert got == {(1, 1): ("user", "hello!"), (1, 2): ("assistant", "ab"), (2, 1): ("", "no start")}
+
+
+def test_chat_round_trip(spark):
+    nasty = ["", None, chat_format.INJECTION, "\\b\\p\\\\", "<|<|im_end|>", "a\n\nb", "<", "|", "<\\|", "é🙂"]
+    rows = [(c, t, ("user", "assistant", "system", "a\nb<|", None)[(c + t) % 5], nasty[(c * 3 + t) % len(nasty)]) for c in range(7) for t in range(12)]
+    rows += [rows[5], (None, 0, "assistant", "x"), (9, None, "assistant", "<|im_end|>")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("msg", F.lit(1))
+    out = {r.conv_id: r for r in chat_format.read_back(chat_format.render(chat_format.fold(chat_format.log_of(turns)))).collect()}
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == conv), key=key)
+        assert [(t.role, t.text) for t in out[conv].turns] == [(r[2] or "", r[3] or "") for r in own]
+        assert list(out[conv].loss) == [r[3] or "" for r in own if r[2] == "assistant"]
+
+
+def test_label_model_and_scorer(spark, data, awkward_docs, awkward):
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    scorer = quality.train(docs)
+    assert all(a > 0.6 for a in scorer.accuracy)
+    rows = quality.classify(docs, scorer).join(labels, "doc_id").collect()
+    good, junk = [[r.keep for r in rows if r.quality == q] for q in (1, 0)]
+    assert np.mean(good) > 0.95 and np.mean(junk) < 0.4
+    out = quality.classify(awkward_docs, quality.train(awkward_docs)).collect()
+    assert len(out) == len(awkward) and all(not r.keep and r.posterior is None for r in out if r.doc_id in (0, 1, 2))
+
+
+def test_em_recovers_accuracies():
+    rng = np.random.default_rng(7)
+    n, kinds = 40_000, len(quality.LABELLERS)
+    truth = rng.random(n) < 0.8
+    right = np.linspace(0.7, 0.95, kinds)
+    said = rng.random((n, kinds)) < right
+    votes = np.where(said == truth[:, None], 2, 0)
+    votes = np.where(rng.random((n, kinds)) < 0.3, 1, votes)
+    codes = (votes * 3 ** np.arange(kinds)).sum(axis=1)
+    posterior, accuracy = quality.em(np.bincount(codes, minlength=3**kinds).astype(float))
+    assert np.abs(accuracy - right).max() < 0.05 and ((posterior[codes] > 0.5) == truth).mean() > 0.95
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_empty_tables(spark, name, tmp_path):
+    for table, kind in {"documents": DOC, "benchmark": "item_id long, text string", "pages": "page_id long, url string, html string", "conversations": "conv_id long, turn long, role string, text string"}.items():
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{table}.parquet")
+    out = queries.queries()[name](spark, str(tmp_path)).collect()
+    assert len(out) == (1 if name == "op8_chat_format" else 0)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, data, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    got = queries.queries()[name](spark, data)
+    cursor = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(map(tuple, got.select(names).collect()), key=str) == sorted(cursor.fetchall(), key=str)
