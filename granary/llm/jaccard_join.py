@@ -84,7 +84,7 @@ def shared_least(size: str, percent: int) -> str:
 
 
 def set_features(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, prefix, parity) of each text; s1 and s2 are a signature of the set."""
+    """(doc_id, n_shingles, s1, s2, p1, p2, prefix, parity) of each text: s1, s2 are a signature of the set, p1, p2 of the prefix."""
     classes = texts.sparkSession.sparkContext.broadcast(frequency_classes(texts, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,18 +105,19 @@ def set_features(texts: DataFrame, n: int, percent: int) -> DataFrame:
                     cut = prefix_size(len(own), percent) if len(own) else 0
                     order = np.argsort(rank[own >> np.uint64(64 - SKETCH_BITS)], kind="stable")[:cut]
                     sizes.append(len(own))
-                    signs.append((own.sum(dtype=np.uint64), mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
-                    prefixes.append(own[order].view(np.int64))
+                    start = own[order]
+                    signs.append([f(x) for x in (own, start) for f in (lambda x: x.sum(dtype=np.uint64), lambda x: mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))])
+                    prefixes.append(start.view(np.int64))
                     odd = np.bincount((own & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
                     parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-                sign = np.array(signs, np.uint64).reshape(-1, 2).view(np.int64)
+                sign = np.array(signs, np.uint64).reshape(-1, 4).view(np.int64)
                 lists = lambda parts: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in parts])]), pa.int32()), pa.array(np.concatenate(parts), pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(sign[:, 0]), pa.array(sign[:, 1]), lists(prefixes), lists(parities)],
-                    names=["doc_id", "n_shingles", "s1", "s2", "prefix", "parity"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), *(pa.array(sign[:, c]) for c in range(4)), lists(prefixes), lists(parities)],
+                    names=["doc_id", "n_shingles", "s1", "s2", "p1", "p2", "prefix", "parity"],
                 )
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, prefix array<long>, parity array<long>")
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, p1 long, p2 long, prefix array<long>, parity array<long>")
 
 
 def similar_texts(a: bytes, b: bytes, n: int, percent: int) -> bool:
@@ -161,13 +162,12 @@ def components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = stored(set_features(texts, n, percent), "jaccard-sets")
     linked = base.filter("n_shingles > 0 and doc_id is not null")
-    reps = linked.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
-    reps = reps.withColumn("p1", F.xxhash64("prefix")).withColumn("p2", F.xxhash64(F.lit(7), "prefix"))
+    reps = linked.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("p1", "p2", "parity")))
     reps = stored(reps, "jaccard-reps")
-    groups = reps.groupBy("p1", "p2", "n_shingles").agg(F.min("rep").alias("gid"), F.first("prefix").alias("prefix"), F.count("*").alias("members"))
-    named = groups.select("p1", "p2", "n_shingles", "gid", "members")
-    member = reps.join(named, ["p1", "p2", "n_shingles"]).select("gid", "rep", "n_shingles", "parity", "members")
-    posted = groups.select("gid", F.explode("prefix").alias("token"))
+    groups = stored(reps.groupBy("p1", "p2", "n_shingles").agg(F.min("rep").alias("gid"), F.count("*").alias("members")), "jaccard-groups")
+    member = reps.join(groups, ["p1", "p2", "n_shingles"]).select("gid", "rep", "n_shingles", "parity", "members")
+    first = linked.select(F.col("doc_id").alias("gid"), "prefix").join(groups.select("gid").distinct(), "gid", "left_semi")
+    posted = first.select("gid", F.explode("prefix").alias("token")).repartition("token")  # one shuffle, read twice
     shared = posted.groupBy("token").agg(F.min("gid").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("token", "hub")
     postings = stored(posted.join(shared, "token"), "jaccard-postings")  # only shingles that two groups share
 
