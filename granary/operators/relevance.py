@@ -75,6 +75,6 @@ def parse_cycle(text: Column, filename: Column) -> Column:
     header, plain = first("^#+ +(.+)$", 1), F.coalesce(F.try_element_at(F.filter(lines, lambda x: (x != "") & ~x.rlike("^#") & ~x.rlike("(?i)^(run|when):")), F.lit(1)), F.lit(""))
     name = F.when(header != "", header).when(plain != "", plain).otherwise(F.regexp_replace(filename, r"\.md$", ""))
     run, when = first("(?i)^run: *(.*)$", 1), first("(?i)^when: *(.*)$", 1)
-    error = F.when(F.trim(text) == "", "empty file").when(when == "", "no condition")
+    error = F.when(~text.rlike(r"\S"), "empty file").when(when == "", "no condition")
     kind = F.when(run != "", "script").otherwise("prose")
     return F.struct(name.alias("name"), kind.alias("type"), F.when(run != "", run).alias("run"), F.when(when != "", when).alias("when"), error.alias("error"))
