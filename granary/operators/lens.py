@@ -69,9 +69,30 @@ def staleness(pages: DataFrame, index: DataFrame, files: DataFrame) -> DataFrame
 
 def index_stats(statuses: DataFrame) -> DataFrame:
     """(status, n, percent), percent rounded half up."""
-    total = statuses.agg(F.count("*").alias("total"))
+    total = statuses.agg(F.count("*").alias("total")).scalar()
     counts = statuses.groupBy("status").agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(total)).select("status", "n", F.floor(F.col("n") * 100 / F.col("total") + 0.5).cast("long").alias("percent"))  # one row
+    return counts.select("status", "n", F.floor(F.col("n") * 100 / total + 0.5).cast("long").alias("percent"))
+
+
+def index_lines(statuses: DataFrame, order: Sequence[str]) -> DataFrame:
+    """(lens, pos, line): an index page's table rows of docs (lens, doc, status, generated), lenses in the given order,
+    docs by name; a lens without docs has the row (empty). The date is what stands before the T."""
+    lenses = statuses.sparkSession.createDataFrame([(n, k) for k, n in enumerate(order)], "lens string, pos int")
+    line = F.concat_ws(" | ", "doc", "status", F.split_part("generated", F.lit("T"), F.lit(1)))
+    rows = lenses.join(statuses, "lens", "left").withColumn("line", F.when(F.col("doc").isNull(), "(empty)").otherwise(line))
+    return rows.groupBy("lens", "pos").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("lines"))
+
+
+def lenses_for(agents: DataFrame, defaults: DataFrame) -> DataFrame:
+    """Each request (agent, lens) with its own lens, or its agent's default (agent, default_lens)."""
+    joined = agents.join(F.broadcast(defaults), "agent", "left")  # a row for each kind of agent
+    return joined.withColumn("lens", F.coalesce("lens", "default_lens")).drop("default_lens")
+
+
+def page_texts(pages: DataFrame) -> DataFrame:
+    """(doc, text): pages (doc, lens, focus, generated, body) as files with their front matter, ready to be written."""
+    head = F.concat(F.lit("---\nlens: "), "lens", F.lit("\nfocus: "), "focus", F.lit("\ngenerated: "), "generated", F.lit("\n---\n"))
+    return pages.select("doc", F.concat(head, F.coalesce("body", F.lit(""))).alias("text"))
 
 
 def first_matching_files(files: DataFrame, patterns: Sequence[str], ignore: str, most: int) -> DataFrame:

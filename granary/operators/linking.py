@@ -62,16 +62,18 @@ def resolve_services(names: DataFrame, services: DataFrame) -> DataFrame:
     """(name, service): exact name, else the host without port and domain, else the first registered of which one
     contains the other; else null.
 
-    The service table (name, seq) is a registry, small by nature; beyond its broadcast bound Spark shuffles.
+    The service table (name, seq) is a registry of distinct names, small by nature: it is held as one sorted array.
     """
-    known = services.select(F.col("name").alias("service"), "seq")
+    registry = services.agg(F.sort_array(F.collect_list(F.struct("seq", "name"))).alias("all")).scalar()
     cleaned = F.lower(F.substring_index(F.substring_index("name", ":", 1), ".", 1))
-    asked = names.select("name").distinct().withColumn("cleaned", cleaned)
-    either = F.col("service").contains(F.col("cleaned")) | F.col("cleaned").contains(F.col("service"))
-    rank = F.when(F.col("service") == F.col("name"), 0).when(F.col("service") == F.col("cleaned"), 1).when(either, 2)
-    pairs = asked.join(known, (F.col("service") == F.col("name")) | (F.col("service") == F.col("cleaned")) | either).withColumn("rank", rank)
-    best = pairs.groupBy("name").agg(F.min_by("service", F.struct("rank", "seq", "service")).alias("service"))
-    return asked.select("name").join(best, "name", "left")
+    asked = names.select("name").distinct().withColumn("cleaned", cleaned).withColumn("all", registry)
+    first = lambda fits: F.try_element_at(F.filter("all", fits), F.lit(1)).getField("name")
+    found = F.coalesce(
+        first(lambda s: s["name"] == F.col("name")),
+        first(lambda s: s["name"] == F.col("cleaned")),
+        first(lambda s: s["name"].contains(F.col("cleaned")) | F.col("cleaned").contains(s["name"])),
+    )
+    return asked.select("name", found.alias("service"))
 
 
 def most_specific(routes: DataFrame) -> DataFrame:

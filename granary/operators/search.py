@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +22,8 @@ def bm25(tokens: DataFrame, terms: Sequence[str], k1: float = K1, b: float = B)
     times = lambda t: F.size(F.filter("words", lambda w: w == t))
     counted = tokens.select("doc_id", F.size("words").alias("length"), *(times(t).alias(f"t{k}") for k, t in enumerate(wanted)))
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"t{k}") > 0).alias(f"d{k}") for k in range(len(wanted))))
-    rows = counted.join(F.broadcast(stats))  # one row
+    one = stats.select(F.struct("*").alias("s")).scalar()
+    rows = counted.withColumn("s", one).select("*", "s.*")
     score = F.lit(0.0)
     for k in range(len(wanted)):
         tf, df = F.col(f"t{k}"), F.col(f"d{k}")
@@ -80,6 +82,19 @@ def boost_corpus(results: DataFrame, query: str, rules: Sequence[tuple[str, str,
     return results.withColumn("score", F.col("score") * factor)
 
 
+def rerank(pairs: DataFrame, load: Callable[[], Callable[[list[str], list[str]], list[float]]], k: int = 50) -> DataFrame:
+    """(query_id, doc_id, score): the k best pairs (query_id, doc_id, query, text, score) of each query scored anew by a
+    model. load runs once in each Python worker and gives a function of queries and texts."""
+    best = pairs.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).filter(F.col("n") <= k)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for frame in frames:
+            yield frame[["query_id", "doc_id"]].assign(score=model(list(frame["query"]), list(frame["text"])))
+
+    return best.select("query_id", "doc_id", "query", "text").mapInPandas(run, "query_id long, doc_id long, score double")
+
+
 def with_context(text: Column, prefix: Column) -> Column:
     """What is embedded: the context's line before the text, if there is one."""
     return F.when(F.coalesce(prefix, F.lit("")) != "", F.concat(prefix, F.lit("\n"), text)).otherwise(text)

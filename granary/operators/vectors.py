@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,6 +81,20 @@ def _block(store: DataFrame, ids: list[int], block: list, k: int, kind: str) ->
     return store.filter("embedding is not null").select("vec_id", "embedding").mapInArrow(run, kind)
 
 
+def model_embedding(texts: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], dimensions: int) -> DataFrame:
+    """(doc_id, vector) by a model, in Arrow batches. load runs once in each Python worker; blank and null texts get zeros
+    without asking the model."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for frame in frames:
+            said = [t if isinstance(t, str) and t.strip() else None for t in frame["text"]]
+            made = iter(model([t for t in said if t is not None]))
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "vector": [[0.0] * dimensions if t is None else list(next(made)) for t in said]})
+
+    return texts.select("doc_id", "text").mapInPandas(run, "doc_id long, vector array<float>")
+
+
 def mean_vectors(store: DataFrame, group: str) -> DataFrame:
     """(group, position, mean) by component."""
     return store.select(group, F.posexplode("embedding").alias("position", "x")).groupBy(group, "position").agg(F.avg("x").alias("mean"))

@@ -44,6 +44,21 @@ def chat_export(spark: SparkSession, folder: str) -> DataFrame:
     return placed.groupBy(F.concat(F.lit("slack://"), "channel").alias("uri")).agg(F.array_sort(F.collect_list(message)).alias("messages"))
 
 
+def is_chat_export(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder is a chat export: it has a list of channels or users, or some JSON array of typed items."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(folder)
+    listed = names.filter(F.col("path").rlike("/(channels|users)[.]json$")).select("path")
+    typed = names.filter(F.col("content").cast("string").rlike(r"(?s)^\s*\[\s*\{[^{}]*\"type\"")).select("path")
+    return not listed.unionByName(typed).isEmpty()
+
+
+def conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Chat exports and transcripts of a folder in one form: (uri, pos, speaker, text)."""
+    if not is_chat_export(spark, folder):
+        return transcripts(spark, folder)
+    return chat_export(spark, folder).select("uri", F.posexplode("messages").alias("pos", "m")).select("uri", "pos", "m.speaker", "m.text")
+
+
 def transcripts(spark: SparkSession, folder: str) -> DataFrame:
     """(uri, pos, speaker, text): lines `Name: text` of text files; a line without a name belongs to unknown."""
     rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder).withColumn("uri", F.input_file_name())

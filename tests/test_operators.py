@@ -233,6 +233,10 @@ def test_readers(spark, tmp_path):
     (chat / "2024-01-01.json").write_text(json.dumps([{"type": "message", "username": "bot", "text": "hi", "ts": "1.0", "thread_ts": "1.0"}, {"type": "join"}]))
     out = crawl.chat_export(spark, str(tmp_path / "export")).collect()
     assert [(m.speaker, m.thread, m.text) for m in out[0].messages] == [("bot", "1.0", "hi"), ("u2", "main", "later")] and out[0].uri == "slack://general"
+    assert crawl.is_chat_export(spark, str(tmp_path / "export")) and crawl.conversations(spark, str(tmp_path / "export")).count() == 2
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "notes.json").write_text('{"a": 1}')
+    assert not crawl.is_chat_export(spark, str(tmp_path / "plain"))
     (tmp_path / "talk.txt").write_text("Ann: hello\n\nno name\nBob: a: b")
     assert [(r.speaker, r.text) for r in crawl.transcripts(spark, str(tmp_path)).orderBy("pos").collect()] == [("Ann", "hello"), ("unknown", "no name"), ("Bob", "a: b")]
 
@@ -260,3 +264,19 @@ def test_dispatch_rules():
 def test_requests_and_yaml(spark):
     lines = spark.createDataFrame([('{"id": "1", "tool": "poll", "params": {"a": "b"}}',), ("",), ("broken{",)], "value string")
     assert {(r.id, r.tool, r.error) for r in crawl.requests(lines).collect()} == {("1", "poll", None), (None, None, "bad request")}
+
+
+def test_models_and_pages(spark):
+    docs = spark.createDataFrame([(1, "ab"), (2, " "), (3, None)], "doc_id long, text string")
+    out = vectors.model_embedding(docs, lambda: lambda texts: [[float(len(t)), 1.0] for t in texts], 2).collect()
+    assert {r.doc_id: list(r.vector) for r in out} == {1: [2.0, 1.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}
+    pairs = spark.createDataFrame([(1, k, "q", "x" * k, float(k)) for k in range(5)], "query_id long, doc_id long, query string, text string, score double")
+    out = search.rerank(pairs, lambda: lambda q, t: [-float(len(x)) for x in t], 3).collect()
+    assert {(r.doc_id, r.score) for r in out} == {(4, -4.0), (3, -3.0), (2, -2.0)}
+    status = spark.createDataFrame([("b", "d2", "FRESH", "2024-01-02T03:04"), ("b", "d1", "STALE", "2024-01-01T00:00")], "lens string, doc string, status string, generated string")
+    got = {r.lens: r.lines for r in lens.index_lines(status, ["a", "b"]).collect()}
+    assert got == {"a": "(empty)", "b": "d1 | STALE | 2024-01-01\nd2 | FRESH | 2024-01-02"}
+    asked = spark.createDataFrame([("x", None), ("x", "own")], "agent string, lens string")
+    assert sorted(r.lens for r in lens.lenses_for(asked, spark.createDataFrame([("x", "std")], "agent string, default_lens string")).collect()) == ["own", "std"]
+    page = spark.createDataFrame([("d", "flows", "auth", "2024", "text")], "doc string, lens string, focus string, generated string, body string")
+    assert lens.page_texts(page).select(T.front_matter(F.col("text"), "focus")).first()[0] == "auth"
