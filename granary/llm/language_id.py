@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import table
+from granary.llm.common import table, utf8_blocks
 
 #: Bytes of labelled text per language that an automaton is built from, and texts per language sampled for it.
 TRAIN_BYTES, TRAIN_TEXTS = 49_152, 400
@@ -162,8 +162,8 @@ def identify(texts: DataFrame, parser: CrossParser, keep: tuple[str, ...] = (),
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                some = batch.slice(lo, 2048)
+            for lo, hi, _, _ in utf8_blocks(batch.column(batch.num_columns - 1), 3 << 20):
+                some = batch.slice(lo, hi - lo)
                 names, scores = p.predict(some.column(some.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(some.column(k) for k in range(len(keep))), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
