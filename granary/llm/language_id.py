@@ -90,6 +90,17 @@ class CrossParser:
         #: Where a phrase that begins with a byte goes; after an unknown byte, which is a phrase by itself, nothing goes on.
         self.first = np.array([self.table[r : r + width] for r in roots], np.int32).reshape(len(roots), width)
 
+    def __getstate__(self) -> dict:
+        """Sent as its transitions, a few per state; the table is made again where it is used."""
+        at = np.flatnonzero(self.table).astype(np.int32)
+        return self.__dict__ | {"table": (len(self.table), at, self.table[at])}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        size, at, to = state["table"]
+        self.table = np.zeros(size, np.int32)
+        self.table[at] = to
+
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Phrases of each text by each language, as a matrix: bytes at which one begins."""
         sizes = np.array([len(t) for t in texts], np.int64)
