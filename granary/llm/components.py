@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import stored
+from granary.llm.common import discard, stored
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -25,6 +25,7 @@ def connected(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").selectExpr("v as u", "m as v").unionByName(least.selectExpr("u", "m as v")).distinct()
         small = stored(small, "links-small")
+        discard(now, large)
         now, before, seen = small, seen, digest(small)
         if before == seen:
             break

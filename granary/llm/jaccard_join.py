@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import SPACES, mix, shingle_hashes, stored, table, utf8_blocks, word_hashes
+from granary.llm.common import SPACES, discard, mix, shingle_hashes, stored, table, utf8_blocks, word_hashes
 from granary.llm.components import connected
 
 #: Counters of the frequency sketch. It only orders shingles: any counts give the same links.
@@ -193,6 +193,7 @@ def components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     entries = lists.join(node, "gid").select("token", "x", "weight")
     per = entries.groupBy("token", "x.component").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("component", "n").alias("main"), F.count("*").alias("parts"))
     open_lists = stored(entries.join(per.filter("parts > 1"), "token").select("token", "main", "x", "weight"), "jaccard-open")
+    discard(postings)
     minor = open_lists.filter("x.component <> main")
     pairs = (
         minor.select("token", F.col("x").alias("y"))
@@ -204,11 +205,15 @@ def components(docs: DataFrame, n: int, percent: int) -> DataFrame:
         .filter(f"common >= {shared_least('size', percent)}")
         .select("a", "b")
     )
-    links = stored(verified(pairs, texts, n, percent), "jaccard-links").unionByName(star_links)
-    final = connected(links).withColumnRenamed("node", "rep")
+    more_links = stored(verified(pairs, texts, n, percent), "jaccard-links")
+    discard(open_lists)
+    final = connected(more_links.unionByName(star_links)).withColumnRenamed("node", "rep")
     same = reps.select("s1", "s2", "n_shingles", "rep")
     out = base.select("doc_id", "n_shingles", "s1", "s2").join(same, ["s1", "s2", "n_shingles"], "left").join(final, "rep", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")
+    done = stored(out.select("doc_id", "n_shingles", component), "jaccard-components")
+    discard(base, reps, groups, star_links, more_links)
+    return done
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
