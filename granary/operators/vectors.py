@@ -16,9 +16,10 @@ QUERY_BLOCK = 1024
 
 def hash_embedding(text: Column, dimensions: int) -> Column:
     """Each value is a byte of the text's SHA-256, over and over, scaled to [-1, 1)."""
-    digest = F.sha2(text, 256)
-    byte = lambda i: F.conv(F.substring(digest, i % 32 * 2 + 1, F.lit(2)), 16, 10).cast("double")
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: (byte(i) - 128) / 128)
+    value = lambda digest, i: (F.conv(F.substring(digest, i * 2 + 1, F.lit(2)), 16, 10).cast("double") - 128) / 128
+    bytes_of = lambda digest: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: value(digest, i))
+    once = F.element_at(F.transform(F.array(F.sha2(text, 256)), bytes_of), 1)  # the digest is made once for each text
+    return F.slice(F.flatten(F.array_repeat(once, -(-dimensions // 32))), 1, dimensions)
 
 
 def checked(vector: Column, dimensions: int) -> Column:
