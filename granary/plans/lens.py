@@ -9,7 +9,7 @@ from granary.functions import text as T
 from granary.operators import lens as L
 from granary.operators import relevance as R
 from granary.operators import tasks as K
-from granary.plans.text import paths, paths_sql
+from granary.plans.text import paths, paths_sql, tokens_sql
 from granary.sources import tables as store
 from granary.sources.tables import table
 
@@ -270,7 +270,11 @@ QUERIES = {
         replace_service,
         "WITH p AS (SELECT page_id, regexp_extract(url, 'https?://([^/:]+)', 1) AS service FROM pages), n AS (SELECT -page_id AS page_id, service FROM p WHERE service LIKE '%.org' AND page_id % 2 = 0) SELECT * FROM p WHERE service NOT IN (SELECT service FROM n) UNION ALL SELECT * FROM n",
     ),
-    "chunk_manifest": (chunk_manifest, None),
+    "chunk_manifest": (
+        chunk_manifest,
+        f"""WITH b AS (SELECT lang, count(*) AS docs, sum({tokens_sql('text')}) AS tokens FROM documents GROUP BY 1)
+        SELECT CAST(sum(docs) AS BIGINT) AS docs, round(CAST(sum(tokens) AS DOUBLE) / CAST(sum(docs) AS DOUBLE), 4) AS mean_tokens, '{{' || string_agg('"' || lang || '":' || docs, ',' ORDER BY lang) || '}}' AS by_lang FROM b""",
+    ),
     "manifest_files": (manifest_files, "SELECT 'part/' || l_partkey AS path, count(*) AS n FROM lineitem WHERE l_orderkey % 9 <> 0 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 10 <> 0) GROUP BY 1"),
     "manifest_checks": (
         manifest_checks,
