@@ -231,6 +231,9 @@ def test_sentencepiece_agrees_and_is_lossless(spark, awkward_docs, awkward):
         coded = sentencepieces.encode(awkward_docs, dropout=dropout)
         out = sentencepieces.decode(coded.withColumnRenamed("text", "original"), keep=("doc_id", "original")).collect()
         assert len(out) == len(awkward) and all(r.decoded == (r.original or "") for r in out)
+        both = sentencepieces.round_trip(awkward_docs, dropout=dropout).collect()
+        assert all(r.lossless for r in both) and sorted(map(str, (list(r.pieces) for r in both))) == sorted(map(str, (list(r.pieces) for r in out)))
+        assert sorted(r.decoded_sha256 for r in both) == sorted(hashlib.sha256((r[1] or "").encode()).hexdigest() for r in awkward)
         seen.add(sum(len(r.pieces) for r in out))
     assert len(seen) == 3
     again = [sorted((str(r.doc_id), list(r.pieces)) for r in sentencepieces.encode(awkward_docs, seed=s).collect()) for s in (1, 1, 2)]
