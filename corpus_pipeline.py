@@ -17,8 +17,11 @@ PASSAGE = 240
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is recognised; those without a letter go. Labels come from the lang column."""
-    found = language_id.identify(docs, language_id.train(docs), keep=COLUMNS)
+    """Documents with a letter: a language is recognised in each, unless no row has a label. Labels come from the lang column."""
+    parser = language_id.train(docs)
+    if not parser.languages:
+        return docs.filter(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]")).select(*COLUMNS)
+    found = language_id.identify(docs, parser, keep=COLUMNS)
     return found.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
 
 

@@ -146,23 +146,25 @@ def train(labelled: DataFrame, train_bytes: int = TRAIN_BYTES, train_texts: int
     """Automata from (text, lang): per language the texts of least hash, train_texts of them at most, read in that
     order and cut at train_bytes in all. Rows with null text or lang teach nothing.
 
-    Counting covers all rows; the hash bound that gives the sample is set per language from its count.
+    The hash bound that gives the sample is set per language from its distinct texts, counted over all rows: copies
+    of a text have one hash, so they count once here as they do in the sample.
     """
+    piece = max(512, train_bytes // 16)  # of a text at most
     rows = labelled.select("text", "lang").filter("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
+    counts = {r["lang"]: r["n"] for r in rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
     if not counts:
         return CrossParser({})
     bound = F.lit(None).cast("double")
-    for lang, n in counts.items():  # a little over train_texts rows stay, whatever the size of the input
-        bound = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * train_texts / n))).otherwise(bound)
+    for lang, n in counts.items():  # a little over train_texts distinct texts stay, whatever the size of the input
+        bound = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * max(train_texts, 100) / n))).otherwise(bound)
     near = rows.filter((F.col("h").cast("double") / float(2**64) + 0.5) <= bound)
-    short = near.select("lang", "h", F.substring("text", 1, train_bytes).alias("text")).dropDuplicates(["lang", "h"])
+    short = near.select("lang", "h", F.substring("text", 1, piece).alias("text")).dropDuplicates(["lang", "h"])
     ranked = short.selectExpr("*", "row_number() over (partition by lang order by h) as k").filter(F.col("k") <= train_texts)
     samples: dict[str, list[bytes]] = {}
     for r in ranked.orderBy("lang", "k").toLocalIterator():
         texts = samples.setdefault(r["lang"], [])
         if sum(map(len, texts)) < train_bytes:
-            texts.append(normal(r["text"])[: max(512, train_bytes // 16)])
+            texts.append(normal(r["text"])[:piece])
     return CrossParser({lang: b" ".join(texts)[:train_bytes] for lang, texts in samples.items() if texts})
 
 

@@ -292,6 +292,14 @@ def test_language_accuracy_and_awkward(spark, data, awkward_docs, awkward):
     assert all(r.lang_pred == "und" and r.score == 0 for r in rows if r.doc_id in (0, 1, 2, 16))
 
 
+def test_language_of_repeated_texts(spark):
+    texts = {"aa": "lorem ipsum dolor sit amet", "bb": "colourless green ideas sleep", "cc": "quick brown foxes jump", "dd": "seventeen zebras hum"}
+    rows = spark.createDataFrame(list(texts.items()), "lang string, text string").join(spark.range(20_000))
+    parser = language_id.train(rows)
+    assert parser.languages == sorted(texts)
+    assert parser.predict(list(texts.values()))[0] == list(texts)
+
+
 def plain_alignment(a, b):
     best, row = 0, [0] * (len(b) + 1)
     for x in a:

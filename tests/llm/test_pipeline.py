@@ -63,3 +63,14 @@ def test_repeated_and_null_rows(spark, data):
     empty = docs.limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, empty, data).count() == 0
+
+
+def test_languages_without_labels(spark, data):
+    texts = ["a b", "é", "x²", "12 3", "...", "", None, "日本", "²"]
+    docs = spark.createDataFrame([(k, t, None, "s", 1) for k, t in enumerate(texts)], DOC)
+    assert sorted(r.doc_id for r in P.languages(spark, docs, data).collect()) == [0, 1, 2, 7, 8]
+
+
+def test_languages_of_one_repeated_text(spark, data):
+    rows = spark.range(20_000).selectExpr("id as doc_id", "'lorem ipsum dolor' as text", "'aa' as lang", "'s' as source", "17L as n_chars")
+    assert P.languages(spark, rows, data).count() == 20_000
