@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import SPACES, mix, table, utf8_blocks, word_hashes
 
-#: Texts that the scorer is trained on, at most: those of least hash.
+#: Distinct texts that the scorer is trained on, at most: those of least hash.
 SAMPLE = 4000
 #: Dimensions of the scorer.
 BITS = 14
@@ -147,8 +147,13 @@ class Scorer:
 
 
 def train(texts: DataFrame, sample: int = SAMPLE) -> Scorer:
-    """Counts the vote patterns of all texts with words, estimates the label model, and fits the scorer to the sample."""
+    """Counts the vote patterns of all texts with words, estimates the label model, and fits the scorer to the sample.
+
+    Copies count in the label model. In the sample a text stands once, however often it occurs: by its number, one
+    large group of copies would outweigh all other texts.
+    """
     said = texts.select("text").filter(F.col("text").rlike(r"\S"))
+    hashed_texts = said.withColumn("h", F.xxhash64("text"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(3 ** len(LABELLERS), np.int64)
@@ -162,13 +167,19 @@ def train(texts: DataFrame, sample: int = SAMPLE) -> Scorer:
     for r in said.mapInArrow(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect():  # 3**7 rows at most
         counts[r["pattern"]] = r["n"]
     posterior, accuracy = em(counts)
-    total = int(counts.sum())
+    total = hashed_texts.select("h").distinct().count()
     if not total:
         return Scorer(posterior, accuracy, np.zeros((1 << BITS) + 1))
-    keyed = said.withColumn("h", F.xxhash64("text")).filter((F.col("h").cast("double") / float(2**64) + 0.5) <= min(1.0, 1.3 * sample / total + 20 / total))
+    keyed = hashed_texts.filter((F.col("h").cast("double") / float(2**64) + 0.5) <= min(1.0, 1.3 * sample / total + 20 / total))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # little over sample
         for batch in batches:
+            own = batch.column(1).to_pylist()
+            fresh = [k for k, h in enumerate(own) if h not in seen and not seen.add(h)]
+            if not fresh:
+                continue
+            batch = batch.take(pa.array(fresh))
             for lo, hi, data, offsets in utf8_blocks(batch.column(0)):
                 row, dim, value = hashed(data, offsets)
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
@@ -177,7 +188,10 @@ def train(texts: DataFrame, sample: int = SAMPLE) -> Scorer:
                     [batch.column(1).slice(lo, hi - lo), pa.array(patterns(signals(data, offsets))), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], names=["h", "pattern", "dims", "vals"]
                 )
 
-    rows = keyed.select("text", "h").mapInArrow(features, "h long, pattern long, dims binary, vals binary").orderBy("h", "pattern", "dims").limit(sample).collect()
+    made = keyed.select("text", "h").mapInArrow(features, "h long, pattern long, dims binary, vals binary")
+    rows = made.groupBy("h").agg(F.min(F.struct("pattern", "dims", "vals")).alias("f")).select("h", "f.*").orderBy("h").limit(sample).collect()
+    if not rows:
+        return Scorer(posterior, accuracy, np.zeros((1 << BITS) + 1))
     dims = [np.frombuffer(r["dims"], np.int32) for r in rows]
     row = np.repeat(np.arange(len(rows)), [len(d) for d in dims])
     value = np.concatenate([np.frombuffer(r["vals"], np.float32) for r in rows])

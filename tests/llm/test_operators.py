@@ -397,6 +397,20 @@ def test_label_model_and_scorer(spark, data, awkward_docs, awkward):
     assert len(out) == len(awkward) and all(not r.keep and r.posterior is None for r in out if r.doc_id in (0, 1, 2))
 
 
+def test_scorer_of_repeated_texts(spark, monkeypatch):
+    for k in range(4):  # one text many times is a sample of one text, not none
+        scorer = quality.train(spark.range(20_000).select(F.lit(f"The number {k} is said here, and again.").alias("text")))
+        assert np.any(scorer.weights)
+    samples = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda row, dim, value, label: samples.append((len(label), list(row), list(dim))) or fit(row, dim, value, label))
+    varied = spark.range(500).selectExpr("concat('A sentence of the number ', id, ' stands here.') as text")
+    hot = varied.orderBy(F.xxhash64("text")).limit(1).join(spark.range(5_000)).select("text")
+    for docs in (varied, varied.union(hot)):
+        quality.train(docs, sample=100)
+    assert samples[0] == samples[1] and samples[0][0] == 100
+
+
 def test_em_recovers_accuracies():
     rng = np.random.default_rng(7)
     n, kinds = 40_000, len(quality.LABELLERS)
