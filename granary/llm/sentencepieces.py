@@ -1,13 +1,14 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 Encoding merges neighbouring symbols of a BPE model. In each step a segment takes its best candidate merge (best
-score, then leftmost) from its agenda. With dropout, a keyed hash of seed, stream, segment and the candidate's
-place decides once for each candidate whether it is skipped. A skipped candidate never returns, as other merges
-may bring about new ones. Many segments take their steps at once, as ragged numpy arrays.
+score, then leftmost) from its agenda. With dropout, the step skips it instead with that probability. A skipped
+candidate never returns, as other merges may bring about new ones. Many segments take their steps at once, as
+ragged numpy arrays.
 
 Pieces never cross from a word to a following space or line end, so a segment is a run of spaces with the word
-after it. A stream number, from a hash of the text and the segment's place in it, selects one of STREAMS
-independent draws: repeated words vary, and results of frequent ones can be kept.
+after it. The draws of each occurrence of a segment are its own: a hash of seed, the text, the segment's place in it
+and the number of skips so far gives how many steps go well before the next skip. What is remembered is what a segment
+becomes by the steps that skip, none, one or two of them; which of them hold is drawn anew for each occurrence.
 """
 
 from __future__ import annotations
@@ -23,28 +24,29 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import mix, powers, table, utf8_blocks
+from granary.llm.common import mix, table, utf8_blocks
 
 MODEL = "piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 20240501
-STREAMS = 2
-#: Segments, each with its stream, in a worker's young table; when full it becomes the old one, from which those
-#: that are used again are taken over.
-REMEMBERED = 150_000
+#: Outcomes of segments in a worker's table; when it is full it begins anew.
+REMEMBERED = 300_000
+#: Segments of up to so many characters are remembered, with up to so many skips.
+SHORT, SKIPS = 40, 2
+#: A step that is never reached.
+NEVER = 1 << 40
 SPACE = "▁"
 NONE = -1
 _SEGMENT = re.compile(r" *[^ \n]+| +|\n")
 
 
-def segment_hashes(segments: list[str]) -> np.ndarray:
-    """A hash of each segment's characters."""
-    points = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    power, inverse = powers(len(points) + 1)
-    sums = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(mix(points + np.uint64(1)) * power[:-1], out=sums[1:])
-    size = np.fromiter(map(len, segments), np.int64, len(segments))
-    end = np.cumsum(size)
-    return mix((sums[end] - sums[end - size]) * inverse[end - size] + size.astype(np.uint64))
+def gaps(keys: np.ndarray, number: np.ndarray | int, dropout: float) -> np.ndarray:
+    """Steps that go well before each key's skip of that number (geometric, from a keyed hash)."""
+    if dropout <= 0:
+        return np.full(len(keys), NEVER)
+    if dropout >= 1:
+        return np.zeros(len(keys), np.int64)
+    draw = mix(keys + (np.zeros(len(keys), np.int64) + number + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return np.minimum(np.log(((draw >> np.uint64(11)) + np.uint64(1)).astype(np.float64) * 2.0**-53) / np.log1p(-dropout), NEVER).astype(np.int64)
 
 
 class PieceModel:
@@ -77,9 +79,15 @@ class PieceModel:
             if ord(t) < 1 << 16 and t != SPACE:
                 self.of_point[ord(t)] = k
         self.of_point[32] = self.char.get(SPACE, NONE)
-        self.known: dict[tuple[str, int], bytes] = {}
-        self.old: dict[tuple[str, int], bytes] = {}
-        self.setting: tuple | None = None
+        self.forget()
+
+    def forget(self) -> None:
+        """Outcomes by segment, and by outcome and next skip; of each, its steps and where its pieces are. The first
+        one is of no segment."""
+        self.known: dict[str, int] = {}
+        self.after: dict[int, int] = {}
+        self.steps, self.first, self.size = (np.zeros(1, np.int64) for _ in range(3))
+        self.pieces = np.zeros(0, np.int32)
 
     def candidates(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Order of each pair's merge (large if there is none) and the piece it makes."""
@@ -107,21 +115,18 @@ class PieceModel:
             return np.concatenate([*parts, out[last:]]), np.bincount(row, width, minlength=len(segments)).astype(np.int64)
         return out, sizes
 
-    def merge(self, segments: list[str], streams: np.ndarray, dropout: float, seed: int) -> list[bytes]:
-        """The pieces of each segment, 32 bits each."""
+    def merge(self, segments: list[str], planned: np.ndarray | None, keys: np.ndarray | None = None, dropout: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces, how many each segment has, and how many steps it took. The steps that skip are planned (a row
+        for each segment, ascending, NEVER at the end), or drawn from the keys."""
         symbols, sizes = self.symbols(segments)
-        salt = segment_hashes(segments) ^ mix(np.array([seed], np.uint64)) ^ mix(streams.astype(np.uint64) + np.uint64(1))
-        place = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        end = place + 1
         none = 1 << 40
-        bar = np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
+        skips = np.zeros(len(segments), np.int64)
+        skip = gaps(keys, 0, dropout) if planned is None else planned[:, 0].copy()
+        steps, step = np.zeros(len(segments), np.int64), 0
 
-        def ranked(at: np.ndarray, row: np.ndarray) -> np.ndarray:
-            """Orders of the candidates that begin at symbols at, none where dropped."""
+        def ranked(at: np.ndarray) -> np.ndarray:
+            """Orders of the candidates that begin at symbols at."""
             order, made[at] = self.candidates(symbols[at], symbols[at + 1])
-            if dropout > 0:  # keyed by where the candidate begins, is joined and ends
-                who = salt[row[at]] + (place[at].astype(np.uint64) << np.uint64(42)) + (end[at].astype(np.uint64) << np.uint64(21)) + end[at + 1].astype(np.uint64)
-                order = np.where(mix(who) < bar, none, order)
             return order
 
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # segments, their sizes, and all their pieces
@@ -130,7 +135,7 @@ class PieceModel:
         made = np.zeros(len(symbols), np.int64)
         order = np.full(len(symbols), none)
         at = np.flatnonzero(row[1:] == row[:-1])
-        order[at] = ranked(at, row)
+        order[at] = ranked(at)
         while len(rows):
             first = np.cumsum(sizes) - sizes
             best = np.minimum.reduceat(order, first)
@@ -138,56 +143,108 @@ class PieceModel:
             if not live.all():
                 stay = live[row]
                 done.append((rows[~live], sizes[~live], symbols[~stay]))
+                steps[rows[~live]] = step
                 row = (np.cumsum(live) - 1)[row[stay]]
-                symbols, order, made, place, end = (x[stay] for x in (symbols, order, made, place, end))
-                rows, sizes, best, salt = rows[live], sizes[live], best[live], salt[live]
+                symbols, order, made = (x[stay] for x in (symbols, order, made))
+                rows, sizes, best = rows[live], sizes[live], best[live]
                 if not len(rows):
                     break
             hit = np.flatnonzero(order == best[row])
             hit = hit[np.append(True, row[hit][1:] != row[hit][:-1])]  # the leftmost of each segment
-            symbols[hit], end[hit] = made[hit], end[hit + 1]
+            skipped = skip[rows] == step  # each segment has one hit, in order
+            if skipped.any():
+                order[hit[skipped]] = none
+                who = rows[skipped]
+                skips[who] += 1
+                if planned is None:
+                    skip[who] = step + 1 + gaps(keys[who], skips[who], dropout)
+                else:
+                    skip[who] = np.where(skips[who] < planned.shape[1], planned[who, np.minimum(skips[who], planned.shape[1] - 1)], NEVER)
+                hit = hit[~skipped]
+            step += 1
+            if not len(hit):
+                continue
+            symbols[hit] = made[hit]
             keep = np.ones(len(symbols), bool)
             keep[hit + 1] = False
-            sizes = sizes - 1
+            sizes = sizes - ~skipped
             moved = hit - np.arange(len(hit))
-            symbols, order, made, place, end, row = (x[keep] for x in (symbols, order, made, place, end, row))
+            symbols, order, made, row = (x[keep] for x in (symbols, order, made, row))
             order[moved] = none
             order[moved[moved > 0] - 1] = none  # a row's last symbol begins no candidate
             near = np.zeros(len(row), bool)
             near[moved] = near[moved[moved > 0] - 1] = True
             fresh = np.flatnonzero(near[:-1] & (row[:-1] == row[1:]))
-            order[fresh] = ranked(fresh, row)
+            order[fresh] = ranked(fresh)
         which, size, flat = (np.concatenate(x) for x in zip(*done))
-        raw = flat.astype(np.int32).tobytes()
-        end = np.cumsum(size) * 4
-        out = [b""] * len(segments)
-        for k, a, b in zip(which.tolist(), (end - size * 4).tolist(), end.tolist()):
-            out[k] = raw[a:b]
-        return out
+        start = np.zeros(len(segments), np.int64)
+        count = np.zeros(len(segments), np.int64)
+        start[which], count[which] = np.cumsum(size) - size, size
+        return spans(flat.astype(np.int32), start, count), count, steps
+
+    def remember(self, segments: list[str], planned: np.ndarray) -> np.ndarray:
+        """Numbers of the new outcomes of segments with those skips."""
+        began = len(self.steps)
+        for lo in range(0, len(segments), 8_000):
+            flat, size, steps = self.merge(segments[lo : lo + 8_000], planned[lo : lo + 8_000])
+            self.first = np.append(self.first, len(self.pieces) + np.cumsum(size) - size)
+            self.size, self.steps, self.pieces = np.append(self.size, size), np.append(self.steps, steps), np.append(self.pieces, flat)
+        return np.arange(began, len(self.steps))
 
     def encode(self, texts: list[str], dropout: float, seed: int) -> list[np.ndarray]:
         """Pieces of each text, 32 bits a piece."""
-        if self.setting != (dropout, seed):
-            self.setting, self.known, self.old = (dropout, seed), {}, {}
-        if len(self.known) > REMEMBERED:
-            self.known, self.old = {}, self.known
-        keys: list[list[tuple[str, int]]] = []
-        for text in texts:
-            segments = _SEGMENT.findall(" " + text) if text else []
-            if dropout > 0:
-                key = np.uint64(xxhash.xxh3_64_intdigest(text.encode(), seed))
-                draw = (mix(key + np.arange(len(segments), dtype=np.uint64)) & np.uint64(STREAMS - 1)).tolist()
-            else:
-                draw = [0] * len(segments)
-            keys.append(list(zip(segments, draw)))
-        wanted = set().union(*keys) - self.known.keys()
-        again = wanted & self.old.keys()
-        self.known.update((k, self.old[k]) for k in again)
-        new = list(wanted - again)
-        for lo in range(0, len(new), 8_000):
-            some = new[lo : lo + 8_000]
-            self.known.update(zip(some, self.merge([s for s, _ in some], np.array([k for _, k in some]), dropout, seed)))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, own)), np.int32) for own in keys]
+        if len(self.steps) > REMEMBERED:
+            self.forget()
+        own = [_SEGMENT.findall(" " + text) if text else [] for text in texts]
+        count = np.fromiter(map(len, own), np.int64, len(own))
+        segments = [s for found in own for s in found]
+        if not segments:
+            return [np.zeros(0, np.int32) for _ in texts]
+        place = np.arange(len(segments)) - np.repeat(np.cumsum(count) - count, count)
+        text_keys = np.array([xxhash.xxh3_64_intdigest(t.encode(), seed) for t in texts], np.uint64)
+        keys = mix(np.repeat(text_keys, count) + place.astype(np.uint64))
+
+        new = [s for s in dict.fromkeys(segments) if s not in self.known and len(s) <= SHORT]
+        if new:
+            self.known.update(zip(new, self.remember(new, np.full((len(new), 1), NEVER)).tolist()))
+        at = np.fromiter((self.known.get(s, NONE) for s in segments), np.int64, len(segments))
+        drawn = at == NONE  # those that are too long or skip too often to be remembered
+        open_ = np.flatnonzero(~drawn)
+        skips = np.full((len(segments), SKIPS), NEVER)
+        last = np.full(len(segments), -1)
+        for number in range(SKIPS + 1):
+            last[open_] += 1 + gaps(keys[open_], number, dropout)
+            open_ = open_[last[open_] < self.steps[at[open_]]]
+            if number == SKIPS or not len(open_):
+                break
+            skips[open_, number] = last[open_]
+            wanted, one, which = np.unique(at[open_] << 20 | last[open_], return_index=True, return_inverse=True)
+            found = np.fromiter((self.after.get(k, NONE) for k in wanted.tolist()), np.int64, len(wanted))
+            fresh = np.flatnonzero(found == NONE)
+            if len(fresh):
+                who = open_[one[fresh]]
+                found[fresh] = self.remember([segments[k] for k in who.tolist()], skips[who])
+                self.after.update(zip(wanted[fresh].tolist(), found[fresh].tolist()))
+            at[open_] = found[which]
+        drawn[open_] = True
+
+        start, size, pool = self.first[at], self.size[at], [self.pieces]
+        who = np.flatnonzero(drawn)
+        base = len(self.pieces)
+        for lo in range(0, len(who), 8_000):
+            some = who[lo : lo + 8_000]
+            flat, size[some], _ = self.merge([segments[k] for k in some.tolist()], None, keys[some], dropout)
+            start[some] = base + np.cumsum(size[some]) - size[some]
+            pool.append(flat)
+            base += len(flat)
+        flat = spans(np.concatenate(pool), start, size)
+        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(count)])].tolist()
+        return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def spans(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The spans data[start : start + size], one after the other."""
+    return data[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
 
 class PieceBytes:
@@ -279,7 +336,7 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str | None, dropout: float,
                 said = [t or "" for t in some.column(1).to_pylist()]
                 yield some, model.encode(said, dropout, seed), said
     finally:
-        model.known, model.old = {}, {}
+        model.forget()
 
 
 def piece_lists(found: list[np.ndarray]) -> pa.ListArray:

@@ -249,6 +249,24 @@ def test_sentencepiece_streams_vary_repeated_words():
     assert len(forms) > 2
 
 
+def test_sentencepiece_draws_anew_at_each_place():
+    import public_tokenizers
+
+    model = sentencepieces.PieceModel(public_tokenizers.path(sentencepieces.MODEL))
+
+    size = 40_000
+    starts = [r.startswith(b" ") for r in sentencepieces.PieceBytes(public_tokenizers.path(sentencepieces.MODEL)).raw]
+    flat = model.encode([" ".join(["international"] * size)], 0.3, 9)[0]
+    at = np.flatnonzero(np.array(starts)[flat])
+    found = Counter(tuple(p.tolist()) for p in np.split(flat, at[1:]))
+    assert len(at) == size and len(found) > 20
+    pieces, sizes, _ = model.merge([" international"] * size, None, np.arange(size, dtype=np.uint64), 0.3)  # nothing remembered
+    plain = Counter(tuple(p.tolist()) for p in np.split(pieces, np.cumsum(sizes)[:-1]))
+    assert all(abs(n - found[form]) < 0.02 * size for form, n in plain.most_common(10))
+    model.forget()
+    assert len(model.encode(["x" * 50], 0.3, 9)[0]) and not model.known  # too long to be remembered
+
+
 def test_token_counts_as_the_library(awkward_docs, awkward):
     import public_tokenizers
     from tokenizers import Tokenizer
