@@ -62,9 +62,9 @@ def dependents(edges: DataFrame, starts: DataFrame, most: int = 10) -> DataFrame
 
 
 def called_by(calls: DataFrame) -> DataFrame:
-    """(target, callers): who calls each target of calls (source, targets array)."""
-    pairs = calls.select("source", F.explode("targets").alias("target"))
-    return pairs.groupBy("target").agg(F.sort_array(F.collect_set("source")).alias("callers"))
+    """(target, n, first, last): how many sources call each target of calls (source, target), the least and the greatest."""
+    pairs = calls.select("source", "target").distinct()
+    return pairs.groupBy("target").agg(F.count("source").alias("n"), F.min("source").alias("first"), F.max("source").alias("last"))
 
 
 def service_graph(evidence: DataFrame) -> DataFrame:

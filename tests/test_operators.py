@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.operators import chunking, extract, graph, lens, linking, relevance, scrub, search, tasks, vectors
+from granary.plans import registry
 from granary.sources import crawl, tables
 from granary.streaming import jobs
 
@@ -280,3 +281,11 @@ def test_models_and_pages(spark):
     assert sorted(r.lens for r in lens.lenses_for(asked, spark.createDataFrame([("x", "std")], "agent string, default_lens string")).collect()) == ["own", "std"]
     page = spark.createDataFrame([("d", "flows", "auth", "2024", "text")], "doc string, lens string, focus string, generated string, body string")
     assert lens.page_texts(page).select(T.front_matter(F.col("text"), "focus")).first()[0] == "auth"
+
+
+def test_called_by_gathers_no_lists(spark, tmp_path):
+    rows = [(k, 7) for k in range(1000)] + [(k, 7) for k in range(500)] + [(3, 8), (5, None), (None, 8)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = registry.queries()["called_by"](spark, str(tmp_path))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(7, 1000, 0, 999), (8, 1, 3, 3), (None, 1, 5, 5)], key=str)
+    assert "collect_" not in out._jdf.queryExecution().toString()
