@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,42 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+Batches = Iterator[pa.RecordBatch]
+#: Of what Spark sends to a Python worker at once; a longer row comes alone.
+BATCH_SIZE, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def release() -> None:
+    """Gives back to the system what this Python worker has freed, and the table of powers."""
+    _powers[:] = [_powers[0][:1], _powers[1][:1]]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps it
+        pass
+
+
+def mapped(df: DataFrame, run: Callable[[Batches], Batches], schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) by batches of BATCH_BYTES, unless the session has another size. Workers outlive
+    tasks, so what a task needed goes when it ends."""
+
+    def tidy(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    if BATCH_SIZE not in df.sparkSession.conf.getAll:
+        df.sparkSession.conf.set(BATCH_SIZE, BATCH_BYTES)
+    return df.mapInArrow(tidy, schema)
+
+
+def slices(batch: pa.RecordBatch, column: int, block_bytes: int = 1 << 20) -> Batches:
+    """The batch in parts of about block_bytes of text in that column; a longer row comes alone."""
+    for lo, hi, _, _ in utf8_blocks(batch.column(column), block_bytes):
+        yield batch.slice(lo, hi - lo)
+
+
 def utf8_blocks(column: pa.Array, block_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows [lo, hi) of a string or binary column as one byte array with offsets, about block_bytes at a time.
 
@@ -99,19 +136,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Powers that are kept: those of a usual block.
+POWERS = 1 << 20 | 1 << 12
 _BASE = 0x9E3779B97F4A7C15
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, kept for the worker's life."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(max(n, 1 << 20), base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+    """base**i and base**-i modulo 2**64 for i < n. A table of 16 MB is kept while a task runs; a longer one is not kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(max(n, POWERS), base, np.uint64)
+        steps[0] = 1
+        made.append(np.cumprod(steps, dtype=np.uint64))
+    if n <= POWERS:
+        _powers[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:

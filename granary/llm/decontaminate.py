@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import NOT_WORD, shingle_hashes, table, utf8_blocks, word_hashes
+from granary.llm.common import NOT_WORD, mapped, shingle_hashes, table, utf8_blocks, word_hashes
 
 GRAM = 3
 #: An n-gram is rare if it occurs at most so often, or if at most this share of the corpus's n-grams are it; of the
@@ -104,7 +104,7 @@ def gram_counts(texts: DataFrame, items: Items) -> tuple[np.ndarray, int]:
 
     counts = np.zeros(len(items.keys), np.int64)
     total = 0
-    for row in texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toLocalIterator():
+    for row in texts.select("text").transform(mapped, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toLocalIterator():
         if row["key"] < 0:
             total = row["n"]
         else:
@@ -199,7 +199,7 @@ def _block(texts: DataFrame, items: Items, threshold: float, kinds: str) -> Data
                 names=["doc_id", "item_id", "score", "seeds"],
             )
 
-    return texts.select("doc_id", "text").mapInArrow(run, kinds)
+    return texts.select("doc_id", "text").transform(mapped, run, kinds)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

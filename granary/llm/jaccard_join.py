@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import SPACES, discard, mix, shingle_hashes, stored, table, utf8_blocks, word_hashes
+from granary.llm.common import SPACES, discard, mapped, mix, shingle_hashes, stored, table, utf8_blocks, word_hashes
 from granary.llm.components import connected
 
 #: Counters of the frequency sketch. It only orders shingles: any counts give the same links.
@@ -59,7 +59,7 @@ def frequency_classes(texts: DataFrame, n: int) -> np.ndarray:
 
     Classes step by an eighth of a doubling of the count. The result has a fixed size of 1 MB.
     """
-    parts = texts.select("text").mapInArrow(_sketch(n), "chunk int, counts binary")
+    parts = texts.select("text").transform(mapped, _sketch(n), "chunk int, counts binary")
 
     def total(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _sum_counts(frames)
@@ -117,7 +117,7 @@ def set_features(texts: DataFrame, n: int, percent: int) -> DataFrame:
                     names=["doc_id", "n_shingles", "s1", "s2", "p1", "p2", "prefix", "parity"],
                 )
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, p1 long, p2 long, prefix array<long>, parity array<long>")
+    return texts.select("doc_id", "text").transform(mapped, run, "doc_id long, n_shingles long, s1 long, s2 long, p1 long, p2 long, prefix array<long>, parity array<long>")
 
 
 def similar_texts(a: bytes, b: bytes, n: int, percent: int) -> bool:
@@ -142,7 +142,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     first = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     second = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     met = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
-    return met.mapInArrow(run, "a long, b long").distinct()
+    return met.transform(mapped, run, "a long, b long").distinct()
 
 
 def _may_be_similar(percent: int, x: str, y: str) -> str:

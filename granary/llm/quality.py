@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import SPACES, mix, table, utf8_blocks, word_hashes
+from granary.llm.common import SPACES, mapped, mix, table, utf8_blocks, word_hashes
 
 #: Distinct texts that the scorer is trained on, at most: those of least hash.
 SAMPLE = 4000
@@ -164,7 +164,7 @@ def train(texts: DataFrame, sample: int = SAMPLE) -> Scorer:
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(own[seen])], names=["pattern", "n"])
 
     counts = np.zeros(3 ** len(LABELLERS))
-    for r in said.mapInArrow(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect():  # 3**7 rows at most
+    for r in said.transform(mapped, vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect():  # 3**7 rows at most
         counts[r["pattern"]] = r["n"]
     posterior, accuracy = em(counts)
     total = hashed_texts.select("h").distinct().count()
@@ -188,7 +188,7 @@ def train(texts: DataFrame, sample: int = SAMPLE) -> Scorer:
                     [batch.column(1).slice(lo, hi - lo), pa.array(patterns(signals(data, offsets))), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], names=["h", "pattern", "dims", "vals"]
                 )
 
-    made = keyed.select("text", "h").mapInArrow(features, "h long, pattern long, dims binary, vals binary")
+    made = keyed.select("text", "h").transform(mapped, features, "h long, pattern long, dims binary, vals binary")
     rows = made.groupBy("h").agg(F.min(F.struct("pattern", "dims", "vals")).alias("f")).select("h", "f.*").orderBy("h").limit(sample).collect()
     if not rows:
         return Scorer(posterior, accuracy, np.zeros((1 << BITS) + 1))
@@ -214,7 +214,7 @@ def classify(texts: DataFrame, scorer: Scorer, id_column: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(posterior, mask=bare), pa.array(score), pa.array(~bare & (posterior + score >= 1.0))], names=[id_column, "posterior", "score", "keep"])
 
     kind = texts.schema[id_column].dataType.simpleString()
-    return texts.select(id_column, text_column).mapInArrow(run, f"{id_column} {kind}, posterior double, score double, keep boolean")
+    return texts.select(id_column, text_column).transform(mapped, run, f"{id_column} {kind}, posterior double, score double, keep boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

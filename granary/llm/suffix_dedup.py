@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import discard, mix, partitions, powers, prefix_sums, stored, table, utf8_blocks
+from granary.llm.common import discard, mapped, mix, partitions, powers, prefix_sums, stored, table, utf8_blocks
 
 LENGTH = 400
 GRAM = 32
@@ -96,7 +96,7 @@ def all_blocks(texts: DataFrame, length: int) -> DataFrame:
                 f = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b], seed) for a, b, seed in spans), np.uint64, len(row))
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(f.view(np.int64)), pa.array(keys[lo:hi][row]), pa.array(pack(core, part, low, high))], names=["h", "f", "rk", "place"])
 
-    return texts.select("rk", "text").mapInArrow(run, "h long, f long, rk long, place long")
+    return texts.select("rk", "text").transform(mapped, run, "h long, f long, rk long, place long")
 
 
 CONTEXT = "h long, k long, f long, n long, low int, high int, left binary, right binary"
@@ -122,7 +122,7 @@ def contexts(classes: DataFrame, texts: DataFrame, length: int) -> DataFrame:
             yield context_batch(rows)
 
     per_row = classes.groupBy("rk").agg(F.collect_list(F.struct("h", "f", "n", "place")).alias("found"))  # at most a text's own blocks
-    return texts.select("rk", "text").join(per_row, "rk").select("text", "found").mapInArrow(run, CONTEXT)
+    return texts.select("rk", "text").join(per_row, "rk").select("text", "found").transform(mapped, run, CONTEXT)
 
 
 def context_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -226,7 +226,7 @@ def grouped_ranges(sorted_rows: DataFrame, block: int) -> DataFrame:
                 rows.append(row)
         yield result(rows)
 
-    return sorted_rows.mapInArrow(run, RANGES)
+    return sorted_rows.transform(mapped, run, RANGES)
 
 
 CHILD = "h0 long, k0 long, f0 long, base int, " + CONTEXT
@@ -253,7 +253,7 @@ def children(rows: DataFrame, block: int, small: int) -> DataFrame:
             rest = context_batch(made)
             yield pa.RecordBatch.from_arrays([*first, *rest.columns], names=["h0", "k0", "f0", "base", *rest.schema.names])
 
-    return rows.select("h", "k", "f", "n", "low", "high", "left", "right").mapInArrow(run, CHILD)
+    return rows.select("h", "k", "f", "n", "low", "high", "left", "right").transform(mapped, run, CHILD)
 
 
 def resolve(rows: DataFrame, block: int) -> DataFrame:
@@ -331,7 +331,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = ("doc_i
 
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     joined = texts.join(per_row, "rk", "left").select("text", "runs", *keep)
-    return joined.mapInArrow(run, fields + "n_bytes long, n_removed long, n_spans long, spans array<struct<first: long, end: long>>, kept " + ("string" if as_text else "binary"))
+    return joined.transform(mapped, run, fields + "n_bytes long, n_removed long, n_spans long, spans array<struct<first: long, end: long>>, kept " + ("string" if as_text else "binary"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
