@@ -1,9 +1,10 @@
 """Language identification by cross-parsing entropy.
 
 A suffix automaton of labelled text per language recognises every substring of that text. A new text is parsed
-from left to right into longest matches: each phrase runs on while the automaton has a transition. The language
-whose automaton needs the fewest phrases per byte wins. Parsing runs in lock step over many texts and all
-languages at once, as numpy gathers in one transition table.
+from left to right into longest matches: each phrase runs on while the automaton has a transition. Phrases are
+normalised by the size of the language's text: each costs the bits that name a place in it. The language that needs
+the fewest bits wins. Parsing runs in lock step over many texts and all languages at once, as numpy gathers in one
+packed table of transitions.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import table, utf8_blocks
+from granary.llm.common import mapped, slices, table
 
 #: Bytes of labelled text per language that an automaton is built from, and texts per language sampled for it.
 TRAIN_BYTES, TRAIN_TEXTS = 49_152, 400
-#: A phrase ends at each multiple of this many bytes of a text, so that long texts are parsed in parallel lanes.
+#: Bytes of a text that are parsed beside others at once; phrases run on over the border.
 LANE = 1024
+#: Bytes of text by languages that are held parsed at once.
+BLOCK = 8 << 20
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACED = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -63,11 +66,44 @@ def suffix_automaton(data: bytes) -> list[dict[int, int]]:
     return moves
 
 
+def packed(state: np.ndarray, column: np.ndarray, target: np.ndarray, states: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slot, owner, target) of transitions, at most one for each state and column.
+
+    States of most transitions come first; their places are drawn until they are free. Most states have one
+    transition, and take what slots are left.
+    """
+    degree = np.bincount(state, minlength=states)
+    room = width + max(len(state), int(2.2 * degree[degree > 1].sum())) + width
+    slot, owner, to = np.zeros(states, np.int32), np.zeros(room + width, np.int32), np.zeros(room + width, np.int32)
+    by_state = np.argsort(state, kind="stable")
+    begin = np.cumsum(degree) - degree
+    rng = np.random.default_rng(1)
+    for d in np.unique(degree[degree > 1])[::-1]:
+        waiting = np.flatnonzero(degree == d)
+        while len(waiting):
+            some = waiting[:4096]
+            own = by_state[begin[some][:, None] + np.arange(d)]
+            place = rng.integers(width, room, len(some)).astype(np.int32)
+            at = place[:, None] + column[own]
+            good = np.zeros(at.size, bool)
+            good[np.unique(at, return_index=True)[1]] = True  # of those that ask for one slot, the first gets it
+            placed = (good.reshape(at.shape) & (owner[at] == 0)).all(axis=1)
+            slot[some[placed]] = place[placed]
+            owner[at[placed]], to[at[placed]] = some[placed][:, None], target[own[placed]]
+            waiting = np.concatenate([some[~placed], waiting[4096:]])
+    single = np.flatnonzero(degree == 1)
+    own = by_state[begin[single]]
+    at = width + np.flatnonzero(owner[width:] == 0)[: len(single)]
+    slot[single], owner[at], to[at] = at - column[own], single, target[own]
+    return slot, owner, to
+
+
 class CrossParser:
-    """One flat transition table for all languages; an entry is the next state's row's place, 0 ends the phrase.
+    """The automata of all languages as one packed table of transitions.
 
-    Each state's row has a column per byte that occurs in any training text. Bytes that occur in none share
-    column 0, which leads nowhere. Languages' states follow each other, after a row that is no state.
+    State s has its transition on a byte of column c, if any, at slot[s] + c: there owner is s, and target is the
+    next state. Rows of slots overlap where their transitions do not meet. State 0 has none: a phrase that is in it
+    has ended. Bytes that occur in no training text share column 0, which leads nowhere.
     """
 
     def __init__(self, samples: dict[str, bytes]):
@@ -75,66 +111,103 @@ class CrossParser:
         used = sorted(set(b"".join(samples.values())))
         self.column = np.zeros(256, np.int32)
         self.column[used] = np.arange(1, len(used) + 1)
-        width = len(used) + 1
-        parts, roots, base = [np.zeros((1, width), np.int32)], [], 1
+        states, columns, targets, roots, base = [], [], [], [], 1
         for lang in self.languages:
             moves = suffix_automaton(samples[lang])
-            grid = np.zeros((len(moves), width), np.int32)
-            rows = np.repeat(np.arange(len(moves)), [len(m) for m in moves])
-            columns = self.column[np.fromiter((c for m in moves for c in m), np.int64)]
-            grid[rows, columns] = (np.fromiter((t for m in moves for t in m.values()), np.int64) + base) * width
-            parts.append(grid)
-            roots.append(base * width)
-            base += len(grid)
-        self.table = np.concatenate(parts).ravel()
+            states.append(np.repeat(np.arange(len(moves)), [len(m) for m in moves]) + base)
+            columns.append(self.column[np.fromiter((c for m in moves for c in m), np.int64)])
+            targets.append(np.fromiter((t for m in moves for t in m.values()), np.int64) + base)
+            roots.append(base)
+            base += len(moves)
+        none = [np.zeros(0, np.int64)]
+        self.slot, self.owner, self.target = packed(*(np.concatenate(x or none) for x in (states, columns, targets)), base, len(used) + 1)
         #: Where a phrase that begins with a byte goes; after an unknown byte, which is a phrase by itself, nothing goes on.
-        self.first = np.array([self.table[r : r + width] for r in roots], np.int32).reshape(len(roots), width)
+        every = np.arange(len(used) + 1)
+        self.first = self.step(np.repeat(np.array(roots, np.int32)[:, None], len(every), axis=1), every)
+        #: Bits that a phrase costs: a place in the language's text, and no less than the byte by which it ends.
+        self.bits = np.array([max(8.0, np.log2(len(samples[lang]) + 1)) for lang in self.languages])
 
-    def __getstate__(self) -> dict:
-        """Sent as its transitions, a few per state; the table is made again where it is used."""
-        at = np.flatnonzero(self.table).astype(np.int32)
-        return self.__dict__ | {"table": (len(self.table), at, self.table[at])}
+    def step(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """The next states, 0 where there is none."""
+        at = self.slot.take(state) + column
+        return np.where(self.owner.take(at) == state, self.target.take(at), 0)
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        size, at, to = state["table"]
-        self.table = np.zeros(size, np.int32)
-        self.table[at] = to
+    def advance(self, state: np.ndarray, column: np.ndarray, lang: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """States after a byte, and whether it began a phrase. lang: of each state, if they are not a row for each."""
+        after = self.step(state, column)
+        began = after == 0
+        start = self.first.take(column, axis=1) if lang is None else self.first[lang, column]
+        np.copyto(after, start, where=began)
+        return after, began
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
-        """Phrases of each text by each language, as a matrix: bytes at which one begins."""
+        """Phrases of each text by each language, as a matrix.
+
+        Texts are parsed in lanes of LANE bytes at once, each from its own beginning. Then the last phrase of each
+        lane is carried on into the next one, until it ends where a phrase of that lane begins: from there on that
+        lane's parse is the text's. The phrases before that place are replaced by those carried on. A text with a lane
+        whose parse never falls in is parsed again in longer lanes, at last in one.
+        """
         sizes = np.array([len(t) for t in texts], np.int64)
         data = self.column[np.frombuffer(b"".join(texts), np.uint8)]
         starts = np.cumsum(sizes) - sizes
-        lanes = (sizes + LANE - 1) // LANE
-        owner = np.repeat(np.arange(len(texts)), lanes)
+        total = np.zeros((len(texts), len(self.first)), np.int64)
+        rows, lane = np.arange(len(texts)), LANE
+        while len(rows):
+            total[rows], odd = self._in_lanes(data, starts[rows], sizes[rows], lane)
+            rows, lane = rows[odd], lane * 8
+        return total
+
+    def _in_lanes(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lane: int) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases of each text by each language, and the texts that cannot be parsed in lanes."""
+        n_lang = len(self.first)
+        lanes = (sizes + lane - 1) // lane
+        owner = np.repeat(np.arange(len(sizes)), lanes)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        at = starts[owner] + within * LANE
-        size = np.minimum(LANE, sizes[owner] - within * LANE)
+        at = starts[owner] + within * lane
+        size = np.minimum(lane, sizes[owner] - within * lane)
+        follows = np.flatnonzero(within[1:] > 0)  # lanes that have a next one in their text, whole ones all
         order = np.argsort(-size, kind="stable")
-        owner, at, size = owner[order], at[order], size[order]
-        state = np.zeros((len(self.first), len(at)), np.int32)
+        alive = np.searchsorted(-size[order], -np.arange(1, lane + 1), "right") if len(size) else np.zeros(0, np.int64)  # lanes of at least so many bytes
+        state = np.zeros((n_lang, len(at)), np.int32)
         count = np.zeros(state.shape, np.int32)
-        alive = np.searchsorted(-size, -np.arange(1, LANE + 1), "right")  # lanes of at least so many bytes
-        for k in range(int(size[0]) if len(size) else 0):
+        begins = np.zeros((lane if len(follows) else 0, n_lang, len(at)), bool)
+        for k in range(int(size.max()) if len(size) else 0):
             n = alive[k]
-            column = data[at[:n] + k]
-            step = self.table.take(state[:, :n] + column)
-            ended = step == 0
-            np.add(count[:, :n], ended, out=count[:, :n])
-            np.copyto(step, self.first.take(column, axis=1), where=ended)  # the byte that does not fit begins a phrase
-            state = step
-        total = np.zeros((len(texts), len(self.first)), np.int64)
-        for j in range(len(self.first)):
-            total[:, j] = np.bincount(owner, count[j], minlength=len(texts))
-        return total
+            state[:, :n], began = self.advance(state[:, :n], data[at[order[:n]] + k])
+            count[:, :n] += began
+            if len(follows):
+                begins[k, :, :n] = began
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        count = count[:, place].astype(np.int64)
+        odd = np.zeros(len(sizes), bool)
+        if len(follows):
+            lang = np.repeat(np.arange(n_lang), len(follows))
+            into = np.tile(follows + 1, n_lang)
+            now = state[lang, place[into - 1]]
+            for k in range(lane):
+                ends = size[into] == k  # the text ends while the phrase is carried on: its last lane is replaced as a whole
+                now, began = self.advance(now[~ends], data[at[into[~ends]] + k], lang[~ends])
+                lang, into = lang[~ends], into[~ends]
+                own = begins[k, lang, place[into]]
+                np.add.at(count, (lang, into), began.astype(np.int64) - own)
+                met = began & own
+                now, lang, into = now[~met], lang[~met], into[~met]
+                if not len(now):
+                    break
+            odd[owner[into[size[into] == lane]]] = True  # the next lane's parse was never the text's
+        total = np.zeros((len(sizes), n_lang), np.int64)
+        for j in range(n_lang):
+            total[:, j] = np.bincount(owner, count[j], minlength=len(sizes))
+        return total, np.flatnonzero(odd)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The language that needs fewest phrases, ties by name, and its share of the inverse phrase counts."""
+        """The language that needs fewest bits for its phrases, ties by name, and its share of the inverse costs."""
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         has = [k for k, t in enumerate(texts) if t and _LETTER.search(t)]
         if has and self.languages:
-            found = self.phrases([normal(texts[k]) for k in has])
+            found = self.phrases([normal(texts[k]) for k in has]) * self.bits
             best = found.argmin(axis=1)
             share = (1 / found.min(axis=1)) / (1 / found).sum(axis=1)
             for k, b, s in zip(has, best, share):
@@ -175,13 +248,12 @@ def identify(texts: DataFrame, parser: CrossParser, keep: tuple[str, ...] = (),
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for batch in batches:
-            for lo, hi, _, _ in utf8_blocks(batch.column(batch.num_columns - 1), 3 << 20):
-                some = batch.slice(lo, hi - lo)
+            for some in slices(batch, batch.num_columns - 1, BLOCK // max(4, len(p.languages))):
                 names, scores = p.predict(some.column(some.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(some.column(k) for k in range(len(keep))), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     fields = "".join(f"`{c}` {texts.schema[c].dataType.simpleString()}, " for c in keep)
-    return texts.select(*keep, F.col(text_column).alias("__text")).mapInArrow(run, fields + "lang_pred string, score double")
+    return texts.select(*keep, F.col(text_column).alias("__text")).transform(mapped, run, fields + "lang_pred string, score double")
 
 
 def held_out() -> F.Column:
