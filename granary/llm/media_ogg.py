@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm.common import table
+from granary.llm.common import mapped, slices, table
 
 RATE = 8000  # samples a second
 PACKET = 4000  # samples in a packet
@@ -140,14 +140,13 @@ def add_media(texts: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
+            for some in slices(batch, 1, 4 << 20):
                 raw = [t or b"" for t in some.column(1).cast(pa.binary()).to_pylist()]
                 media = [encode_ogg(payload_of(t), str(len(t)).encode()) for t in raw]
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(t) for t in raw], pa.int64()), pa.array(media, pa.binary())], names=[id_column, "n_bytes", "media"])
 
     kind = texts.schema[id_column].dataType.simpleString()
-    return texts.select(id_column, text_column).mapInArrow(write, f"{id_column} {kind}, n_bytes long, media binary")
+    return texts.select(id_column, text_column).transform(mapped, write, f"{id_column} {kind}, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -171,7 +170,7 @@ def media_features(media: DataFrame, id_column: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pc.cast(batch.column(1), pa.int64()), *made], names=names)
 
     kind = media.schema[id_column].dataType.simpleString()
-    return media.select(id_column, "n_bytes", "media").mapInArrow(
+    return media.select(id_column, "n_bytes", "media").transform(mapped, 
         read, f"{id_column} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
     )
 

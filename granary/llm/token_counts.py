@@ -2,11 +2,15 @@
 
 A batch's distinct pre-tokens lie as one flat array of symbols with row borders. In each round every row merges
 all occurrences of its lowest-rank pair at once (from the left where they overlap), rows without a pair leave,
-and the symbols that survive are counted. Counts of frequent pre-tokens are kept in a bounded table per worker.
+and the symbols that survive are counted. Counts of frequent pre-tokens are kept in a bounded table per task.
+
+A pre-token of over LONG bytes is a round's only row: its places are kept by rank, so that a round touches only the
+places of its pair and their neighbours, and the time grows in proportion to the length.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -15,12 +19,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm.common import table
+from granary.llm.common import mapped, slices, table
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
-#: Pre-tokens remembered by a worker; the table is emptied when full.
+#: Pre-tokens remembered in a task; the table is emptied when full.
 REMEMBERED = 400_000
+#: Pre-tokens of more bytes are merged one by one.
+LONG = 1024
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -55,8 +61,59 @@ class RankMerger:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NO_RANK)
 
+    def long_size(self, word: bytes) -> int:
+        """Symbols left of a long word, by the same rounds."""
+        n = len(word)
+        symbols = self.of_byte[np.frombuffer(word, np.uint8)]
+        after, before = np.arange(1, n + 1), np.arange(-1, n)  # neighbours; n is the end
+        rank = np.append(self.pair_ranks(symbols[:-1], symbols[1:]), NO_RANK)
+        places: dict[int, list[np.ndarray]] = {}
+        agenda: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            """Files places by the rank of the pair that begins there."""
+            at = at[rank[at] != NO_RANK]
+            at = at[np.argsort(rank[at], kind="stable")]
+            cut = np.flatnonzero(np.diff(rank[at])) + 1
+            for part, r in zip(np.split(at, cut), rank[at[np.append(0, cut)]].tolist() if len(at) else []):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(agenda, r)
+                places[r].append(part)
+
+        note(np.arange(n))
+        while agenda:
+            r = heapq.heappop(agenda)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            fresh = np.append(True, after[at[:-1]] != at[1:])  # in a run of overlapping pairs, every second one merges
+            run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]
+            gone = after[at]
+            symbols[at] = self.made[r]
+            rank[gone] = NO_RANK
+            after[at] = after[gone]
+            before[after[at]] = at
+            n -= len(at)
+            near = np.unique(np.concatenate([at, before[at][before[at] >= 0]]))
+            rank[near] = NO_RANK
+            near = near[after[near] < len(symbols)]
+            rank[near] = self.pair_ranks(symbols[near], symbols[after[near]])
+            note(near)
+        return n
+
     def merged_sizes(self, words: list[bytes]) -> np.ndarray:
         """Symbols left of each non-empty word."""
+        long = [k for k, w in enumerate(words) if len(w) > LONG]
+        if long:
+            out = np.zeros(len(words), np.int64)
+            out[long] = [self.long_size(words[k]) for k in long]
+            short = np.flatnonzero(out == 0)
+            if len(short):
+                out[short] = self.merged_sizes([words[k] for k in short.tolist()])
+            return out
         sizes = np.array([len(w) for w in words], np.int64)
         symbols = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         out, rows = sizes.copy(), np.arange(len(words))
@@ -129,18 +186,20 @@ def count_tokens(texts: DataFrame, path: str | None = None, limit: int = LIMIT,
         import public_tokenizers
 
         m = merger(path or public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                some = batch.slice(lo, 512)
-                found = [t or "" for t in some.column(1).to_pylist()]
-                tokens = m.counts(found)
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array([len(t.encode()) for t in found], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
-                    names=[id_column, "n_bytes", "n_tokens", "over_limit"],
-                )
+        try:
+            for batch in batches:
+                for some in slices(batch, 1, 2 << 20):
+                    found = [t or "" for t in some.column(1).to_pylist()]
+                    tokens = m.counts(found)
+                    yield pa.RecordBatch.from_arrays(
+                        [some.column(0), pa.array([len(t.encode()) for t in found], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())],
+                        names=[id_column, "n_bytes", "n_tokens", "over_limit"],
+                    )
+        finally:
+            m.known.clear()
 
     kind = texts.schema[id_column].dataType.simpleString()
-    return texts.select(id_column, text_column).mapInArrow(count, f"{id_column} {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return texts.select(id_column, text_column).transform(mapped, count, f"{id_column} {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
