@@ -5,6 +5,8 @@ score, then leftmost) from its agenda. With dropout, the step skips it instead w
 candidate never returns, as other merges may bring about new ones. Many segments take their steps at once, as
 ragged numpy arrays.
 
+A long segment takes its steps by itself, with its agenda as a heap, in time in proportion to its length.
+
 Pieces never cross from a word to a following space or line end, so a segment is a run of spaces with the word
 after it. The draws of each occurrence of a segment are its own: a hash of seed, the text, the segment's place in it
 and the number of skips so far gives how many steps go well before the next skip. What is remembered is what a segment
@@ -14,6 +16,7 @@ becomes by the steps that skip, none, one or two of them; which of them hold is
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import mix, table, utf8_blocks
+from granary.llm.common import mapped, mix, table, utf8_blocks
 
 MODEL = "piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 20240501
@@ -32,6 +35,8 @@ DROPOUT, SEED = 0.1, 20240501
 REMEMBERED = 300_000
 #: Segments of up to so many characters are remembered, with up to so many skips.
 SHORT, SKIPS = 40, 2
+#: Segments of more symbols take their steps by themselves.
+LONG = 512
 #: A step that is never reached.
 NEVER = 1 << 40
 SPACE = "▁"
@@ -182,6 +187,51 @@ class PieceModel:
         start[which], count[which] = np.cumsum(size) - size, size
         return spans(flat.astype(np.int32), start, count), count, steps
 
+    def merge_long(self, segment: str, key: np.uint64, dropout: float) -> np.ndarray:
+        """The pieces of one segment, by the same steps: a heap holds the candidates by order and place."""
+        symbols = self.symbols([segment])[0].tolist()
+        n, none = len(symbols), 1 << 40
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        keys = np.array([key], np.uint64)
+        seen: dict[int, tuple[int, int]] = {}
+
+        def candidate(at: int) -> tuple[int, int]:
+            """Order and piece of the pair that begins there."""
+            pair = symbols[at] << 32 | symbols[after[at]]
+            if pair not in seen:
+                order, made = self.candidates(*(np.array([x]) for x in (symbols[at], symbols[after[at]])))
+                seen[pair] = int(order[0]), int(made[0])
+            return seen[pair]
+
+        order, made = self.candidates(np.array(symbols[:-1], np.int64), np.array(symbols[1:], np.int64))
+        seen.update(zip((np.array(symbols[:-1], np.int64) << 32 | np.array(symbols[1:], np.int64)).tolist(), zip(order.tolist(), made.tolist())))
+        agenda = [(o, at, 0) for at, o in enumerate(order.tolist()) if o < none]
+        heapq.heapify(agenda)
+        turn = [0] * n  # of a place's candidate; earlier ones no longer hold
+        skips = step = 0
+        skip = int(gaps(keys, 0, dropout)[0])
+        while agenda:
+            _, at, its = heapq.heappop(agenda)
+            if its != turn[at]:
+                continue
+            step += 1
+            if step - 1 == skip:
+                turn[at] += 1
+                skips += 1
+                skip = step + int(gaps(keys, skips, dropout)[0])
+                continue
+            gone = after[at]
+            symbols[at] = candidate(at)[1]
+            turn[gone] = -1
+            after[at] = after[gone]
+            before[after[at]] = at
+            for k in (before[at], at):
+                if k >= 0:
+                    turn[k] += 1
+                    if after[k] < n and (o := candidate(k)[0]) < none:
+                        heapq.heappush(agenda, (o, k, turn[k]))
+        return np.array([s for s, t in zip(symbols, turn) if t >= 0], np.int32)
+
     def remember(self, segments: list[str], planned: np.ndarray) -> np.ndarray:
         """Numbers of the new outcomes of segments with those skips."""
         began = len(self.steps)
@@ -231,6 +281,12 @@ class PieceModel:
         start, size, pool = self.first[at], self.size[at], [self.pieces]
         who = np.flatnonzero(drawn)
         base = len(self.pieces)
+        long = np.fromiter((len(segments[k]) > LONG for k in who.tolist()), bool, len(who))
+        for k in who[long].tolist():
+            pool.append(self.merge_long(segments[k], keys[k], dropout))
+            start[k], size[k] = base, len(pool[-1])
+            base += len(pool[-1])
+        who = who[~long]
         for lo in range(0, len(who), 8_000):
             some = who[lo : lo + 8_000]
             flat, size[some], _ = self.merge([segments[k] for k in some.tolist()], None, keys[some], dropout)
@@ -302,7 +358,7 @@ def encode(texts: DataFrame, dropout: float = DROPOUT, seed: int = SEED, path: s
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), piece_lists(found)], names=[id_column, text_column, "pieces"])
 
     kind = texts.schema[id_column].dataType.simpleString()
-    return texts.select(id_column, text_column).mapInArrow(run, f"{id_column} {kind}, {text_column} string, pieces array<int>")
+    return texts.select(id_column, text_column).transform(mapped, run, f"{id_column} {kind}, {text_column} string, pieces array<int>")
 
 
 def round_trip(texts: DataFrame, dropout: float = DROPOUT, seed: int = SEED, path: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -322,7 +378,7 @@ def round_trip(texts: DataFrame, dropout: float = DROPOUT, seed: int = SEED, pat
             yield pa.RecordBatch.from_arrays([some.column(0), piece_lists(found), *made], names=[id_column, "pieces", "n_bytes", "decoded_sha256", "lossless"])
 
     kind = texts.schema[id_column].dataType.simpleString()
-    return texts.select(id_column, text_column).mapInArrow(run, f"{id_column} {kind}, pieces array<int>, n_bytes long, decoded_sha256 string, lossless boolean")
+    return texts.select(id_column, text_column).transform(mapped, run, f"{id_column} {kind}, pieces array<int>, n_bytes long, decoded_sha256 string, lossless boolean")
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str | None, dropout: float, seed: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[str]]]:
@@ -349,15 +405,17 @@ def decode(pieces: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path, PieceBytes)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
-                found = pc.fill_null(some.column(some.num_columns - 1), pa.scalar([], pa.list_(pa.int32())))
-                ends = found.offsets.to_numpy()
+            column = pc.fill_null(batch.column(batch.num_columns - 1), pa.scalar([], pa.list_(pa.int32())))
+            bounds, lo = column.offsets.to_numpy(), 0
+            while lo < batch.num_rows:  # about a million pieces at a time
+                hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + (1 << 20), "right")) - 1)
+                some, found = batch.slice(lo, hi - lo), column.slice(lo, hi - lo)
+                ends, lo = bounds[lo : hi + 1], hi
                 texts = pa.array(model.decode_all(found.values.to_numpy()[ends[0] : ends[-1]], ends - ends[0]), pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*some.columns, texts], names=[*keep, "pieces", "decoded"])
 
     fields = "".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}, " for c in keep)
-    return pieces.select(*keep, "pieces").mapInArrow(run, fields + "pieces array<int>, decoded string")
+    return pieces.select(*keep, "pieces").transform(mapped, run, fields + "pieces array<int>, decoded string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

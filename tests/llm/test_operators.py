@@ -267,6 +267,71 @@ def test_sentencepiece_draws_anew_at_each_place():
     assert len(model.encode(["x" * 50], 0.3, 9)[0]) and not model.known  # too long to be remembered
 
 
+def plain_merges(model, segment, key, dropout):
+    """The steps of one segment on a list: best candidate first, then leftmost, or skipped when its number comes up."""
+    row = model.symbols([segment])[0].tolist()
+    dead, skips, step = set(), 0, 0  # candidates are known by their symbols' marks
+    marks = list(range(len(row)))
+    fresh = len(row)
+    gap = lambda n: int(sentencepieces.gaps(np.array([key], np.uint64), n, dropout)[0])
+    skip = gap(0)
+    while True:
+        options = []
+        for at in range(len(row) - 1):
+            order, made = model.candidates(np.array([row[at]]), np.array([row[at + 1]]))
+            if order[0] < 1 << 40 and (marks[at], marks[at + 1]) not in dead:
+                options.append((int(order[0]), at, int(made[0])))
+        if not options:
+            return row
+        _, at, made = min(options)
+        if step == skip:
+            dead.add((marks[at], marks[at + 1]))
+            skips += 1
+            skip = step + 1 + gap(skips)
+        else:
+            row[at : at + 2], marks[at : at + 2] = [made], [fresh]
+            fresh += 1
+        step += 1
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5, 1.0])
+def test_merge_dropout_against_a_plain_version(dropout):
+    import public_tokenizers
+
+    model = sentencepieces.PieceModel(public_tokenizers.path(sentencepieces.MODEL))
+    rng = random.Random(8)
+    said = [" internationalisation", "aaaaaaaaaaaaa", " the", "x", "été日本", " " + "".join(rng.choice("thenatior") for _ in range(60))]
+    keys = np.array([rng.randrange(1 << 63) for _ in said], np.uint64)
+    flat, sizes, _ = model.merge(said, None, keys, dropout)
+    for segment, key, got in zip(said, keys, np.split(flat, np.cumsum(sizes)[:-1])):
+        expected = plain_merges(model, segment, key, dropout)
+        assert got.tolist() == expected and model.merge_long(segment, key, dropout).tolist() == expected
+
+
+def test_long_segments_and_words(monkeypatch):
+    """A megabyte without a space takes seconds, and rounds on long words give the library's counts."""
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(300_000))
+    model = sentencepieces.PieceModel(public_tokenizers.path(sentencepieces.MODEL))
+    merger = token_counts.merger(public_tokenizers.path(token_counts.VOCABULARY), public_tokenizers.PATTERN)
+    library = Tokenizer.from_file(public_tokenizers.path(token_counts.VOCABULARY))
+    began = time.time()
+    pieces = model.encode([word], 0.1, 1)[0]
+    assert sentencepieces.PieceBytes(public_tokenizers.path(sentencepieces.MODEL)).decode(pieces.tolist()).decode() == word
+    assert merger.counts([word]) == [len(library.encode(word, add_special_tokens=False).ids)]
+    assert time.time() - began < 30
+    monkeypatch.setattr(token_counts, "LONG", 3)
+    said = ["aaaaaaaaaa", "abababab", "internationalisation", "thethethethe" * 9, "a" * 999, word[:2000]]
+    merger.known.clear()
+    assert merger.counts(said) == [len(library.encode(t, add_special_tokens=False).ids) for t in said]
+    merger.known.clear()
+
+
 def test_token_counts_as_the_library(awkward_docs, awkward):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -284,20 +349,39 @@ def test_cross_parser_counts_greedy_phrases():
     parser = language_id.CrossParser(train)
 
     def plain(text, sample):
-        n = 0
-        for lo in range(0, len(text), language_id.LANE):
-            part, at = text[lo : lo + language_id.LANE], 0
-            while at < len(part):
-                size = 1
-                while at + size < len(part) and part[at : at + size + 1] in sample:
-                    size += 1
-                at, n = at + size, n + 1
+        at = n = 0
+        while at < len(text):
+            size = 1
+            while at + size < len(text) and text[at : at + size + 1] in sample:
+                size += 1
+            at, n = at + size, n + 1
         return n
 
-    texts = [bytes(rng.choice(b"abcdefg ") for _ in range(k)) for k in (1, 5, 100, 1023, 1024, 1025, 5000)]
+    train["c"] = bytes(rng.choice(b"ab") for _ in range(3000))  # with phrases longer than a lane, in copies of it
+    parser = language_id.CrossParser(train)
+    texts = [bytes(rng.choice(b"abcdefg ") for _ in range(k)) for k in (1, 5, 100, 1023, 1024, 1025, 2048, 5000)]
+    texts += [train["c"], b"a" + train["c"][5:] + b"x" + train["c"][100:], b"a" * 5000, train["a"] * 20]
     got = parser.phrases(texts)
     for text, row in zip(texts, got.tolist()):
-        assert row == [plain(text, train["a"]), plain(text, train["b"])]
+        assert row == [plain(text, train[lang]) for lang in "abc"]
+
+
+def test_packed_transitions():
+    train = {"a": b"abracadabra alakazam", "b": bytes(range(256)) * 2}
+    parser = language_id.CrossParser(train)
+    moves = [m for lang in "ab" for m in language_id.suffix_automaton(train[lang])]
+    bases = [1, 1 + len(language_id.suffix_automaton(train["a"]))]
+    for s, own in enumerate(moves, 1):
+        base = bases[s >= bases[1]]
+        got = parser.step(np.full(256, s, np.int32), parser.column)
+        assert {c: t - base for c, t in enumerate(got.tolist()) if t} == own
+
+
+def test_language_with_little_text_can_win():
+    rng = random.Random(3)
+    text = lambda letters, n: bytes(rng.choice(letters) for _ in range(n))
+    parser = language_id.CrossParser({"much": text(b"abcdefgh", 40_000), "little": text(b"efghijkl", 1500), "none": b""})
+    assert parser.predict([text(b"efghijkl", 300).decode(), text(b"abcdefgh", 300).decode()])[0] == ["little", "much"]
 
 
 def test_language_accuracy_and_awkward(spark, data, awkward_docs, awkward):
