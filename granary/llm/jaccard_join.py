@@ -8,12 +8,14 @@ their texts.
 
 Pairs inside a family of copies would grow with its square, so pairing runs in two rounds. The first compares
 each member of a shingle's list with the list's first group only. The second pairs members across different
-components of the links found so far: no link between components is lost, and members already connected need
-no further comparison.
+components of the links found so far, and of sizes that can be similar: no link between components is lost, and
+members already connected need no further comparison. A list's entries are ids and size classes only; bitmaps are
+fetched for the pairs that are left.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,11 +147,23 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return met.transform(mapped, run, "a long, b long").distinct()
 
 
-def _may_be_similar(percent: int, x: str, y: str) -> str:
-    """SQL: sizes allow it, and so do the parities, whose difference bounds the sets' difference from below."""
+def _sizes_allow(percent: int, x: str, y: str) -> str:
+    """SQL: sets of these sizes can be similar."""
+    return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
+
+
+def _parities_allow(percent: int, x: str, y: str) -> str:
+    """SQL: the parities' difference, which bounds the sets' difference from below, allows it."""
     differ = " + ".join(f"bit_count({x}.parity[{k}] ^ {y}.parity[{k}])" for k in range(PARITY_BITS // 64))
-    total = f"({x}.n_shingles + {y}.n_shingles)"
-    return f"100 * least({x}.n_shingles, {y}.n_shingles) >= {percent} * greatest({x}.n_shingles, {y}.n_shingles) AND {100 + percent} * ({differ}) <= {100 - percent} * {total}"
+    return f"{100 + percent} * ({differ}) <= {100 - percent} * ({x}.n_shingles + {y}.n_shingles)"
+
+
+def _candidates(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of reps that sizes, shared prefix elements (common) and parities allow."""
+    side = lambda id_, name: sets.selectExpr(f"rep as {id_}", f"struct(n_shingles, parity) as {name}")
+    met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    least = "least(x.n_shingles, y.n_shingles)"
+    return met.filter(f"common >= {shared_least(least, percent)}").filter(_sizes_allow(percent, "x.n_shingles", "y.n_shingles")).filter(_parities_allow(percent, "x", "y")).select("a", "b")
 
 
 def components(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -160,56 +174,49 @@ def components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     row without doc_id takes no part and has no component.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = stored(set_features(texts, n, percent), "jaccard-sets")
-    linked = base.filter("n_shingles > 0 and doc_id is not null")
+    full = stored(set_features(texts, n, percent), "jaccard-features")
+    linked = full.filter("n_shingles > 0 and doc_id is not null")
     reps = linked.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("p1", "p2", "parity")))
     reps = stored(reps, "jaccard-reps")
     groups = stored(reps.groupBy("p1", "p2", "n_shingles").agg(F.min("rep").alias("gid"), F.count("*").alias("members")), "jaccard-groups")
-    member = reps.join(groups, ["p1", "p2", "n_shingles"]).select("gid", "rep", "n_shingles", "parity", "members")
-    first = linked.select(F.col("doc_id").alias("gid"), "prefix").join(groups.select("gid").distinct(), "gid", "left_semi")
-    posted = first.select("gid", F.explode("prefix").alias("token")).repartition("token")  # one shuffle, read twice
+    member = reps.join(groups, ["p1", "p2", "n_shingles"]).select("gid", "rep", "n_shingles", "members")
+    sets = reps.select("rep", "n_shingles", "parity")
+    prefixes = stored(linked.select(F.col("doc_id").alias("gid"), "prefix").join(groups.select("gid").distinct(), "gid", "left_semi"), "jaccard-prefixes")
+    base = stored(full.select("doc_id", "n_shingles", "s1", "s2"), "jaccard-sets")
+    discard(full)
+    posted = prefixes.select("gid", F.explode("prefix").alias("token"))
     shared = posted.groupBy("token").agg(F.min("gid").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("token", "hub")
+    # stored, so that the join has a shuffle on both sides, which Spark can split where a shingle is very frequent
+    shared = stored(shared, "jaccard-shared")
     postings = stored(posted.join(shared, "token"), "jaccard-postings")  # only shingles that two groups share
+    discard(prefixes, shared)
 
-    heads = member.filter("gid = rep").select("gid", "rep", "n_shingles", "parity")
-    stars = postings.filter("gid <> hub").groupBy("hub", "gid").agg(F.count("*").alias("common"))
-    across = (
-        stars.join(heads.selectExpr("gid as hub", "struct(rep, n_shingles, parity) as x"), "hub")
-        .join(heads.selectExpr("gid", "struct(rep, n_shingles, parity) as y"), "gid")
-        .filter(_may_be_similar(percent, "x", "y"))
-        .filter(f"common >= {shared_least('least(x.n_shingles, y.n_shingles)', percent)}")
-        .selectExpr("x.rep as a", "y.rep as b")
-    )
+    stars = postings.filter("gid <> hub").groupBy(F.col("hub").alias("a"), F.col("gid").alias("b")).agg(F.count("*").alias("common"))
     inside = member.filter("members > 1 and gid <> rep").selectExpr("gid as a", "rep as b")
-    star_links = stored(verified(across.unionByName(inside).distinct(), texts, n, percent), "jaccard-stars")
+    star_links = stored(verified(_candidates(stars, sets, percent).unionByName(inside).distinct(), texts, n, percent), "jaccard-stars")
 
     labels = connected(star_links)  # (node, component) of linked nodes
-    node = (
-        member.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("gid", F.struct("rep", "n_shingles", "parity", F.coalesce("component", "rep").alias("component")).alias("x"))
-    )
+    size_class = F.floor(F.log("n_shingles") / math.log(max(100 / percent, 1.02) * 1.0001)).cast("int")  # similar sets are one class apart at most
+    node = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("gid", "rep", size_class.alias("class"), F.coalesce("component", "rep").alias("component"))
     alike = member.filter("members > 1").select(F.xxhash64(F.lit("group"), "gid").alias("token"), "gid").distinct()
     lists = postings.select("token", "gid", F.lit(1).alias("weight")).unionByName(alike.withColumn("weight", F.lit(1 << 20)))  # a group shares its prefix
-    entries = lists.join(node, "gid").select("token", "x", "weight")
-    per = entries.groupBy("token", "x.component").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("component", "n").alias("main"), F.count("*").alias("parts"))
-    open_lists = stored(entries.join(per.filter("parts > 1"), "token").select("token", "main", "x", "weight"), "jaccard-open")
+    entries = lists.join(node, "gid").select("token", "rep", "class", "component", "weight")
+    per = entries.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("component", "n").alias("main"), F.count("*").alias("parts"))
+    open_lists = stored(entries.join(per.filter("parts > 1").select("token", "main"), "token"), "jaccard-open")
     discard(postings)
-    minor = open_lists.filter("x.component <> main")
+    near = F.explode(F.array(*(F.col("class") + d for d in (-1, 0, 1)))).alias("class")
+    minor = open_lists.filter("component <> main").select("token", near, F.col("rep").alias("rep_y"), F.col("component").alias("component_y"))
     pairs = (
-        minor.select("token", F.col("x").alias("y"))
-        .join(open_lists, "token")
-        .filter("x.component <> y.component AND (x.component = main OR x.rep < y.rep)")
-        .filter(_may_be_similar(percent, "x", "y"))
-        .groupBy(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-        .agg(F.sum("weight").alias("common"), F.min(F.least("x.n_shingles", "y.n_shingles")).alias("size"))
-        .filter(f"common >= {shared_least('size', percent)}")
-        .select("a", "b")
+        minor.join(open_lists, ["token", "class"])
+        .filter("component <> component_y AND (component = main OR rep < rep_y)")
+        .groupBy(F.least("rep", "rep_y").alias("a"), F.greatest("rep", "rep_y").alias("b"))
+        .agg(F.sum("weight").alias("common"))
     )
-    more_links = stored(verified(pairs, texts, n, percent), "jaccard-links")
+    more_links = stored(verified(_candidates(pairs, sets, percent), texts, n, percent), "jaccard-links")
     discard(open_lists)
     final = connected(more_links.unionByName(star_links)).withColumnRenamed("node", "rep")
     same = reps.select("s1", "s2", "n_shingles", "rep")
-    out = base.select("doc_id", "n_shingles", "s1", "s2").join(same, ["s1", "s2", "n_shingles"], "left").join(final, "rep", "left")
+    out = base.join(same, ["s1", "s2", "n_shingles"], "left").join(final, "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")
     done = stored(out.select("doc_id", "n_shingles", component), "jaccard-components")
     discard(base, reps, groups, star_links, more_links)
