@@ -177,8 +177,16 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end byte of each word, A-Z lower-cased, and each row's first word (one more at the end)."""
+#: First bytes of the characters U+3000 to U+9FFF, of scripts that put no spaces between words.
+NO_SPACES = np.zeros(256, bool)
+NO_SPACES[0xE3:0xEA] = True
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, alone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end byte of each word, A-Z lower-cased, and each row's first word (one more at the end).
+
+    alone: first bytes of characters of three bytes that are words by themselves.
+    """
     if not len(data):
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
@@ -187,6 +195,10 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) ->
     first[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < len(data)]
     first[heads] = inside[heads]
+    if alone is not None:
+        lead = alone[data]
+        first |= lead
+        first[3:] |= lead[:-3] & inside[3:]
     last = inside.copy()
     last[:-1] &= ~inside[1:] | first[1:]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1

@@ -15,6 +15,9 @@ else. The suffix array is dealt out by content, so that no task holds more than
    with all others of the interval, not just with its neighbours.
 4. A core with more classes than GROUP is split into smaller blocks with longer cores, and at last into single
    starts, which only need counting.
+
+Strings of so many words, in place of bytes, are found in the same way in texts that have CODE bytes of its hash for
+each word: there, starts between two words do not count.
 """
 
 from __future__ import annotations
@@ -27,9 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import discard, mapped, mix, partitions, powers, prefix_sums, stored, table, utf8_blocks
+from granary.llm.common import NO_SPACES, SPACES, discard, mapped, mix, partitions, powers, prefix_sums, slices, stored, table, utf8_blocks, word_hashes
 
 LENGTH = 400
+#: Words of a passage that counts as repeated, and bytes that stand for a word.
+WORDS, CODE = 51, 4
 GRAM = 32
 BLOCK = 128
 #: Blocks of the second level; the third has single starts.
@@ -83,27 +88,27 @@ def pack(core: np.ndarray, part: np.ndarray, low: np.ndarray, high: np.ndarray)
 
 
 def all_blocks(texts: DataFrame, length: int) -> DataFrame:
-    """(h, f, rk, place) of each block: h for its core, f for all bytes that its windows cover."""
+    """(h, f, rk, rk2, place) of each block: h for its core, f for all bytes that its windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for lo, hi, data, offsets in utf8_blocks(batch.column(1)):
+            keys, more = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo, hi, data, offsets in utf8_blocks(batch.column(2)):
                 row, h, core, part, low, high = block_rows(data, offsets, length, GRAM, BLOCK)
                 raw, at = memoryview(np.ascontiguousarray(data)), core + offsets[row]
                 seeds = part << 16 | low << 8 | high
                 spans = zip((at - high).tolist(), (at - low + length).tolist(), seeds.tolist())
                 f = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b], seed) for a, b, seed in spans), np.uint64, len(row))
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(f.view(np.int64)), pa.array(keys[lo:hi][row]), pa.array(pack(core, part, low, high))], names=["h", "f", "rk", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(f.view(np.int64)), pa.array(keys[lo:hi][row]), pa.array(more[lo:hi][row]), pa.array(pack(core, part, low, high))], names=["h", "f", "rk", "rk2", "place"])
 
-    return texts.select("rk", "text").transform(mapped, run, "h long, f long, rk long, place long")
+    return texts.select("rk", "rk2", "text").transform(mapped, run, "h long, f long, rk long, rk2 int, place long")
 
 
 CONTEXT = "h long, k long, f long, n long, low int, high int, left binary, right binary"
 
 
 def contexts(classes: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """CONTEXT rows for classes (h, f, n, rk, place): k is a second hash of the core; left and right are the
+    """CONTEXT rows for classes (h, f, n, rk, rk2, place): k is a second hash of the core; left and right are the
     bytes beside the core that the block's windows use."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +126,8 @@ def contexts(classes: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                     rows = []
             yield context_batch(rows)
 
-    per_row = classes.groupBy("rk").agg(F.collect_list(F.struct("h", "f", "n", "place")).alias("found"))  # at most a text's own blocks
-    return texts.select("rk", "text").join(per_row, "rk").select("text", "found").transform(mapped, run, CONTEXT)
+    per_row = classes.groupBy("rk", "rk2").agg(F.collect_list(F.struct("h", "f", "n", "place")).alias("found"))  # at most a text's own blocks
+    return texts.select("rk", "rk2", "text").join(per_row, ["rk", "rk2"]).select("text", "found").transform(mapped, run, CONTEXT)
 
 
 def context_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -256,84 +261,131 @@ def children(rows: DataFrame, block: int, small: int) -> DataFrame:
     return rows.select("h", "k", "f", "n", "low", "high", "left", "right").transform(mapped, run, CHILD)
 
 
-def resolve(rows: DataFrame, block: int) -> DataFrame:
-    """RANGES of the classes in CONTEXT rows that occur once. Groups of over GROUP classes are cut into children first."""
+def resolve(rows: DataFrame, block: int, scratch: list[DataFrame]) -> DataFrame:
+    """RANGES of the classes in CONTEXT rows that occur once. Groups of over GROUP classes are cut into children first.
+    Tables that the result reads are added to scratch."""
     sizes = rows.groupBy("h", "k").agg(F.count("*").alias("size"))
     sized = rows.join(sizes, ["h", "k"])
     order = [c.split()[0] for c in CONTEXT.split(", ")]
     usual = sized.filter(F.col("size") <= GROUP).select(order).repartition(partitions(rows), "h", "k").sortWithinPartitions("h", "k", "right", "f")
     out = stored(grouped_ranges(usual, block), "suffix-ranges")
     hot = stored(sized.filter(F.col("size") > GROUP).select(order), "suffix-hot")
+    scratch += [out, hot]
     if hot.isEmpty() or block == 1:
         return out
     small = SMALL if block > SMALL else 1
     cut = stored(children(hot, block, small), "suffix-children")
     joined = cut.groupBy("h", "k", "f").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("low", "high", "left", "right"))).select(order)
-    joined = stored(joined, "suffix-classes")
+    joined = stored(joined, "suffix-joined")
+    scratch += [cut, joined]
     whole = joined.filter("n > 1").select("h", "k", "f", "low", "high")
-    found = whole.unionByName(resolve(joined, small))
+    found = whole.unionByName(resolve(joined, small, scratch))
     back = cut.filter("n = 1").select("h0", "k0", "f0", "base", "h", "k", "f").join(found, ["h", "k", "f"])
     return out.unionByName(back.selectExpr("h0 as h", "k0 as k", "f0 as f", "low + base as low", "high + base as high"))
 
 
 def repeated_starts(texts: DataFrame, length: int) -> DataFrame:
-    """(rk, first, last): runs of starts that repeat, for texts (rk, text)."""
+    """(rk, rk2, first, last): runs of starts that repeat, for texts (rk, rk2, text). Written in the shared folder."""
     blocks = stored(all_blocks(texts, length), "suffix-blocks")
     # stored, so that the join has a shuffle on both sides, which Spark can split where a core is very frequent
     twice = stored(blocks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "suffix-twice")
     kept = stored(blocks.join(twice, "h", "left_semi"), "suffix-kept")
     discard(blocks, twice)
-    first = F.min(F.struct("rk", "place")).alias("first")
+    first = F.min(F.struct("rk", "rk2", "place")).alias("first")
     classes = stored(kept.groupBy("h", "f").agg(F.count("*").alias("n"), first).select("h", "f", "n", "first.*"), "suffix-classes")
     several = classes.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
     unclear = classes.join(several, "h", "left_semi")
     rows = stored(contexts(unclear, texts, length), "suffix-contexts")
-    ranges = resolve(rows, BLOCK).select("h", "f", "low", "high")
+    scratch: list[DataFrame] = []
+    ranges = resolve(rows, BLOCK, scratch).select("h", "f", "low", "high")
     low, high = F.shiftright("place", 8).bitwiseAND(255).cast("int"), F.col("place").bitwiseAND(255).cast("int")
-    parts = ranges.unionByName(classes.filter("n > 1").select("h", "f", low.alias("low"), high.alias("high")))
+    parts = stored(ranges.unionByName(classes.filter("n > 1").select("h", "f", low.alias("low"), high.alias("high"))), "suffix-parts")
+    discard(classes, rows, *scratch)
     core = F.shiftright("place", 24)
-    return kept.join(parts, ["h", "f"]).select("rk", (core - F.col("high")).alias("first"), (core - F.col("low")).alias("last"))
+    runs = kept.join(parts, ["h", "f"]).select("rk", "rk2", (core - F.col("high")).alias("first"), (core - F.col("low")).alias("last"))
+    done = stored(runs, "suffix-runs")
+    discard(kept, parts)
+    return done
+
+
+def word_codes(texts: DataFrame) -> DataFrame:
+    """(rk, rk2, text): CODE bytes of its hash in place of each word. A-Z count as lower case; a character of a script
+    without spaces is a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in utf8_blocks(batch.column(2)):
+                hashes, _, _, first = word_hashes(data, offsets, SPACES, NO_SPACES)
+                raw = pa.py_buffer((hashes >> np.uint64(32)).astype("<u4").tobytes())
+                coded = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((first * CODE).astype(np.int32).tobytes()), raw])
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:2], coded], names=["rk", "rk2", "text"])
+
+    return texts.select("rk", "rk2", "text").transform(mapped, run, "rk long, rk2 int, text binary")
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = ("doc_id",), as_text: bool = False) -> DataFrame:
-    """The columns of keep, and (n_bytes, n_removed, n_spans, spans, kept) of each row of docs (doc_id, text).
+def repeated_words(texts: DataFrame, words: int) -> DataFrame:
+    """As repeated_starts, with strings of so many words, and words counted in place of bytes."""
+    runs = repeated_starts(word_codes(texts), words * CODE)
+    return runs.selectExpr("rk", "rk2", f"(first + {CODE - 1}) div {CODE} as first", f"last div {CODE} as last").filter("first <= last")
+
+
+def merged(runs: list[dict] | None, length: int) -> list[list[int]]:
+    """Disjoint spans of what the runs of starts cover."""
+    out: list[list[int]] = []
+    for first, end in sorted((r["first"], r["last"] + length) for r in runs or []):
+        if out and first <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([first, end])
+    return out
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = ("doc_id",), as_text: bool = False, words: int = 0, by_words: bool = False) -> DataFrame:
+    """The columns of keep, and (n_bytes, n_removed, n_spans, spans, kept, n_passages) of each row of docs (doc_id, text).
 
     kept is binary; with as_text a string, without the characters that lost a byte.
 
     A byte goes if a string of length bytes that covers it also starts anywhere else, in the same text too;
     every occurrence goes. Texts are UTF-8 bytes; a null text counts as empty; one shorter than length stays.
     Equal rows count as different texts.
+
+    n_passages: maximal runs of words that strings of so many words cover that also start elsewhere (words; 0 leaves
+    them out). With by_words, these passages go, from first to last word, in place of the strings of length bytes.
     """
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), *keep).withColumn("rk", F.xxhash64(docs["doc_id"], "text"))
-    runs = repeated_starts(texts, length)
-    per_row = runs.groupBy("rk").agg(F.collect_set(F.struct("first", "last")).alias("runs"))  # at most a text's own blocks
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), *keep).withColumn("rk", F.xxhash64(docs["doc_id"], "text")).withColumn("rk2", F.hash(docs["doc_id"], "text"))
+    joined = texts
+    for name, found in (("runs", None if by_words else repeated_starts(texts, length)), ("passages", repeated_words(texts, words) if words else None)):
+        if found is None:
+            joined = joined.withColumn(name, F.lit(None).cast("array<struct<first: long, last: long>>"))
+        else:
+            per_row = found.groupBy("rk", "rk2").agg(F.collect_set(F.struct("first", "last")).alias(name))  # at most a text's own blocks
+            joined = joined.join(per_row, ["rk", "rk2"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
-                sizes, removed, spans, kept = [], [], [], []
-                for text, found in zip(some.column(0).cast(pa.binary()), some.column(1)):
-                    raw, cut = text.as_py(), []
-                    for r in sorted(((r["first"], r["last"] + length) for r in found.as_py() or [])):
-                        if cut and r[0] <= cut[-1][1]:
-                            cut[-1][1] = max(cut[-1][1], r[1])
-                        else:
-                            cut.append([*r])
+            for some in slices(batch, 0, 4 << 20):
+                sizes, removed, spans, kept, passages = [], [], [], [], []
+                for text, found, said in zip(some.column(0).cast(pa.binary()), some.column(1), some.column(2)):
+                    raw, cut, own = text.as_py(), merged(found.as_py(), length), merged(said.as_py(), words)
+                    if by_words and own:
+                        _, starts, ends, _ = word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), SPACES, NO_SPACES)
+                        cut = [[int(starts[a]), int(ends[b - 1])] for a, b in own]
                     edges = [0, *(x for pair in cut for x in pair), len(raw)]
                     sizes.append(len(raw))
                     removed.append(sum(b - a for a, b in cut))
                     spans.append([{"first": a, "end": b} for a, b in cut])
                     kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
+                    passages.append(len(own))
                 span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-                made = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(map(len, spans), pa.int64()), pa.array(spans, span), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*some.columns[2:], *made], names=[*keep, "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+                text_or_bytes = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+                made = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(map(len, spans), pa.int64()), pa.array(spans, span), text_or_bytes, pa.array(passages, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*some.columns[3:], *made], names=[*keep, "n_bytes", "n_removed", "n_spans", "spans", "kept", "n_passages"])
 
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    joined = texts.join(per_row, "rk", "left").select("text", "runs", *keep)
-    return joined.transform(mapped, run, fields + "n_bytes long, n_removed long, n_spans long, spans array<struct<first: long, end: long>>, kept " + ("string" if as_text else "binary"))
+    kind = "string" if as_text else "binary"
+    return joined.select("text", "runs", "passages", *keep).transform(mapped, run, fields + f"n_bytes long, n_removed long, n_spans long, spans array<struct<first: long, end: long>>, kept {kind}, n_passages long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    out = dedup(table(spark, sf_dir, "documents"), words=WORDS)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", (F.col("n_passages") > 0).alias("has_passage"))

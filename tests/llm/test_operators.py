@@ -153,6 +153,42 @@ def test_suffix_dedup_is_exact(spark, group, monkeypatch):
     assert [got[k] for k, _ in rows] == plain_dedup(texts, 400)
 
 
+def plain_passages(texts, n):
+    """(passages, what is left) of each text: runs of words that n words cover which also start elsewhere."""
+    found = [list(re.finditer("[\u3000-\u9fff]|[^ \t\n\x0b\x0c\r\u3000-\u9fff]+", t or "")) for t in texts]
+    said = [[m.group().encode().lower() for m in own] for own in found]
+    count = Counter(tuple(w[p : p + n]) for w in said for p in range(len(w) - n + 1))
+    out = []
+    for t, own, w in zip(texts, found, said):
+        cover = bytearray(len(w))
+        for p in range(len(w) - n + 1):
+            if count[tuple(w[p : p + n])] > 1:
+                cover[p : p + n] = b"\1" * n
+        cuts = [(own[m.start()].start(), own[m.end() - 1].end()) for m in re.finditer(b"\1+", bytes(cover))]
+        edges = [0, *(x for c in cuts for x in c), len(t or "")]
+        out.append((len(cuts), "".join((t or "")[a:b] for a, b in zip(edges[::2], edges[1::2]))))
+    return out
+
+
+def test_repeated_passages_of_words(spark):
+    rng = random.Random(12)
+    shared = [words(rng, 51), words(rng, 50), words(rng, 80, 2000), "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(70))]
+    texts = []
+    for k in range(60):
+        parts = [words(rng, rng.randrange(5, 60)) for _ in range(3)]
+        if k % 2:
+            parts.insert(1, shared[k % 4] if k % 3 else shared[2].title().replace(" ", "\n "))
+        if k % 7 == 0:
+            parts += [shared[3]] * 2
+        texts.append(" ".join(parts))
+    texts += ["de " * 200, "日本語" * 60, "", None, texts[1], texts[1], "one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_passages, r.kept) for r in suffix_dedup.dedup(docs, as_text=True, words=51, by_words=True).collect()}
+    assert [got[k] for k in range(len(texts))] == plain_passages(texts, 51)
+    both = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept), r.n_passages) for r in suffix_dedup.dedup(docs, words=51).collect()}
+    assert [both[k] for k in range(len(texts))] == [(*a, b[0]) for a, b in zip(plain_dedup(texts, 400), plain_passages(texts, 51))]
+
+
 def test_suffix_dedup_awkward(awkward_docs, awkward):
     got = sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup(awkward_docs).collect())
     small = [r[1] for r in awkward]
