@@ -12,8 +12,8 @@ from granary.llm.common import stored, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates: shingles of so many words, at least this similarity in percent.
 SHINGLE, SIMILARITY = 5, 80
-#: Bytes of a passage that counts as repeated: 50 words have more.
-PASSAGE = 240
+#: Words of a passage that counts as repeated.
+PASSAGE = 51
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +35,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that also stand elsewhere; a character that loses a byte goes, and so does a
-    document that had text and has none left."""
-    rest = suffix_dedup.dedup(docs, PASSAGE, keep=("doc_id", "lang", "source", "n_chars"), as_text=True)
+    """Documents without the passages of over 50 words that also stand elsewhere, at every place; a document that had
+    text and has none left goes."""
+    rest = suffix_dedup.dedup(docs, keep=("doc_id", "lang", "source", "n_chars"), as_text=True, words=PASSAGE, by_words=True)
     size = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept"))
     cut = rest.withColumn("text", F.col("kept")).withColumn("n_chars", size.cast("long"))
     return cut.filter("n_removed = 0 or trim(text) <> ''").select(*COLUMNS)
