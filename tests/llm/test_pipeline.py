@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline as P  # noqa: E402
-from tests.llm.test_operators import DOC, plain_components, plain_dedup  # noqa: E402
+from tests.llm.test_operators import DOC, plain_components, plain_passages  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -37,8 +37,8 @@ def test_near_duplicates(stages):
 
 
 def test_repeated_passages(stages):
-    plain = plain_dedup([r.text for r in stages[2]], P.PASSAGE)
-    expected = {r.doc_id: kept.decode("utf-8", "ignore") for r, (_, _, _, kept) in zip(stages[2], plain)}
+    plain = plain_passages([r.text for r in stages[2]], P.PASSAGE)
+    expected = {r.doc_id: kept for r, (_, kept) in zip(stages[2], plain)}
     had = {r.doc_id: r.text for r in stages[2]}
     assert {r.doc_id: r.text for r in stages[3]} == {k: t for k, t in expected.items() if t.strip(" ") or t == had[k]}
 
