@@ -13,13 +13,15 @@ LONG_TOKEN = 10
 #: Symbol kinds of the language server protocol, from 1 on.
 SYMBOL_KINDS = (
     "file module namespace package class method property field constructor enum interface function variable "
-    "constant string number boolean array object key null enum_member struct event operator type_parameter"
+    "constant string number boolean array object key null enummember struct event operator typeparameter"
 ).split()
 
 #: Languages by file extension.
 LANGUAGES = {
-    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "go": "go", "rs": "rust",
-    "java": "java", "cs": "csharp", "rb": "ruby", "php": "php", "c": "c", "cpp": "cpp", "kt": "kotlin", "swift": "swift", "scala": "scala",
+    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
+    "py": "python", "pyi": "python", "go": "go", "rs": "rust", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cxx": "cpp",
+    "cc": "cpp", "hpp": "cpp", "cs": "csharp", "php": "php", "kt": "kotlin", "kts": "kotlin", "rb": "ruby",
+    "html": "html", "htm": "html", "css": "css", "scss": "css", "less": "css",
 }
 
 STOP_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "is", "for", "with", "on", "by", "be", "as", "at", "it", "that", "this", "from")
@@ -45,16 +47,21 @@ def words(text: Column) -> Column:
 def truncate_tokens(text: Column, limit: int) -> Column:
     """The text if it has limit tokens or fewer, else as many whole words as fit, joined by spaces.
 
-    Counts add up over words, so one running sum finds the cut.
+    Counts add up over words, so one running sum over the words, split once, finds both; beyond the limit nothing is
+    counted any more.
     """
-    start = F.struct(F.lit(0).alias("tokens"), F.lit(0).alias("kept"))
+    start = F.struct(F.lit(0).alias("tokens"), F.lit(0).alias("kept"), F.lit(True).alias("fits"))
 
     def step(acc: Column, word: Column) -> Column:
-        tokens = acc.tokens + token_count(word)
-        return F.struct(tokens.alias("tokens"), F.when(tokens <= limit, acc.kept + 1).otherwise(acc.kept).alias("kept"))
+        tokens = F.when(acc.fits, acc.tokens + token_count(word)).otherwise(acc.tokens)
+        fits = acc.fits & (tokens <= limit)
+        return F.struct(tokens.alias("tokens"), F.when(fits, acc.kept + 1).otherwise(acc.kept).alias("kept"), fits.alias("fits"))
 
-    kept = F.aggregate(words(text), start, step, lambda acc: acc.kept)
-    return F.when(token_count(text) <= limit, text).otherwise(F.array_join(F.slice(words(text), F.lit(1), kept), " "))
+    def cut(ws: Column) -> Column:
+        found = F.transform(F.array(F.aggregate(ws, start, step)), lambda f: F.when(f.fits, text).otherwise(F.array_join(F.slice(ws, F.lit(1), f.kept), " ")))
+        return F.element_at(found, 1)
+
+    return F.element_at(F.transform(F.array(words(text)), cut), 1)
 
 
 def chunk_id(uri: Column, start: Column, end: Column) -> Column:
@@ -106,9 +113,10 @@ def normal_path(path: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    """Lower case, other signs than letters and digits as single hyphens; over 50 signs: 45, and four of a hash."""
+    """Lower case, other signs than letters and digits as single hyphens; over 50 signs: 45, without hyphens at their
+    end, and four of a hash."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    short = F.concat(F.substring(plain, 1, 45), F.lit("-"), F.substring(F.sha2(text, 256), 1, 4))
+    short = F.concat(F.regexp_replace(F.substring(plain, 1, 45), "-+$", ""), F.lit("-"), F.substring(F.sha2(text, 256), 1, 4))
     return F.when(F.length(plain) > 50, short).otherwise(plain)
 
 

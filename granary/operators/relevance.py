@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Categories of files by patterns on the lower-case path.
@@ -43,38 +43,62 @@ def mentions(condition: Column, topic: str) -> Column:
     return hit
 
 
-def decision(files: Column, condition: Column) -> Column:
-    """struct<run, reason> for an array of changed paths and a cycle's condition.
+#: Patterns that a decision looks at, by the names of their flags.
+FLAGS = {n: FILE_PATTERNS[n] for n in ("documentation", "homepage", "styles", "typescript", "auth", "config", "utils", "build")} | {"style_file": STYLE_FILE, "chrome_file": CHROME_FILE}
+
+
+def file_flags(changes: DataFrame, group: str) -> DataFrame:
+    """(group, n, some, every): of each group's changed files (path), how many, and of which patterns some or all are.
+
+    Flags are combined on the map side, so a group may have any number of files.
+    """
+    low = F.lower("path")
+    some = F.struct(*(F.bool_or(low.rlike(p)).alias(n) for n, p in FLAGS.items()))
+    every = F.struct(*(F.bool_and(low.rlike(p)).alias(n) for n, p in FLAGS.items()))
+    return changes.groupBy(group).agg(F.count("path").alias("n"), some.alias("some"), every.alias("every"))
+
+
+def decision(n: Column, some: Column, every: Column, condition: Column) -> Column:
+    """struct<run, reason> for the flags of changed files and a cycle's condition.
 
     No file: skip. A file of the condition's topic: run. Files that cannot matter to it: skip. Else run.
     """
-    some = lambda p: F.exists(files, lambda f: F.lower(f).rlike(p))
-    every = lambda p: F.forall(files, lambda f: F.lower(f).rlike(p))
     answer = lambda run, reason: F.struct(F.lit(run).alias("run"), F.lit(reason).alias("reason"))
     low = F.lower(condition)
-    docs, config, styles = every(FILE_PATTERNS["documentation"]), every(FILE_PATTERNS["config"]), every(STYLE_FILE)
     about_docs = low.contains("documentation") | low.contains("docs")
-    out = F.when(F.size(files) == 0, answer(False, "no files"))
+    out = F.when(n == 0, answer(False, "no files"))
     for topic in ("homepage", "styles", "typescript", "auth"):
-        out = out.when(mentions(condition, topic) & some(FILE_PATTERNS[topic]), answer(True, topic))
-    out = out.when(docs & ~about_docs, answer(False, "documentation only"))
-    out = out.when(config & (mentions(condition, "styles") | mentions(condition, "homepage")), answer(False, "configuration only"))
-    out = out.when(styles & mentions(condition, "typescript"), answer(False, "styles only"))
-    aside = ~some(FILE_PATTERNS["utils"]) & ~some(FILE_PATTERNS["build"]) & every(CHROME_FILE)
+        out = out.when(mentions(condition, topic) & some[topic], answer(True, topic))
+    out = out.when(every["documentation"] & ~about_docs, answer(False, "documentation only"))
+    out = out.when(every["config"] & (mentions(condition, "styles") | mentions(condition, "homepage")), answer(False, "configuration only"))
+    out = out.when(every["style_file"] & mentions(condition, "typescript"), answer(False, "styles only"))
+    aside = ~some["utils"] & ~some["build"] & every["chrome_file"]
     return out.when(mentions(condition, "auth") & aside, answer(False, "unrelated components")).otherwise(answer(True, "unclear"))
 
 
 def parse_cycle(text: Column, filename: Column) -> Column:
-    """struct<name, type, run, when, error> of a cycle file.
+    """struct<name, type, run, when, description, error> of a cycle file.
 
-    The name is the first header, else the first plain line, else the file's name. The first `run:` and `when:` lines
-    count, in any case. A file without a condition, or with an empty one, has an error.
+    The name is the first line that begins with #, without its signs; else the first plain line, else the file's name.
+    The first `run:` and `when:` lines count, in any case. With a run line that says something the cycle is automated,
+    else manual. The description is all other lines. A file that is empty, or has no when line, has an error.
     """
-    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
-    first = lambda p, g: F.regexp_extract(F.coalesce(F.try_element_at(F.filter(lines, lambda x: x.rlike(p)), F.lit(1)), F.lit("")), p, g)
-    header, plain = first("^#+ +(.+)$", 1), F.coalesce(F.try_element_at(F.filter(lines, lambda x: (x != "") & ~x.rlike("^#") & ~x.rlike("(?i)^(run|when):")), F.lit(1)), F.lit(""))
-    name = F.when(header != "", header).when(plain != "", plain).otherwise(F.regexp_replace(filename, r"\.md$", ""))
-    run, when = first("(?i)^run: *(.*)$", 1), first("(?i)^when: *(.*)$", 1)
-    error = F.when(~text.rlike(r"\S"), "empty file").when(when == "", "no condition")
-    kind = F.when(run != "", "script").otherwise("prose")
-    return F.struct(name.alias("name"), kind.alias("type"), F.when(run != "", run).alias("run"), F.when(when != "", when).alias("when"), error.alias("error"))
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    lines = F.split(bare(text), "\n")
+    of = lambda p: F.filter(lines, lambda x: bare(x).rlike(p))
+    header, plain = F.get(of("^#"), 0), F.get(of(r"(?i)^(?!#|run:|when:)\S"), 0)
+    name = F.coalesce(bare(F.regexp_replace(header, r"^#+\s*", "")), bare(plain), F.regexp_replace(filename, r"\.md$", ""))
+    value = lambda word: bare(F.regexp_replace(F.get(of(f"(?i)^{word}:"), 0), rf"(?i)^{word}:\s*", ""))
+    run, when = value("run"), value("when")
+    error = F.when(~text.rlike(r"\S"), "empty file").when(when.isNull(), "no condition")
+    kind = F.when(F.coalesce(run, F.lit("")) != "", "automated").otherwise("manual")
+    description = bare(F.array_join(F.filter(lines, lambda x: ~bare(x).rlike("(?i)^(#|run:|when:)")), "\n"))
+    return F.struct(name.alias("name"), kind.alias("type"), run.alias("run"), when.alias("when"), description.alias("description"), error.alias("error"))
+
+
+def valid_cycles(files: DataFrame) -> DataFrame:
+    """(path, name, type, run, when, description) of the cycle files (path, content) of a folder, in order of their
+    paths when written; files with an error are left out."""
+    name = F.element_at(F.split("path", "/"), -1)
+    parsed = files.filter(F.lower("path").endswith(".md")).select("path", parse_cycle(F.col("content"), name).alias("c"))
+    return parsed.filter("c.error is null").select("path", "c.*").drop("error")

@@ -79,10 +79,9 @@ def entry_files(spark: SparkSession, sf: str) -> DataFrame:
 def relevance_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """Changes are the files of a host; conditions by the host's size."""
     conditions = F.array(*map(F.lit, ("homepage changes", "CSS or layout", "any TypeScript change", "login and session", "deployment")))
-    files = paths(table(spark, sf, "pages")).withColumn("host", T.url_service(F.col("url")))
-    changes = files.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("files"))
+    changes = R.file_flags(paths(table(spark, sf, "pages")).withColumn("host", T.url_service(F.col("url"))), "host")
     asked = changes.withColumn("condition", F.explode(conditions))
-    d = R.decision(F.slice("files", 1, 2), F.col("condition"))
+    d = R.decision(F.col("n"), F.col("some"), F.col("every"), F.col("condition"))
     return asked.select("host", "condition", d.alias("d")).select("host", "condition", "d.run", "d.reason")
 
 
@@ -92,8 +91,8 @@ def file_categories(spark: SparkSession, sf: str) -> DataFrame:
 
 def cycle_files(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
-    text = F.concat(F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("# Cycle "), F.col("o_orderkey"), F.lit("\n"))).otherwise(""), F.lit("Check it\nRUN: make "), F.lower("o_orderpriority"), F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit("\nwhen: status "), F.col("o_orderstatus"))).otherwise(""))
-    return o.select("o_orderkey", R.parse_cycle(text, F.lit("c.md")).alias("c")).select("o_orderkey", "c.name", "c.type", "c.run", "c.when", "c.error")
+    text = F.concat(F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(" #Cycle "), F.col("o_orderkey"), F.lit("\n"))).otherwise(""), F.lit("Check it\nRUN: make "), F.lower("o_orderpriority"), F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit("\nwhen: status "), F.col("o_orderstatus"))).otherwise(""))
+    return o.select("o_orderkey", R.parse_cycle(text, F.lit("c.md")).alias("c")).select("o_orderkey", "c.name", "c.type", "c.run", "c.when", "c.description", "c.error")
 
 
 def workers(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,7 +107,7 @@ def lru_pick(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queue_positions(spark: SparkSession, sf: str) -> DataFrame:
-    return K.queue_places(table(spark, sf, "events").filter("event_id % 4 = 0"), "event_type").select("event_id", "event_type", "place")
+    return K.queue_places(table(spark, sf, "events"), "event_type").select("event_id", "event_type", "place")
 
 
 def bus_status(spark: SparkSession, sf: str) -> DataFrame:
@@ -193,7 +192,7 @@ def split_ranges(spark: SparkSession, sf: str) -> DataFrame:
 
 def review_threads(spark: SparkSession, sf: str) -> DataFrame:
     """Nested notes of a conversation as status and joined bodies."""
-    note = F.struct("turn", F.struct(F.col("role").alias("author"), F.substring("text", 1, 12).alias("body"), (F.col("turn") % 2 == 0).alias("resolved")).alias("note"))
+    note = F.struct("turn", F.struct(F.col("role").alias("author"), F.col("text").alias("body"), (F.col("turn") % 2 == 0).alias("resolved")).alias("note"))
     notes = table(spark, sf, "conversations").groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(note)), lambda s: s.note)).alias("notes"))
     parsed = notes.select("conv_id", F.from_json("notes", "array<struct<author: string, body: string, resolved: boolean>>").alias("n"))
     return parsed.select(
@@ -219,7 +218,7 @@ def _relevance_sql() -> str:
     cases = [f"WHEN {m(t)} AND {f(P[t])} > 0 THEN 'true:{t}'" for t in ("homepage", "styles", "typescript", "auth")]
     cases += [f"WHEN {f(P['documentation'])} = len(files) THEN 'false:documentation only'", f"WHEN {f(P['config'])} = len(files) AND ({m('styles')} OR {m('homepage')}) THEN 'false:configuration only'"]
     cases += [f"WHEN {f(R.STYLE_FILE)} = len(files) AND {m('typescript')} THEN 'false:styles only'", f"WHEN {m('auth')} AND {f(P['utils'])} = 0 AND {f(P['build'])} = 0 AND {f(R.CHROME_FILE)} = len(files) THEN 'false:unrelated components'"]
-    return rf"""WITH f AS (SELECT *, regexp_extract(url, 'https?://([^/:]+)', 1) AS host FROM ({paths_sql()})), c AS (SELECT host, list_sort(list_distinct(list(path)))[1:2] AS files FROM f GROUP BY 1),
+    return rf"""WITH f AS (SELECT *, regexp_extract(url, 'https?://([^/:]+)', 1) AS host FROM ({paths_sql()})), c AS (SELECT host, list_distinct(list(path)) AS files FROM f GROUP BY 1),
     a AS (SELECT *, unnest(['homepage changes', 'CSS or layout', 'any TypeScript change', 'login and session', 'deployment']) AS condition FROM c),
     d AS (SELECT host, condition, CASE {' '.join(cases)} ELSE 'true:unclear' END AS d FROM a) SELECT host, condition, split_part(d, ':', 1) = 'true' AS run, split_part(d, ':', 2) AS reason FROM d"""
 
@@ -251,11 +250,11 @@ QUERIES = {
     "file_categories": (file_categories, "WITH f AS (" + paths_sql() + ") " + " UNION ALL ".join(f"SELECT '{n}' AS category, count(*) AS n FROM f WHERE regexp_matches(lower(path), '{p}') HAVING count(*) > 0" for n, p in R.FILE_PATTERNS.items())),
     "cycle_files": (
         cycle_files,
-        """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Cycle ' || o_orderkey ELSE 'Check it' END AS name, 'script' AS type, 'make ' || lower(o_orderpriority) AS run,
-        CASE WHEN o_orderkey % 5 <> 0 THEN 'status ' || o_orderstatus END AS "when", CASE WHEN o_orderkey % 5 = 0 THEN 'no condition' END AS error FROM orders""",
+        """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Cycle ' || o_orderkey ELSE 'Check it' END AS name, 'automated' AS type, 'make ' || lower(o_orderpriority) AS run,
+        CASE WHEN o_orderkey % 5 <> 0 THEN 'status ' || o_orderstatus END AS "when", 'Check it' AS description, CASE WHEN o_orderkey % 5 = 0 THEN 'no condition' END AS error FROM orders""",
     ),
     "lru_pick": (lru_pick, f"WITH {_W} SELECT event_type, arg_min(name, (CASE status WHEN 'polling' THEN 0 ELSE 1 END, last_activity, seq)) AS name FROM w WHERE status IN ('polling', 'idle') GROUP BY 1"),
-    "queue_positions": (queue_positions, "SELECT event_id, event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS INTEGER) AS place FROM events WHERE event_id % 4 = 0"),
+    "queue_positions": (queue_positions, "SELECT event_id, event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS INTEGER) AS place FROM events"),
     "bus_status": (bus_status, f"WITH {_W} SELECT status, count(*) AS n, max(CAST(epoch(TIMESTAMP '{NOW}') AS BIGINT) - CAST(floor(epoch(last_activity)) AS BIGINT)) AS idle_seconds FROM w GROUP BY 1"),
     "task_summary": (task_summary, "SELECT count(*) FILTER (o_orderstatus = 'O') AS open, count(*) FILTER (o_orderstatus = 'P') AS in_progress, count(*) FILTER (o_orderstatus NOT IN ('O', 'P')) AS done, count(*) AS total FROM orders"),
     "task_dependents": (task_dependents, "SELECT l_orderkey - l_linenumber AS id, count(DISTINCT l_orderkey) AS waiting FROM lineitem GROUP BY 1"),
@@ -288,6 +287,6 @@ QUERIES = {
     "review_threads": (
         review_threads,
         """SELECT conv_id, CASE WHEN count(*) FILTER (turn % 2 <> 0) = 0 THEN 'resolved' ELSE 'open' END AS status, count(*) FILTER (turn % 2 <> 0) AS unresolved,
-        string_agg(role || ': ' || substr(text, 1, 12), chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1""",
+        string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1""",
     ),
 }

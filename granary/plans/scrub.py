@@ -58,7 +58,7 @@ def pii_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mention_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
-    made = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("@"), F.col("role"), F.lit(": "), F.substring("text", 1, 20), F.lit(" cc @team"), F.col("conv_id").cast("string")).alias("text"))
+    made = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("@"), F.col("role"), F.lit(": "), "text", F.lit(" cc @team"), F.col("conv_id").cast("string")).alias("text"))
     return made.select("conv_id", "turn", S.mention_pseudonyms(F.col("text"), SALT).alias("text"))
 
 
@@ -81,6 +81,7 @@ def _clean() -> str:
     return out
 
 
+_MENTION = "@[A-Za-z0-9_.-]+"
 _PSEUDO = f"lower(entity) || '-' || substr(sha256('{SALT}' || entity || ':' || lower(trim(value))), 1, 16)"
 
 QUERIES = {
@@ -102,7 +103,9 @@ QUERIES = {
     ),
     "mention_pseudonyms": (
         mention_pseudonyms,
-        f"""SELECT conv_id, turn, '@user-' || substr(sha256('{SALT}USER:@' || role), 1, 16) || ': ' || substr(text, 1, 20) || ' cc @user-' || substr(sha256('{SALT}USER:@team' || conv_id), 1, 16) AS text FROM conversations""",
+        rf"""WITH m AS (SELECT conv_id, turn, '@' || role || ': ' || text || ' cc @team' || conv_id AS t FROM conversations),
+        p AS (SELECT conv_id, turn, list_zip(regexp_split_to_array(t, '{_MENTION}'), regexp_extract_all(t, '{_MENTION}')) AS z FROM m)
+        SELECT conv_id, turn, array_to_string(list_transform(z, lambda x: x[1] || coalesce('@user-' || substr(sha256('{SALT}USER:' || lower(trim(x[2]))), 1, 16), '')), '') AS text FROM p""",
     ),
     "pii_evaluation": (
         pii_evaluation,

@@ -152,7 +152,7 @@ QUERIES = {
         r AS (SELECT page_id, service, CASE WHEN service IS NOT NULL THEN path END AS path FROM q)
         SELECT *, coalesce(nullif(regexp_replace(split_part(path, '?', 1), '/+$', ''), ''), CASE WHEN path IS NOT NULL THEN '/' END) AS normal FROM r""",
     ),
-    "slugs": (slugs, f"SELECT page_id, CASE WHEN length({_SLUG}) > 50 THEN substr({_SLUG}, 1, 45) || '-' || substr(sha256(url), 1, 4) ELSE {_SLUG} END AS slug FROM pages"),
+    "slugs": (slugs, f"SELECT page_id, CASE WHEN length({_SLUG}) > 50 THEN regexp_replace(substr({_SLUG}, 1, 45), '-+$', '') || '-' || substr(sha256(url), 1, 4) ELSE {_SLUG} END AS slug FROM pages"),
     "kind_names": (kind_names, f"SELECT coalesce((['{"', '".join(T.SYMBOL_KINDS)}'])[nullif(event_id % 30, 0)], 'unknown') AS kind, count(*) AS n FROM events GROUP BY 1"),
     "code_words": (
         code_words,

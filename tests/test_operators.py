@@ -172,15 +172,30 @@ def test_staleness(spark):
     ],
 )
 def test_relevance(spark, files, condition, run):
-    rows = spark.createDataFrame([(files, condition)], "f array<string>, c string")
-    assert rows.select(relevance.decision(F.col("f"), F.col("c")).alias("d")).first().d.run is run
+    rows = spark.createDataFrame([("g", f) for f in files or [None]], "g string, path string")
+    d = relevance.decision(F.col("n"), F.col("some"), F.col("every"), F.lit(condition))
+    assert relevance.file_flags(rows, "g").select(d.alias("d")).first().d.run is run
 
 
 def test_cycles(spark):
     parse = lambda t: one(spark, relevance.parse_cycle(F.col("t"), F.lit("x.md")), t=t)
-    assert tuple(parse("# Name\nRun: make\nWHEN: always")) == ("Name", "script", "make", "always", None)
-    assert tuple(parse("run: a\nwhen: b")) == ("x", "script", "a", "b", None)
+    assert tuple(parse("# Name\nRun: make\nWHEN: always")) == ("Name", "automated", "make", "always", "", None)
+    assert tuple(parse("run: a\nwhen: b")) == ("x", "automated", "a", "b", "", None)
+    assert tuple(parse("#Name\nSee that\n it works\nwhen:")) == ("Name", "manual", None, "", "See that\n it works", None)
     assert parse("plain\n").error == "no condition" and parse(" \n").error == "empty file"
+    files = spark.createDataFrame([("d/a.md", "# A\nwhen: x"), ("d/b.md", "no condition"), ("d/c.txt", "when: x")], "path string, content string")
+    assert [(r.path, r.name, r.when) for r in relevance.valid_cycles(files).collect()] == [("d/a.md", "A", "x")]
+
+
+def test_fixed_values(spark):
+    long = "checkout process including cart validation at-- and payment"
+    cut = one(spark, T.slug(F.col("t")), t=long)
+    assert cut.startswith("checkout-process-including-cart-validation-at-") and len(cut) == 50
+    assert one(spark, T.slug(F.col("t")), t="a" * 44 + "  " + "b" * 20)[:-4] == "a" * 44 + "-"
+    kinds = [one(spark, T.kind_name(F.col("t")), t=k) for k in (1, 6, 22, 26, 27)]
+    assert kinds == ["file", "method", "enummember", "typeparameter", "unknown"]
+    names = {"a.mjs": "javascript", "a.cjs": "javascript", "a.pyi": "python", "a.h": "c", "a.cxx": "cpp", "a.cc": "cpp", "a.hpp": "cpp", "a.kts": "kotlin", "a.htm": "html", "a.scss": "css", "a.less": "css", "a.swift": "unknown", "a.scala": "unknown"}
+    assert {p: one(spark, T.language_of(F.col("t")), t=p) for p in names} == names
 
 
 def test_workers(spark):
