@@ -56,8 +56,8 @@ def neighbours(edges: DataFrame, starts: DataFrame, hops: int, direction: str =
     return seen.filter("hop > 0")
 
 
-def dependents(edges: DataFrame, starts: DataFrame, most: int = 10) -> DataFrame:
-    """All that depends on each start, directly or not."""
+def dependents(edges: DataFrame, starts: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """All that depends on each start, directly or not: steps are taken until one finds nothing new."""
     return neighbours(edges, starts, most, "in").select("start", "node", "hop")
 
 

@@ -12,21 +12,30 @@ K1, B = 1.5, 0.75
 FUSION_K = 60
 
 
-def bm25(tokens: DataFrame, terms: Sequence[str], k1: float = K1, b: float = B) -> DataFrame:
-    """(doc_id, score) of documents (doc_id, words) that hold a term.
+def counted(documents: DataFrame, words: Column, terms: Sequence[str]) -> DataFrame:
+    """(doc_id, length, t0, t1 ...) of all documents: words, and how often each term is among them.
 
-    Statistics come from all documents: their number, average length, and in how many each term occurs. Only
-    hits of the query's terms are shuffled.
+    The words are made once for each document; all terms are counted in that one list.
     """
     wanted = list(dict.fromkeys(terms))
-    times = lambda t: F.size(F.filter("words", lambda w: w == t))
-    counted = tokens.select("doc_id", F.size("words").alias("length"), *(times(t).alias(f"t{k}") for k, t in enumerate(wanted)))
-    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"t{k}") > 0).alias(f"d{k}") for k in range(len(wanted))))
+    made = F.transform(F.array(words), lambda ws: F.struct(F.size(ws).alias("length"), F.filter(ws, lambda w: w.isin(*wanted)).alias("hits")))
+    rows = documents.select("doc_id", F.explode(made).alias("m")).select("doc_id", "m.length", "m.hits")
+    times = lambda term: F.size(F.filter("hits", lambda w: w == term))
+    return rows.select("doc_id", "length", *(times(t).alias(f"t{k}") for k, t in enumerate(wanted)))
+
+
+def bm25(counts: DataFrame, columns: Sequence[str], k1: float = K1, b: float = B) -> DataFrame:
+    """(doc_id, score) of the documents in counts (doc_id, length, and a column of occurrences for each term) that hold
+    a term. Statistics come from all documents: their number, mean length, and in how many each term occurs. They are
+    one row, made with partial sums; nothing else is shuffled. counts is read twice, so it should be stored.
+    """
+    stats = counts.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(c) > 0).alias(f"d{k}") for k, c in enumerate(columns)))
     one = stats.select(F.struct("*").alias("s")).scalar()
-    rows = counted.withColumn("s", one).select("*", "s.*")
+    held = " or ".join(f"{c} > 0" for c in columns)
+    rows = counts.filter(held).withColumn("s", one).select("*", "s.*")
     score = F.lit(0.0)
-    for k in range(len(wanted)):
-        tf, df = F.col(f"t{k}"), F.col(f"d{k}")
+    for k, c in enumerate(columns):
+        tf, df = F.col(c), F.col(f"d{k}")
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
         score = score + F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean")))).otherwise(0.0)
     return rows.select("doc_id", score.alias("score")).filter("score > 0")

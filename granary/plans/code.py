@@ -87,7 +87,7 @@ def python_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def extract_routes(spark: SparkSession, sf: str) -> DataFrame:
     """Route files: a decorator for each order line's part."""
-    l = table(spark, sf, "lineitem").filter("l_linenumber <= 2")  # noqa: E741
+    l = table(spark, sf, "lineitem")  # noqa: E741
     part = F.concat(F.lit("@app."), F.when(F.col("l_linenumber") == 1, "get").otherwise("post"), F.lit("('/parts/{id}/"), F.col("l_suppkey").cast("string"), F.lit("')\ndef f(): ..."))
     files = l.groupBy(F.col("l_orderkey").cast("string").alias("path")).agg(F.array_join(F.array_sort(F.collect_list(part)), "\n").alias("content"))
     return X.routes(files).groupBy("method", "route").agg(F.count("*").alias("n"))
@@ -141,7 +141,7 @@ QUERIES = {
         """WITH m AS (SELECT unnest(CASE page_id % 4 WHEN 0 THEN ['os', 'http_tools.client'] WHEN 1 THEN ['net/http'] WHEN 2 THEN ['axios'] ELSE ['System.Net'] END) AS module FROM pages) SELECT module, count(*) AS n FROM m GROUP BY 1""",
     ),
     "python_chunks": (python_chunks, None),
-    "extract_routes": (extract_routes, "SELECT CASE WHEN l_linenumber = 1 THEN 'GET' ELSE 'POST' END AS method, '/parts/{id}/' || l_suppkey AS route, count(*) AS n FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL"),
+    "extract_routes": (extract_routes, "SELECT CASE WHEN l_linenumber = 1 THEN 'GET' ELSE 'POST' END AS method, '/parts/{id}/' || l_suppkey AS route, count(*) AS n FROM lineitem GROUP BY ALL"),
     "extract_names": (
         extract_names,
         """WITH e AS (SELECT event_id, unnest([{'t': 'SERVICE', 'n': event_type || '-service'}, {'t': 'INCIDENT', 'n': 'inc-' || user_id}, {'t': 'PERSON', 'n': 'user' || user_id}]) AS x FROM events)

@@ -7,22 +7,27 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.operators import search as S
-from granary.sources.tables import table
+from granary.sources.tables import cut_lineage, table
 
 TERMS, NEAR = ("thing", "erth", "quele"), ("inor", "eneux")
 NOW = "2024-02-01 00:00:00"
 
 
-def _words(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.code_words(F.col("text")).alias("words"))
+def _counts(spark: SparkSession, sf: str, terms: tuple[str, ...]) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return cut_lineage(S.counted(docs, T.code_words(F.col("text")), terms))
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return S.top(S.bm25(_words(spark, sf), TERMS).withColumn("score", F.round("score", 6)), 20)
+    scored = S.bm25(_counts(spark, sf, TERMS), [f"t{k}" for k in range(len(TERMS))])
+    return S.top(scored.withColumn("score", F.round("score", 6)), 20)
 
 
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    lists = [S.ranks(S.bm25(_words(spark, sf), t).withColumn("score", F.round("score", 6)), n, 50) for n, t in (("a", TERMS), ("b", NEAR))]
+    """Two queries on one count of both queries' terms."""
+    counts = _counts(spark, sf, (*TERMS, *NEAR))
+    columns = [f"t{k}" for k in range(len(TERMS) + len(NEAR))]
+    lists = [S.ranks(S.bm25(counts, c).withColumn("score", F.round("score", 6)), n, 50) for n, c in (("a", columns[: len(TERMS)]), ("b", columns[len(TERMS) :]))]
     return S.fuse(lists[0].unionByName(lists[1])).select("doc_id", F.round("score", 8).alias("score"), "lists")
 
 

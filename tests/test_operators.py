@@ -134,7 +134,7 @@ def test_vectors(spark):
 
 def test_ranking(spark):
     docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b"]), (3, ["c"])], "doc_id long, words array<string>")
-    assert [r.doc_id for r in search.top(search.bm25(docs, ["a", "b"]), 5).collect()] == [1, 2]
+    assert [r.doc_id for r in search.top(search.bm25(search.counted(docs, F.col("words"), ["a", "b"]), ["t0", "t1"]), 5).collect()] == [1, 2]
     lists = spark.createDataFrame([("x", 1, 0), ("y", 1, 1), ("x", 2, 1)], "list string, doc_id long, rank int")
     got = {r.doc_id: r.score for r in search.fuse(lists).collect()}
     assert got[1] == pytest.approx(1 / 61 + 1 / 62) and got[2] == pytest.approx(1 / 62)
