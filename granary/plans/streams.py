@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,19 +10,32 @@ from granary.sources.crawl import requests, yaml_resources
 from granary.sources.tables import table
 from granary.streaming import jobs as J
 
+NOW = "2024-01-20 00:00:00"
+
 
 def bus_requests(events: DataFrame) -> DataFrame:
     """Events as requests to a pool of workers for each event type."""
-    tool = F.element_at(F.array(*map(F.lit, ("register", "submit", "poll", "submit", "done", "poll", "failed"))), (F.col("event_id") % 7 + 1).cast("int"))
-    return events.select(F.col("event_type").alias("pool"), F.col("event_id").alias("seq"), F.unix_timestamp("ts").alias("at"), tool.alias("tool"), F.concat(F.lit("w"), (F.col("user_id") % 20).cast("string")).alias("worker"), F.concat(F.lit("t"), (F.col("event_id") % 500).cast("string")).alias("task"))
+    tool = F.element_at(F.array(*map(F.lit, ("register", "submit", "poll", "start", "done", "poll", "failed"))), (F.col("event_id") % 7 + 1).cast("int"))
+    return events.select(F.col("event_type").alias("pool"), F.col("event_id").alias("seq"), F.unix_timestamp("ts").alias("at"), tool.alias("tool"), F.concat(F.lit("w"), (F.col("user_id") % 20).cast("string")).alias("worker"), F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("task"))
 
 
 def bus_replay(spark: SparkSession, sf: str) -> DataFrame:
-    return J.finish(J.dispatched(bus_requests(J.event_stream(spark, sf))), "bus_" + uuid.uuid4().hex)
+    return J.finish(J.task_lives(bus_requests(J.event_stream(spark, sf))), "bus", "complete")
+
+
+def lost_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """States of tasks by pool after those that ran too long went back to the queue."""
+    lives = J.task_lives(bus_requests(table(spark, sf, "events")))
+    return J.requeued(lives, F.unix_timestamp(F.lit(NOW).cast("timestamp"))).groupBy("pool", "state").agg(F.count("*").alias("n"), F.count("worker").alias("with_worker"))
+
+
+def request_errors(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select(F.col("event_type").alias("tool"), F.when(F.col("event_id") % 3 > 0, F.create_map(F.when(F.col("event_id") % 3 == 1, "user").otherwise("name"), F.col("user_id").cast("string"))).alias("params"))
+    return J.routed(e, {"click": ["user"], "view": [], "purchase": ["user", "name"]}).groupBy("tool", "error").agg(F.count("*").alias("n"))
 
 
 def hourly_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return J.finish(J.hourly(J.event_stream(spark, sf)), "hourly_" + uuid.uuid4().hex, "complete")
+    return J.finish(J.hourly(J.event_stream(spark, sf)), "hourly", "complete")
 
 
 def user_sessions(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,8 +75,21 @@ def latest_states(spark: SparkSession, sf: str) -> DataFrame:
     return e.withColumn("k", last).filter("k = 1").select("user_id", "event_id", "event_type")
 
 
+_LIVES = """r AS (SELECT event_type AS pool, 't' || user_id AS task, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec, 'w' || user_id % 20 AS worker, (['register', 'submit', 'poll', 'start', 'done', 'poll', 'failed'])[event_id % 7 + 1] AS tool FROM events),
+l AS (SELECT pool, task, count(*) FILTER (tool = 'submit') AS submitted, count(*) FILTER (tool = 'failed') AS failed, arg_max(tool, event_id) AS t, arg_max(worker, event_id) AS worker, arg_max(sec, event_id) AS since FROM r WHERE tool IN ('submit', 'start', 'done', 'failed') GROUP BY ALL),
+s AS (SELECT pool, task, submitted, failed, CASE t WHEN 'start' THEN 'executing' WHEN 'done' THEN 'done' ELSE 'queued' END AS state, worker, since FROM l)"""
+
 QUERIES = {
-    "bus_replay": (bus_replay, None),
+    "bus_replay": (bus_replay, f"WITH {_LIVES} SELECT * FROM s"),
+    "lost_tasks": (
+        lost_tasks,
+        f"""WITH {_LIVES}, q AS (SELECT *, state = 'executing' AND CAST(epoch(TIMESTAMP '{NOW}') AS BIGINT) - since > {J.TASK_TIMEOUT} AS lost FROM s)
+        SELECT pool, CASE WHEN lost THEN 'queued' ELSE state END AS state, count(*) AS n, count(*) FILTER (NOT lost) AS with_worker FROM q GROUP BY ALL""",
+    ),
+    "request_errors": (
+        request_errors,
+        """SELECT event_type AS tool, CASE event_type WHEN 'view' THEN NULL WHEN 'click' THEN CASE WHEN event_id % 3 <> 1 THEN 'missing_param' END WHEN 'purchase' THEN 'missing_param' ELSE 'unknown_tool' END AS error, count(*) AS n FROM events GROUP BY ALL""",
+    ),
     "hourly_windows": (hourly_windows, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL"),
     "user_sessions": (
         user_sessions,

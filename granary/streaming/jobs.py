@@ -1,95 +1,62 @@
-"""Structured Streaming jobs: task dispatch per worker pool, windows, sessions, and incremental ingest."""
+"""Structured Streaming jobs: lives of tasks, windows, sessions, and incremental ingest."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
+import uuid
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from granary.sources.tables import table
+from granary.sources.tables import shared_folder, table
 
 #: Seconds after which a worker that is executing counts as lost and its task goes back to the queue.
 TASK_TIMEOUT = 1800
 
-REQUEST = "pool string, seq long, at long, tool string, worker string, task string"
-OUTCOME = "pool string, seq long, outcome string, worker string, task string"
-STATE = "workers map<string, struct<status: string, task: string, since: long, seq: long>>, queue array<string>, active array<string>"
 
+def task_lives(requests: DataFrame) -> DataFrame:
+    """(pool, task, submitted, failed, state, worker, since) of each task, for a stream or table of requests (pool,
+    seq, at, tool, worker, task).
 
-def dispatch(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Folds a pool's requests, in order of seq, into its workers and queue, and says what came of each.
-
-    register: a new worker is idle, a known one is an error. poll: an idle worker gets the first waiting task, or
-    polls. submit: an active task is an error; else it goes to the polling worker that waits longest, then to the
-    idle one, else into the queue. done, failed: the worker is free, and a failed task waits again. A task that runs
-    over TASK_TIMEOUT, by the requests' own time, waits again and its worker goes.
+    The last of a task's submit, start, done and failed requests says its state: queued, executing, done, and queued
+    again after a failure. State is kept by pool and task, so it spreads over the cluster and grows with the tasks only.
     """
-    workers, queue, active = ({k: list(v) for k, v in state.get[0].items()}, list(state.get[1]), list(state.get[2])) if state.exists else ({}, [], [])
-    rows: list[tuple] = []
-
-    def say(seq: int, outcome: str, worker: str | None = None, task: str | None = None) -> None:
-        rows.append((key[0], seq, outcome, worker, task))
-
-    requests = pd.concat(list(frames)).sort_values("seq")
-    for _, seq, at, tool, name, task in requests[["pool", "seq", "at", "tool", "worker", "task"]].itertuples(index=False):
-        for lost in [w for w, s in workers.items() if s[0] == "executing" and at - s[2] > TASK_TIMEOUT]:
-            queue.append(workers.pop(lost)[1])
-            say(seq, "requeued", lost, queue[-1])
-        worker = workers.get(name)
-        if tool == "register":
-            if worker is None:
-                workers[name] = ["idle", None, at, seq]
-            say(seq, "name_taken" if worker else "registered", name)
-        elif tool == "submit":
-            free = sorted((s[0] != "polling", s[2], s[3], w) for w, s in workers.items() if s[0] in ("polling", "idle"))
-            if task in active:
-                say(seq, "already_active", None, task)
-            elif free:
-                chosen = free[0][3]
-                workers[chosen] = ["executing", task, at, workers[chosen][3]]
-                active.append(task)
-                say(seq, "assigned", chosen, task)
-            else:
-                queue.append(task)
-                active.append(task)
-                say(seq, f"queued:{len(queue)}", None, task)
-        elif worker is None:
-            say(seq, "unknown_worker", name)
-        elif tool == "poll" and worker[0] == "executing":
-            say(seq, "busy", name, worker[1])
-        elif tool == "poll" and queue:
-            workers[name] = ["executing", queue.pop(0), at, worker[3]]
-            say(seq, "assigned", name, workers[name][1])
-        elif tool == "poll":
-            workers[name] = ["polling", None, at, worker[3]]
-            say(seq, "polling", name)
-        elif tool in ("done", "failed") and worker[0] == "executing":
-            if tool == "failed":
-                queue.append(worker[1])
-            else:
-                active.remove(worker[1])
-            say(seq, tool, name, worker[1])
-            workers[name] = ["idle", None, at, worker[3]]
-        else:
-            say(seq, "no_task" if tool in ("done", "failed") else "unknown_tool", name)
-    state.update(({k: tuple(v) for k, v in workers.items()}, queue, active))
-    yield pd.DataFrame(rows, columns=["pool", "seq", "outcome", "worker", "task"])
-
-
-def dispatched(requests: DataFrame) -> DataFrame:
-    """OUTCOME rows for a stream or table of REQUEST rows. Pools are independent, so they spread over the cluster."""
-    return requests.groupBy("pool").applyInPandasWithState(dispatch, OUTCOME, STATE, "append", GroupStateTimeout.NoTimeout)
+    own = requests.filter(F.col("tool").isin("submit", "start", "done", "failed"))
+    last = F.max_by(F.struct("tool", "worker", "at"), "seq").alias("last")
+    lives = own.groupBy("pool", "task").agg(F.count_if(F.col("tool") == "submit").alias("submitted"), F.count_if(F.col("tool") == "failed").alias("failed"), last)
+    state = F.when(F.col("last.tool") == "start", "executing").when(F.col("last.tool") == "done", "done").otherwise("queued")
+    return lives.select("pool", "task", "submitted", "failed", state.alias("state"), F.col("last.worker").alias("worker"), F.col("last.at").alias("since"))
+
+
+def requeued(lives: DataFrame, now: Column, timeout: int = TASK_TIMEOUT) -> DataFrame:
+    """Task lives with those that execute for longer than timeout seconds back in the queue, without a worker."""
+    lost = (F.col("state") == "executing") & (now - F.col("since") > timeout)
+    return lives.withColumn("worker", F.when(~lost, F.col("worker"))).withColumn("state", F.when(lost, "queued").otherwise(F.col("state")))
+
+
+def routed(requests: DataFrame, tools: dict[str, list[str]]) -> DataFrame:
+    """Requests (tool, params map) with the error that each gets: unknown_tool, missing_param or none."""
+    needs = F.create_map(*[x for tool, names in tools.items() for x in (F.lit(tool), F.array(*map(F.lit, names)).cast("array<string>"))])
+    wanted = F.try_element_at(needs, F.col("tool"))
+    has = F.coalesce(F.map_keys("params"), F.array().cast("array<string>"))
+    missing = F.size(F.array_except(wanted, has)) > 0
+    return requests.withColumn("error", F.when(wanted.isNull(), "unknown_tool").when(missing, "missing_param"))
 
 
 def finish(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now, into a table in memory, and returns the table: for tests and reports."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a stream over what is there now, into a table in the shared folder, and returns the table. State and
+    progress are kept there too, so a lost executor or driver costs one batch.
+
+    mode: append writes what is final; complete writes the whole result anew with each batch.
+    """
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", f"{folder}/table").start()
+    else:
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/table")).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/table")
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,6 @@
 import json
 import re
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,24 +256,21 @@ def test_readers(spark, tmp_path):
     assert [(r.speaker, r.text) for r in crawl.transcripts(spark, str(tmp_path)).orderBy("pos").collect()] == [("Ann", "hello"), ("unknown", "no name"), ("Bob", "a: b")]
 
 
-def test_dispatch_rules():
-    class State:
-        exists, get = False, None
+def test_task_lives(spark):
+    rows = [("p", 1, 10, "register", "a", None), ("p", 2, 11, "submit", "a", "t"), ("p", 3, 12, "start", "b", "t"), ("p", 4, 13, "failed", "b", "t"), ("p", 5, 14, "start", "c", "t"), ("p", 6, 15, "submit", "a", "u"), ("q", 7, 16, "submit", "a", "t"), ("q", 8, 17, "done", "a", "t")]
+    lives = jobs.task_lives(spark.createDataFrame(rows, "pool string, seq long, at long, tool string, worker string, task string"))
+    assert {tuple(r) for r in lives.collect()} == {("p", "t", 1, 1, "executing", "c", 14), ("p", "u", 1, 0, "queued", "a", 15), ("q", "t", 1, 0, "done", "a", 17)}
+    late = {(r.pool, r.task): (r.state, r.worker) for r in jobs.requeued(lives, F.lit(14 + jobs.TASK_TIMEOUT + 1)).collect()}
+    assert late == {("p", "t"): ("queued", None), ("p", "u"): ("queued", "a"), ("q", "t"): ("done", "a")}
 
-        def update(self, value):
-            self.exists, self.get = True, value
 
-    def run(state, *requests):
-        frame = pd.DataFrame(requests, columns=["seq", "at", "tool", "worker", "task"]).assign(pool="p")
-        return [tuple(r) for r in pd.concat(list(jobs.dispatch(("p",), iter([frame]), state)))[["outcome", "worker", "task"]].itertuples(index=False)]
-
-    s = State()
-    out = run(s, (1, 0, "register", "a", None), (2, 0, "register", "a", None), (3, 1, "submit", None, "t1"), (4, 2, "submit", None, "t1"), (5, 3, "submit", None, "t2"), (6, 3, "poll", "a", None))
-    assert out == [("registered", "a", None), ("name_taken", "a", None), ("assigned", "a", "t1"), ("already_active", None, "t1"), ("queued:1", None, "t2"), ("busy", "a", "t1")]
-    out = run(s, (7, 4, "failed", "a", None), (8, 5, "poll", "a", None), (9, 6, "done", "a", None), (10, 7, "done", "a", None), (11, 8, "poll", "zz", None))
-    assert out == [("failed", "a", "t1"), ("assigned", "a", "t2"), ("done", "a", "t2"), ("no_task", "a", None), ("unknown_worker", "zz", None)]
-    out = run(s, (12, 9, "poll", "a", None), (13, 9 + jobs.TASK_TIMEOUT + 1, "register", "b", None), (14, 9 + jobs.TASK_TIMEOUT + 2, "poll", "b", None))
-    assert out == [("assigned", "a", "t1"), ("requeued", "a", "t1"), ("registered", "b", None), ("assigned", "b", "t1")]
+def test_streams_append_in_turns(spark, tmp_path):
+    """What is final is appended to a table; a second run over more files goes on from the progress that was kept."""
+    rows = spark.range(6).selectExpr("id", "timestamp_seconds(id * 3600) as ts", "'a' as event_type", "cast(id as double) as value")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    assert jobs.finish(stream.select("id"), "ids").count() == 6
+    assert jobs.finish(jobs.hourly(stream), "hours", "complete").count() == 6
 
 
 def test_requests_and_yaml(spark):
