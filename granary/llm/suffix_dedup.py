@@ -293,14 +293,14 @@ def repeated_starts(texts: DataFrame, length: int) -> DataFrame:
     discard(blocks, twice)
     first = F.min(F.struct("rk", "rk2", "place")).alias("first")
     classes = stored(kept.groupBy("h", "f").agg(F.count("*").alias("n"), first).select("h", "f", "n", "first.*"), "suffix-classes")
-    several = classes.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    several = stored(classes.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "suffix-several")
     unclear = classes.join(several, "h", "left_semi")
     rows = stored(contexts(unclear, texts, length), "suffix-contexts")
     scratch: list[DataFrame] = []
     ranges = resolve(rows, BLOCK, scratch).select("h", "f", "low", "high")
     low, high = F.shiftright("place", 8).bitwiseAND(255).cast("int"), F.col("place").bitwiseAND(255).cast("int")
     parts = stored(ranges.unionByName(classes.filter("n > 1").select("h", "f", low.alias("low"), high.alias("high"))), "suffix-parts")
-    discard(classes, rows, *scratch)
+    discard(classes, several, rows, *scratch)
     core = F.shiftright("place", 24)
     runs = kept.join(parts, ["h", "f"]).select("rk", "rk2", (core - F.col("high")).alias("first"), (core - F.col("low")).alias("last"))
     done = stored(runs, "suffix-runs")
