@@ -61,19 +61,19 @@ def line_spans(text: str, base: int, limit: int, overlap: int, end: int | None =
         yield part, starts[a], end if end is not None and k == len(runs) - 1 else starts[a] + len(part.encode())
 
 
-def _map(docs: DataFrame, cut) -> DataFrame:
-    """Runs cut(uri, text) on each row (doc_id, uri, text) and numbers what it gives."""
+def _map(docs: DataFrame, cut, *more: str) -> DataFrame:
+    """Runs cut(uri, text) on each row (doc_id, uri, text) and numbers what it gives. more: further columns for cut."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in CHUNK.split(", ")]
         for frame in frames:
             rows = []
-            for doc_id, uri, text in zip(frame["doc_id"], frame["uri"], frame["text"]):
-                for k, (part, start, end, kind, name) in enumerate(cut(uri or "", text if isinstance(text, str) else "")):
+            for doc_id, uri, text, *rest in zip(frame["doc_id"], frame["uri"], frame["text"], *(frame[c] for c in more)):
+                for k, (part, start, end, kind, name) in enumerate(cut(uri or "", text if isinstance(text, str) else "", *rest)):
                     rows.append((doc_id, k, _id(uri or "", start, end), part, start, end, kind, name))
             yield pd.DataFrame(rows, columns=names)
 
-    return docs.select("doc_id", "uri", "text").mapInPandas(run, CHUNK)
+    return docs.select("doc_id", "uri", "text", *more).mapInPandas(run, CHUNK)
 
 
 def line_chunks(docs: DataFrame, limit: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
@@ -81,33 +81,74 @@ def line_chunks(docs: DataFrame, limit: int = MAX_TOKENS, overlap: int = OVERLAP
     return _map(docs, lambda uri, text: ((p, a, b, "segment", "<file_segment>") for p, a, b in line_spans(text, 0, limit, overlap, len(text.encode()))))
 
 
-def python_chunks(docs: DataFrame, limit: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
-    """Outermost functions and classes of Python sources; large ones in runs of lines; files without any, or that do
-    not parse, as line chunks."""
+def code_chunks(docs: DataFrame, limit: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
+    """Outermost functions, classes and types of sources (doc_id, uri, text, language), as chunks; large ones in runs of
+    lines, named <name>_part. Files without any, of another language, or that do not parse, are cut as line_chunks does."""
 
-    def cut(uri: str, text: str) -> Iterator[tuple[str, int, int, str, str]]:
-        try:
-            nodes = list(outermost(ast.parse(text)))
-        except (SyntaxError, ValueError, RecursionError):
-            nodes = []
-        if not nodes:
-            yield from ((p, a, b, "segment", "<file_segment>") for p, a, b in line_spans(text, 0, limit, overlap, len(text.encode())))
-            return
-        lines = text.encode().split(b"\n")
-        starts = [0]
-        for line in lines:
-            starts.append(starts[-1] + len(line) + 1)
-        for node in nodes:
-            a = starts[node.lineno - 1] + node.col_offset
-            b = starts[node.end_lineno - 1] + node.end_col_offset
-            part = text.encode()[a:b].decode()
-            kind = "class" if isinstance(node, ast.ClassDef) else "function"
+    def cut(uri: str, text: str, language: str) -> Iterator[tuple[str, int, int, str, str]]:
+        found = python_symbols(text) if language == "python" else brace_symbols(text, language) if language in SYMBOLS else ()
+        none = True
+        for start, end, kind, name in found:
+            none = False
+            part, a = text[start:end], len(text[:start].encode())
+            b = a + len(part.encode())
             if count_tokens(part) <= limit:
-                yield part, a, b, kind, node.name
+                yield part, a, b, kind, name
             else:
-                yield from ((p, x, y, "partial", f"{node.name}_part") for p, x, y in line_spans(part, a, limit, overlap, b))
+                yield from ((p, x, y, "partial", f"{name}_part") for p, x, y in line_spans(part, a, limit, overlap, b))
+        if none:
+            yield from ((p, a, b, "segment", "<file_segment>") for p, a, b in line_spans(text, 0, limit, overlap, len(text.encode())))
 
-    return _map(docs, cut)
+    return _map(docs, cut, "language")
+
+
+#: Per language: how an outermost symbol begins, at the start of a line; it ends with its braces, or with the line if it
+#: has none. Names are those that stand right under the symbol in its grammar: methods and types of Go, classes of
+#: TypeScript and decorated Python definitions have none there.
+SYMBOLS = {
+    "go": re.compile(r"^(?P<all>(?P<kind>func|type)\s+(?:(?P<other>\([^)\n]*\)\s*\w+)|(?P<name>\w+))(?:[^\n{]|\{\})*)(?P<open>\{)?", re.M),
+    "typescript": re.compile(r"^[ \t]*(?:export\s+(?:default\s+)?)?(?P<all>(?:async\s+)?(?P<kind>function|class)\*?\s+(?P<name>[\w$]+)(?:[^{;]|\{\})*)(?P<open>\{)", re.M),
+    "csharp": re.compile(r"^[ \t]*(?P<all>(?:\[[^\]\n]*\]\s*)*(?:(?:public|private|protected|internal|static|sealed|abstract|partial|readonly)\s+)*(?P<kind>class|struct)\s+(?P<name>\w+)[^{;]*)(?P<open>\{)", re.M),
+}
+KINDS = {"func": "function"}
+NAMELESS = {("go", "type"), ("typescript", "class")}
+ANONYMOUS = "<anonymous>"
+_HIDDEN = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`", re.S)
+
+
+def brace_symbols(text: str, language: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, kind, name) of the outermost symbols of a source with braces, in characters. Braces inside comments
+    and strings do not count; a symbol that is not closed ends with the text."""
+    plain = _HIDDEN.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    at = 0
+    while m := SYMBOLS[language].search(plain, at):
+        depth, end = (1, len(plain)) if m["open"] else (0, m.end())
+        for brace in re.finditer(r"[{}]", plain[m.end() :]) if depth else ():
+            depth += 1 if brace[0] == "{" else -1
+            if not depth:
+                end = m.end() + brace.end()
+                break
+        name = m["name"] if m["name"] and (language, m["kind"]) not in NAMELESS else ANONYMOUS
+        yield m.start("all"), end, KINDS.get(m["kind"], m["kind"]), name
+        at = max(end, m.end())
+
+
+def python_symbols(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """The same for a Python source, decorators included; none if it does not parse."""
+    try:
+        nodes = list(outermost(ast.parse(text)))
+    except (SyntaxError, ValueError, RecursionError):
+        return
+    starts, raw = [0], text.encode()
+    for line in raw.split(b"\n"):
+        starts.append(starts[-1] + len(line) + 1)
+    for node in nodes:
+        first = min([node, *node.decorator_list], key=lambda n: n.lineno)
+        a = starts[first.lineno - 1] + first.col_offset - (first is not node)
+        b = starts[node.end_lineno - 1] + node.end_col_offset
+        start = len(raw[:a].decode())
+        kind = "class" if isinstance(node, ast.ClassDef) else "function"
+        yield start, start + len(raw[a:b].decode()), kind, ANONYMOUS if node.decorator_list else node.name
 
 
 def outermost(node: ast.AST) -> Iterator[ast.AST]:
@@ -165,6 +206,32 @@ def section_chunks(sections: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:
     return _map(sections, cut)
 
 
+def messages(talks: DataFrame) -> DataFrame:
+    """(uri, doc_id, pos, thread, ts, speaker, text) of conversations as text (uri, doc_id, content).
+
+    A JSON list, or an object with messages, gives its items of type message; the speaker is user, else username,
+    else unknown. Other text gives its lines `Speaker: text` (what stands before a colon, over lines too); without any, all of it is one message of unknown.
+    Blank and null texts have none.
+    """
+    item = "type string, user string, username string, text string, ts string, thread_ts string"
+    content = F.coalesce("content", F.lit(""))
+    is_json = F.try_parse_json(content).isNotNull() & content.rlike(r"^\s*[\[{]")
+    listed = F.when(content.rlike(r"^\s*\["), content).otherwise(F.get_json_object(content, "$.messages"))
+    items = F.coalesce(F.from_json(listed, "array<string>"), F.array().cast("array<string>"))
+    of_json = F.transform(
+        F.filter(F.transform(items, lambda x: F.from_json(x, item)), lambda m: m["type"] == "message"),
+        lambda m: F.struct(m["thread_ts"].alias("thread"), F.timestamp_seconds(m["ts"].try_cast("double")).alias("ts"), F.coalesce(m["user"], m["username"], F.lit("unknown")).alias("speaker"), F.coalesce(m["text"], F.lit("")).alias("text")),
+    )
+    message = "struct<thread: string, ts: timestamp, speaker: string, text: string>"
+    row = lambda speaker, text: F.struct(F.lit(None).cast("string").alias("thread"), F.lit(None).cast("timestamp").alias("ts"), speaker.alias("speaker"), text.alias("text"))
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    spoken = F.transform(F.regexp_extract_all(content, F.lit(r"(?m)^[^:]+:\s*.+$"), F.lit(0)), lambda x: row(bare(F.regexp_extract(x, r"^([^:]+):", 1)), bare(F.regexp_extract(x, r"^[^:]+:\s*(.+)$", 1))))
+    whole = F.when(content.rlike(r"\S"), F.array(row(F.lit("unknown"), bare(content)))).otherwise(F.array().cast(f"array<{message}>"))
+    found = F.when(is_json, of_json).when(F.size(spoken) > 0, spoken).otherwise(whole)
+    rows = talks.select("uri", "doc_id", F.posexplode(found).alias("pos", "m"))
+    return rows.select("uri", "doc_id", "pos", "m.thread", "m.ts", "m.speaker", "m.text")
+
+
 def threads(messages: DataFrame) -> DataFrame:
     """(uri, thread, text, n, speakers): messages (uri, pos, thread, ts, speaker, text) of a thread as lines
     `[time] speaker: text`, in order; without a thread they belong to main."""

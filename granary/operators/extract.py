@@ -7,16 +7,30 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VERBS = ("get", "post", "put", "delete", "patch", "head", "options")
-CLIENTS = ("requests", "httpx", "http", "aiohttp")
+# Names of HTTP clients, and the HTTP methods of C# client methods.
+CLIENTS = ("requests", "httpx", "aiohttp", "urllib", "http", "session", "client", "s", "c", "http_client")
+GO_CLIENTS = ("http", "client", "c", "httpclient", "httputil")
+SCRIPT_CLIENTS = ("axios", "http", "https", "request", "got", "ky", "superagent", "$", "jquery")
+SHARP_METHODS = {
+    "getasync": "GET", "getstringasync": "GET", "getstreamasync": "GET", "getbytearrayasync": "GET", "postasync": "POST", "putasync": "PUT",
+    "deleteasync": "DELETE", "patchasync": "PATCH", "sendasync": "GET", "downloadstring": "GET", "downloadstringasync": "GET",
+    "downloaddata": "GET", "uploadstring": "POST", "uploaddata": "POST",
+}
 HIGH, MEDIUM, LOW, GUESS = 0.9, 0.7, 0.5, 0.3
 CALL = "source_file string, line int, method string, url string, confidence double"
 LOCAL = ("localhost", "127.0.0.1", "0.0.0.0")
 
 
+def confidence(url: Column, kind: Column) -> Column:
+    """How sure a url of a source is: a plain string with a scheme, one that is built from parts, or anything else."""
+    plain = (kind == "string") & url.rlike("^https?://")
+    return F.when(plain, HIGH).when(kind.isin("formatted_string", "template_string"), MEDIUM).otherwise(LOW)
+
+
 def python_calls(text: str) -> Iterator[tuple[int, str, str, float]]:
     """(line, method, url, confidence) of HTTP client calls: a verb called on a client, with a url as its first text."""
     try:
@@ -27,10 +41,10 @@ def python_calls(text: str) -> Iterator[tuple[int, str, str, float]]:
         if not (isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr in VERBS):
             continue
         target = node.func.value
-        name = (target.id if isinstance(target, ast.Name) else target.attr if isinstance(target, ast.Attribute) else "").lower()
+        name = ast.unparse(target).lower()
         if not (name in CLIENTS or "client" in name or "session" in name):
             continue
-        for arg in [*node.args, *(k.value for k in node.keywords)]:
+        for arg in node.args:
             if isinstance(arg, ast.Constant) and isinstance(arg.value, str):
                 url, confidence = arg.value, HIGH
             elif isinstance(arg, ast.JoinedStr):
@@ -42,14 +56,24 @@ def python_calls(text: str) -> Iterator[tuple[int, str, str, float]]:
                 break
 
 
-#: Per language: an expression with the groups name, verb and url, and how to read the verb.
-_URL = r"(?:(?P<plain>@?\"https?://[^\"]*\"|'https?://[^']*')|(?P<built>\$\"https?://[^\"]*\"|`https?://[^`]*`))"
+#: Per language: an expression for a call with a url as its argument, with groups for receiver, verb and url.
+_URL = r"(?:(?P<plain>@?\"https?://[^\"]*\"|'https?://[^']*')|(?P<built>\$@?\"https?://[^\"]*\"|`https?://[^`]*`))"
 SCANNERS = {
-    "go": re.compile(r"\b(?P<name>\w*(?:http|[cC]lient)\w*)\.(?P<verb>Get|Post|Put|Delete|Patch|Head)\(\s*" + _URL + r"|\bNewRequest\w*\(\s*(?:\w+,\s*)?\"(?P<given>[A-Z]+)\",\s*\"(?P<asked>https?://[^\"]*)\""),
-    "typescript": re.compile(r"\b(?P<name>axios|http|client|api|\$)\.(?P<verb>get|post|put|delete|patch|head)(?:<[^>]*>)?\(\s*" + _URL + r"|\bfetch\(\s*(?P<asked>[\"'`]https?://[^\"'`]*[\"'`])(?:,\s*\{[^}]*method:\s*[\"'](?P<given>\w+))?"),
-    "csharp": re.compile(r"\b(?P<name>\w*[cC]lient\w*)\.(?P<verb>Get|Post|Put|Delete|Patch|GetString|GetStream|PostAsJson|PutAsJson|Download|Upload)\w*\(\s*" + _URL),
+    "go": re.compile(r"(?P<name>[\w.]+)\.(?P<verb>\w+)\(\s*" + _URL + r"|\bNewRequest\w*\(\s*(?:\w+,\s*)?\"(?P<given>[A-Z]+)\",\s*\"(?P<asked>https?://[^\"]*)\""),
+    "typescript": re.compile(r"(?P<name>[\w.$]+)\.(?P<verb>\w+)(?:<[^>]*>)?\(\s*" + _URL + r"|\bfetch\(\s*(?P<asked>[\"'`]https?://[^\"'`]*[\"'`])(?:,\s*\{[^}]*method:\s*[\"'](?P<given>\w+))?"),
+    "csharp": re.compile(r"(?P<name>[\w.]+)\.(?P<verb>\w+)(?:<[^>]*>)?\(\s*(?:[^\"()]*,\s*)?" + _URL),
 }
-_COMMENT = re.compile(r"//[^\n]*|/\*.*?\*/", re.S)
+
+
+def sent_by(language: str, receiver: str, verb: str) -> str | None:
+    """The HTTP method of a call of receiver.verb, if that is one."""
+    name, low = receiver.lower(), verb.lower()
+    if language == "csharp":
+        return SHARP_METHODS.get(low) if "client" in name or "http" in name else None
+    if language == "go":
+        return verb.upper() if low in VERBS[:6] and (name in GO_CLIENTS or "client" in name or "http" in name) else None
+    known = name in SCRIPT_CLIENTS or any(w in name for w in ("client", "http", "api"))
+    return ("GET" if low == "request" else verb.upper()) if low in (*VERBS[:6], "request") and known else None
 
 
 def without_comments(text: str) -> str:
@@ -62,10 +86,9 @@ def scanned_calls(text: str, language: str) -> Iterator[tuple[int, str, str, flo
     for m in SCANNERS[language].finditer(clean):
         g = m.groupdict()
         built, url = g.get("built"), g.get("plain") or g.get("built") or g.get("asked")
-        verb = (g.get("verb") or g.get("given") or "GET").upper()
-        verb = next((v for v in ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD") if verb.startswith(v)), {"DOWNLOAD": "GET", "UPLOAD": "POST"}.get(verb, verb))
-        confidence = MEDIUM if built or url.startswith("`") else HIGH
-        yield clean.count("\n", 0, m.start()) + 1, verb, url.lstrip("$@").strip("\"'`"), confidence
+        verb = sent_by(language, g["name"], g["verb"]) if g.get("name") else (g.get("given") or "GET").upper()
+        if verb:
+            yield clean.count("\n", 0, m.start()) + 1, verb, url.lstrip("$@").strip("\"'`"), MEDIUM if built or url.startswith("`") else HIGH
 
 
 def calls_in(text: str, language: str) -> list[tuple[int, str, str, float]]:
@@ -96,10 +119,28 @@ def queue_calls(files: DataFrame) -> DataFrame:
 
 
 def routes(files: DataFrame) -> DataFrame:
-    """(path, method, route): decorators and registrations of the usual web frameworks, by pattern."""
-    text = F.regexp_extract_all("content", F.lit(r"(?i)(?:@\w+|\b\w+)\.(get|post|put|delete|patch)\(\s*[\"']/[^\"']*[\"']"), F.lit(0))
-    rows = files.select("path", F.explode(text).alias("hit"))
-    return rows.select("path", F.upper(F.regexp_extract("hit", r"(?i)\.(get|post|put|delete|patch)\(", 1)).alias("method"), F.regexp_extract("hit", r"[\"'](/[^\"']*)[\"']", 1).alias("route"))
+    """(path, method, route): decorators, attributes and registrations of the usual web frameworks, by pattern.
+
+    `@app.get("/x")`, `router.POST("/x", ...)`; `@app.route("/x", methods=["GET", "PUT"])`, GET without methods;
+    `@Get("x")` in a `@Controller("base")`; `[HttpGet("x")]` in a class with `[Route("base")]`. A base stands before the
+    routes after it.
+    """
+    verb = "get|post|put|delete|patch"
+    called = F.regexp_extract_all("content", F.lit(rf"(?i)(?:@\w+|\b\w+)\.({verb})\(\s*[\"']/[^\"']*[\"']"), F.lit(0))
+    listed = F.regexp_extract_all("content", F.lit(r"@\w+\.route\(\s*[\"']/[^\"']*[\"'][^)]*\)"), F.lit(0))
+    # a part for each controller: what stands before the first has no base
+    parts = F.split("content", r"(?=@Controller\()|(?=\[Route\()")
+    marked = F.flatten(F.transform(parts, lambda part: F.transform(
+        F.regexp_extract_all(part, F.lit(rf"(?:@|\[Http)(?i:{verb})\((?:\s*[\"'][^\"']*[\"'])?\s*\)|\[Http(?i:{verb})\]"), F.lit(0)),
+        lambda hit: F.concat(hit, F.lit("\n"), F.regexp_extract(part, r"^(?:@Controller|\[Route)\(\s*[\"']([^\"']*)[\"']", 1)))))
+    quoted = lambda c: F.regexp_extract(c, r"[\"']([^\"']*)[\"']", 1)
+    one = files.select("path", F.explode(called).alias("hit")).select("path", F.upper(F.regexp_extract("hit", rf"(?i)\.({verb})\(", 1)).alias("method"), quoted("hit").alias("route"))
+    methods = F.filter(F.regexp_extract_all(F.upper(F.regexp_extract("hit", r"methods\s*=\s*[\[({]([^\])}]*)", 1)), F.lit(r"[A-Z]+"), F.lit(0)), lambda m: m != "")
+    many = files.select("path", F.explode(listed).alias("hit")).select("path", F.explode(F.when(F.size(methods) > 0, methods).otherwise(F.array(F.lit("GET")))).alias("method"), quoted("hit").alias("route"))
+    hit, base = F.split_part("hit", F.lit("\n"), F.lit(1)), F.split_part("hit", F.lit("\n"), F.lit(2))
+    joined = F.concat(F.lit("/"), F.array_join(F.filter(F.array(F.regexp_replace(base, "^/+|/+$", ""), F.regexp_replace(quoted(hit), "^/+|/+$", "")), lambda x: x != ""), "/"))
+    under = files.select("path", F.explode(marked).alias("hit")).select("path", F.upper(F.regexp_extract(hit, rf"(?i)({verb})", 1)).alias("method"), joined.alias("route"))
+    return one.unionByName(many).unionByName(under)
 
 
 def imports(files: DataFrame) -> DataFrame:

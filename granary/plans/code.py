@@ -80,9 +80,42 @@ def extract_imports(spark: SparkSession, sf: str) -> DataFrame:
     return X.imports(sources(spark, sf)).groupBy("module").agg(F.count("*").alias("n"))
 
 
+def _chunked(spark: SparkSession, sf: str) -> DataFrame:
+    """Each page's source, and beside its short call a function that says the page's whole html, line by line."""
+    k = F.col("page_id")
+    body = F.transform(F.split(F.regexp_replace("html", r"[^A-Za-z0-9 .\n>]", ""), "[\n>]"), lambda x: F.concat(F.lit("    say "), x))
+    opened = F.when(k % 4 == 0, F.concat(F.lit('\ndef page():\n    """\n'), F.array_join(body, "\n"), F.lit('\n    """\n')))
+    braces = F.when(k % 4 == 1, F.lit("\nfunc page() {\n")).when(k % 4 == 2, F.lit("\nfunction page() {\n")).otherwise(F.lit("\nclass Page {\n"))
+    whole = F.coalesce(opened, F.concat(braces, F.array_join(body, "\n"), F.lit("\n}\n")))
+    html = table(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html")).select("page_id", whole.alias("page"))
+    return sources(spark, sf).join(html, "page_id").select(F.col("page_id").alias("doc_id"), F.col("path").alias("uri"), "language", F.concat("content", "page").alias("text"))
+
+
+def code_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return _digest(C.code_chunks(_chunked(spark, sf), 128, 16))
+
+
 def python_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    files = sources(spark, sf).filter("language = 'python'").select(F.col("page_id").alias("doc_id"), F.col("path").alias("uri"), F.col("content").alias("text"))
-    return _digest(C.python_chunks(files))
+    return _digest(C.code_chunks(_chunked(spark, sf).filter("language = 'python'"), 128, 16))
+
+
+def talk_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as export JSON, as an object with messages, as lines, or as plain text, and parsed."""
+    t = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.translate("text", "\n:", "  ").alias("text"))
+    item = F.struct("turn", F.struct(F.when(F.col("turn") != 1, "message").otherwise("join").alias("type"), F.when(F.col("turn") % 2 == 0, F.col("role")).alias("user"), F.col("role").alias("username"), "text", F.col("turn").cast("string").alias("ts")).alias("m"), F.concat("role", F.lit(": "), "text").alias("line"))
+    talks = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("l"))
+    listed = F.transform("l", lambda x: x.m)
+    k = F.col("conv_id") % 4
+    content = F.when(k == 0, F.to_json(listed)).when(k == 1, F.to_json(F.struct(listed.alias("messages")))).when(k == 2, F.array_join(F.transform("l", lambda x: x.line), "\n")).otherwise(F.concat(F.lit("  "), F.get("l", 0)["m"]["text"], F.lit("\n")))
+    made = talks.select(F.concat(F.lit("talk://"), "conv_id").alias("uri"), F.col("conv_id").alias("doc_id"), content.alias("content"))
+    return C.messages(made).select("doc_id", "pos", F.unix_timestamp("ts").alias("ts"), "speaker", "text")
+
+
+def confidences(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages")
+    kind = F.element_at(F.array(*map(F.lit, ("string", "formatted_string", "template_string", "identifier"))), (F.col("page_id") % 4 + 1).cast("int"))
+    url = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", "^https?://", "")).otherwise(F.col("url"))
+    return p.select("page_id", X.confidence(url, kind).alias("confidence"))
 
 
 def extract_routes(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,7 +173,22 @@ QUERIES = {
         extract_imports,
         """WITH m AS (SELECT unnest(CASE page_id % 4 WHEN 0 THEN ['os', 'http_tools.client'] WHEN 1 THEN ['net/http'] WHEN 2 THEN ['axios'] ELSE ['System.Net'] END) AS module FROM pages) SELECT module, count(*) AS n FROM m GROUP BY 1""",
     ),
+    "code_chunks": (code_chunks, None),
     "python_chunks": (python_chunks, None),
+    "talk_messages": (
+        talk_messages,
+        r"""WITH t AS (SELECT conv_id, turn, role, regexp_replace(text, '[\n:]', ' ', 'g') AS text FROM conversations),
+        j AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, CAST(turn AS BIGINT) AS ts, role, text FROM t WHERE conv_id % 4 < 2 AND turn <> 1),
+        l AS (SELECT conv_id, turn, role, trim(text) AS text FROM t WHERE conv_id % 4 = 2 AND regexp_matches(text, '\S')),
+        w AS (SELECT conv_id, arg_min(text, turn) AS text FROM t WHERE conv_id % 4 = 3 GROUP BY 1)
+        SELECT conv_id AS doc_id, CAST(pos AS INTEGER) AS pos, ts, role AS speaker, text FROM j UNION ALL
+        SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER), NULL, role, text FROM l UNION ALL
+        SELECT conv_id, 0, NULL, 'unknown', regexp_replace(text, '^\s+|\s+$', '', 'g') FROM w WHERE regexp_matches(text, '\S')""".replace("\\\\", "\\"),
+    ),
+    "confidences": (
+        confidences,
+        """SELECT page_id, CASE WHEN page_id % 4 = 0 AND page_id % 3 <> 0 THEN 0.9::DOUBLE WHEN page_id % 4 IN (1, 2) THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM pages""",
+    ),
     "extract_routes": (extract_routes, "SELECT CASE WHEN l_linenumber = 1 THEN 'GET' ELSE 'POST' END AS method, '/parts/{id}/' || l_suppkey AS route, count(*) AS n FROM lineitem GROUP BY ALL"),
     "extract_names": (
         extract_names,

@@ -75,14 +75,32 @@ def test_line_chunks_cover_the_text(spark):
     assert [(r.start, r.end, r.text) for r in rows if r.doc_id > 1] == [(0, 0, ""), (0, 0, "")]
 
 
-def test_python_chunks(spark):
-    code = "import os\n\nclass A:\n    def f(self):\n        return 1\n\nif True:\n    def g():\n        return 2\n"
-    docs = spark.createDataFrame([(1, "a.py", code), (2, "b.py", "x = ("), (3, "test_c.py", "import os\n")], "doc_id long, uri string, text string")
-    rows = chunking.python_chunks(docs).orderBy("doc_id", "ordinal").collect()
-    assert [(r.doc_id, r.kind, r.name) for r in rows] == [(1, "class", "A"), (1, "function", "g"), (2, "segment", "<file_segment>"), (3, "segment", "<file_segment>")]
-    assert rows[0].text.startswith("class A") and rows[1].text == code[rows[1].start : rows[1].end]
-    small = chunking.python_chunks(docs, 6, 0).filter("doc_id = 1").collect()
-    assert {r.kind for r in small} == {"partial"} and {r.name for r in small} == {"A_part", "g_part"}
+def test_code_chunks(spark):
+    code = "import os\n\nclass A:\n    def f(self):\n        return 1\n\nif True:\n    def g():\n        return 2\n\n@cached\ndef é():\n    return 3\n"
+    go = 'package a\n\ntype ID string\n\nfunc Run(x interface{}) error {\n\ts := "}" // }\n\treturn nil\n}\n\nfunc (t *T) Do() {\n}\n'
+    ts = "import x\n\nexport async function load(a: {b: number}[] = []) {\n  return `}`\n}\n\nexport class Box {\n  get() { return 1 }\n}\n"
+    cs = "namespace N\n{\n    [Serializable]\n    public sealed class Box : IBox\n    {\n        void Do() { }\n    }\n    struct P { int x; }\n}\n"
+    rows = [(1, "a.py", code, "python"), (2, "b.py", "x = (", "python"), (3, "test_c.py", "import os\n", "python"), (4, "a.go", go, "go"), (5, "a.ts", ts, "typescript"), (6, "a.cs", cs, "csharp"), (7, "a.rs", "fn f() {}", "rust"), (8, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, uri string, text string, language string")
+    out = chunking.code_chunks(docs).orderBy("doc_id", "ordinal").collect()
+    segment, anonymous = ("segment", "<file_segment>"), "<anonymous>"
+    found = {k: [(r.kind, r.name) for r in out if r.doc_id == k] for k in range(1, 9)}
+    assert found[1] == [("class", "A"), ("function", "g"), ("function", anonymous)] and all(found[k] == [segment] for k in (2, 3, 7, 8))
+    assert found[4] == [("type", anonymous), ("function", "Run"), ("function", anonymous)]
+    assert found[5] == [("function", "load"), ("class", anonymous)] and found[6] == [("class", "Box"), ("struct", "P")]
+    texts = {r[0]: r[2] for r in rows}
+    assert all(texts[r.doc_id].encode()[r.start : r.end].decode() == r.text for r in out if r.doc_id < 8)
+    assert [r.text for r in out if r.doc_id == 1][2].startswith("@cached") and [r.text for r in out if r.doc_id == 4][1].endswith("return nil\n}")
+    small = chunking.code_chunks(docs, 6, 0).filter("doc_id = 1").collect()
+    assert {r.name for r in small} == {"A_part", "g_part", "<anonymous>_part"}
+
+
+def test_messages(spark):
+    texts = ['[{"type": "message", "user": "u", "text": "a", "ts": "1.5", "thread_ts": "t"}, {"type": "join"}, 3, {"type": "message", "username": "b"}]', '{"messages": [{"type": "message", "text": "x", "ts": "no"}]}', "Ann: hi\nno name\nBob:  there", "just text ", " ", None, "[]"]
+    rows = chunking.messages(spark.createDataFrame([("u", k, t) for k, t in enumerate(texts)], "uri string, doc_id long, content string")).orderBy("doc_id", "pos").collect()
+    got = [(r.doc_id, r.thread, r.speaker, r.text) for r in rows]
+    assert got == [(0, "t", "u", "a"), (0, None, "b", ""), (1, None, "unknown", "x"), (2, None, "Ann", "hi"), (2, None, "no name\nBob", "there"), (3, None, "unknown", "just text")]
+    assert [r.ts is not None for r in rows] == [True, False, False, False, False, False]
 
 
 def test_markdown(spark):
@@ -211,6 +229,9 @@ def test_workers(spark):
         ("python", '"""requests.get("http://a/b")"""\n# requests.get("http://a/b")\nrequests.get("http://localhost/x")\nd.get("http://a/b")', []),
         ("go", 'resp, err := http.Get("http://s/x")\nreq, _ := http.NewRequest("PUT", "http://s/y", nil)\n// http.Get("http://no/x")', [(1, "GET", "http://s/x", 0.9), (2, "PUT", "http://s/y", 0.9)]),
         ("typescript", "fetch('http://s/x', { method: 'DELETE' });\nawait axios.post(`http://s/${id}`);\nfetch(\"http://s/z\")", [(1, "DELETE", "http://s/x", 0.9), (2, "POST", "http://s/${id}", 0.7), (3, "GET", "http://s/z", 0.9)]),
+        ("python", 's.get("http://a-api/x")\nself.http_client.put("http://b/y")\nd.get("http://a/b")\nurllib.head("http://c/z", x)', [(1, "GET", "http://a-api/x", 0.9), (2, "PUT", "http://b/y", 0.9), (4, "HEAD", "http://c/z", 0.9)]),
+        ("csharp", '_http.SendAsync("http://s/x");\nhttp.PutAsync(@"http://s/y");\nw.DownloadString("http://no/x");\nwebClient.UploadData("http://s/z", d);\nclient.Fetch("http://no/y");', [(1, "GET", "http://s/x", 0.9), (2, "PUT", "http://s/y", 0.9), (4, "POST", "http://s/z", 0.9)]),
+        ("typescript", 'superagent.put("http://s/x"); userApi.request("http://s/y"); map.get("http://no/x")', [(1, "PUT", "http://s/x", 0.9), (1, "GET", "http://s/y", 0.9)]),
         ("csharp", 'var r = await _client.GetAsync("http://s/x");\nclient.PostAsync($"http://s/{id}");\n/* client.GetAsync("http://n/x") */', [(1, "GET", "http://s/x", 0.9), (2, "POST", "http://s/{id}", 0.7)]),
     ],
 )
