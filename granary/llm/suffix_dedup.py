@@ -87,13 +87,21 @@ def pack(core: np.ndarray, part: np.ndarray, low: np.ndarray, high: np.ndarray)
     return core << 24 | part << 16 | low << 8 | high
 
 
-def all_blocks(texts: DataFrame, length: int) -> DataFrame:
+def coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with CODE bytes of its hash in place of each word. A-Z count as lower case; a character of a script without
+    spaces is a word."""
+    hashes, _, _, first = word_hashes(data, offsets, SPACES, NO_SPACES)
+    return (hashes >> np.uint64(32)).astype("<u4").view(np.uint8), first * CODE
+
+
+def all_blocks(texts: DataFrame, length: int, by_words: bool) -> DataFrame:
     """(h, f, rk, rk2, place) of each block: h for its core, f for all bytes that its windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, more = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, hi, data, offsets in utf8_blocks(batch.column(2)):
+                data, offsets = coded(data, offsets) if by_words else (data, offsets)
                 row, h, core, part, low, high = block_rows(data, offsets, length, GRAM, BLOCK)
                 raw, at = memoryview(np.ascontiguousarray(data)), core + offsets[row]
                 seeds = part << 16 | low << 8 | high
@@ -107,7 +115,7 @@ def all_blocks(texts: DataFrame, length: int) -> DataFrame:
 CONTEXT = "h long, k long, f long, n long, low int, high int, left binary, right binary"
 
 
-def contexts(classes: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+def contexts(classes: DataFrame, texts: DataFrame, length: int, by_words: bool) -> DataFrame:
     """CONTEXT rows for classes (h, f, n, rk, rk2, place): k is a second hash of the core; left and right are the
     bytes beside the core that the block's windows use."""
 
@@ -116,6 +124,8 @@ def contexts(classes: DataFrame, texts: DataFrame, length: int) -> DataFrame:
             rows = []
             for text, found in zip(batch.column(0).cast(pa.binary()), batch.column(1)):
                 raw = text.as_py() or b""
+                if by_words:
+                    raw = coded(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tobytes()
                 for c in found.as_py():
                     core, part, low, high = c["place"] >> 24, c["place"] >> 16 & 255, c["place"] >> 8 & 255, c["place"] & 255
                     end = core - BLOCK + 1 + length
@@ -284,9 +294,11 @@ def resolve(rows: DataFrame, block: int, scratch: list[DataFrame]) -> DataFrame:
     return out.unionByName(back.selectExpr("h0 as h", "k0 as k", "f0 as f", "low + base as low", "high + base as high"))
 
 
-def repeated_starts(texts: DataFrame, length: int) -> DataFrame:
-    """(rk, rk2, first, last): runs of starts that repeat, for texts (rk, rk2, text). Written in the shared folder."""
-    blocks = stored(all_blocks(texts, length), "suffix-blocks")
+def repeated_starts(texts: DataFrame, length: int, by_words: bool = False) -> DataFrame:
+    """(rk, rk2, first, last): runs of starts that repeat, for texts (rk, rk2, text). Written in the shared folder.
+    by_words: length and starts count words."""
+    length = length * CODE if by_words else length
+    blocks = stored(all_blocks(texts, length, by_words), "suffix-blocks")
     # stored, so that the join has a shuffle on both sides, which Spark can split where a core is very frequent
     twice = stored(blocks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "suffix-twice")
     kept = stored(blocks.join(twice, "h", "left_semi"), "suffix-kept")
@@ -295,7 +307,7 @@ def repeated_starts(texts: DataFrame, length: int) -> DataFrame:
     classes = stored(kept.groupBy("h", "f").agg(F.count("*").alias("n"), first).select("h", "f", "n", "first.*"), "suffix-classes")
     several = stored(classes.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h"), "suffix-several")
     unclear = classes.join(several, "h", "left_semi")
-    rows = stored(contexts(unclear, texts, length), "suffix-contexts")
+    rows = stored(contexts(unclear, texts, length, by_words), "suffix-contexts")
     scratch: list[DataFrame] = []
     ranges = resolve(rows, BLOCK, scratch).select("h", "f", "low", "high")
     low, high = F.shiftright("place", 8).bitwiseAND(255).cast("int"), F.col("place").bitwiseAND(255).cast("int")
@@ -303,32 +315,13 @@ def repeated_starts(texts: DataFrame, length: int) -> DataFrame:
     discard(classes, several, rows, *scratch)
     core = F.shiftright("place", 24)
     runs = kept.join(parts, ["h", "f"]).select("rk", "rk2", (core - F.col("high")).alias("first"), (core - F.col("low")).alias("last"))
+    if by_words:
+        runs = runs.selectExpr("rk", "rk2", f"(first + {CODE - 1}) div {CODE} as first", f"last div {CODE} as last").filter("first <= last")
     done = stored(runs, "suffix-runs")
     discard(kept, parts)
     return done
 
 
-def word_codes(texts: DataFrame) -> DataFrame:
-    """(rk, rk2, text): CODE bytes of its hash in place of each word. A-Z count as lower case; a character of a script
-    without spaces is a word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in utf8_blocks(batch.column(2)):
-                hashes, _, _, first = word_hashes(data, offsets, SPACES, NO_SPACES)
-                raw = pa.py_buffer((hashes >> np.uint64(32)).astype("<u4").tobytes())
-                coded = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((first * CODE).astype(np.int32).tobytes()), raw])
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:2], coded], names=["rk", "rk2", "text"])
-
-    return texts.select("rk", "rk2", "text").transform(mapped, run, "rk long, rk2 int, text binary")
-
-
-def repeated_words(texts: DataFrame, words: int) -> DataFrame:
-    """As repeated_starts, with strings of so many words, and words counted in place of bytes."""
-    runs = repeated_starts(word_codes(texts), words * CODE)
-    return runs.selectExpr("rk", "rk2", f"(first + {CODE - 1}) div {CODE} as first", f"last div {CODE} as last").filter("first <= last")
-
-
 def merged(runs: list[dict] | None, length: int) -> list[list[int]]:
     """Disjoint spans of what the runs of starts cover."""
     out: list[list[int]] = []
@@ -354,7 +347,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep: tuple[str, ...] = ("doc_i
     """
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), *keep).withColumn("rk", F.xxhash64(docs["doc_id"], "text")).withColumn("rk2", F.hash(docs["doc_id"], "text"))
     joined = texts
-    for name, found in (("runs", None if by_words else repeated_starts(texts, length)), ("passages", repeated_words(texts, words) if words else None)):
+    for name, found in (("runs", None if by_words else repeated_starts(texts, length)), ("passages", repeated_starts(texts, words, by_words=True) if words else None)):
         if found is None:
             joined = joined.withColumn(name, F.lit(None).cast("array<struct<first: long, last: long>>"))
         else:
