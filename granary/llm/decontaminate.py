@@ -1,8 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 The n-grams of all test items are counted over the whole corpus. An item's seeds are its n-grams that are rare
-there. Passages around seed hits are aligned with the item, word by word, so that edited and paraphrased copies
-score by what they keep. Items are taken in blocks of bounded size, each block against all texts.
+there. Seeds are joined with the n-grams of all texts, by a shuffle. Where a text has seeds of an item, the passages
+around them are aligned with it, word by word, so that edited and paraphrased copies score by what they keep.
+
+Of a text's n-grams only those go into a shuffle whose bit is set in a bitmap of fixed size, which has the bits of all
+n-grams asked for. Neither items nor texts pass through the driver.
 """
 
 from __future__ import annotations
@@ -12,10 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import NOT_WORD, mapped, shingle_hashes, table, utf8_blocks, word_hashes
+from granary.llm.common import NOT_WORD, discard, mapped, shingle_hashes, stored, table, utf8_blocks, word_hashes
 
 GRAM = 3
 #: An n-gram is rare if it occurs at most so often, or if at most this share of the corpus's n-grams are it; of the
@@ -25,91 +29,111 @@ RARE_COUNT, RARE, FEWEST = 100, 2e-5, 8
 MATCH, DIFFER, GAP = 2, -1, 1
 #: Share of the points of an exact copy from which on a passage counts as one.
 THRESHOLD = 0.5
-#: Items of fewer words are no evidence, and are not searched.
+#: Items of fewer words have no n-grams as seeds: all their words in a row are their one seed, and only an exact copy
+#: counts. Those of fewer than GRAM words match only texts of the very same words.
 MIN_WORDS = 8
-#: N-grams of a block of items; what is broadcast holds some 50 bytes for each.
-BLOCK_GRAMS = 200_000
-#: Alignments made at once.
-BATCH = 256
-
-
-class Items:
-    """A block of test items: word hashes, and an index of their n-grams."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.ids = [i for i, _ in rows]
-        lowered = pc.utf8_lower(pa.array([t for _, t in rows], pa.string()))
-        self.words: list[np.ndarray] = []
-        for lo, hi, data, offsets in utf8_blocks(lowered):
-            words, _, _, first = word_hashes(data, offsets, NOT_WORD)
-            self.words += [words[first[d] : first[d + 1]] for d in range(hi - lo)]
-        grams = [shingle_hashes(w, GRAM) if len(w) >= MIN_WORDS else w[:0] for w in self.words]
-        self.item = np.repeat(np.arange(len(rows)), [len(g) for g in grams])
-        self.offset = np.concatenate([np.arange(len(g)) for g in grams] or [np.zeros(0, np.int64)])
-        gram = np.concatenate(grams or [np.zeros(0, np.uint64)])
-        order = np.argsort(gram, kind="stable")
-        self.gram, self.item, self.offset = gram[order], self.item[order], self.offset[order]
-        self.index()
-
-    def index(self) -> None:
-        self.keys, self.first = np.unique(self.gram, return_index=True)
-        self.first = np.append(self.first, len(self.gram))
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[self.keys >> np.uint64(42)] = True
-
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in grams that hold an indexed n-gram, and which."""
-        at = np.flatnonzero(self.maybe[grams >> np.uint64(42)])
-        if not len(at) or not len(self.keys):
-            return at[:0], at[:0]
-        key = np.minimum(np.searchsorted(self.keys, grams[at]), len(self.keys) - 1)
-        good = self.keys[key] == grams[at]
-        return at[good], key[good]
-
-    def keep_rare(self, counts: np.ndarray, total: int) -> None:
-        """From now on only seeds are indexed. counts: of each key in the corpus of total n-grams."""
-        count = np.repeat(counts, np.diff(self.first))
-        occurs = count > 0
-        self.gram, self.item, self.offset, count = self.gram[occurs], self.item[occurs], self.offset[occurs], count[occurs]
-        order = np.lexsort((self.gram, count, self.item))
-        start = np.searchsorted(self.item[order], self.item[order], "left")
-        nth = np.empty(len(order), np.int64)
-        nth[order] = np.arange(len(order)) - start
-        seed = (count <= max(RARE_COUNT, RARE * total)) | (nth < FEWEST)
-        self.gram, self.item, self.offset = self.gram[seed], self.item[seed], self.offset[seed]
-        self.index()
-
-
-def text_grams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Block by block: first row, words, each row's first word, and n-grams; those over a row's end are left out of use."""
-    for lo, _, data, offsets in utf8_blocks(pc.utf8_lower(pc.fill_null(column, ""))):
+#: Bits of the bitmap, as a power of two, and of its parts.
+BITS, PART = 22, 1 << 15
+#: Alignments made at once, and those that wait for it.
+BATCH, WAITING = 256, 4096
+
+
+def text_words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Block by block: rows [lo, hi), hashes of their words in lower case, and each row's first word."""
+    for lo, hi, data, offsets in utf8_blocks(pc.utf8_lower(pc.fill_null(column, ""))):
         words, _, _, first = word_hashes(data, offsets, NOT_WORD)
-        yield lo, words, first, shingle_hashes(words, GRAM)
+        yield lo, hi, words, first
+
+
+def grams_of(words: np.ndarray, first: np.ndarray, sizes: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each size: the runs of so many words inside a row, and the place of their first word. A size under GRAM
+    means rows of exactly so many words."""
+    own = np.diff(first)
+    for n in sizes:
+        grams = shingle_hashes(words, n)
+        row = np.repeat(np.arange(len(own)), own)[: len(grams)]
+        place = np.arange(len(grams))
+        inside = place + n <= first[row + 1] if n >= GRAM else own[row] == n
+        yield grams[inside], place[inside]
+
+
+def item_grams(items: DataFrame) -> DataFrame:
+    """(ik, n_words, gram, place) of items (ik, text): of a short item, one run with all its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, words, first in text_words(batch.column(1)):
+                own = np.diff(first)
+                sizes = [n for n in range(1, MIN_WORDS) if (own == n).any()]
+                found = []
+                for n in sorted({GRAM, *sizes}):
+                    for grams, place in grams_of(words, first, [n]):
+                        row = np.searchsorted(first, place, "right") - 1
+                        good = (own[row] >= MIN_WORDS) & (n == GRAM) | (own[row] == n) & (own[row] < MIN_WORDS)
+                        found.append((row[good], grams[good], (place - first[row])[good]))
+                row, gram, place = (np.concatenate(x) for x in zip(*found))
+                key = batch.column(0).slice(lo, hi - lo).to_numpy()[row]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own[row]), pa.array(gram.view(np.int64)), pa.array(place)], names=["ik", "n_words", "gram", "place"])
+
+    return items.select("ik", "text").transform(mapped, run, "ik long, n_words long, gram long, place long")
+
+
+class Wanted:
+    """The bits of wanted n-grams, and the sizes in words that they have."""
+
+    def __init__(self, grams: DataFrame):
+        """grams: (n_words, gram). What is read are 128 parts of the bitmap and a row for each size of short items."""
+        bit = F.shiftrightunsigned("gram", 64 - BITS).cast("long")
+        parts = grams.groupBy(F.floor(bit / PART).alias("part")).agg(F.bitmap_construct_agg(bit % PART).alias("bits")).collect()
+        self.bits = np.zeros(1 << BITS, bool)
+        for r in parts:
+            self.bits[r["part"] * PART : (r["part"] + 1) * PART] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")[:PART]
+        short = grams.filter(F.col("n_words") < MIN_WORDS).select("n_words").distinct().collect()
+        self.sizes = sorted({GRAM, *(r["n_words"] for r in short)})
+
+    def __getstate__(self) -> dict:
+        return {"sizes": self.sizes, "bits": np.packbits(self.bits)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.sizes, self.bits = state["sizes"], np.unpackbits(state["bits"]).astype(bool)
+
+    def among(self, grams: np.ndarray) -> np.ndarray:
+        return self.bits[grams >> np.uint64(64 - BITS)]
+
 
+def gram_counts(texts: DataFrame, wanted: Broadcast) -> DataFrame:
+    """(gram, n): how often each n-gram whose bit is wanted occurs in the texts; a null gram has the number of all."""
 
-def gram_counts(texts: DataFrame, items: Items) -> tuple[np.ndarray, int]:
-    """How often each indexed n-gram occurs in the corpus, and the number of all n-grams; a row for each of a block's n-grams."""
-    shared = texts.sparkSession.sparkContext.broadcast(items)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, total = wanted.value, 0
+        for batch in batches:
+            for _, _, words, first in text_words(batch.column(0)):
+                found = []
+                for n, (grams, _) in zip(w.sizes, grams_of(words, first, w.sizes)):
+                    total += len(grams) if n == GRAM else 0
+                    found.append(grams[w.among(grams)])
+                gram, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], names=["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], names=["gram", "n"])
+
+    return texts.select("text").transform(mapped, run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def gram_places(texts: DataFrame, wanted: Broadcast) -> DataFrame:
+    """(gram, rk, rk2, place) of the n-grams in texts (rk, rk2, text) whose bit is wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = np.zeros(len(shared.value.keys), np.int64), 0
+        w = wanted.value
         for batch in batches:
-            for _, _, first, grams in text_grams(batch.column(0)):
-                at, key = shared.value.hits(grams)
-                row_end = first[np.searchsorted(first, at, "right")]
-                own += np.bincount(key[at + GRAM <= row_end], minlength=len(own))
-                total += int(np.maximum(np.diff(first) - GRAM + 1, 0).sum())
-        seen = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(own[seen], total))], names=["key", "n"])
-
-    counts = np.zeros(len(items.keys), np.int64)
-    total = 0
-    for row in texts.select("text").transform(mapped, run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toLocalIterator():
-        if row["key"] < 0:
-            total = row["n"]
-        else:
-            counts[row["key"]] = row["n"]
-    return counts, total
+            keys, more = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo, _, words, first in text_words(batch.column(2)):
+                for grams, place in grams_of(words, first, w.sizes):
+                    hit = w.among(grams)
+                    gram, place = grams[hit], place[hit]
+                    row = np.searchsorted(first, place, "right") - 1
+                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(keys[lo + row]), pa.array(more[lo + row]), pa.array(place - first[row])], names=["gram", "rk", "rk2", "place"])
+
+    return texts.select("rk", "rk2", "text").transform(mapped, run, "gram long, rk long, rk2 int, place long")
 
 
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
@@ -134,72 +158,76 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
     return best / (MATCH * np.array([len(a) for a in items]))
 
 
-def contaminated(texts: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, score, seeds) for each text and test item with a passage that scores threshold or more.
-
-    score: of the best passage, 1 for an exact copy. seeds: hits of the item's seeds in the text. Null and empty
-    texts and items, and items under MIN_WORDS words, match nothing; an empty benchmark gives an empty result.
-    Repeated rows of either table are judged one by one.
-    """
-    spark = texts.sparkSession
-    kinds = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, item_id long, score double, seeds long"
-    out, rows, size = spark.createDataFrame([], kinds), [], 0
-    for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
-        rows.append((row["item_id"], row["text"] or ""))
-        size += len(rows[-1][1]) // 4
-        if size >= BLOCK_GRAMS:
-            out, rows, size = out.unionByName(_block(texts, Items(rows), threshold, kinds)), [], 0
-    return out.unionByName(_block(texts, Items(rows), threshold, kinds)) if rows else out
+def windows(diagonals: list[int], size: int, n: int) -> Iterator[tuple[int, int]]:
+    """Passages of a text of n words to be aligned with an item of size words: each holds hits whose diagonals (places in
+    the text if the item begins there) are at most half an item apart."""
+    head = None
+    for d in sorted(diagonals):
+        if head is None or d - head > size // 2:
+            head = d
+            yield max(0, d - size // 4 - 2), min(n, d + size + size // 2 + size // 4 + 2)
 
 
-def _block(texts: DataFrame, items: Items, threshold: float, kinds: str) -> DataFrame:
-    items.keep_rare(*gram_counts(texts, items))
-    shared = texts.sparkSession.sparkContext.broadcast(items)
+def aligned(texts: DataFrame, threshold: float, id_kind: str) -> DataFrame:
+    """(doc_id, item_id, score, seeds) of rows (doc_id, text, found: item_id, its text, diagonals, seeds)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
-        sizes = np.array([len(w) for w in block.words], np.int64)
         for batch in batches:
-            found: dict[tuple[int, int], list] = {}
-            waiting: list[tuple[int, int, np.ndarray]] = []
+            found: dict[tuple[int, int], list] = {}  # row and number of the item: item_id, best score, seeds
+            waiting: list[tuple[tuple[int, int], np.ndarray, np.ndarray]] = []
 
             def settle() -> None:
-                waiting.sort(key=lambda w: len(w[2]))
+                waiting.sort(key=lambda w: (len(w[2]), len(w[1])))
                 for lo in range(0, len(waiting), BATCH):
                     some = waiting[lo : lo + BATCH]
-                    for (row, item, _), score in zip(some, align([block.words[w[1]] for w in some], [w[2] for w in some])):
-                        found[row, item][0] = max(found[row, item][0], float(score))
+                    for (key, item, _), score in zip(some, align([w[1] for w in some], [w[2] for w in some])):
+                        if len(item) >= MIN_WORDS or score == 1:  # a short item counts as a whole only
+                            found[key][1] = max(found[key][1], float(score))
                 waiting.clear()
 
-            for lo, words, first, grams in text_grams(batch.column(1)):
-                at, key = block.hits(grams)
-                row = np.searchsorted(first, at, "right") - 1
-                inside = at + GRAM <= first[row + 1]
-                at, key, row = at[inside], key[inside], row[inside]
-                many = block.first[key + 1] - block.first[key]
-                hit = np.repeat(np.arange(len(at)), many)
-                entry = np.repeat(block.first[key], many) + np.arange(len(hit)) - np.repeat(np.cumsum(many) - many, many)
-                item, diagonal, row = block.item[entry], at[hit] - block.offset[entry], row[hit]
-                order = np.lexsort((diagonal, item, row))
-                item, diagonal, row = item[order], diagonal[order], row[order]
-                head = None  # a window holds hits whose diagonals are at most half an item apart
-                for r, i, d in zip(row.tolist(), item.tolist(), diagonal.tolist()):
-                    found.setdefault((lo + r, i), [0.0, 0])[1] += 1
-                    if head and head[:2] == (r, i) and d - head[2] <= sizes[i] // 2:
-                        continue
-                    head = (r, i, d)
-                    pad = int(sizes[i]) // 4 + 2
-                    waiting.append((lo + r, i, words[max(int(first[r]), d - pad) : min(int(first[r + 1]), d + int(sizes[i]) + int(sizes[i]) // 2 + pad)]))
-                    if len(waiting) >= 4096:
-                        settle()
+            for lo, hi, words, first in text_words(batch.column(1)):
+                for k in range(lo, hi):
+                    own = words[first[k - lo] : first[k - lo + 1]]
+                    rows = batch.column(2)[k].as_py()
+                    said = pa.array([r["item"] for r in rows], pa.string())
+                    items = [w[f[j] : f[j + 1]] for a, b, w, f in text_words(said) for j in range(b - a)]
+                    for j, (r, item) in enumerate(zip(rows, items)):
+                        found[k, j] = [r["item_id"], 0.0, r["seeds"]]
+                        waiting.extend(((k, j), item, own[a:b]) for a, b in windows(r["diagonals"], len(item), len(own)))
+                        if len(waiting) >= WAITING:
+                            settle()
             settle()
-            good = sorted((row, item, score, seeds) for (row, item), (score, seeds) in found.items() if score >= threshold)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array([g[0] for g in good], pa.int64())), pa.array([block.ids[g[1]] for g in good], pa.int64()), pa.array([g[2] for g in good], pa.float64()), pa.array([g[3] for g in good], pa.int64())],
-                names=["doc_id", "item_id", "score", "seeds"],
-            )
+            good = [(k, *v) for (k, _), v in sorted(found.items()) if v[1] >= threshold]
+            columns = list(zip(*good)) if good else [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], (pa.int64(), pa.float64(), pa.int64())))], names=["doc_id", "item_id", "score", "seeds"])
+
+    return texts.select("doc_id", "text", "found").transform(mapped, run, f"doc_id {id_kind}, item_id long, score double, seeds long")
 
-    return texts.select("doc_id", "text").transform(mapped, run, kinds)
+
+def contaminated(texts: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, item_id, score, seeds) for each text and test item with a passage that scores threshold or more.
+
+    score: of the best passage, 1 for an exact copy. seeds: hits of the item's seeds in the text. Null and empty
+    texts and items match nothing; an item under MIN_WORDS words matches exact copies of all its words only. An
+    empty benchmark gives an empty result. Repeated rows of the texts are judged one by one; repeated rows of the
+    benchmark count once.
+    """
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).withColumn("ik", F.xxhash64("item_id", "item")).filter("item is not null").distinct()
+    keyed = texts.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rk"), F.hash("doc_id", "text").alias("rk2"))
+    grams = stored(item_grams(items.select("ik", F.col("item").alias("text"))), "leaks-grams")
+    shared: Broadcast = texts.sparkSession.sparkContext.broadcast(Wanted(grams))
+    counts = stored(gram_counts(keyed, shared), "leaks-counts")
+    total = counts.filter("gram is null").select(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rarest = Window.partitionBy("ik").orderBy("n", "gram", "place")  # over one item's n-grams
+    ranked = grams.join(counts, "gram").withColumn("nth", F.row_number().over(rarest))
+    chosen = (F.col("n") <= max(RARE_COUNT, RARE * total)) | (F.col("nth") <= FEWEST)
+    seeds = stored(ranked.filter(chosen).select("ik", "n_words", "gram", F.col("place").alias("offset")), "leaks-seeds")
+    shared = texts.sparkSession.sparkContext.broadcast(Wanted(seeds))
+    met = gram_places(keyed, shared).join(seeds, "gram").groupBy("rk", "rk2", "ik").agg(F.collect_set(F.col("place") - F.col("offset")).alias("diagonals"), F.count("*").alias("seeds"))
+    per_text = met.join(items, "ik").groupBy("rk", "rk2").agg(F.collect_list(F.struct("item_id", "item", "diagonals", "seeds")).alias("found"))  # at most what a text's own n-grams hit
+    found = stored(per_text, "leaks-found")
+    discard(grams, counts, seeds)
+    return aligned(keyed.join(found, ["rk", "rk2"]), threshold, texts.schema["doc_id"].dataType.simpleString())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

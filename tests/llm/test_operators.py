@@ -479,6 +479,34 @@ def test_decontamination_finds_edited_copies(spark, awkward_docs):
     assert decontaminate.contaminated(awkward_docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_against_exhaustive_alignment(spark):
+    """All texts aligned with all items, whatever they share: hardly a passage that counts is without a seed."""
+    rng = random.Random(18)
+    items = [(k, words(rng, rng.randrange(8, 40), 600)) for k in range(12)]
+    docs = []
+    for k in range(150):
+        text = words(rng, rng.randrange(0, 120), 600).split()
+        if k % 2:
+            edited = items[k % 12][1].split()
+            for at in rng.sample(range(len(edited)), len(edited) * (k % 9) // 10):
+                edited[at] = f"w{rng.randrange(600)}"
+            text[len(text) // 2 : len(text) // 2] = edited
+        docs.append((k, " ".join(text)))
+    table = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(table(docs, "doc_id"), table(items, "item_id")).collect()}
+    plain = {(k, i): s for k, t in docs for i, a in items if (s := plain_alignment(a.split(), t.split())) >= decontaminate.THRESHOLD}
+    assert set(got) <= set(plain) and len(got) >= 0.9 * len(plain)
+    assert sum(abs(got[key] - plain[key]) < 1e-9 for key in got) >= 0.97 * len(got)
+
+
+def test_short_items_match_exact_copies(spark):
+    items = [(1, "Alpha beta gamma delta"), (2, "go now"), (3, "one two three four five six seven"), (4, "one two three four five six seven eight")]
+    docs = [(1, "x alpha, BETA gamma delta y"), (2, "alpha beta other gamma delta"), (3, "Go now!"), (4, "they go now"), (5, "zero one two three four five six seven eight nine"), (6, "one two three four six seven")]
+    table = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table(docs, "doc_id"), table(items, "item_id")).collect()}
+    assert got == {(1, 1), (3, 2), (5, 3), (5, 4), (6, 4)}
+
+
 def test_url_filters(spark):
     urls = [None, "", "nothing", "http://Example.COM/en/7x?q", "https://a.example.com/en/8#x", "https://notexample.com/en/9", "http://b.net/de/1", "http://x.example.net/de/8", "http://x.org/es", "http://x.org/es/",
             "http://x.org?u=/es/", "https://play.casino.example.org/fr/", "https://casino-history.example.org/casino/history/", "ftp://a://b.com/en/1", "http://x.io/CGI-BIN/x", "http://x.io/cgi-bin", "http://big-casinos.io/", "http://example.com/EN/7"]
