@@ -173,3 +173,16 @@ def file_uri(path: Column) -> Column:
 
 def uri_path(uri: Column) -> Column:
     return F.replace(F.regexp_replace(uri, "^file://", ""), F.lit("%20"), F.lit(" "))
+
+
+def mentions(text: Column) -> Column:
+    """Words that begin with @, in order."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"@[A-Za-z0-9_.-]+"), F.lit(0))
+
+
+def hover_text(contents: Column) -> Column:
+    """Hover contents as JSON: a string, an object with a value, or a list of either, its items joined by line ends."""
+    value = lambda c: F.when(c.startswith("{"), F.coalesce(F.get_json_object(c, "$.value"), F.lit(""))).otherwise(c)
+    items = F.from_json(contents, "array<string>")
+    alone = F.get_json_object(F.concat(F.lit("["), contents, F.lit("]")), "$[0]")
+    return F.when(contents.startswith("["), F.array_join(F.transform(items, value), "\n")).otherwise(value(alone))

@@ -2,17 +2,132 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.functions.text import SYMBOL_KINDS
+
 MAX_REFERENCES, MAX_SYMBOLS, MAX_OUTPUT = 20, 50, 500
 
+# Lenses with their agent, output folder, operations and symbol kinds (none: all), and agents' lenses.
+LENSES = (
+    ("interfaces", "architect", "contracts", ("documentSymbol", "hover"), ("interface", "type", "class", "enum", "module", "namespace")),
+    ("flows", "product", "flows", ("findReferences", "goToDefinition"), ()),
+    ("boundaries", "architect", "boundaries", ("documentSymbol", "findReferences"), ("module", "namespace")),
+    ("contracts", "qa", "contracts", ("hover", "getDiagnostics"), ("interface", "type", "enum", "class")),
+    ("trust-zones", "security", "trust-zones", ("findReferences", "goToDefinition"), ()),
+)
+AGENT_LENSES = {"architect": ("interfaces", "boundaries"), "product": ("flows",), "qa": ("contracts",), "security": ("trust-zones", "contracts")}
+# Symbol kinds of lenses as kinds of the language server protocol.
+KIND_NUMBERS = {"interface": 11, "type": 26, "class": 5, "function": 12, "method": 6, "property": 7, "variable": 13, "constant": 14, "enum": 10, "module": 2, "namespace": 3}
+
+
+def lens_table(spark: SparkSession, patterns: dict[str, tuple[Sequence[str], Sequence[str]]] | None = None) -> DataFrame:
+    """(lens, agent, folder, operations, kinds, extract, ignore): the lenses as a table. kinds are numbers of the
+    protocol; patterns: a project's own extract and ignore patterns by lens."""
+    own = patterns or {}
+    safe = lambda n, k: [safe_pattern(p) for p in own.get(n, ((), ()))[k]]
+    rows = [(n, a, d, list(o), [KIND_NUMBERS[k] for k in kinds], safe(n, 0), safe(n, 1)) for n, a, d, o, kinds in LENSES]
+    return spark.createDataFrame(rows, "lens string, agent string, folder string, operations array<string>, kinds array<int>, extract array<string>, ignore array<string>")
+
+
+def agent_lenses(requests: DataFrame) -> DataFrame:
+    """Requests (agent) with a row for each of the agent's lenses; an unknown agent fails the query."""
+    known = F.create_map(*[x for a, names in AGENT_LENSES.items() for x in (F.lit(a), F.array(*map(F.lit, names)))])
+    names = F.try_element_at(known, F.col("agent"))
+    said = F.when(names.isNotNull(), names).otherwise(F.raise_error(F.concat(F.lit("unknown agent: "), F.coalesce("agent", F.lit("null")))))
+    return requests.withColumn("lens", F.explode(said))
+
+
+def with_lens(requests: DataFrame, lenses: DataFrame) -> DataFrame:
+    """Requests (lens) with their lens's row; an unknown lens fails the query."""
+    joined = requests.join(F.broadcast(lenses.withColumn("__known", F.lit(True))), "lens", "left")  # a row for each lens
+    checked = F.when(F.col("__known"), F.col("lens")).otherwise(F.raise_error(F.concat(F.lit("unknown lens: "), F.coalesce("lens", F.lit("null")))))
+    return joined.withColumn("lens", checked).drop("__known")
+
+
+def safe_pattern(pattern: str) -> str:
+    """A pattern as an expression; one that is none means itself."""
+    try:
+        re.compile(pattern)
+    except re.error:
+        return re.escape(pattern)
+    return pattern
+
+
+def lens_symbols(symbols: DataFrame, lenses: DataFrame) -> DataFrame:
+    """(lens, and the columns of symbols: uri, name, kind as number ...) of all lenses at once: the kind is among the
+    lens's, if it has any; some extract pattern is in the name, if there are any; no ignore pattern in name or uri."""
+    own = [c for c in symbols.columns if c not in ("lens", "kinds", "extract", "ignore")]
+    kinds = F.explode(F.when(F.size("kinds") > 0, F.col("kinds")).otherwise(F.sequence(F.lit(1), F.lit(len(SYMBOL_KINDS)))))
+    wanted = lenses.select("lens", "extract", "ignore", kinds.alias("kind"))
+    met = symbols.select(*own).join(F.broadcast(wanted), "kind")  # a row for each lens and kind
+    hit = lambda text, patterns: F.exists(patterns, lambda p: F.rlike(text, F.concat(F.lit("(?i)"), p)))
+    named = (F.size("extract") == 0) | hit(F.col("name"), F.col("extract"))
+    return met.filter(named & ~hit(F.col("name"), F.col("ignore")) & ~hit(F.col("uri"), F.col("ignore"))).select("lens", *own)
+
+
+def plan_definitions(symbols: DataFrame, order: Sequence[str], most: int = MAX_SYMBOLS) -> DataFrame:
+    """(lens, uri, line, column, operation): goToDefinition calls for the first symbols of each lens."""
+    nth = F.row_number().over(Window.partitionBy("lens").orderBy(*order))
+    return symbols.withColumn("__n", nth).filter(F.col("__n") <= most).select("lens", "uri", "line", "column", F.lit("goToDefinition").alias("operation"))
+
+
+def pattern_set(patterns: DataFrame, language: Column) -> Column:
+    """The patterns of a language, then the generic ones, of a map of arrays by language in the column patterns."""
+    own = lambda key: F.coalesce(F.try_element_at(F.col("patterns"), key), F.array().cast("array<string>"))
+    return F.concat(own(language), own(F.lit("generic")))
+
+
+def report_groups(lens: Column, kind: Column, name: Column, description: Column, trusted: Column) -> Column:
+    """The sections of its lens's report that an entry goes into. Those of trust zones overlap."""
+    low, said = F.lower(name), F.lower(F.coalesce(description, F.lit("")))
+    has = lambda text, *words: text.rlike("|".join(words))
+    auth = has(low, "auth") | has(said, "auth", "jwt", "token")
+    authz = F.coalesce(trusted, F.lit(False)) | has(low, "role", "permission", "require")
+    zones = F.array_compact(F.array(F.when(auth, F.lit("Authentication")), F.when(authz, F.lit("Authorization")), F.when(~auth & ~authz, F.lit("Other"))))
+    flows = F.when(kind.isin("handler", "route"), "Entry Points").when(kind.isin("function", "method"), "Functions").otherwise("Other")
+    parts = F.when(kind == "module", "Modules").when(kind == "class", "Classes").otherwise("Other")
+    return F.when(lens == "flows", F.array(flows)).when(lens == "boundaries", F.array(parts)).when(lens == "trust-zones", zones).otherwise(F.array(F.concat(F.initcap(kind), F.lit("s"))))
+
+
+def structural_search(files: DataFrame, patterns: Sequence[str], most: int) -> DataFrame:
+    """(path, line, column, pattern): lines of files (path, content) that match a pattern, once for each place with the
+    first pattern that does, in the first files by path."""
+    lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("at", "text"))
+    at = lambda p: F.regexp_instr("text", F.lit(safe_pattern(p)))
+    each = F.array_compact(F.array(*(F.when(at(p) > 0, F.struct(at(p).alias("column"), F.lit(k).alias("k"), F.lit(p).alias("pattern"))) for k, p in enumerate(patterns))))
+    hits = lines.select("path", (F.col("at") + 1).alias("line"), F.explode(each).alias("m"))
+    once = hits.groupBy("path", "line", "m.column").agg(F.min_by("m.pattern", "m.k").alias("pattern"))
+    first = once.select("path").distinct().orderBy("path").limit(most)
+    return once.join(first, "path", "left_semi")
+
+
+def focus_patterns(focus: str, entry: Sequence[str] = (), globs: Sequence[str] = ()) -> list[str]:
+    """Globs of the files that a focus may mean, and a lens's own."""
+    kinds = "*.{ts,tsx,js,jsx,py,go,rs,java}"
+    made = [f"**/{focus}/**/{kinds}", f"**/*{focus}*/**/{kinds}", f"**/*{focus}*{kinds}", f"src/**/{focus}/**/{kinds}"]
+    return [*made, *entry, *(f"**/{g}" for g in globs)]
+
+
+def glob_expression(glob: str) -> str:
+    """A glob as an expression for a whole path: ** for folders, * inside a name, {a,b} for either."""
+    parts = re.split(r"(\*\*/|\*\*|\*|\{[^}]*\})", glob)
+    known = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*"}
+    return "^" + "".join(known.get(p) or ("(?:" + "|".join(map(re.escape, p[1:-1].split(","))) + ")" if p.startswith("{") else re.escape(p)) for p in parts) + "$"
+
+
+def index_order() -> list[Column]:
+    """How an index is sorted: by lens, then by focus, whatever the case."""
+    return [F.lower("lens"), F.lower("focus"), F.col("focus")]
+
 
 def alternation(patterns: Sequence[str]) -> str:
-    """One case-insensitive expression for any of the patterns."""
-    return "(?i)(" + "|".join(patterns) + ")"
+    """One case-insensitive expression for any of the patterns; one that is no expression means itself."""
+    return "(?i)(" + "|".join(map(safe_pattern, patterns)) + ")"
 
 
 def lens_filter(kind: Column, name: Column, path: Column, kinds: Sequence[str], extract: Sequence[str], ignore: Sequence[str]) -> Column:

@@ -62,18 +62,48 @@ def resolve_services(names: DataFrame, services: DataFrame) -> DataFrame:
     """(name, service): exact name, else the host without port and domain, else the first registered of which one
     contains the other; else null.
 
-    The service table (name, seq) is a registry of distinct names, small by nature: it is held as one sorted array.
+    The registry (name, seq) may be of any size. Whole names are joined by equality. For containment, what is looked
+    up is cut into all its substrings of the sizes that occur, and these are joined by equality too, so only names that
+    fit meet; a name has few hundred substrings.
     """
-    registry = services.agg(F.sort_array(F.collect_list(F.struct("seq", "name"))).alias("all")).scalar()
     cleaned = F.lower(F.substring_index(F.substring_index("name", ":", 1), ".", 1))
-    asked = names.select("name").distinct().withColumn("cleaned", cleaned).withColumn("all", registry)
-    first = lambda fits: F.try_element_at(F.filter("all", fits), F.lit(1)).getField("name")
-    found = F.coalesce(
-        first(lambda s: s["name"] == F.col("name")),
-        first(lambda s: s["name"] == F.col("cleaned")),
-        first(lambda s: s["name"].contains(F.col("cleaned")) | F.col("cleaned").contains(s["name"])),
-    )
-    return asked.select("name", found.alias("service"))
+    asked = names.select("name").distinct().withColumn("cleaned", cleaned)
+    known = services.groupBy(F.col("name").alias("service")).agg(F.min("seq").alias("seq"))
+    exact = asked.join(known, F.col("name") == F.col("service")).select("name", F.lit(0).alias("rank"), "seq", "service")
+    host = asked.join(known, F.col("cleaned") == F.col("service")).select("name", F.lit(1).alias("rank"), "seq", "service")
+    inside = _parts(asked, "cleaned").join(known, F.col("part") == F.col("service")).select("name", F.lit(2).alias("rank"), "seq", "service")
+    around = _parts(known, "service").join(asked, F.col("part") == F.col("cleaned")).select("name", F.lit(2).alias("rank"), "seq", "service")
+    first = known.select(F.min_by(F.struct("seq", "service"), F.struct("seq", "service"))).scalar()
+    every = asked.filter("cleaned = ''").select("name", first.alias("x")).select("name", F.lit(2).alias("rank"), "x.seq", "x.service")
+    found = exact.unionByName(host).unionByName(inside).unionByName(around).unionByName(every).filter("service is not null")
+    best = found.groupBy("name").agg(F.min_by("service", F.struct("rank", "seq", "service")).alias("service"))
+    return asked.select("name").join(best, "name", "left")
+
+
+def _parts(rows: DataFrame, column: str) -> DataFrame:
+    """A row for each distinct substring (part) of a column that is not empty."""
+    n = F.length(column)
+    starts = F.sequence(F.lit(1), n)
+    parts = F.flatten(F.transform(starts, lambda a: F.transform(F.sequence(F.lit(1), n - a + 1), lambda size: F.substr(F.col(column), a, size))))
+    return rows.filter(n > 0).withColumn("part", F.explode(F.array_distinct(parts)))
+
+
+def service_references(texts: DataFrame, services: DataFrame) -> DataFrame:
+    """(doc_id, service, n) of texts (doc_id, text): 1 if a known service (name) stands anywhere in the lower-case text,
+    and 1 more for each url whose host is its name.
+
+    Services are looked for in the texts that hold their first three signs; only pairs of a text and such a name meet.
+    """
+    low = F.lower("text")
+    hosts = texts.select("doc_id", F.explode(F.regexp_extract_all(low, F.lit(r"https?://([a-z0-9\-]+)[:\./]"), F.lit(1))).alias("service"))
+    known = services.select(F.col("name").alias("service")).distinct().filter("service <> ''")
+    named = hosts.join(known, "service", "left_semi").select("doc_id", "service")
+    runs = F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda k: F.substr(low, k, F.lit(n))) for n in (1, 2, 3))))
+    said = texts.select("doc_id", F.explode(F.array_distinct(runs)).alias("begin"))
+    keyed = known.withColumn("begin", F.substring(F.lower("service"), 1, 3))
+    pairs = said.join(keyed, "begin").select("doc_id", "service")
+    there = pairs.join(texts.select("doc_id", low.alias("low")), "doc_id").filter(F.col("low").contains(F.lower("service"))).select("doc_id", "service")
+    return named.unionByName(there).groupBy("doc_id", "service").agg(F.count("*").alias("n"))
 
 
 def most_specific(routes: DataFrame) -> DataFrame:

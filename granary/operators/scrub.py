@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -58,35 +59,57 @@ def pseudonym(entity: Column, value: Column, salt: str) -> Column:
     return F.concat(F.lower(entity), F.lit("-"), F.substring(F.sha2(F.concat(F.lit(salt), entity, F.lit(":"), F.lower(F.trim(value))), 256), 1, 16))
 
 
-def detections(text: str, entities: Sequence = ENTITIES) -> list[tuple[int, int, str]]:
-    """Spans (start, end, entity) that do not overlap: the longest first, then the earliest, then by the table."""
+Detector = Callable[[str], Sequence[tuple[int, int, str]]]
+
+
+def detections(text: str, entities: Sequence = ENTITIES, model: Detector | None = None) -> list[tuple[int, int, str]]:
+    """Spans (start, end, entity) that do not overlap: the longest first, then the earliest, then by the table.
+
+    model: finds further spans, such as names; they come last where all else is equal.
+    """
+    names = [n for n, _, _, _ in entities]
     spans = [(m.start(), m.end(), k) for k, (_, p, _, _) in enumerate(entities) for m in re.finditer(p, text, re.ASCII)]
-    taken: list[tuple[int, int, int]] = []
+    for a, b, name in model(text) if model else ():
+        names.append(name)
+        spans.append((a, b, len(names) - 1))
+    starts: list[int] = []
+    taken: list[tuple[int, int, int]] = []  # ordered by start, and so by end
     for s in sorted(spans, key=lambda s: (s[0] - s[1], s[0], s[2])):
-        if all(s[1] <= t[0] or t[1] <= s[0] for t in taken):
-            taken.append(s)
-    return [(a, b, entities[k][0]) for a, b, k in sorted(taken)]
+        at = bisect.bisect_left(starts, s[0])
+        if s[0] < s[1] and (at == 0 or taken[at - 1][1] <= s[0]) and (at == len(taken) or s[1] <= taken[at][0]):
+            starts.insert(at, s[0])
+            taken.insert(at, s)
+    return [(a, b, names[k]) for a, b, k in taken]
+
 
+def scrub(docs: DataFrame, entities: Sequence = ENTITIES, load: Callable[[], Detector] | None = None) -> DataFrame:
+    """(doc_id, clean, log, error): texts with labels, and an audit entry for each replacement; offsets are characters of
+    the original text, in ascending order. A null text stays null, with an empty log.
 
-def scrub(docs: DataFrame, entities: Sequence = ENTITIES) -> DataFrame:
-    """(doc_id, clean, log): texts with labels, and an audit entry for each replacement; offsets are characters of the
-    original text, in ascending order. A null text stays null, with an empty log."""
+    load runs once in each Python worker and gives a model that finds further entities; their label is [entity]. A text
+    on which it fails has an error and no clean text, and the other rows go on.
+    """
     labels = {n: label for n, _, label, _ in entities}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load() if load else None
         for frame in frames:
-            clean, logs = [], []
+            clean, logs, errors = [], [], []
             for text in frame["text"]:
-                spans = detections(text, entities) if isinstance(text, str) else []
+                try:
+                    spans, error = detections(text, entities, model) if isinstance(text, str) else [], None
+                except Exception as e:  # whatever a model raises belongs to its row
+                    spans, error = [], f"{type(e).__name__}: {e}"
                 parts, at = [], 0
                 for a, b, n in spans:
-                    parts += [text[at:a], labels[n]]
+                    parts += [text[at:a], labels.get(n, f"[{n}]")]
                     at = b
-                clean.append("".join([*parts, text[at:]]) if isinstance(text, str) else None)
-                logs.append([{"entity": n, "start": a, "end": b, "replacement": labels[n]} for a, b, n in spans])
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "clean": clean, "log": logs})
+                clean.append("".join([*parts, text[at:]]) if isinstance(text, str) and not error else None)
+                logs.append([{"entity": n, "start": a, "end": b, "replacement": labels.get(n, f"[{n}]")} for a, b, n in spans])
+                errors.append(error)
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "clean": clean, "log": logs, "error": errors})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, clean string, log array<struct<entity: string, start: int, end: int, replacement: string>>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, clean string, log array<struct<entity: string, start: int, end: int, replacement: string>>, error string")
 
 
 def gate(docs: DataFrame, tiers: DataFrame, corpus: str) -> DataFrame:

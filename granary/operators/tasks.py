@@ -18,6 +18,27 @@ def queue_places(tasks: DataFrame, queue: str) -> DataFrame:
     return tasks.withColumn("place", F.row_number().over(Window.partitionBy(queue).orderBy("ts", "event_id")))
 
 
+def worker_states(workers: DataFrame, pending: DataFrame, now) -> DataFrame:
+    """(name, status, current_task, idle_seconds, pending_task): workers with the task that waits for each in pending
+    (name, task), if any; idle seconds of idle and polling ones only."""
+    idle = F.floor(F.unix_timestamp(now) - F.unix_timestamp(F.col("last_activity").cast("timestamp"))).cast("long")
+    free = F.col("status").isin("idle", "polling")
+    joined = workers.join(pending.select("name", F.col("task").alias("pending_task")), "name", "left")
+    return joined.select("name", "status", "current_task", F.when(free, idle).alias("idle_seconds"), "pending_task")
+
+
+def bus_counts(workers: DataFrame, pending: DataFrame, queue: DataFrame) -> DataFrame:
+    """One row: tasks that wait in the queue, workers that poll, and workers with a task that waits for them."""
+    rows = queue.select(F.lit("queued_tasks").alias("what")).unionByName(pending.select(F.lit("pending_workers").alias("what")))
+    rows = rows.unionByName(workers.filter("status = 'polling'").select(F.lit("polling_workers").alias("what")))
+    return rows.agg(*(F.count_if(F.col("what") == w).alias(w) for w in ("queued_tasks", "polling_workers", "pending_workers")))
+
+
+def with_status(tasks: DataFrame, wanted: str) -> DataFrame:
+    """Tasks of a status; `all` means all of them."""
+    return tasks if wanted == "all" else tasks.filter(F.col("status") == wanted)
+
+
 def status(workers: DataFrame, now) -> DataFrame:
     """Counts by status, and the idle seconds of the longest inactive."""
     idle = F.floor(F.unix_timestamp(now) - F.unix_timestamp(F.col("last_activity").cast("timestamp")))

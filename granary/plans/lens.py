@@ -136,7 +136,7 @@ def insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
 
 def insert_report(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    return store.insert_report(e, e, "vec_id", (F.size("embedding") == 64) & (F.col("label") != 3))
+    return store.insert_report(e, (F.size("embedding") == 64) & (F.col("label") != 3))
 
 
 def delete_by_id(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,7 +147,7 @@ def delete_by_id(spark: SparkSession, sf: str) -> DataFrame:
 def replace_service(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages").select("page_id", T.url_service(F.col("url")).alias("service"))
     new = p.filter("service like '%.org' and page_id % 2 = 0").withColumn("page_id", -F.col("page_id"))
-    return store.replace_groups(p, new, "service")
+    return store.replace_groups(p, new, "service", ["service", "page_id"])
 
 
 def chunk_manifest(spark: SparkSession, sf: str) -> DataFrame:

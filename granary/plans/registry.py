@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.plans import code, graph, lens, linking, scrub, search, streams, text, vectors
+from granary.plans import code, graph, lens, lenses, linking, scrub, search, streams, text, vectors
 
-MODULES = (text, linking, vectors, search, scrub, graph, lens, code, streams)
+MODULES = (text, linking, vectors, search, scrub, graph, lens, lenses, code, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -108,12 +108,10 @@ def worker_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hover_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Hover contents that are a string, an object with a value, or a list of either, as one text."""
     k = F.get_json_object("props", "$.k")
-    made = F.when(F.col("event_id") % 3 == 0, F.to_json(F.array(F.concat(F.lit("k"), k), F.lit("end")))).when(F.col("event_id") % 3 == 1, F.to_json(F.struct(k.alias("value")))).otherwise(F.concat(F.lit('"'), k, F.lit('"')))
-    listed = F.array_join(F.from_json(F.col("c"), "array<string>"), "\n")
-    flat = F.when(F.col("c").startswith("["), listed).when(F.col("c").startswith("{"), F.get_json_object("c", "$.value")).otherwise(F.regexp_replace("c", '^"|"$', ""))
-    return table(spark, sf, "events").select("event_id", made.alias("c")).select("event_id", flat.alias("hover"))
+    value, said = F.to_json(F.struct(k.alias("value"))), F.concat(F.lit('"'), k, F.lit('"'))
+    made = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('["k"'), F.lit(", "), value, F.lit(', "end"]'))).when(F.col("event_id") % 3 == 1, value).otherwise(said)
+    return table(spark, sf, "events").select("event_id", made.alias("c")).select("event_id", T.hover_text(F.col("c")).alias("hover"))
 
 
 def file_uris(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,6 +182,6 @@ QUERIES = {
         r AS (SELECT event_id, name, row_number() OVER (PARTITION BY name ORDER BY event_id) - 1 AS k FROM n WHERE regexp_matches(name, '^[A-Za-z0-9_-]{1,64}$'))
         SELECT event_id, CASE WHEN k = 0 THEN name ELSE name || '-' || k END AS worker FROM r""",
     ),
-    "hover_text": (hover_text, "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'k' || json_extract_string(props, '$.k') || chr(10) || 'end' ELSE json_extract_string(props, '$.k') END AS hover FROM events"),
+    "hover_text": (hover_text, "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'k' || chr(10) || json_extract_string(props, '$.k') || chr(10) || 'end' ELSE json_extract_string(props, '$.k') END AS hover FROM events"),
     "file_uris": (file_uris, f"SELECT page_id, 'file:///src%20dir/' || path AS uri, '/src dir/' || path AS path FROM ({paths_sql()})"),
 }

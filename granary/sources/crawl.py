@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,19 @@ def chat_export(spark: SparkSession, folder: str) -> DataFrame:
     return placed.groupBy(F.concat(F.lit("slack://"), "channel").alias("uri")).agg(F.array_sort(F.collect_list(message)).alias("messages"))
 
 
+def fan_out(spark: SparkSession, sources: Sequence[tuple[str, str]]) -> DataFrame:
+    """(source, kind, uri, pos, content): the contents of all sources (kind, folder), each by the reader of its kind:
+    code, docs, or talk."""
+    parts = []
+    for kind, folder in sources:
+        if kind == "talk":
+            rows = conversations(spark, folder).select("uri", "pos", F.concat_ws(": ", "speaker", "text").alias("content"))
+        else:
+            rows = files(spark, folder, {"code": CODE, "docs": DOCS}[kind]).select(F.col("path").alias("uri"), F.lit(0).alias("pos"), "content")
+        parts.append(rows.select(F.lit(folder).alias("source"), F.lit(kind).alias("kind"), "uri", "pos", "content"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def is_chat_export(spark: SparkSession, folder: str) -> bool:
     """Whether a folder is a chat export: it has a list of channels or users, or some JSON array of typed items."""
     names = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(folder)

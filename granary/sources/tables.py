@@ -46,17 +46,27 @@ def insert_or_fail(store: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return both.withColumn("__ok", F.assert_true(once, F.concat(F.lit("duplicate key "), F.col(key).cast("string")))).filter("__ok is null").drop("__ok")
 
 
-def insert_report(store: DataFrame, new: DataFrame, key: str, valid: Column) -> DataFrame:
-    """(inserted, failed): invalid rows fail, and keys that are there already count as inserted."""
-    return new.select(F.count_if(valid).alias("inserted"), F.count_if(~valid).alias("failed"))
+def insert_report(new: DataFrame, valid: Column) -> DataFrame:
+    """(inserted, failed) of a batch: invalid rows fail, and keys that are there already count as inserted."""
+    return new.select(F.count_if(F.coalesce(valid, F.lit(False))).alias("inserted"), F.count_if(~F.coalesce(valid, F.lit(False))).alias("failed"))
+
+
+def failed_rows(new: DataFrame, valid: Column) -> DataFrame:
+    """The rows of a batch that are not valid, and so are not inserted."""
+    return new.filter(~F.coalesce(valid, F.lit(False)))
 
 
 def delete_keys(store: DataFrame, keys: DataFrame, key: str | Sequence[str]) -> DataFrame:
     return store.join(keys, key, "left_anti")
 
 
-def replace_groups(store: DataFrame, new: DataFrame, group: str) -> DataFrame:
-    """The store with all rows of the groups in new replaced by new's."""
+def replace_groups(store: DataFrame, new: DataFrame, group: str, unique: Sequence[str] = ()) -> DataFrame:
+    """The store with all rows of the groups in new replaced by new's. A key of the unique columns that comes twice in
+    new fails the query."""
+    if unique:
+        once = F.count("*").over(Window.partitionBy(*unique)) == 1
+        message = F.concat(F.lit("duplicate key "), F.concat_ws(" ", *unique))
+        new = new.withColumn("__ok", F.assert_true(once, message)).filter("__ok is null").drop("__ok")
     return store.join(new.select(group).distinct(), group, "left_anti").unionByName(new)
 
 
