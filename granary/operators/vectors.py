@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries in a block: what is sent to each task is at most this many vectors.
-QUERY_BLOCK = 1024
+#: Vectors in a block that is compared at once.
+BLOCK = 1024
 
 
 def hash_embedding(text: Column, dimensions: int) -> Column:
@@ -44,42 +44,45 @@ def nearest(store: DataFrame, query: list[float], k: int, where: Column | None =
     return found.withColumn("score", 1 - F.col("distance"))
 
 
+def packed(rows: DataFrame, key: str) -> DataFrame:
+    """(ids, vectors) in blocks of up to BLOCK rows (key, embedding), as bytes of 64-bit numbers. Null vectors go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK):
+                some = batch.slice(lo, BLOCK)
+                vectors = some.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8")
+                yield pa.RecordBatch.from_arrays([pa.array([some.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], names=["ids", "vectors"])
+
+    return rows.filter("embedding is not null").select(F.col(key).cast("long"), "embedding").mapInArrow(run, "ids binary, vectors binary")
+
+
 def nearest_for_each(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, distance) of the k nearest by squared distance for each query (query_id, embedding).
 
-    Queries go to the tasks in blocks of QUERY_BLOCK; a task keeps its k best for each, and a window takes the
-    best of those. All rows are compared, exactly. Both tables must hold vectors of one size; null ones are left out.
+    All rows are compared, exactly: each block of the store meets each block of queries in one matrix product, which
+    leaves few pairs to be measured anew and ranked. A window takes the best of all blocks. Both tables must hold vectors
+    of one size; null ones are left out.
     """
-    spark, kind = store.sparkSession, "query_id long, vec_id long, distance double"
-    out, ids, block = spark.createDataFrame([], kind), [], []
-    for row in queries.filter("embedding is not null").orderBy("query_id").toLocalIterator():
-        ids.append(row["query_id"])
-        block.append(row["embedding"])
-        if len(ids) == QUERY_BLOCK:
-            out, ids, block = out.unionByName(_block(store, ids, block, k, kind)), [], []
-    if ids:
-        out = out.unionByName(_block(store, ids, block, k, kind))
-    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def _block(store: DataFrame, ids: list[int], block: list, k: int, kind: str) -> DataFrame:
-    shared = store.sparkSession.sparkContext.broadcast((np.array(ids), np.array(block, np.float64)))
+    pairs = packed(store, "vec_id").crossJoin(packed(queries, "query_id").withColumnsRenamed({"ids": "query_ids", "vectors": "query_vectors"}))  # of blocks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, wanted = shared.value
-        best_d, best_id = np.full((len(names), 0), np.inf), np.zeros((len(names), 0), np.int64)
         for batch in batches:
-            rows = np.array([v.as_py() for v in batch.column(1)], np.float64)
-            if not len(rows):
-                continue
-            d = np.stack([((rows - q) ** 2).sum(axis=1) for q in wanted])
-            d, i = np.concatenate([best_d, d], axis=1), np.concatenate([best_id, np.broadcast_to(batch.column(0).to_numpy(), d.shape)], axis=1)
-            at = np.lexsort((i, d), axis=1)[:, :k]
-            best_d, best_id = np.take_along_axis(d, at, 1), np.take_along_axis(i, at, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best_d.shape[1])), pa.array(best_id.ravel()), pa.array(best_d.ravel())], names=["query_id", "vec_id", "distance"])
-
-    return store.filter("embedding is not null").select("vec_id", "embedding").mapInArrow(run, kind)
+            for row in zip(*(batch.column(c) for c in ("ids", "vectors", "query_ids", "query_vectors"))):
+                ids, vectors, names, wanted = (np.frombuffer(x.as_py(), t) for x, t in zip(row, ("<i8", "<f8", "<i8", "<f8")))
+                vectors, wanted = vectors.reshape(len(ids), -1), wanted.reshape(len(names), -1)
+                about = (wanted**2).sum(axis=1)[:, None] + (vectors**2).sum(axis=1) - 2 * (wanted @ vectors.T)
+                last = np.partition(about, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+                q, v = np.nonzero(about <= (last + 1e-9 * (1 + np.abs(last)))[:, None])
+                d = ((wanted[q] - vectors[v]) ** 2).sum(axis=1)
+                order = np.lexsort((ids[v], d, q))
+                q, v, d = q[order], v[order], d[order]
+                best = np.arange(len(q)) - np.searchsorted(q, q) < k
+                yield pa.RecordBatch.from_arrays([pa.array(names[q[best]]), pa.array(ids[v[best]]), pa.array(d[best])], names=["query_id", "vec_id", "distance"])
+
+    found = pairs.mapInArrow(run, "query_id long, vec_id long, distance double")
+    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def model_embedding(texts: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]], dimensions: int) -> DataFrame:

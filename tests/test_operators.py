@@ -321,3 +321,77 @@ def test_called_by_gathers_no_lists(spark, tmp_path):
     out = registry.queries()["called_by"](spark, str(tmp_path))
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(7, 1000, 0, 999), (8, 1, 3, 3), (None, 1, 5, 5)], key=str)
     assert "collect_" not in out._jdf.queryExecution().toString()
+
+
+def test_nearest_for_each_is_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    store = rng.integers(0, 3, (2500, 4)).astype(float)  # many ties
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(store)] + [(9999, None)], "vec_id long, embedding array<float>")
+    out = vectors.nearest_for_each(table, table.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 3).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r.query_id, set()).add((r.distance, r.vec_id))
+    for q in range(0, 2500, 50):
+        assert got[q] == set(sorted((float(d), k) for k, d in enumerate(((store - store[q]) ** 2).sum(axis=1)))[:3])
+
+
+def test_lenses(spark):
+    lenses = lens.lens_table(spark, {"flows": (("save", "(broken"), ("test",)), "boundaries": ((), ())})
+    symbols = spark.createDataFrame([("a.ts", "saveUser", 12), ("a.ts", "x(broken", 12), ("test/a.ts", "save", 12), ("a.ts", "Box", 2)], "uri string, name string, kind int")
+    got = {(r.lens, r.name) for r in lens.lens_symbols(symbols, lenses).filter("lens in ('flows', 'boundaries')").collect()}
+    assert got == {("flows", "saveUser"), ("flows", "x(broken"), ("boundaries", "Box")}
+    asked = lambda name, column: spark.createDataFrame([(name,)], f"{column} string")
+    assert [r.lens for r in lens.agent_lenses(asked("security", "agent")).collect()] == ["trust-zones", "contracts"]
+    for bad in (lens.agent_lenses(asked("nobody", "agent")), lens.with_lens(asked("none", "lens"), lenses)):
+        with pytest.raises(Exception, match="unknown (agent|lens)"):
+            bad.collect()
+    files = spark.createDataFrame([("a", "x foo\nfoo bar"), ("b", "bar"), ("c", "foo")], "path string, content string")
+    found = lens.structural_search(files, ["fo+", "ba[r", "foo"], 2).collect()
+    assert {(r.path, r.line, r.column, r.pattern) for r in found} == {("a", 1, 3, "fo+"), ("a", 2, 1, "fo+"), ("c", 1, 1, "fo+")}
+
+
+@pytest.mark.parametrize("glob,path,fits", [("**/*.{ts,go}", "a/b/c.go", True), ("**/*.{ts,go}", "c.ts", True), ("*.ts", "a/c.ts", False), ("src/**/auth/**/*.py", "src/x/auth/y/z.py", True), ("src/**/auth/**/*.py", "src/auth/z.py", True), ("**/*auth*.py", "a/my-auth-x.py", True), ("**/*auth*.py", "auth/x.py", False)])
+def test_globs(glob, path, fits):
+    assert bool(re.search(lens.glob_expression(glob), path)) is fits
+
+
+def test_service_resolution_and_references(spark):
+    services = spark.createDataFrame([("user-service", 2), ("user", 1), ("billing", 3), ("ab", 4)], "name string, seq int")
+    names = spark.createDataFrame([(n,) for n in ("user-service", "USER.example.org:80", "my-user-service-v2", "bill", "zzz", "", None)], "name string")
+    got = {r.name: r.service for r in linking.resolve_services(names, services).collect()}
+    assert got == {"user-service": "user-service", "USER.example.org:80": "user", "my-user-service-v2": "user", "bill": "billing", "zzz": None, "": "user", None: None}
+    texts = spark.createDataFrame([(1, "Ask BILLING, http://billing:80/x and http://user/y"), (2, "nothing"), (3, None), (4, "cab")], "doc_id long, text string")
+    found = {(r.doc_id, r.service): r.n for r in linking.service_references(texts, services).collect()}
+    assert found == {(1, "billing"): 2, (1, "user"): 2, (4, "ab"): 1}
+
+
+def test_scrub_with_a_model(spark):
+    def load():
+        def model(text):
+            if "fail" in text:
+                raise ValueError("no")
+            return [(m.start(), m.end(), "PERSON") for m in re.finditer("Ann", text)]
+
+        return model
+
+    docs = spark.createDataFrame([(1, "Ann has a.b@c.org"), (2, "fail"), (3, None), (4, "ok")], "doc_id long, text string")
+    out = {r.doc_id: (r.clean, len(r.log), r.error) for r in scrub.scrub(docs, load=load).collect()}
+    assert out == {1: ("[PERSON] has [EMAIL]", 2, None), 2: (None, 0, "ValueError: no"), 3: (None, 0, None), 4: ("ok", 0, None)}
+
+
+def test_batches_and_unique_routes(spark):
+    new = spark.createDataFrame([("s", "/a", 1), ("s", "/a", 2), ("t", "/b", None)], "service string, path string, v int")
+    assert tuple(tables.insert_report(new, F.col("v") > 1).first()) == (1, 2) and tables.failed_rows(new, F.col("v") > 1).count() == 2
+    with pytest.raises(Exception, match="duplicate key s /a"):
+        tables.replace_groups(new, new, "service", ["service", "path"]).collect()
+    assert tables.replace_groups(new, new.filter("v = 1"), "service", ["service", "path"]).count() == 2
+
+
+def test_fan_out(spark, tmp_path):
+    for name, text in {"code/a.py": "x = 1", "docs/b.md": "# B", "talk/c.txt": "Ann: hi"}.items():
+        (tmp_path / name).parent.mkdir()
+        (tmp_path / name).write_text(text)
+    rows = crawl.fan_out(spark, [(k, str(tmp_path / k)) for k in ("code", "docs", "talk")]).collect()
+    assert {(r.kind, r.content) for r in rows} == {("code", "x = 1"), ("docs", "# B"), ("talk", "Ann: hi")}
