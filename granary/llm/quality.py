@@ -24,7 +24,9 @@ BITS = 14
 ROUNDS = 200
 
 #: Heuristics: name, and the bounds of its signal. Up to the first it votes one way, from the second the other way.
-#: A True last field says that high values are junk.
+#: A True last field says that high values are junk. A signal that says nothing about a text is not a number, and is no
+#: vote: word sizes and stops count in texts of which LATIN or more of the bytes of words are ASCII letters.
+LATIN = 0.5
 LABELLERS = (
     ("upper_share", 0.15, 0.4, True),
     ("odd_share", 0.01, 0.04, True),
@@ -45,7 +47,7 @@ _STOP[[ord(c) for c in ".?;:"]] = True
 
 
 def signals(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The heuristics' signals, a row for each text; a text without words has zeros."""
+    """The heuristics' signals, a row for each text; a text without words has zeros, and none of the last two."""
 
     def count(mask: np.ndarray) -> np.ndarray:
         sums = np.concatenate([[0], np.cumsum(mask[data])])
@@ -58,9 +60,9 @@ def signals(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     again[1:] = hashes[1:] == hashes[:-1]
     again[first[:-1][first[:-1] < len(hashes)]] = False
     size = np.maximum(np.diff(offsets), 1)
-    return np.stack(
-        [count(_UPPER) / np.maximum(count(_LETTER), 1), count(_ODD) / size, count(_BANG) / words, count(_BAR) / words, of_words(again) / words, of_words(ends - starts <= 3) / words, count(_STOP) / words], axis=1
-    )
+    latin = count(_LETTER) >= LATIN * np.maximum(of_words(ends - starts), 1)
+    short, stops = (np.where(latin, x / words, np.nan) for x in (of_words(ends - starts <= 3), count(_STOP)))
+    return np.stack([count(_UPPER) / np.maximum(count(_LETTER), 1), count(_ODD) / size, count(_BANG) / words, count(_BAR) / words, of_words(again) / words, short, stops], axis=1)
 
 
 def patterns(found: np.ndarray) -> np.ndarray:
