@@ -188,6 +188,24 @@ def repeats_in_group(right_common: np.ndarray, left: np.ndarray, left_size: np.n
     return marks
 
 
+def maximal_repeats(right_common: np.ndarray, left: np.ndarray, left_size: np.ndarray, order: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(members, left, right) of each maximal repeat among a group's classes sorted by right context: all classes that
+    have the same bytes left and right of the core, and not all one byte more on either side.
+
+    In each interval of right contexts, the intervals of the members' left contexts are those sets that cannot be
+    extended to the left as a whole; such a set counts unless it lies inside a smaller interval of right contexts.
+    """
+    for first, last, prefix in intervals(right_common.tolist()):
+        members = first + np.argsort(order[first : last + 1], kind="stable")
+        near = common_sizes(left[members[:-1]], left[members[1:]], np.minimum(left_size[members[:-1]], left_size[members[1:]]))
+        if near.max() + prefix < block - 1:  # no two members agree over a whole window
+            continue
+        for a, b, size in intervals(near.tolist()):
+            some = members[a : b + 1]
+            if size + prefix >= block - 1 and right_common[some.min() : some.max()].min() == prefix:
+                yield some, size, prefix
+
+
 def group_results(rows: list[tuple], block: int) -> list[tuple]:
     """(h, k, f, low, high): shifts that repeat in whole groups of CONTEXT rows sorted by (h, k, right).
 
@@ -218,6 +236,63 @@ def group_results(rows: list[tuple], block: int) -> list[tuple]:
     return out
 
 
+GROUPS = "h long, f long, gid long, before int, after int"
+
+
+def repeat_groups(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(gid, n_bytes, doc_id, first): maximal repeats of length bytes or more with all their occurrences: each is a string
+    of n_bytes that starts at byte first of each of the rows with its gid, and that not all of them extend to the left or
+    right by one and the same byte. A repeat that reaches further than a block of starts is given block by block.
+
+    A core's classes are one task's work here, whatever their number: for reports on what repeats, not for removal.
+    """
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id", "text").alias("rk"), F.hash("doc_id", "text").alias("rk2"))
+    blocks = stored(all_blocks(texts, length, False), "repeats-blocks")
+    twice = stored(blocks.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "repeats-twice")
+    kept = stored(blocks.join(twice, "h", "left_semi"), "repeats-kept")
+    first = F.min(F.struct("rk", "rk2", "place")).alias("first")
+    classes = kept.groupBy("h", "f").agg(F.count("*").alias("n"), first).select("h", "f", "n", "first.*")
+    rows = stored(contexts(classes, texts, length, False), "repeats-contexts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def groups() -> pa.RecordBatch:
+            made = []
+            if held:
+                raw = [r[6][::-1] for r in held]
+                left, right = padded(raw, BLOCK - 1), padded([r[7] for r in held], BLOCK - 1)
+                left_size, right_size = np.array([len(r[6]) for r in held]), np.array([len(r[7]) for r in held])
+                common = common_sizes(right[:-1], right[1:], np.minimum(right_size[:-1], right_size[1:]))
+                order = np.empty(len(held), np.int64)
+                order[sorted(range(len(held)), key=raw.__getitem__)] = np.arange(len(held))
+                found = list(maximal_repeats(common, left, left_size, order, BLOCK)) if len(held) > 1 else []
+                found += [(np.array([k]), len(r[6]), len(r[7])) for k, r in enumerate(held) if r[3] > 1]
+                for members, before, after in found:
+                    text = held[members[0]][6][len(held[members[0]][6]) - before :] + b"|" + held[members[0]][7][:after]
+                    gid = xxhash.xxh3_64_intdigest(b"%d %d " % held[0][:2] + text)
+                    made += [(held[m][0], held[m][2], gid - (gid >> 63 << 64), before, after) for m in members]
+            columns = list(zip(*dict.fromkeys(made))) if made else [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.int32()] * 2)], names=["h", "f", "gid", "before", "after"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[:3] == held[-1][:3]:
+                    continue  # the same class, from a repeated row
+                if held and row[:2] != held[-1][:2]:
+                    yield groups()
+                    held = []
+                held.append(row)
+        yield groups()
+
+    dealt = rows.repartition(partitions(rows), "h", "k").sortWithinPartitions("h", "k", "right", "f")
+    found = stored(dealt.transform(mapped, run, GROUPS), "repeats-groups")
+    core = F.shiftright("place", 24)
+    places = kept.join(found, ["h", "f"]).select("gid", (F.col("before") + F.col("after") + length - BLOCK + 1).cast("long").alias("n_bytes"), "rk", "rk2", (core - F.col("before")).alias("first"))
+    discard(blocks, twice, rows)
+    return places.join(texts.select("rk", "rk2", "doc_id"), ["rk", "rk2"]).select("gid", "n_bytes", "doc_id", "first")
+
+
 RANGES = "h long, k long, f long, low int, high int"
 
 

@@ -153,6 +153,29 @@ def test_suffix_dedup_is_exact(spark, group, monkeypatch):
     assert [got[k] for k, _ in rows] == plain_dedup(texts, 400)
 
 
+def test_repeat_groups_have_all_occurrences(spark):
+    rng = random.Random(21)
+    shared = [words(rng, 90), words(rng, 120), "é" * 250]
+    texts = [" ".join([words(rng, rng.randrange(5, 40)), shared[k % 3], words(rng, 30)]) for k in range(12)] + ["z" * 900, "", None, shared[1] + "!", words(rng, 200)]
+    rows = suffix_dedup.repeat_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    raw = [(t or "").encode() for t in texts]
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.gid, r.n_bytes), set()).add((r.doc_id, r.first))
+    covered = [bytearray(len(t)) for t in raw]
+    extended = 0
+    for (_, n), places in groups.items():
+        said = {raw[d][p : p + n] for d, p in places}
+        assert n >= 400 and len(said) == 1
+        text = said.pop()
+        assert places == {(d, p) for d, t in enumerate(raw) for p in range(len(t) - n + 1) if t[p : p + n] == text} and len(places) > 1
+        extended += len({raw[d][p - 1 : p] for d, p in places}) > 1 and len({raw[d][p + n : p + n + 1] for d, p in places}) > 1
+        for d, p in places:
+            covered[d][p : p + n] = b"\1" * n
+    assert extended  # repeats that end inside a block cannot be extended on either side
+    assert [sum(c) for c in covered] == [removed for _, removed, _, _ in plain_dedup(texts, 400)]
+
+
 def plain_passages(texts, n):
     """(passages, what is left) of each text: runs of words that n words cover which also start elsewhere."""
     found = [list(re.finditer("[\u3000-\u9fff]|[^ \t\n\x0b\x0c\r\u3000-\u9fff]+", t or "")) for t in texts]
