@@ -9,8 +9,8 @@ their texts.
 Pairs inside a family of copies would grow with its square, so pairing runs in two rounds. The first compares
 each member of a shingle's list with the list's first group only. The second pairs members across different
 components of the links found so far, and of sizes that can be similar: no link between components is lost, and
-members already connected need no further comparison. A list's entries are ids and size classes only; bitmaps are
-fetched for the pairs that are left.
+members already connected need no further comparison. Bitmaps are fetched only for the lists that hold several
+components, and pairs are made only where they allow it.
 """
 
 from __future__ import annotations
@@ -197,22 +197,29 @@ def components(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     labels = connected(star_links)  # (node, component) of linked nodes
     size_class = F.floor(F.log("n_shingles") / math.log(max(100 / percent, 1.02) * 1.0001)).cast("int")  # similar sets are one class apart at most
-    node = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("gid", "rep", size_class.alias("class"), F.coalesce("component", "rep").alias("component"))
+    node = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("gid", "rep", "n_shingles", size_class.alias("class"), F.coalesce("component", "rep").alias("component"))
     alike = member.filter("members > 1").select(F.xxhash64(F.lit("group"), "gid").alias("token"), "gid").distinct()
     lists = postings.select("token", "gid", F.lit(1).alias("weight")).unionByName(alike.withColumn("weight", F.lit(1 << 20)))  # a group shares its prefix
-    entries = lists.join(node, "gid").select("token", "rep", "class", "component", "weight")
+    entries = lists.join(node, "gid").select("token", "rep", "n_shingles", "class", "component", "weight")
     per = entries.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("component", "n").alias("main"), F.count("*").alias("parts"))
-    open_lists = stored(entries.join(per.filter("parts > 1").select("token", "main"), "token"), "jaccard-open")
+    open_slim = stored(entries.join(per.filter("parts > 1").select("token", "main"), "token"), "jaccard-lists")
     discard(postings)
+    open_lists = stored(open_slim.join(sets.select("rep", "parity"), "rep"), "jaccard-open")
+    discard(open_slim)
+    x = F.struct("rep", "n_shingles", "component", "parity")
     near = F.explode(F.array(*(F.col("class") + d for d in (-1, 0, 1)))).alias("class")
-    minor = open_lists.filter("component <> main").select("token", near, F.col("rep").alias("rep_y"), F.col("component").alias("component_y"))
+    minor = open_lists.filter("component <> main").select("token", near, x.alias("y"))
     pairs = (
-        minor.join(open_lists, ["token", "class"])
-        .filter("component <> component_y AND (component = main OR rep < rep_y)")
-        .groupBy(F.least("rep", "rep_y").alias("a"), F.greatest("rep", "rep_y").alias("b"))
-        .agg(F.sum("weight").alias("common"))
+        minor.join(open_lists.select("token", "class", "main", "weight", x.alias("x")), ["token", "class"])
+        .filter("x.component <> y.component AND (x.component = main OR x.rep < y.rep)")
+        .filter(_sizes_allow(percent, "x.n_shingles", "y.n_shingles"))
+        .filter(_parities_allow(percent, "x", "y"))
+        .groupBy(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+        .agg(F.sum("weight").alias("common"), F.min(F.least("x.n_shingles", "y.n_shingles")).alias("size"))
+        .filter(f"common >= {shared_least('size', percent)}")
+        .select("a", "b")
     )
-    more_links = stored(verified(_candidates(pairs, sets, percent), texts, n, percent), "jaccard-links")
+    more_links = stored(verified(pairs, texts, n, percent), "jaccard-links")
     discard(open_lists)
     final = connected(more_links.unionByName(star_links)).withColumnRenamed("node", "rep")
     same = reps.select("s1", "s2", "n_shingles", "rep")
