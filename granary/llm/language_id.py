@@ -74,7 +74,7 @@ def packed(state: np.ndarray, column: np.ndarray, target: np.ndarray, states: in
     """
     degree = np.bincount(state, minlength=states)
     room = width + max(len(state), int(2.2 * degree[degree > 1].sum())) + width
-    slot, owner, to = np.zeros(states, np.int32), np.zeros(room + width, np.int32), np.zeros(room + width, np.int32)
+    slot, owner, to = np.zeros(states, np.int32), np.full(room + width, -1, np.int32), np.zeros(room + width, np.int32)
     by_state = np.argsort(state, kind="stable")
     begin = np.cumsum(degree) - degree
     rng = np.random.default_rng(1)
@@ -87,13 +87,13 @@ def packed(state: np.ndarray, column: np.ndarray, target: np.ndarray, states: in
             at = place[:, None] + column[own]
             good = np.zeros(at.size, bool)
             good[np.unique(at, return_index=True)[1]] = True  # of those that ask for one slot, the first gets it
-            placed = (good.reshape(at.shape) & (owner[at] == 0)).all(axis=1)
+            placed = (good.reshape(at.shape) & (owner[at] < 0)).all(axis=1)
             slot[some[placed]] = place[placed]
             owner[at[placed]], to[at[placed]] = some[placed][:, None], target[own[placed]]
             waiting = np.concatenate([some[~placed], waiting[4096:]])
     single = np.flatnonzero(degree == 1)
     own = by_state[begin[single]]
-    at = width + np.flatnonzero(owner[width:] == 0)[: len(single)]
+    at = width + np.flatnonzero(owner[width:] < 0)[: len(single)]
     slot[single], owner[at], to[at] = at - column[own], single, target[own]
     return slot, owner, to
 
@@ -102,8 +102,8 @@ class CrossParser:
     """The automata of all languages as one packed table of transitions.
 
     State s has its transition on a byte of column c, if any, at slot[s] + c: there owner is s, and target is the
-    next state. Rows of slots overlap where their transitions do not meet. State 0 has none: a phrase that is in it
-    has ended. Bytes that occur in no training text share column 0, which leads nowhere.
+    next state; it is -1 where there is none. Rows of slots overlap where their transitions do not meet. State 0 has
+    none: a phrase that is in it has ended. Bytes that occur in no training text share column 0, which leads nowhere.
     """
 
     def __init__(self, samples: dict[str, bytes]):
@@ -134,32 +134,43 @@ class CrossParser:
 
     def advance(self, state: np.ndarray, column: np.ndarray, lang: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """States after a byte, and whether it began a phrase. lang: of each state, if they are not a row for each."""
-        after = self.step(state, column)
-        began = after == 0
+        at = self.slot.take(state) + column
+        on = self.owner.take(at) == state
         start = self.first.take(column, axis=1) if lang is None else self.first[lang, column]
-        np.copyto(after, start, where=began)
-        return after, began
+        return np.where(on, self.target.take(at), start), ~on
 
     def phrases(self, texts: list[bytes]) -> np.ndarray:
         """Phrases of each text by each language, as a matrix.
 
         Texts are parsed in lanes of LANE bytes at once, each from its own beginning. Then the last phrase of each
         lane is carried on into the next one, until it ends where a phrase of that lane begins: from there on that
-        lane's parse is the text's. The phrases before that place are replaced by those carried on. A text with a lane
-        whose parse never falls in is parsed again in longer lanes, at last in one.
+        lane's parse is the text's. The phrases before that place are replaced by those carried on. Where a parse never
+        falls in with a lane's, as in copies of a language's own text, that text is parsed from its beginning.
         """
         sizes = np.array([len(t) for t in texts], np.int64)
         data = self.column[np.frombuffer(b"".join(texts), np.uint8)]
         starts = np.cumsum(sizes) - sizes
-        total = np.zeros((len(texts), len(self.first)), np.int64)
-        rows, lane = np.arange(len(texts)), LANE
-        while len(rows):
-            total[rows], odd = self._in_lanes(data, starts[rows], sizes[rows], lane)
-            rows, lane = rows[odd], lane * 8
+        total, rest = self._in_lanes(data, starts, sizes)
+        for text, lang in rest:
+            total[text, lang] = self._one_by_one(data[starts[text] : starts[text] + sizes[text]], lang)
         return total
 
-    def _in_lanes(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lane: int) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases of each text by each language, and the texts that cannot be parsed in lanes."""
+    def _one_by_one(self, columns: np.ndarray, lang: int) -> int:
+        """Phrases of one text by one language."""
+        slot, owner, target, first = (memoryview(x) for x in (self.slot, self.owner, self.target, np.ascontiguousarray(self.first[lang])))
+        state = n = 0
+        for c in columns.tolist():
+            at = slot[state] + c
+            if owner[at] == state:
+                state = target[at]
+            else:
+                n += 1
+                state = first[c]
+        return n
+
+    def _in_lanes(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """Phrases of each text by each language, and the pairs of text and language that cannot be parsed in lanes."""
+        lane = LANE
         n_lang = len(self.first)
         lanes = (sizes + lane - 1) // lane
         owner = np.repeat(np.arange(len(sizes)), lanes)
@@ -181,7 +192,7 @@ class CrossParser:
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         count = count[:, place].astype(np.int64)
-        odd = np.zeros(len(sizes), bool)
+        odd: set[tuple[int, int]] = set()
         if len(follows):
             lang = np.repeat(np.arange(n_lang), len(follows))
             into = np.tile(follows + 1, n_lang)
@@ -196,11 +207,12 @@ class CrossParser:
                 now, lang, into = now[~met], lang[~met], into[~met]
                 if not len(now):
                     break
-            odd[owner[into[size[into] == lane]]] = True  # the next lane's parse was never the text's
+            full = size[into] == lane  # the next lane's parse was never the text's
+            odd.update(zip(owner[into[full]].tolist(), lang[full].tolist()))
         total = np.zeros((len(sizes), n_lang), np.int64)
         for j in range(n_lang):
             total[:, j] = np.bincount(owner, count[j], minlength=len(sizes))
-        return total, np.flatnonzero(odd)
+        return total, sorted(odd)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language that needs fewest bits for its phrases, ties by name, and its share of the inverse costs."""
