@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.operators import chunking as C
 from granary.operators import extract as X
-from granary.plans.text import doc_uri
+from granary.plans.text import doc_uri, tokens_sql
 from granary.sources.tables import table
 
 
@@ -138,26 +138,74 @@ def queue_topics(spark: SparkSession, sf: str) -> DataFrame:
 
 _MD = r"regexp_replace(regexp_replace(text, '\n([AEIOU])', chr(10) || chr(10) || '## \1', 'g'), '^([A-D])', '# \1')"
 
+_SECTIONS = rf"""WITH d AS (SELECT doc_id, string_split({_MD}, chr(10)) AS l FROM documents), l AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM d),
+m AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,6}}\s+\S') THEN 1 ELSE 0 END AS head FROM l),
+n AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY pos) AS section, sum(head) OVER (PARTITION BY doc_id) AS heads FROM m),
+g AS (SELECT doc_id, section, heads, string_agg(line, chr(10) ORDER BY pos) AS raw, arg_min(line, pos) AS line FROM n GROUP BY ALL),
+t AS (SELECT *, CASE WHEN heads = 0 THEN raw ELSE regexp_replace(raw, '^\s+|\s+$', '', 'g') END AS text FROM g),
+sec AS (SELECT doc_id, section, text, CASE WHEN heads = 0 THEN '' WHEN section = 0 THEN '(preamble)' ELSE regexp_extract(line, '^#{{1,6}}\s+(.+)$', 1) END AS heading,
+CASE WHEN section = 0 THEN 0 ELSE length(regexp_extract(line, '^(#{{1,6}})', 1)) END AS level FROM t WHERE heads = 0 OR section > 0 OR text <> '')"""
+
 QUERIES = {
-    "line_chunks": (line_chunks, None),
-    "md_sections": (
-        md_sections,
-        rf"""WITH d AS (SELECT doc_id, string_split({_MD}, chr(10)) AS l FROM documents), l AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM d),
-        m AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,6}}\s+\S') THEN 1 ELSE 0 END AS head FROM l),
-        n AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY pos) AS section, sum(head) OVER (PARTITION BY doc_id) AS heads FROM m),
-        g AS (SELECT doc_id, section, heads, string_agg(line, chr(10) ORDER BY pos) AS raw, arg_min(line, pos) AS line FROM n GROUP BY ALL),
-        t AS (SELECT *, CASE WHEN heads = 0 THEN raw ELSE regexp_replace(raw, '^\s+|\s+$', '', 'g') END AS text FROM g)
-        SELECT doc_id, CAST(section AS BIGINT) AS section, CASE WHEN heads = 0 THEN '' WHEN section = 0 THEN '(preamble)' ELSE regexp_extract(line, '^#{{1,6}}\s+(.+)$', 1) END AS heading,
-        CASE WHEN section = 0 THEN 0 ELSE length(regexp_extract(line, '^(#{{1,6}})', 1)) END AS level, sha256(text) AS text_sha256 FROM t WHERE heads = 0 OR section > 0 OR text <> ''""",
+    "line_chunks": (
+        line_chunks,
+        f"""WITH RECURSIVE d AS (SELECT doc_id, source || '/' || doc_id AS uri, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        l AS (SELECT doc_id, uri, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i FROM d),
+        t AS (SELECT *, {tokens_sql('line')} AS size, strlen(line) + 1 AS bytes FROM l),
+        s AS (SELECT *, sum(size) OVER w - size AS s, sum(bytes) OVER w - bytes AS b FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        m AS (SELECT *, min(i) OVER (PARTITION BY doc_id ORDER BY s RANGE BETWEEN 16 PRECEDING AND CURRENT ROW) AS back FROM s),
+        r(doc_id, i, first, ordinal) AS (SELECT doc_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0 FROM m WHERE i = 0
+          UNION ALL SELECT m.doc_id, m.i, CASE WHEN m.s - f.s + m.size > 128 AND m.i > r.first THEN m.back ELSE r.first END, CASE WHEN m.s - f.s + m.size > 128 AND m.i > r.first THEN ordinal + 1 ELSE ordinal END
+          FROM r JOIN m ON m.doc_id = r.doc_id AND m.i = r.i + 1 JOIN m f ON f.doc_id = r.doc_id AND f.i = r.first),
+        c AS (SELECT doc_id, ordinal, min(first) AS first, max(i) AS last FROM r GROUP BY ALL),
+        p AS (SELECT c.doc_id, ordinal, min(uri) AS uri, min(b) AS start, string_agg(line, chr(10) ORDER BY i) AS text FROM c JOIN m ON m.doc_id = c.doc_id AND m.i BETWEEN c.first AND c.last GROUP BY ALL)
+        SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, sha256(uri || ':' || start || ':' || (start + strlen(text))) AS chunk_id, CAST(start AS BIGINT) AS start, CAST(start + strlen(text) AS BIGINT) AS "end",
+        'segment' AS kind, '<file_segment>' AS name, sha256(text) AS text_sha256 FROM p""",
+    ),
+    "md_sections": (md_sections, f"{_SECTIONS} SELECT doc_id, CAST(section AS BIGINT) AS section, heading, level, sha256(text) AS text_sha256 FROM sec"),
+    "md_chunks": (
+        md_chunks,
+        rf"""{_SECTIONS.replace("WITH ", "WITH RECURSIVE ", 1)}, z AS (SELECT doc_id, section, text, {tokens_sql('text')} AS size FROM sec),
+        u AS (SELECT doc_id, section, unnest(regexp_split_to_array(text, '
+
++')) AS para, generate_subscripts(regexp_split_to_array(text, '
+
++'), 1) AS j FROM z WHERE size > 64),
+        v AS (SELECT *, {tokens_sql('para')} AS size FROM u),
+        w AS (SELECT *, sum(size) OVER o - size AS s, sum(strlen(para) + 2) OVER o - strlen(para) - 2 AS b, max(j) OVER (PARTITION BY doc_id, section) AS paras FROM v WINDOW o AS (PARTITION BY doc_id, section ORDER BY j)),
+        r(doc_id, section, j, first) AS (SELECT doc_id, section, j, j FROM w WHERE j = 1
+          UNION ALL SELECT w.doc_id, w.section, w.j, CASE WHEN w.s - f.s + w.size > 64 THEN w.j ELSE r.first END FROM r JOIN w ON w.doc_id = r.doc_id AND w.section = r.section AND w.j = r.j + 1 JOIN w f ON f.doc_id = r.doc_id AND f.section = r.section AND f.j = r.first),
+        c AS (SELECT r.doc_id, r.section, r.first, max(r.j) AS last, string_agg(para, chr(10) || chr(10) ORDER BY r.j) AS text, min(b) AS b, max(size) > 64 AS over, max(paras) AS paras FROM r JOIN w ON w.doc_id = r.doc_id AND w.section = r.section AND w.j = r.j GROUP BY ALL),
+        ll AS (SELECT doc_id, section, first, b, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM c WHERE over),
+        lt AS (SELECT *, {tokens_sql('line')} AS size, strlen(line) + 1 AS bytes FROM ll),
+        lm AS (SELECT *, sum(size) OVER o - size AS s, sum(bytes) OVER o - bytes AS lb FROM lt WINDOW o AS (PARTITION BY doc_id, section, first ORDER BY i)),
+        lr(doc_id, section, first, i, a) AS (SELECT doc_id, section, first, i, i FROM lm WHERE i = 1
+          UNION ALL SELECT m.doc_id, m.section, m.first, m.i, CASE WHEN m.s - f.s + m.size > 64 THEN m.i ELSE lr.a END FROM lr JOIN lm m ON m.doc_id = lr.doc_id AND m.section = lr.section AND m.first = lr.first AND m.i = lr.i + 1
+          JOIN lm f ON f.doc_id = lr.doc_id AND f.section = lr.section AND f.first = lr.first AND f.i = lr.a),
+        lc AS (SELECT lr.doc_id, lr.section, lr.first, a, min(b + lb) AS b, string_agg(line, chr(10) ORDER BY lr.i) AS text FROM lr JOIN lm ON lm.doc_id = lr.doc_id AND lm.section = lr.section AND lm.first = lr.first AND lm.i = lr.i GROUP BY ALL),
+        every AS (SELECT doc_id, section, 0 AS first, 0 AS a, text, 0 AS b, strlen(text) AS e, 'section' AS kind FROM z WHERE size <= 64
+          UNION ALL SELECT c.doc_id, c.section, first, 0, c.text, b, CASE WHEN last = paras THEN strlen(z.text) ELSE b + strlen(c.text) END, CASE WHEN last = paras THEN 'section' ELSE 'partial' END FROM c JOIN z ON z.doc_id = c.doc_id AND z.section = c.section WHERE NOT over
+          UNION ALL SELECT doc_id, section, first, a, text, b, b + strlen(text), 'partial' FROM lc)
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id, section ORDER BY first, a) - 1 AS INTEGER) AS ordinal, sha256(doc_id || '/' || CAST(section AS BIGINT) || ':' || CAST(b AS BIGINT) || ':' || CAST(e AS BIGINT)) AS chunk_id,
+        CAST(b AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", kind, '' AS name, sha256(text) AS text_sha256 FROM every""",
     ),
-    "md_chunks": (md_chunks, None),
     "thread_format": (
         thread_format,
         """WITH m AS (SELECT 'slack://' || conv_id AS uri, CASE WHEN turn % 3 = 2 THEN 'side' ELSE 'main' END AS thread, turn, role,
           CASE WHEN turn > 0 THEN '[' || strftime(make_timestamp(CAST((1704067200 + conv_id * 60 + turn) * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S') || '] ' ELSE '' END || role || ': ' || text AS line FROM conversations)
         SELECT uri, thread, sha256(string_agg(line, chr(10) ORDER BY turn)) AS text_sha256, count(*) AS n, array_to_string(list_sort(list_distinct(list(role))), ',') AS speakers FROM m GROUP BY ALL""",
     ),
-    "thread_split": (thread_split, None),
+    "thread_split": (
+        thread_split,
+        f"""WITH RECURSIVE l AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role || ': ' || text AS line FROM conversations),
+        m AS (SELECT *, {tokens_sql('line')} AS size FROM l),
+        r(doc_id, i, first, total, ordinal) AS (SELECT doc_id, i, i, size, 0 FROM m WHERE i = 0
+          UNION ALL SELECT m.doc_id, m.i, CASE WHEN total + m.size > 128 THEN r.i ELSE first END, CASE WHEN total + m.size > 128 THEN o.size ELSE total END + m.size, CASE WHEN total + m.size > 128 THEN ordinal + 1 ELSE ordinal END
+          FROM r JOIN m ON m.doc_id = r.doc_id AND m.i = r.i + 1 JOIN m o ON o.doc_id = r.doc_id AND o.i = r.i),
+        c AS (SELECT doc_id, ordinal, min(first) AS first, max(i) AS last FROM r GROUP BY ALL)
+        SELECT c.doc_id, CAST(ordinal AS INTEGER) AS ordinal, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last, sha256(string_agg(line, chr(10) ORDER BY i)) AS text_sha256
+        FROM c JOIN m ON m.doc_id = c.doc_id AND m.i BETWEEN c.first AND c.last GROUP BY ALL""",
+    ),
     "word_windows": (
         word_windows,
         r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
