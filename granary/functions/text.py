@@ -168,11 +168,14 @@ def front_matter(text: Column, key: str) -> Column:
 
 
 def file_uri(path: Column) -> Column:
-    return F.concat(F.lit("file://"), F.replace(path, F.lit(" "), F.lit("%20")))
+    """Of an absolute path: percent signs are escaped, and backslashes are slashes."""
+    return F.concat(F.lit("file://"), F.replace(F.replace(path, F.lit("%"), F.lit("%25")), F.lit("\\"), F.lit("/")))
 
 
 def uri_path(uri: Column) -> Column:
-    return F.replace(F.regexp_replace(uri, "^file://", ""), F.lit("%20"), F.lit(" "))
+    """The path of a file uri, with its escapes resolved; anything else stays as it is."""
+    plain = F.replace(F.substr(uri, F.lit(8)), F.lit("+"), F.lit("%2B"))  # a plus sign is no space here
+    return F.when(uri.startswith("file://"), F.coalesce(F.try_url_decode(plain), F.substr(uri, F.lit(8)))).otherwise(uri)
 
 
 def mentions(text: Column) -> Column:

@@ -8,9 +8,11 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.functions.text import token_count
+
 MAX_TOKENS, OVERLAP = 512, 50
 CHUNK = "doc_id long, ordinal int, chunk_id string, text string, start long, end long, kind string, name string"
 _TOKEN = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*|[0-9]+(?:\.[0-9]+)?|[^\s\w]")
@@ -232,6 +234,25 @@ def messages(talks: DataFrame) -> DataFrame:
     return rows.select("uri", "doc_id", "pos", "m.thread", "m.ts", "m.speaker", "m.text")
 
 
+def merged_siblings(chunks: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:
+    """(doc_id, ordinal, first, last, n_tokens, text) of chunks (doc_id, ordinal, text): neighbours of a document are
+    joined by line ends as long as limit allows; a chunk over the limit stays alone."""
+    sized = chunks.withColumn("size", token_count(F.col("text")))
+    listed = sized.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "size"))).alias("l"))  # one document's own
+    start = F.struct(F.lit(0).alias("total"), F.lit(-1).alias("part"), F.array().cast("array<int>").alias("parts"))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = (acc.part < 0) | (acc.total + x["size"] > limit)
+        part = F.when(new, acc.part + 1).otherwise(acc.part)
+        return F.struct(F.when(new, x["size"]).otherwise(acc.total + x["size"]).alias("total"), part.alias("part"), F.concat(acc.parts, F.array(part)).alias("parts"))
+
+    parts = listed.select("doc_id", F.explode(F.arrays_zip(F.col("l.ordinal").alias("at"), F.aggregate("l", start, step, lambda acc: acc.parts).alias("part"))).alias("x"))
+    placed = sized.join(parts.select("doc_id", F.col("x.at").alias("ordinal"), "x.part"), ["doc_id", "ordinal"])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda t: t.text), "\n")
+    out = placed.groupBy("doc_id", "part").agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), F.sum("size").alias("n_tokens"), text.alias("text"))
+    return out.withColumnRenamed("part", "ordinal")
+
+
 def threads(messages: DataFrame) -> DataFrame:
     """(uri, thread, text, n, speakers): messages (uri, pos, thread, ts, speaker, text) of a thread as lines
     `[time] speaker: text`, in order; without a thread they belong to main."""

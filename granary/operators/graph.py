@@ -70,3 +70,12 @@ def called_by(calls: DataFrame) -> DataFrame:
 def service_graph(evidence: DataFrame) -> DataFrame:
     """(src, dst, type, n, first): edges with how many rows speak for each."""
     return evidence.groupBy("src", "dst", "type").agg(F.count("*").alias("n"), F.min("evidence_id").alias("first"))
+
+
+def relation_graph(relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities (type, name) and edges (src, dst, type, properties) of relations between files (source_file, target_file,
+    relation_type, route_path, source_line): each file once, and a CALLS edge for each distinct relation."""
+    ends = relations.select(F.explode(F.array("source_file", "target_file")).alias("name")).distinct()
+    properties = F.struct(F.col("relation_type").alias("call_type"), "route_path", "source_line")
+    edges = relations.select(F.col("source_file").alias("src"), F.col("target_file").alias("dst"), F.lit("CALLS").alias("type"), properties.alias("properties")).distinct()
+    return ends.select(F.lit("FILE").alias("type"), "name"), edges

@@ -69,11 +69,13 @@ def boost_terms(results: DataFrame, terms: Sequence[str], factor: float = 1.2) -
     return results.withColumn("score", F.col("score") * F.when(hit, factor).otherwise(1.0))
 
 
-def fresh(score: Column, seen: Column, now: Column, weight: float, half_life_days: float) -> Column:
-    """Mixes the score with an age factor that halves each half_life_days."""
+def fresh(score: Column, seen: Column, now: Column, weight: float, half_life_days: float, corpus: Column | None = None) -> Column:
+    """Mixes the score with an age factor that halves each half_life_days; the score itself where the time is not known,
+    or the corpus is no conversation (CONVO_...)."""
     seconds = lambda t: F.unix_timestamp(t.cast("timestamp"))
     age = (seconds(now) - seconds(seen)) / 86400
-    return (1 - weight) * score + weight * F.exp(-0.693 * age / half_life_days)
+    timed = seen.isNotNull() if corpus is None else seen.isNotNull() & F.coalesce(corpus.startswith("CONVO_"), F.lit(False))
+    return F.when(timed, (1 - weight) * score + weight * F.exp(-0.693 * age / half_life_days)).otherwise(score)
 
 
 def merge_graph(vector: DataFrame, graph: DataFrame, factor: float = 0.9) -> DataFrame:

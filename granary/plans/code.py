@@ -38,6 +38,12 @@ def md_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return _digest(C.section_chunks(sections, 64))
 
 
+def sibling_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Sections of a document joined as long as 128 tokens allow."""
+    sections = C.markdown_sections(markdown(spark, sf)).select("doc_id", F.col("section").cast("int").alias("ordinal"), "text")
+    return C.merged_siblings(sections, 128).select("doc_id", "ordinal", "first", "last", "n_tokens", F.sha2("text", 256).alias("text_sha256"))
+
+
 def _messages(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "conversations")
     ts = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 60 + F.col("turn"))
@@ -189,6 +195,13 @@ QUERIES = {
         SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id, section ORDER BY first, a) - 1 AS INTEGER) AS ordinal, sha256(doc_id || '/' || CAST(section AS BIGINT) || ':' || CAST(b AS BIGINT) || ':' || CAST(e AS BIGINT)) AS chunk_id,
         CAST(b AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", kind, '' AS name, sha256(text) AS text_sha256 FROM every""",
     ),
+    "sibling_chunks": (
+        sibling_chunks,
+        f"""{_SECTIONS.replace("WITH ", "WITH RECURSIVE ", 1)}, z AS (SELECT doc_id, CAST(section AS INTEGER) AS section, text, {tokens_sql('text')} AS size, row_number() OVER (PARTITION BY doc_id ORDER BY section) AS i FROM sec),
+        r(doc_id, i, total, part) AS (SELECT doc_id, i, size, 0 FROM z WHERE i = 1
+          UNION ALL SELECT z.doc_id, z.i, CASE WHEN total + size > 128 THEN size ELSE total + size END, CASE WHEN total + size > 128 THEN part + 1 ELSE part END FROM r JOIN z ON z.doc_id = r.doc_id AND z.i = r.i + 1)
+        SELECT doc_id, part AS ordinal, min(section) AS first, max(section) AS last, CAST(sum(size) AS BIGINT) AS n_tokens, sha256(string_agg(text, chr(10) ORDER BY section)) AS text_sha256 FROM r JOIN z USING (doc_id, i) GROUP BY ALL""",
+    ),
     "thread_format": (
         thread_format,
         """WITH m AS (SELECT 'slack://' || conv_id AS uri, CASE WHEN turn % 3 = 2 THEN 'side' ELSE 'main' END AS thread, turn, role,

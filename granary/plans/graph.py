@@ -70,6 +70,14 @@ def file_relations(spark: SparkSession, sf: str) -> DataFrame:
     return ends.groupBy("file").agg(F.sum("calls").alias("calls"), F.sum("called").alias("called"))
 
 
+def file_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges between files of parts and of suppliers, with properties."""
+    l = table(spark, sf, "lineitem")  # noqa: E741
+    relations = l.select(F.concat(F.lit("p"), "l_partkey").alias("source_file"), F.concat(F.lit("s"), "l_suppkey").alias("target_file"), F.col("l_linestatus").alias("relation_type"), F.col("l_returnflag").alias("route_path"), F.col("l_linenumber").alias("source_line"))
+    entities, edges = G.relation_graph(relations)
+    return edges.join(entities.select(F.col("name").alias("src")), "src").select("src", "dst", "type", "properties.*")
+
+
 _E = f"e AS (SELECT l_partkey AS src, l_suppkey + {SUPPLIERS} AS dst, CASE WHEN l_linenumber = 1 THEN 'CALLS' ELSE 'MENTIONS' END AS type FROM lineitem)"
 
 QUERIES = {
@@ -95,5 +103,6 @@ QUERIES = {
         r"""WITH p AS (SELECT regexp_extract(url, 'https?://([^/:]+)', 1) AS dst, CASE WHEN starts_with(url, 'https') THEN 'CALLS' ELSE 'MENTIONS' END AS type, page_id FROM pages)
         SELECT regexp_extract(dst, '\.([a-z]+)$', 1) AS src, dst, type, count(*) AS n, min(page_id) AS first FROM p GROUP BY ALL""",
     ),
+    "file_graph": (file_graph, "SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, 'CALLS' AS type, l_linestatus AS call_type, l_returnflag AS route_path, l_linenumber AS source_line FROM lineitem"),
     "file_relations": (file_relations, f"WITH {_E} SELECT file, sum(c)::BIGINT AS calls, sum(d)::BIGINT AS called FROM (SELECT src AS file, 1 AS c, 0 AS d FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY 1"),
 }

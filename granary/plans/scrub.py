@@ -57,6 +57,12 @@ def pii_threshold(spark: SparkSession, sf: str) -> DataFrame:
     return S.over_threshold(rows.join(corpus, "doc_id"), F.col("corpus"), often).groupBy("corpus", "entity").agg(F.count("*").alias("n"))
 
 
+def custom_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Hosts of pages as internal names, and member numbers."""
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.concat(F.lit("see "), F.regexp_replace("url", r"\.example\.", ".corp."), F.lit(" of ABC"), F.lpad(F.col("page_id").cast("string"), 9, "4")).alias("text"))
+    return S.entity_rows(p, S.CUSTOM).groupBy("entity").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"))
+
+
 def mention_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
     made = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("@"), F.col("role"), F.lit(": "), "text", F.lit(" cc @team"), F.col("conv_id").cast("string")).alias("text"))
     return made.select("conv_id", "turn", S.mention_pseudonyms(F.col("text"), SALT).alias("text"))
@@ -99,7 +105,12 @@ QUERIES = {
     "pii_threshold": (
         pii_threshold,
         f"""WITH r AS ({_rows(S.ENTITIES)}), o AS (SELECT value FROM r GROUP BY 1 HAVING count(DISTINCT doc_id) > 2), c AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'CONVO_SLACK' ELSE 'DOC_DESIGN' END AS corpus FROM r)
-        SELECT corpus, entity, count(*) AS n FROM c WHERE score >= CASE WHEN starts_with(corpus, 'CONVO') THEN 0.3 ELSE 0.5 END AND value NOT IN (SELECT value FROM o) GROUP BY ALL""",
+        SELECT corpus, entity, count(*) AS n FROM c WHERE score >= CASE WHEN starts_with(corpus, 'CONVO') THEN 0.3 ELSE 0.5 END AND lower(value) NOT IN (SELECT lower(value) FROM o) GROUP BY ALL""",
+    ),
+    "custom_entities": (
+        custom_entities,
+        "WITH documents AS (SELECT page_id AS doc_id, 'see ' || regexp_replace(url, '\\.example\\.', '.corp.', 'g') || ' of ABC' || lpad(CAST(page_id AS VARCHAR), 9, '4') AS text FROM pages) "
+        + f"SELECT entity, count(*) AS n, count(DISTINCT value) AS n_values FROM ({_rows(S.CUSTOM)}) GROUP BY 1",
     ),
     "mention_pseudonyms": (
         mention_pseudonyms,

@@ -42,8 +42,10 @@ def term_boost(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def freshness_boost(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "events").filter("value is not null")
-    return rows.select("event_id", F.round(S.fresh(F.col("value"), F.col("ts"), F.lit(NOW).cast("timestamp"), 0.3, 7.0), 6).alias("score"))
+    """Views are conversations here; every ninth event has no time."""
+    rows = table(spark, sf, "events").filter("value is not null").withColumn("ts", F.when(F.col("event_id") % 9 != 0, F.col("ts")))
+    corpus = F.when(F.col("event_type") == "view", "CONVO_SLACK").otherwise("DOC_DESIGN")
+    return rows.select("event_id", F.round(S.fresh(F.col("value"), F.col("ts"), F.lit(NOW).cast("timestamp"), 0.3, 7.0, corpus), 6).alias("score"))
 
 
 def hybrid_merge(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,7 +77,7 @@ QUERIES = {
     ),
     "rerank_dedupe": (rerank_dedupe, "SELECT user_id, max(value) AS score FROM events GROUP BY 1"),
     "term_boost": (term_boost, "SELECT doc_id, round(n_chars / 1000.0::DOUBLE * CASE WHEN " + " OR ".join(f"contains(lower(text), '{t}')" for t in TERMS) + " THEN 1.2::DOUBLE ELSE 1 END, 6) AS score FROM documents"),
-    "freshness_boost": (freshness_boost, f"SELECT event_id, round(0.7::DOUBLE * value + 0.3::DOUBLE * exp(-0.693::DOUBLE * ((epoch(TIMESTAMP '{NOW}')::BIGINT - floor(epoch(ts))::BIGINT) / 86400.0::DOUBLE) / 7.0::DOUBLE), 6) AS score FROM events WHERE value IS NOT NULL"),
+    "freshness_boost": (freshness_boost, f"SELECT event_id, round(CASE WHEN event_type <> 'view' OR event_id % 9 = 0 THEN value ELSE 0.7::DOUBLE * value + 0.3::DOUBLE * exp(-0.693::DOUBLE * ((epoch(TIMESTAMP '{NOW}')::BIGINT - floor(epoch(ts))::BIGINT) / 86400.0::DOUBLE) / 7.0::DOUBLE) END, 6) AS score FROM events WHERE value IS NOT NULL"),
     "hybrid_merge": (
         hybrid_merge,
         "SELECT doc_id, round(n_chars / 100.0::DOUBLE * CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0.9::DOUBLE END, 6) AS score, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS source FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",

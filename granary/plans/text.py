@@ -115,7 +115,7 @@ def hover_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def file_uris(spark: SparkSession, sf: str) -> DataFrame:
-    made = paths(table(spark, sf, "pages")).select("page_id", F.concat(F.lit("/src dir/"), F.col("path")).alias("path"))
+    made = paths(table(spark, sf, "pages")).select("page_id", F.concat(F.lit("/src dir/100%+/"), F.col("path")).alias("path"))
     return made.select("page_id", T.file_uri(F.col("path")).alias("uri"), T.uri_path(T.file_uri(F.col("path"))).alias("path"))
 
 
@@ -183,5 +183,5 @@ QUERIES = {
         SELECT event_id, CASE WHEN k = 0 THEN name ELSE name || '-' || k END AS worker FROM r""",
     ),
     "hover_text": (hover_text, "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'k' || chr(10) || json_extract_string(props, '$.k') || chr(10) || 'end' ELSE json_extract_string(props, '$.k') END AS hover FROM events"),
-    "file_uris": (file_uris, f"SELECT page_id, 'file:///src%20dir/' || path AS uri, '/src dir/' || path AS path FROM ({paths_sql()})"),
+    "file_uris": (file_uris, f"SELECT page_id, 'file:///src dir/100%25+/' || path AS uri, '/src dir/100%+/' || path AS path FROM ({paths_sql()})"),
 }
