@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline as P  # noqa: E402
-from tests.llm.test_operators import DOC, plain_components, plain_passages  # noqa: E402
+from tests.llm.helpers import DOC, plain_components, plain_passages  # noqa: E402
 
 
 @pytest.fixture(scope="module")
