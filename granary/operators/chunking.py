@@ -291,3 +291,18 @@ def windows(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     rows = docs.select("doc_id", w.alias("w")).withColumn("last", F.greatest(F.lit(0), F.ceil((F.size("w") - size) / step)).cast("int"))
     at = rows.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("window"))
     return at.select("doc_id", "window", F.array_join(F.slice("w", F.col("window") * step + 1, size), " ").alias("text"))
+
+
+def token_windows(docs: DataFrame, size: int = 1600, overlap: int = 160) -> DataFrame:
+    """(doc_id, ordinal, first, last, text): whole words of size tokens at most, each window beginning with as many of the
+    last one's words as have overlap tokens at most. A text without words has none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for doc_id, text in zip(frame["doc_id"], frame["text"]):
+                words = text.split() if isinstance(text, str) else []
+                rows += [(doc_id, k, a, b - 1, " ".join(words[a:b])) for k, (a, b) in enumerate(pack(words, size, overlap))]
+            yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "first", "last", "text"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ordinal int, first int, last int, text string")

@@ -140,6 +140,13 @@ def mention_pseudonyms(text: Column, salt: str) -> Column:
     return F.array_join(F.zip_with(F.split(text, pattern, -1), replaced, lambda gap, n: F.concat(gap, F.coalesce(n, F.lit("")))), "")
 
 
+def thread_pseudonyms(messages: DataFrame, salt: str) -> DataFrame:
+    """Messages (speaker, text ...) with their speakers, and the speakers mentioned in them, under the same pseudonyms in
+    all threads."""
+    author = F.concat(F.lit("@"), pseudonym(F.lit("USER"), F.concat(F.lit("@"), "speaker"), salt))
+    return messages.withColumn("text", mention_pseudonyms(F.col("text"), salt)).withColumn("speaker", author)
+
+
 def evaluation(predicted: DataFrame, truth: DataFrame, key: Sequence[str]) -> DataFrame:
     """recall, precision and F2 of predicted keys against true ones, in one row."""
     p, t = predicted.select(*key).distinct().withColumn("p", F.lit(1)), truth.select(*key).distinct().withColumn("t", F.lit(1))

@@ -63,6 +63,10 @@ def word_windows(spark: SparkSession, sf: str) -> DataFrame:
     return C.windows(_docs(spark, sf), 100, 10).select("doc_id", "window", F.sha2("text", 256).alias("text_sha256"))
 
 
+def token_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return C.token_windows(_docs(spark, sf), 160, 16).select("doc_id", "ordinal", "first", "last", F.sha2("text", 256).alias("text_sha256"))
+
+
 def sources(spark: SparkSession, sf: str) -> DataFrame:
     """A source file for each page, in one of four languages, that calls its url once; every eighth in a comment only."""
     u, k = F.col("url"), F.col("page_id")
@@ -225,6 +229,19 @@ QUERIES = {
         k AS (SELECT doc_id, w, unnest(range(0, CAST(greatest(0, ceil((len(w) - 100) / 90.0)) AS BIGINT) + 1)) AS k FROM w)
         SELECT doc_id, CAST(k AS INTEGER) AS "window", sha256(coalesce(array_to_string(w[k * 90 + 1 : k * 90 + 100], ' '), '')) AS text_sha256 FROM k""",
     ),
+    "token_windows": (
+        token_windows,
+        rf"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS l FROM documents),
+        l AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS i FROM d), t AS (SELECT *, {tokens_sql('word')} AS size FROM l),
+        s AS (SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY i) - size AS s FROM t),
+        m AS (SELECT *, min(i) OVER (PARTITION BY doc_id ORDER BY s RANGE BETWEEN 16 PRECEDING AND CURRENT ROW) AS back FROM s),
+        r(doc_id, i, first, s, ordinal) AS (SELECT doc_id, i, i, s, 0 FROM m WHERE i = 0
+          UNION ALL SELECT m.doc_id, m.i, CASE WHEN m.s - r.s + m.size > 160 THEN m.back ELSE r.first END, CASE WHEN m.s - r.s + m.size > 160 THEN b.s ELSE r.s END, CASE WHEN m.s - r.s + m.size > 160 THEN ordinal + 1 ELSE ordinal END
+          FROM r JOIN m ON m.doc_id = r.doc_id AND m.i = r.i + 1 JOIN m b ON b.doc_id = m.doc_id AND b.i = m.back),
+        c AS (SELECT doc_id, ordinal, min(first) AS first, max(i) AS last FROM r GROUP BY ALL)
+        SELECT c.doc_id, CAST(ordinal AS INTEGER) AS ordinal, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last, sha256(string_agg(word, ' ' ORDER BY i)) AS text_sha256
+        FROM c JOIN m ON m.doc_id = c.doc_id AND m.i BETWEEN c.first AND c.last GROUP BY ALL""",
+    ),
     "extract_calls": (
         extract_calls,
         """SELECT 'src/f' || page_id AS source_file, CASE page_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 5 ELSE 4 END AS line, (['GET', 'POST', 'DELETE'])[page_id % 3 + 1] AS method, url, 0.9::DOUBLE AS confidence

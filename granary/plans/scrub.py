@@ -68,6 +68,12 @@ def mention_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("conv_id", "turn", S.mention_pseudonyms(F.col("text"), SALT).alias("text"))
 
 
+def thread_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
+    """Each turn mentions its own speaker."""
+    made = table(spark, sf, "conversations").select("conv_id", "turn", F.col("role").alias("speaker"), F.concat(F.lit("by @"), "role").alias("text"))
+    return S.thread_pseudonyms(made, SALT)
+
+
 def pii_evaluation(spark: SparkSession, sf: str) -> DataFrame:
     """Documents in which anything is found, against those labelled as toxic: a measure that the pieces fit together."""
     labels = table(spark, sf, "labels")
@@ -118,6 +124,10 @@ QUERIES = {
         p AS (SELECT conv_id, turn, list_zip(regexp_split_to_array(t, '{_MENTION}'), regexp_extract_all(t, '{_MENTION}')) AS z FROM m)
         SELECT conv_id, turn, array_to_string(list_transform(z, lambda x: x[1] || coalesce('@user-' || substr(sha256('{SALT}USER:' || lower(trim(x[2]))), 1, 16), '')), '') AS text FROM p""",
     ),
+    "thread_pseudonyms": (
+        thread_pseudonyms,
+        f"""WITH p AS (SELECT conv_id, turn, '@user-' || substr(sha256('{SALT}USER:@' || role), 1, 16) AS speaker FROM conversations) SELECT conv_id, turn, speaker, 'by ' || speaker AS text FROM p""",
+    ),
     "pii_evaluation": (
         pii_evaluation,
         f"""WITH p AS (SELECT DISTINCT doc_id FROM ({_rows(S.ENTITIES)}) WHERE doc_id IN (SELECT doc_id FROM labels)), t AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),

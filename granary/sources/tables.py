@@ -70,6 +70,16 @@ def replace_groups(store: DataFrame, new: DataFrame, group: str, unique: Sequenc
     return store.join(new.select(group).distinct(), group, "left_anti").unionByName(new)
 
 
+def routes_of(routes: DataFrame, service: str) -> DataFrame:
+    """The routes of a service; the filter reaches the scan, and where routes are partitioned by service, no other is read."""
+    return routes.filter(F.col("service") == service)
+
+
+def cleared(store: DataFrame, service: str | None = None) -> DataFrame:
+    """The store without a service's rows, or without any."""
+    return store.limit(0) if service is None else store.filter(~F.col("service").eqNullSafe(service))
+
+
 def upsert(store: DataFrame, key: Sequence[str], order: Column) -> DataFrame:
     """For each key the last row by order."""
     last = F.row_number().over(Window.partitionBy(*key).orderBy(order.desc()))

@@ -395,3 +395,32 @@ def test_fan_out(spark, tmp_path):
         (tmp_path / name).write_text(text)
     rows = crawl.fan_out(spark, [(k, str(tmp_path / k)) for k in ("code", "docs", "talk")]).collect()
     assert {(r.kind, r.content) for r in rows} == {("code", "x = 1"), ("docs", "# B"), ("talk", "Ann: hi")}
+
+
+def test_route_tables(spark):
+    routes = spark.createDataFrame([("s", "/a"), ("t", "/b"), (None, "/c")], "service string, path string")
+    assert [r.path for r in tables.routes_of(routes, "s").collect()] == ["/a"]
+    assert {r.path for r in tables.cleared(routes, "s").collect()} == {"/b", "/c"} and tables.cleared(routes).count() == 0
+
+
+def test_token_windows_and_siblings(spark):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, None), (3, " ")], "doc_id long, text string")
+    assert [(r.doc_id, r.text) for r in chunking.token_windows(docs, 3, 1).orderBy("ordinal").collect()] == [(1, "a b c"), (1, "c d e")]
+    parts = spark.createDataFrame([(1, 0, "a b"), (1, 1, "c"), (1, 2, "d e f g"), (1, 5, "h"), (2, 0, "x")], "doc_id long, ordinal int, text string")
+    rows = chunking.merged_siblings(parts, 3).orderBy("doc_id", "ordinal").collect()
+    assert [(r.doc_id, r.ordinal, r.first, r["last"], r.n_tokens, r.text) for r in rows] == [(1, 0, 0, 1, 3, "a b\nc"), (1, 1, 2, 2, 4, "d e f g"), (1, 2, 5, 5, 1, "h"), (2, 0, 0, 0, 1, "x")]
+
+
+def test_uris(spark):
+    for path in ("/a b/c.py", "/100%/x+y", "/é"):
+        assert one(spark, T.uri_path(T.file_uri(F.col("p"))), p=path) == path
+    assert one(spark, T.file_uri(F.col("p")), p="/a\\b%") == "file:///a/b%25" and one(spark, T.uri_path(F.col("p")), p="x/y") == "x/y"
+    assert one(spark, T.uri_path(F.col("p")), p="file:///a%20b") == "/a b"
+
+
+def test_freshness_is_for_conversations(spark):
+    rows = spark.createDataFrame([("CONVO_SLACK", "2024-01-01", 1.0), ("DOC_DESIGN", "2024-01-01", 1.0), ("CONVO_SLACK", None, 1.0), (None, "2024-01-01", 1.0)], "corpus string, ts string, score double")
+    got = [r.s for r in rows.select(search.fresh(F.col("score"), F.col("ts"), F.lit("2024-01-01"), 0.1, 90.0, F.col("corpus")).alias("s")).collect()]
+    assert got == [1.0, 1.0, 1.0, 1.0]
+    late = rows.select(search.fresh(F.col("score"), F.col("ts"), F.lit("2024-03-31"), 0.1, 90.0, F.col("corpus")).alias("s")).collect()
+    assert [round(r.s, 4) for r in late] == [0.95, 1.0, 1.0, 1.0]
