@@ -45,7 +45,7 @@ def test_normal_path(spark, path, normal):
 def test_slug(spark):
     assert one(spark, T.slug(F.col("t")), t="Hello,  World!") == "hello-world"
     long = one(spark, T.slug(F.col("t")), t="word " * 30)
-    assert len(long) == 50 and re.fullmatch(r".{45}-[0-9a-f]{4}", long)
+    assert re.fullmatch(r"(word-){9}[0-9a-f]{4}", long)  # the hyphen that the cut leaves goes
 
 
 def test_small_text_functions(spark):
