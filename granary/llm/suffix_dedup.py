@@ -349,12 +349,12 @@ def children(rows: DataFrame, block: int, small: int) -> DataFrame:
 def resolve(rows: DataFrame, block: int, scratch: list[DataFrame]) -> DataFrame:
     """RANGES of the classes in CONTEXT rows that occur once. Groups of over GROUP classes are cut into children first.
     Tables that the result reads are added to scratch."""
-    sizes = rows.groupBy("h", "k").agg(F.count("*").alias("size"))
-    sized = rows.join(sizes, ["h", "k"])
+    large = stored(rows.groupBy("h", "k").agg(F.count("*").alias("size")).filter(F.col("size") > GROUP).select("h", "k"), "suffix-large")
     order = [c.split()[0] for c in CONTEXT.split(", ")]
-    usual = sized.filter(F.col("size") <= GROUP).select(order).repartition(partitions(rows), "h", "k").sortWithinPartitions("h", "k", "right", "f")
+    usual = rows.join(large, ["h", "k"], "left_anti").select(order).repartition(partitions(rows), "h", "k").sortWithinPartitions("h", "k", "right", "f")
     out = stored(grouped_ranges(usual, block), "suffix-ranges")
-    hot = stored(sized.filter(F.col("size") > GROUP).select(order), "suffix-hot")
+    hot = stored(rows.join(large, ["h", "k"], "left_semi").select(order), "suffix-hot")
+    discard(large)
     scratch += [out, hot]
     if hot.isEmpty() or block == 1:
         return out
