@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import chat_format, decontaminate, jaccard_join, language_id, media_ogg, quality, sentencepieces, suffix_dedup, token_counts, url_filters
+from granary.llm import chat_format, conversation_repair, decontaminate, jaccard_join, language_id, media_ogg, quality, sentencepieces, suffix_dedup, token_counts, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": chat_format.query,
         "op9_token_counts": token_counts.query,
         "op10_language_id": language_id.query,
+        "op11_conversation_repair": conversation_repair.query,
     }
 
 
