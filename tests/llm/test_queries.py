@@ -8,7 +8,7 @@ from tests.llm.helpers import DOC
 
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_empty_tables(spark, name, tmp_path):
-    for table, kind in {"documents": DOC, "benchmark": "item_id long, text string", "pages": "page_id long, url string, html string", "conversations": "conv_id long, turn long, role string, text string"}.items():
+    for table, kind in {"documents": DOC, "benchmark": "item_id long, text string", "pages": "page_id long, url string, html string", "conversations": "conv_id long, turn long, role string, text string", "embeddings": "vec_id long, embedding array<float>, label int"}.items():
         spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{table}.parquet")
     out = queries.queries()[name](spark, str(tmp_path)).collect()
     assert len(out) == (1 if name == "op8_chat_format" else 0)
