@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import chat_format, conversation_repair, decontaminate, hard_negatives, jaccard_join, language_id, media_ogg, quality, sentencepieces, suffix_dedup, token_counts, url_filters
+from granary.llm import chat_format, conversation_repair, decontaminate, hard_negatives, jaccard_join, language_id, media_ogg, pii_spans, quality, sentencepieces, suffix_dedup, token_counts, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_language_id": language_id.query,
         "op11_conversation_repair": conversation_repair.query,
         "op12_hard_negatives": hard_negatives.query,
+        "op13_pii_spans": pii_spans.query,
     }
 
 
