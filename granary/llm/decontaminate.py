@@ -1,8 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-The n-grams of all test items are counted over the whole corpus. An item's seeds are its n-grams that are rare
-there. Seeds are joined with the n-grams of all texts, by a shuffle. Where a text has seeds of an item, the passages
-around them are aligned with it, word by word, so that edited and paraphrased copies score by what they keep.
+The n-grams of all test items, of several sizes, are counted over the whole corpus. At each place of an item the
+shortest n-gram that is rare there is a seed: rare means a fixed number of times, whatever the size of the corpus, or no
+more than its longest n-gram explains. Seeds are joined with the n-grams of all texts, by a shuffle. Where a text has
+seeds of an item, the passages around them are aligned with it, word by word, so that edited and paraphrased copies
+score by what they keep.
 
 Of a text's n-grams only those go into a shuffle whose bit is set in a bitmap of fixed size, which has the bits of all
 n-grams asked for. Neither items nor texts pass through the driver.
@@ -19,12 +21,17 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import NOT_WORD, discard, mapped, shingle_hashes, stored, table, utf8_blocks, word_hashes
+from granary.llm.common import NOT_WORD, discard, mapped, mix, stored, table, utf8_blocks, word_hashes
 
 GRAM = 3
-#: An n-gram is rare if it occurs at most so often, or if at most this share of the corpus's n-grams are it; of the
-#: n-grams of an item that occur at all, the FEWEST rarest always are seeds.
-RARE_COUNT, RARE, FEWEST = 100, 2e-5, 8
+#: Words of the n-grams that are tried at a place, from the shortest.
+GRAMS = (GRAM, 4, 5, 6, 8, 12)
+#: An n-gram is rare if it occurs at most so often, or at most so many times as often as the place's longest n-gram: then
+#: most of its occurrences are in longer copies. Of an item's places whose n-gram occurs oftener than RARE_COUNT, the
+#: rarest half are seeds, and FEWEST at least.
+RARE_COUNT, EXPLAINED, FEWEST = 2000, 2, 8
+#: Multiplier of the hash that grows with a run of words.
+GROWTH = 0x9E3779B97F4A7C15
 #: Points for an equal word, another word, and a word left out or put in.
 MATCH, DIFFER, GAP = 2, -1, 1
 #: Share of the points of an exact copy from which on a passage counts as one.
@@ -49,33 +56,35 @@ def grams_of(words: np.ndarray, first: np.ndarray, sizes: list[int]) -> Iterator
     """For each size: the runs of so many words inside a row, and the place of their first word. A size under GRAM
     means rows of exactly so many words."""
     own = np.diff(first)
-    for n in sizes:
-        grams = shingle_hashes(words, n)
-        row = np.repeat(np.arange(len(own)), own)[: len(grams)]
-        place = np.arange(len(grams))
-        inside = place + n <= first[row + 1] if n >= GRAM else own[row] == n
-        yield grams[inside], place[inside]
+    ends = np.repeat(first[1:], own)
+    rows = np.repeat(own, own)
+    grams = np.zeros(len(words), np.uint64)
+    for n in range(1, max(sizes, default=0) + 1):
+        grams = grams[: max(0, len(words) - n + 1)] * np.uint64(GROWTH) + words[n - 1 :]
+        if n in sizes:
+            place = np.arange(len(grams))
+            inside = place + n <= ends[: len(grams)] if n >= GRAM else rows[: len(grams)] == n
+            yield mix(grams[inside]), place[inside]
 
 
 def item_grams(items: DataFrame) -> DataFrame:
-    """(ik, n_words, gram, place) of items (ik, text): of a short item, one run with all its words."""
+    """(ik, n_words, size, gram, place) of items (ik, text), of all sizes; of a short item, one run with all its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, words, first in text_words(batch.column(1)):
                 own = np.diff(first)
-                sizes = [n for n in range(1, MIN_WORDS) if (own == n).any()]
+                sizes = sorted({*GRAMS, *(n for n in range(1, MIN_WORDS) if (own == n).any())})
                 found = []
-                for n in sorted({GRAM, *sizes}):
-                    for grams, place in grams_of(words, first, [n]):
-                        row = np.searchsorted(first, place, "right") - 1
-                        good = (own[row] >= MIN_WORDS) & (n == GRAM) | (own[row] == n) & (own[row] < MIN_WORDS)
-                        found.append((row[good], grams[good], (place - first[row])[good]))
-                row, gram, place = (np.concatenate(x) for x in zip(*found))
+                for n, (grams, place) in zip(sizes, grams_of(words, first, sizes), strict=True):
+                    row = np.searchsorted(first, place, "right") - 1
+                    good = (own[row] >= MIN_WORDS) & (n in GRAMS) | (own[row] == n) & (own[row] < MIN_WORDS)
+                    found.append((row[good], np.full(good.sum(), n), grams[good], (place - first[row])[good]))
+                row, size, gram, place = (np.concatenate(x) for x in zip(*found))
                 key = batch.column(0).slice(lo, hi - lo).to_numpy()[row]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own[row]), pa.array(gram.view(np.int64)), pa.array(place)], names=["ik", "n_words", "gram", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own[row]), pa.array(size), pa.array(gram.view(np.int64)), pa.array(place)], names=["ik", "n_words", "size", "gram", "place"])
 
-    return items.select("ik", "text").transform(mapped, run, "ik long, n_words long, gram long, place long")
+    return items.select("ik", "text").transform(mapped, run, "ik long, n_words long, size long, gram long, place long")
 
 
 class Wanted:
@@ -89,7 +98,7 @@ class Wanted:
         for r in parts:
             self.bits[r["part"] * PART : (r["part"] + 1) * PART] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")[:PART]
         short = grams.filter(F.col("n_words") < MIN_WORDS).select("n_words").distinct().collect()
-        self.sizes = sorted({GRAM, *(r["n_words"] for r in short)})
+        self.sizes = sorted({*GRAMS, *(r["n_words"] for r in short)})
 
     def __getstate__(self) -> dict:
         return {"sizes": self.sizes, "bits": np.packbits(self.bits)}
@@ -102,23 +111,30 @@ class Wanted:
 
 
 def gram_counts(texts: DataFrame, wanted: Broadcast) -> DataFrame:
-    """(gram, n): how often each n-gram whose bit is wanted occurs in the texts; a null gram has the number of all."""
+    """(gram, n): how often each n-gram whose bit is wanted occurs in the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, total = wanted.value, 0
+        w = wanted.value
         for batch in batches:
             for _, _, words, first in text_words(batch.column(0)):
-                found = []
-                for n, (grams, _) in zip(w.sizes, grams_of(words, first, w.sizes)):
-                    total += len(grams) if n == GRAM else 0
-                    found.append(grams[w.among(grams)])
+                found = [grams[w.among(grams)] for grams, _ in grams_of(words, first, w.sizes)]
                 gram, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n)], names=["gram", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], names=["gram", "n"])
 
     return texts.select("text").transform(mapped, run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def chosen_seeds(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """(ik, n_words, gram, offset): of each place the shortest n-gram that is rare; of short items, their one run."""
+    here = Window.partitionBy("ik", "place")  # a row for each size
+    known = grams.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rare = known.withColumn("whole", F.max_by("n", "size").over(here)).filter(F.col("n") <= F.greatest(F.lit(RARE_COUNT), EXPLAINED * F.col("whole")))
+    places = rare.groupBy("ik", "n_words", "place").agg(F.min(F.struct("size", "gram", "n")).alias("seed")).select("ik", "n_words", "place", "seed.gram", "seed.n").filter("n > 0")
+    rarest = Window.partitionBy("ik").orderBy("n", "gram", "place")  # over one item's places
+    ranked = places.withColumns({"nth": F.row_number().over(rarest), "places": F.count("*").over(Window.partitionBy("ik"))})
+    return ranked.filter((F.col("n") <= RARE_COUNT) | (F.col("nth") <= F.greatest(F.lit(FEWEST), F.col("places") / 2))).select("ik", "n_words", "gram", F.col("place").alias("offset"))
+
+
 def gram_places(texts: DataFrame, wanted: Broadcast) -> DataFrame:
     """(gram, rk, rk2, place) of the n-grams in texts (rk, rk2, text) whose bit is wanted."""
 
@@ -217,11 +233,7 @@ def contaminated(texts: DataFrame, benchmark: DataFrame, threshold: float = THRE
     grams = stored(item_grams(items.select("ik", F.col("item").alias("text"))), "leaks-grams")
     shared: Broadcast = texts.sparkSession.sparkContext.broadcast(Wanted(grams))
     counts = stored(gram_counts(keyed, shared), "leaks-counts")
-    total = counts.filter("gram is null").select(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rarest = Window.partitionBy("ik").orderBy("n", "gram", "place")  # over one item's n-grams
-    ranked = grams.join(counts, "gram").withColumn("nth", F.row_number().over(rarest))
-    chosen = (F.col("n") <= max(RARE_COUNT, RARE * total)) | (F.col("nth") <= FEWEST)
-    seeds = stored(ranked.filter(chosen).select("ik", "n_words", "gram", F.col("place").alias("offset")), "leaks-seeds")
+    seeds = stored(chosen_seeds(grams, counts), "leaks-seeds")
     shared = texts.sparkSession.sparkContext.broadcast(Wanted(seeds))
     met = gram_places(keyed, shared).join(seeds, "gram").groupBy("rk", "rk2", "ik").agg(F.collect_set(F.col("place") - F.col("offset")).alias("diagonals"), F.count("*").alias("seeds"))
     per_text = met.join(items, "ik").groupBy("rk", "rk2").agg(F.collect_list(F.struct("item_id", "item", "diagonals", "seeds")).alias("found"))  # at most what a text's own n-grams hit

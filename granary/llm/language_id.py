@@ -27,7 +27,6 @@ LANE = 1024
 #: Bytes of text by languages that are held parsed at once.
 BLOCK = 8 << 20
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _SPACED = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -217,7 +216,7 @@ class CrossParser:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language that needs fewest bits for its phrases, ties by name, and its share of the inverse costs."""
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        has = [k for k, t in enumerate(texts) if t and _LETTER.search(t)]
+        has = [k for k, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         if has and self.languages:
             found = self.phrases([normal(texts[k]) for k in has]) * self.bits
             best = found.argmin(axis=1)
@@ -229,7 +228,8 @@ class CrossParser:
 
 def train(labelled: DataFrame, train_bytes: int = TRAIN_BYTES, train_texts: int = TRAIN_TEXTS) -> CrossParser:
     """Automata from (text, lang): per language the texts of least hash, train_texts of them at most, read in that
-    order and cut at train_bytes in all. Rows with null text or lang teach nothing.
+    order and cut at train_bytes in all, and of each at most the first sixteenth of train_bytes characters: a bound of
+    what is learned from, so that 16 texts or more teach each language. Rows with null text or lang teach nothing.
 
     The hash bound that gives the sample is set per language from its distinct texts, counted over all rows: copies
     of a text have one hash, so they count once here as they do in the sample.
@@ -254,7 +254,8 @@ def train(labelled: DataFrame, train_bytes: int = TRAIN_BYTES, train_texts: int
 
 
 def identify(texts: DataFrame, parser: CrossParser, keep: tuple[str, ...] = (), text_column: str = "text") -> DataFrame:
-    """The columns of keep, lang_pred and score (0 to 1) of each whole text; `und` and 0 if it is null or has no letter."""
+    """The columns of keep, lang_pred and score (0 to 1) of each whole text; `und` and 0 if it is null or has no letter
+    (a character of a category L). Repeated rows get equal results; an empty table gives no rows."""
     shared: Broadcast = texts.sparkSession.sparkContext.broadcast(parser)  # bounded by train_bytes and the languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

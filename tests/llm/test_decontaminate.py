@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from granary.llm import decontaminate
@@ -60,6 +61,30 @@ def test_decontamination_against_exhaustive_alignment(spark):
     assert sum(abs(got[key] - plain[key]) < 1e-9 for key in got) >= 0.97 * len(got)
 
 
+@pytest.mark.parametrize("base, most", [(12, 60), (40, 20)])
+def test_common_phrases_get_longer_seeds(spark, monkeypatch, base, most):
+    """A corpus of few words, whose short n-grams are all frequent: recall against all alignments, and bounded hits."""
+    monkeypatch.setattr(decontaminate, "RARE_COUNT", most)
+    rng = random.Random(base)
+    items = [(k, words(rng, rng.randrange(15, 40), base)) for k in range(10)]
+    docs = [(k, words(rng, rng.randrange(20, 200), base)) for k in range(400)]
+    for k in range(0, 400, 4):
+        text, edited = docs[k][1].split(), items[k % 10][1].split()
+        for at in rng.sample(range(len(edited)), len(edited) * (k % 3) // 12):
+            edited[at] = f"w{rng.randrange(base)}"
+        docs[k] = (k, " ".join(text[:5] + edited + text[5:]))
+    table = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table(docs, "doc_id"), table(items, "item_id")).collect()}
+    plain = {(k, i) for k, t in docs for i, a in items if plain_alignment(a.split(), t.split()) >= (0.65 if base < 20 else decontaminate.THRESHOLD)}
+    assert len(got & plain) >= 0.9 * len(plain) > 50
+    grams = decontaminate.item_grams(table(items, "ik"))
+    counts = decontaminate.gram_counts(table(docs, "doc_id"), spark.sparkContext.broadcast(decontaminate.Wanted(grams)))
+    seeds = decontaminate.chosen_seeds(grams, counts).join(counts, "gram").join(grams.select("ik", F.col("place").alias("offset"), "gram", "size"), ["ik", "offset", "gram"])
+    met = seeds.select("n", "size").collect()
+    assert all(r.n <= most or r.size >= 4 for r in met) and max(r.size for r in met) > 3
+    assert sum(r.n for r in met) <= 1.5 * most * len(met)
+
+
 def test_short_items_match_exact_copies(spark):
     items = [(1, "Alpha beta gamma delta"), (2, "go now"), (3, "one two three four five six seven"), (4, "one two three four five six seven eight")]
     docs = [(1, "x alpha, BETA gamma delta y"), (2, "alpha beta other gamma delta"), (3, "Go now!"), (4, "they go now"), (5, "zero one two three four five six seven eight nine"), (6, "one two three four six seven")]

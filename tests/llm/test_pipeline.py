@@ -4,6 +4,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline as P  # noqa: E402
@@ -68,7 +69,16 @@ def test_repeated_and_null_rows(spark, data):
 def test_languages_without_labels(spark, data):
     texts = ["a b", "é", "x²", "12 3", "...", "", None, "日本", "²"]
     docs = spark.createDataFrame([(k, t, None, "s", 1) for k, t in enumerate(texts)], DOC)
-    assert sorted(r.doc_id for r in P.languages(spark, docs, data).collect()) == [0, 1, 2, 7, 8]
+    assert sorted(r.doc_id for r in P.languages(spark, docs, data).collect()) == [0, 1, 2, 7]
+
+
+def test_decontamination_judges_texts_and_not_ids(spark, data):
+    item = max((r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()), key=len)
+    rows = [(None, item), (1, item), (1, "a clean text of some words"), (None, "another clean text"), (2, None), (2, None), (3, ""), (4, "word " * 200_000), (4, "word " * 200_000 + item)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], DOC).withColumns({c: F.lit(9) for c in ("text_key", "rk", "gram", "item_id", "score")})
+    kept = P.decontamination(spark, docs, data).collect()
+    key = lambda r: (str(r[0]), r[1] is not None, len(r[1] or ""))
+    assert sorted(((r.doc_id, r.text) for r in kept), key=key) == sorted(((k, t) for k, t in rows if not t or item not in t), key=key)
 
 
 def test_languages_of_one_repeated_text(spark, data):
