@@ -20,7 +20,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter: a language is recognised in each, unless no row has a label. Labels come from the lang column."""
     parser = language_id.train(docs)
     if not parser.languages:
-        return docs.filter(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]")).select(*COLUMNS)
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
     found = language_id.identify(docs, parser, keep=COLUMNS)
     return found.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
 
@@ -44,13 +44,17 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of a test item."""
-    leaks = decontaminate.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return docs.select(*COLUMNS).join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that hold no passage of a test item. Texts are judged, whatever their doc_id: rows with null or shared ids
+    stay or go by their own text, repeated rows alike; null and empty texts stay; long texts are searched whole."""
+    key = F.concat_ws(":", F.xxhash64("text"), F.hash("text"))
+    keyed = docs.select(*COLUMNS, key.alias("text_key"))
+    leaks = decontaminate.contaminated(keyed.select(F.col("text_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return keyed.join(leaks.select(F.col("doc_id").alias("text_key")).distinct(), "text_key", "left_anti").select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_pieces, pieces, lossless) of each document; lossless: the pieces decode to the very text."""
+    """(doc_id, n_pieces, pieces, lossless) of each document; lossless: the pieces decode to the very text. A null text is
+    encoded as the empty one; repeated rows give equal rows; a long text is encoded whole."""
     return sentencepieces.round_trip(docs).select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "lossless")
 
 
