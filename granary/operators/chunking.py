@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator, Sequence
 
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import token_count
+from granary.operators import lexer
 
 MAX_TOKENS, OVERLAP = 512, 50
 CHUNK = "doc_id long, ordinal int, chunk_id string, text string, start long, end long, kind string, name string"
@@ -88,7 +90,7 @@ def code_chunks(docs: DataFrame, limit: int = MAX_TOKENS, overlap: int = OVERLAP
     lines, named <name>_part. Files without any, of another language, or that do not parse, are cut as line_chunks does."""
 
     def cut(uri: str, text: str, language: str) -> Iterator[tuple[str, int, int, str, str]]:
-        found = python_symbols(text) if language == "python" else brace_symbols(text, language) if language in SYMBOLS else ()
+        found = python_symbols(text) if language == "python" else brace_symbols(text, language) if language in _BEGIN else ()
         none = True
         for start, end, kind, name in found:
             none = False
@@ -104,35 +106,68 @@ def code_chunks(docs: DataFrame, limit: int = MAX_TOKENS, overlap: int = OVERLAP
     return _map(docs, cut, "language")
 
 
-#: Per language: how an outermost symbol begins, at the start of a line; it ends with its braces, or with the line if it
-#: has none. Names are those that stand right under the symbol in its grammar: methods and types of Go, classes of
-#: TypeScript and decorated Python definitions have none there.
-SYMBOLS = {
-    "go": re.compile(r"^(?P<all>(?P<kind>func|type)\s+(?:(?P<other>\([^)\n]*\)\s*\w+)|(?P<name>\w+))(?:[^\n{]|\{\})*)(?P<open>\{)?", re.M),
-    "typescript": re.compile(r"^[ \t]*(?:export\s+(?:default\s+)?)?(?P<all>(?:async\s+)?(?P<kind>function|class)\*?\s+(?P<name>[\w$]+)(?:[^{;]|\{\})*)(?P<open>\{)", re.M),
-    "csharp": re.compile(r"^[ \t]*(?P<all>(?:\[[^\]\n]*\]\s*)*(?:(?:public|private|protected|internal|static|sealed|abstract|partial|readonly)\s+)*(?P<kind>class|struct)\s+(?P<name>\w+)[^{;]*)(?P<open>\{)", re.M),
-}
-KINDS = {"func": "function"}
+#: Names are those that stand right under a symbol in its grammar: methods and types of Go and classes of TypeScript have
+#: none there, nor have decorated Python definitions.
 NAMELESS = {("go", "type"), ("typescript", "class")}
 ANONYMOUS = "<anonymous>"
-_HIDDEN = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`", re.S)
+#: Words that may stand before a symbol's own, and those that begin it.
+_BEFORE = {"typescript": ("export", "default", "declare", "abstract"), "csharp": ("public", "private", "protected", "internal", "static", "sealed", "abstract", "partial", "readonly", "file", "unsafe", "ref", "record", "new")}
+_BEGIN = {"go": ("func", "type"), "typescript": ("function", "class"), "csharp": ("class", "struct")}
+
+
+def _statement(nodes: list[lexer.Node], k: int, text: str, language: str) -> list[lexer.Node]:
+    """The nodes from place k on to the end of a line in Go, and else to a semicolon or a body in braces."""
+    run = [nodes[k]]
+    for before, c in itertools.pairwise(itertools.islice(nodes, k, None)):
+        if language == "go" and "\n" in text[before.end : c.start] or run[-1].said(text) == ";":
+            break
+        run.append(c)
+        if language != "go" and c.open == "{" and before.said(text) not in (":", "|", "&", "<", ",", "=>"):
+            break
+    return run
+
+
+def _symbol(run: list[lexer.Node], text: str, language: str) -> tuple[int, int, str, str] | None:
+    """(start, end, kind, name) of the symbol that a statement is, if it is one."""
+    said = [c.open or c.said(text) for c in run]
+    k = 0
+    while k < len(run) and (said[k] in _BEFORE.get(language, ()) or language == "csharp" and said[k] == "["):
+        k += 1
+    start = run[0].start if language == "csharp" or k == len(run) else run[k].start
+    k += language == "typescript" and said[k : k + 1] == ["async"]
+    if k == len(run) or said[k] not in _BEGIN[language]:
+        return None
+    kind, k = said[k], k + 1
+    k += language == "typescript" and said[k : k + 1] == ["*"]
+    named = k < len(run) and run[k].kind == "name"
+    if not named and said[k : k + 1] != (["("] if (language, kind) == ("go", "func") else [None]):
+        return None
+    if language != "go" and run[-1].open != "{":
+        return None
+    braces = [c for c in run if c.open == "{"]
+    end = braces[-1].end if kind == "func" and braces else run[-1].end
+    return start, end, {"func": "function"}.get(kind, kind), said[k] if named and (language, kind) not in NAMELESS else ANONYMOUS
 
 
 def brace_symbols(text: str, language: str) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, kind, name) of the outermost symbols of a source with braces, in characters. Braces inside comments
-    and strings do not count; a symbol that is not closed ends with the text."""
-    plain = _HIDDEN.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-    at = 0
-    while m := SYMBOLS[language].search(plain, at):
-        depth, end = (1, len(plain)) if m["open"] else (0, m.end())
-        for brace in re.finditer(r"[{}]", plain[m.end() :]) if depth else ():
-            depth += 1 if brace[0] == "{" else -1
-            if not depth:
-                end = m.end() + brace.end()
-                break
-        name = m["name"] if m["name"] and (language, m["kind"]) not in NAMELESS else ANONYMOUS
-        yield m.start("all"), end, KINDS.get(m["kind"], m["kind"]), name
-        at = max(end, m.end())
+    """The outermost symbols of a source with braces, in characters, from its tree of brackets; a symbol that is not closed
+    ends with the text."""
+    stack = [(lexer.tree(text, language).children, 0, True)]
+    while stack:
+        nodes, k, braces = stack.pop()  # statements stand in braces, or in none
+        while k < len(nodes):
+            before = nodes[k - 1] if k else None
+            begins = braces and (before is None or "\n" in text[before.end : nodes[k].start] or before.said(text) == ";" or before.open == "{")
+            found = _symbol(_statement(nodes, k, text, language), text, language) if begins and nodes[k].kind in ("name", "group") else None
+            if found:
+                yield found
+                while k < len(nodes) and nodes[k].start < found[1]:
+                    k += 1
+            elif nodes[k].children and language != "go":
+                stack.append((nodes, k + 1, braces))
+                nodes, k, braces = nodes[k].children, 0, nodes[k].open == "{"
+            else:
+                k += 1
 
 
 def python_symbols(text: str) -> Iterator[tuple[int, int, str, str]]:
@@ -234,6 +269,68 @@ def messages(talks: DataFrame) -> DataFrame:
     return rows.select("uri", "doc_id", "pos", "m.thread", "m.ts", "m.speaker", "m.text")
 
 
+def pieces(text: str, language: str, limit: int) -> Iterator[tuple[int, int]]:
+    """[start, end) in characters of a source's pieces: every character is in exactly one, and none has over limit tokens
+    but where a single token or literal has.
+
+    A part within limit stays whole. A larger one is cut before its statements, these before their tokens, and a group
+    behind its opening bracket, level by level; neighbours of a level are then joined as long as limit allows. White space
+    and comments go with what follows them.
+    """
+    work: list[tuple[int, int, list[lexer.Node], bool]] = [(0, len(text), lexer.tree(text, language).children, True)]
+    while work:  # parts of one level are taken from the last to the first
+        start, end, nodes, by_lines = work.pop()
+        if count_tokens(text[start:end]) <= limit or not nodes:
+            if end > start:
+                yield start, end
+            continue
+        runs = [[nodes[0]]]
+        for before, c in itertools.pairwise(nodes):
+            if not by_lines or "\n" in text[before.end : c.start] or before.said(text) == ";":
+                runs.append([])
+            runs[-1].append(c)
+        if len(runs) == 1 and len(nodes) > 1:
+            work.append((start, end, nodes, False))
+            continue
+        if len(nodes) == 1:
+            node = nodes[0]
+            inside = node.start + len(node.open) if node.kind == "group" else node.children[0].start if node.children else end
+            if not node.children or inside >= end:
+                yield start, end
+                continue
+            work.append((inside, end, node.children, True))
+            if inside > start:
+                work.append((start, inside, [], True))
+            continue
+        edges = [start, *(r[0].start for r in runs[1:]), end]
+        sizes = [count_tokens(text[a:b]) for a, b in itertools.pairwise(edges)]
+        level, first, total = [], 0, 0
+        for k, size in enumerate(sizes):
+            if k > first and total + size > limit:
+                level.append((first, k))
+                first, total = k, 0
+            total += size
+        level.append((first, len(runs)))
+        for a, b in reversed(level):
+            work.append((edges[a], edges[b], [c for r in runs[a:b] for c in r], by_lines))
+
+
+def tree_chunks(docs: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:
+    """Sources (doc_id, uri, text, language) cut along their trees of brackets, see pieces(); texts of other languages are
+    cut as line_chunks does, without overlap. An empty or null text gives no chunk."""
+
+    def cut(uri: str, text: str, language: str) -> Iterator[tuple[str, int, int, str, str]]:
+        if language not in lexer.TOKENS:
+            yield from ((p, a, b, "segment", "<file_segment>") for p, a, b in line_spans(text, 0, limit, 0, len(text.encode())) if text)
+            return
+        at = 0
+        for a, b in pieces(text, language, limit):
+            part = text[a:b]
+            yield part, at, (at := at + len(part.encode())), "piece", ""
+
+    return _map(docs, cut, "language")
+
+
 def merged_siblings(chunks: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:
     """(doc_id, ordinal, first, last, n_tokens, text) of chunks (doc_id, ordinal, text): neighbours of a document are
     joined by line ends as long as limit allows; a chunk over the limit stays alone."""

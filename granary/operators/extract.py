@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators import lexer
+
 VERBS = ("get", "post", "put", "delete", "patch", "head", "options")
 # Names of HTTP clients, and the HTTP methods of C# client methods.
 CLIENTS = ("requests", "httpx", "aiohttp", "urllib", "http", "session", "client", "s", "c", "http_client")
@@ -56,15 +59,6 @@ def python_calls(text: str) -> Iterator[tuple[int, str, str, float]]:
                 break
 
 
-#: Per language: an expression for a call with a url as its argument, with groups for receiver, verb and url.
-_URL = r"(?:(?P<plain>@?\"https?://[^\"]*\"|'https?://[^']*')|(?P<built>\$@?\"https?://[^\"]*\"|`https?://[^`]*`))"
-SCANNERS = {
-    "go": re.compile(r"(?P<name>[\w.]+)\.(?P<verb>\w+)\(\s*" + _URL + r"|\bNewRequest\w*\(\s*(?:\w+,\s*)?\"(?P<given>[A-Z]+)\",\s*\"(?P<asked>https?://[^\"]*)\""),
-    "typescript": re.compile(r"(?P<name>[\w.$]+)\.(?P<verb>\w+)(?:<[^>]*>)?\(\s*" + _URL + r"|\bfetch\(\s*(?P<asked>[\"'`]https?://[^\"'`]*[\"'`])(?:,\s*\{[^}]*method:\s*[\"'](?P<given>\w+))?"),
-    "csharp": re.compile(r"(?P<name>[\w.]+)\.(?P<verb>\w+)(?:<[^>]*>)?\(\s*(?:[^\"()]*,\s*)?" + _URL),
-}
-
-
 def sent_by(language: str, receiver: str, verb: str) -> str | None:
     """The HTTP method of a call of receiver.verb, if that is one."""
     name, low = receiver.lower(), verb.lower()
@@ -76,23 +70,71 @@ def sent_by(language: str, receiver: str, verb: str) -> str | None:
     return ("GET" if low == "request" else verb.upper()) if low in (*VERBS[:6], "request") and known else None
 
 
-def without_comments(text: str) -> str:
-    """Comments as spaces, so that lines keep their numbers; a // inside a url is none."""
-    return re.sub(r"(?<!:)//[^\n]*|/\*.*?\*/", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
+_LINK = re.compile(r"https?://[^\s\"'`]*")
+FETCHED = ("GET", "POST", "PUT", "DELETE", "PATCH")
+
+
+def literal(part: list[lexer.Node], text: str, language: str) -> tuple[str, float] | None:
+    """The url of an argument that is a literal, and how sure it is; one with holes is less so."""
+    if language == "csharp" and len(part) == 3 and part[1].said(text) == ":":  # a named argument
+        part = part[2:]
+    if len(part) != 1 or part[0].kind not in ("string", "built"):
+        return None
+    url = part[0].said(text).lstrip("$@").strip("\"'`")
+    found = re.search("https?://", url)
+    return (url[found.start() :], MEDIUM if part[0].kind == "built" else HIGH) if found else None
+
+
+def joined(part: list[lexer.Node], text: str) -> tuple[str, float] | None:
+    """The url of a Go argument that is put together, by operators or by a call: its literal part."""
+    operators = any(c.kind == "op" and c.said(text) in "+-*/%|&" for c in part)
+    called = len(part) > 1 and part[-1].kind == "group" and part[-1].open == "("
+    found = _LINK.search(text[part[0].start : part[-1].end]) if part and (operators or called) else None
+    return (found[0], MEDIUM) if found else None
+
+
+def options(part: list[lexer.Node], text: str) -> dict[str, list[lexer.Node]]:
+    """The pairs of an argument that is an object."""
+    if len(part) != 1 or part[0].kind != "group" or part[0].open != "{":
+        return {}
+    pairs = [p for p in lexer.parts(part[0], text) if len(p) > 2 and p[1].said(text) == ":"]
+    return {p[0].said(text).strip("\"'"): p[2:] for p in pairs}
+
+
+def url_among(arguments: list[list[lexer.Node]], text: str, language: str) -> tuple[str, float] | None:
+    """The first url among arguments, in TypeScript also under url or baseURL of an object."""
+    for part in arguments:
+        if found := literal(part, text, language):
+            return found
+        for name, value in options(part, text).items() if language == "typescript" else ():
+            if name in ("url", "baseURL", "baseUrl") and value[0].kind == "string" and (found := literal(value, text, language)):
+                return found
+    return None
 
 
 def scanned_calls(text: str, language: str) -> Iterator[tuple[int, str, str, float]]:
-    clean = without_comments(text)
-    for m in SCANNERS[language].finditer(clean):
-        g = m.groupdict()
-        built, url = g.get("built"), g.get("plain") or g.get("built") or g.get("asked")
-        verb = sent_by(language, g["name"], g["verb"]) if g.get("name") else (g.get("given") or "GET").upper()
-        if verb:
-            yield clean.count("\n", 0, m.start()) + 1, verb, url.lstrip("$@").strip("\"'`"), MEDIUM if built or url.startswith("`") else HIGH
+    """The calls of a Go, TypeScript or C# source, from its tree of brackets."""
+    ends = [m.start() for m in re.finditer("\n", text)]
+    for start, receiver, name, group in lexer.calls(lexer.tree(text, language), text, language):
+        arguments, verb, url = lexer.parts(group, text), None, None
+        if language == "go" and name in ("NewRequest", "NewRequestWithContext") and receiver:
+            first = int(name != "NewRequest")
+            said = arguments[first][0].said(text).strip('"`').upper() if len(arguments) > first + 1 and len(arguments[first]) == 1 else ""
+            verb = said if said in (*FETCHED, "HEAD") else None
+            url = (literal(arguments[first + 1], text, language) or joined(arguments[first + 1], text)) if verb else None
+        elif receiver and (verb := sent_by(language, receiver, name)):
+            first = arguments[0] if arguments else []
+            url = (literal(first, text, language) or joined(first, text)) if language == "go" else url_among(arguments, text, language)
+        elif language == "typescript" and receiver is None and name == "fetch":
+            chosen = options(arguments[1], text).get("method", []) if len(arguments) > 1 else []
+            said = chosen[0].said(text).strip("\"'").upper() if len(chosen) == 1 else ""
+            verb, url = said if said in FETCHED else "GET", url_among(arguments, text, language)
+        if verb and url:
+            yield bisect.bisect_left(ends, start) + 1, verb, *url
 
 
 def calls_in(text: str, language: str) -> list[tuple[int, str, str, float]]:
-    found = python_calls(text) if language == "python" else scanned_calls(text, language) if language in SCANNERS else ()
+    found = python_calls(text) if language == "python" else scanned_calls(text, language) if language in lexer.TOKENS else ()
     return [f for f in found if re.match(r"https?://([^/:]+)", f[2]) and re.match(r"https?://([^/:]+)", f[2])[1] not in LOCAL]
 
 
@@ -143,18 +185,36 @@ def routes(files: DataFrame) -> DataFrame:
     return one.unionByName(many).unionByName(under)
 
 
+def imported(text: str, language: str) -> Iterator[str]:
+    """The modules that a source imports, in order; what strings and comments say is none."""
+    root = lexer.tree(text, language)
+    for run in lexer.statements(root, text):
+        said = [c.said(text) for c in run]
+        if language == "python" and said[0] in ("from", "import"):
+            end = next((k for k, c in enumerate(run) if k and (c.kind == "name" and said[k] in ("import", "as"))), len(run)) if said[0] == "from" else len(run)
+            for part in " ".join(said[1:end]).split(" , "):
+                yield re.sub(r"\s+", "", part.split(" as ")[0])
+        elif language == "typescript" and said[0] in ("import", "export"):
+            last = next((c for k, c in enumerate(run) if c.kind == "string" and (said[k - 1] == "from" or k == 1)), None)
+            if last is not None:
+                yield last.said(text).strip("\"'")
+        elif language == "go" and said[0] == "import":
+            for c in run[1:]:
+                yield from (x.said(text).strip("\"`") for x in ([c] if c.kind == "string" else c.children) if x.kind == "string")
+        elif language == "csharp" and (said[:1] == ["using"] or said[:2] == ["global", "using"]) and said[-1] == ";" and not any(c.kind == "group" for c in run):
+            name = "".join(w for w in said[said.index("using") + 1 : -1] if w != "static")
+            yield name.split("=")[-1]
+
+
 def imports(files: DataFrame) -> DataFrame:
-    """(path, module): what files import, by language's pattern."""
-    patterns = {
-        "python": r"(?m)^\s*(?:from|import)\s+([\w.]+)",
-        "typescript": r"(?m)^\s*import\s.*?from\s+['\"]([^'\"]+)['\"]",
-        "go": r"(?m)^\s*import\s+\"([^\"]+)\"",
-        "csharp": r"(?m)^\s*using\s+([\w.]+);",
-    }
-    found = F.array().cast("array<string>")
-    for lang, p in patterns.items():
-        found = F.when(F.col("language") == lang, F.regexp_extract_all("content", F.lit(p), F.lit(1))).otherwise(found)
-    return files.select("path", F.explode(F.array_distinct(found)).alias("module"))
+    """(path, module): what files (path, language, content) import, each module once; null contents import nothing."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(path, m) for path, lang, text in zip(frame["path"], frame["language"], frame["content"]) if isinstance(text, str) and lang in lexer.TOKENS for m in dict.fromkeys(imported(text, lang)) if m]
+            yield pd.DataFrame(rows, columns=["path", "module"])
+
+    return files.select("path", "language", "content").mapInPandas(run, "path string, module string")
 
 
 def named_things(docs: DataFrame) -> DataFrame:

@@ -67,18 +67,35 @@ def token_windows(spark: SparkSession, sf: str) -> DataFrame:
     return C.token_windows(_docs(spark, sf), 160, 16).select("doc_id", "ordinal", "first", "last", F.sha2("text", 256).alias("text_sha256"))
 
 
+OTHER = "https://b.example/x"
+
+
 def sources(spark: SparkSession, sf: str) -> DataFrame:
-    """A source file for each page, in one of four languages, that calls its url once; every eighth in a comment only."""
-    u, k = F.col("url"), F.col("page_id")
+    """A source file for each page, in one of four languages, that calls its url in one of six ways, by the url's hash:
+    plainly; in a comment only; with a built url; behind a string with comment marks; with a url joined from two parts;
+    and around another call."""
+    u, k, way = F.col("url"), F.col("page_id"), F.ascii(F.md5("url")) % 6
     verb = F.element_at(F.array(*map(F.lit, ("get", "post", "delete"))), (k % 3 + 1).cast("int"))
     q = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-    hidden = k % 8 == 7
-    python = q("import os\nimport http_tools.client\n\ndef call_", k.cast("string"), "(session):\n    ", F.when(hidden, "# ").otherwise(""), "session.", verb, '("', u, '")\n    return os.name\n')
-    go = q('package main\nimport "net/http"\n\nfunc call() {\n\t', F.when(hidden, "// ").otherwise(""), "httpClient.", F.initcap(verb), '("', u, '")\n}\n')
-    ts = q("import axios from 'axios';\n\nexport async function call() {\n  ", F.when(hidden, "// ").otherwise(""), "await axios.", verb, "('", u, "');\n}\n")
-    cs = q("using System.Net;\n\nclass C {\n  void Call() { ", F.when(hidden, "// ").otherwise(""), "client.", F.initcap(verb), 'Async("', u, '"); }\n}\n'.replace("; }", ";\n  }"))
+
+    def ways(*made) -> F.Column:
+        out = F.lit(None).cast("string")
+        for n, m in enumerate(made):
+            out = F.when(way == n, q(*m)).otherwise(out)
+        return out
+
+    head = F.when(way % 2 == 1, '("net/http") // import "no"').otherwise('"net/http"')
+    py, go, cs = ("session.", verb), ("httpClient.", F.initcap(verb)), ("client.", F.initcap(verb), "Async")
+    python = q("import os\nimport http_tools.client\n\ndef call_", k.cast("string"), "(session):\n    ", ways(
+        (*py, '("', u, '")'), ("# ", *py, '("', u, '")'), (*py, '(f"', u, '/{k}")'), ('t = "# \\" ("; ', *py, '("', u, '")'), (*py, '("', u, '" + x)'), (*py, '("', u, f'", data=f(session.get("{OTHER}")))')), "\n    return os.name\n")
+    golang = q("package main\nimport ", head, "\n\nfunc call() {\n\t", ways(
+        (*go, '("', u, '")'), ("// ", *go, '("', u, '")'), (*go, '(fmt.Sprintf("', u, '/%d", k))'), ('s := "/* \\" ("; ', *go, '("', u, '") // */'), (*go, '("', u, '" + x)'), (*go, '("', u, f'", f(http.Get("{OTHER}")))')), "\n}\n")
+    script = q("import axios from 'axios'; // import x from 'no'\n\nexport async function call() {\n  ", ways(
+        ("await axios.", verb, "('", u, "');"), ("// await axios.", verb, "('", u, "');"), ("await axios.", verb, "(`", u, "/${k}`);"), ("const t = '// ` {'; await axios.", verb, "('", u, "');"), ("await axios.", verb, "('", u, "' + x);"), ("fetch('", u, "', {headers: {a: '}'}, body: await axios.get('" + OTHER + "'), method: \"", verb, '"});')), "\n}\n")
+    sharp = q("using System.Net;\n\nclass C {\n  void Call() { ", ways(
+        (*cs, '("', u, '");'), ("// ", *cs, '("', u, '");'), (*cs, '($"', u, '/{k}");'), ('var t = "/* {"; ', *cs, '("', u, '"); // */'), (*cs, '("', u, '" + x);'), (*cs, '("', u, f'", F(client.GetAsync("{OTHER}")));')), "\n  }\n}\n")
     language = F.element_at(F.array(*map(F.lit, ("python", "go", "typescript", "csharp"))), (k % 4 + 1).cast("int"))
-    content = F.when(k % 4 == 0, python).when(k % 4 == 1, go).when(k % 4 == 2, ts).otherwise(cs)
+    content = F.when(k % 4 == 0, python).when(k % 4 == 1, golang).when(k % 4 == 2, script).otherwise(sharp)
     return table(spark, sf, "pages").select("page_id", F.concat(F.lit("src/f"), k.cast("string")).alias("path"), language.alias("language"), content.alias("content"))
 
 
@@ -105,6 +122,10 @@ def code_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return _digest(C.code_chunks(_chunked(spark, sf), 128, 16))
 
 
+def code_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return _digest(C.tree_chunks(_chunked(spark, sf), 64))
+
+
 def python_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return _digest(C.code_chunks(_chunked(spark, sf).filter("language = 'python'"), 128, 16))
 
@@ -244,8 +265,9 @@ QUERIES = {
     ),
     "extract_calls": (
         extract_calls,
-        """SELECT 'src/f' || page_id AS source_file, CASE page_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 5 ELSE 4 END AS line, (['GET', 'POST', 'DELETE'])[page_id % 3 + 1] AS method, url, 0.9::DOUBLE AS confidence
-        FROM pages WHERE page_id % 8 <> 7""",
+        f"""WITH p AS (SELECT 'src/f' || page_id AS source_file, CASE WHEN page_id % 4 < 2 THEN 5 ELSE 4 END AS line, (['GET', 'POST', 'DELETE'])[page_id % 3 + 1] AS method, url, page_id % 4 AS k, ascii(md5(url)) % 6 AS way FROM pages)
+        SELECT source_file, line, method, CASE way WHEN 2 THEN url || (['/{{x}}', '/%d', '/${{k}}', '/{{k}}'])[k + 1] ELSE url END AS url, CASE WHEN way IN (2, 4) THEN 0.7::DOUBLE ELSE 0.9::DOUBLE END AS confidence FROM p WHERE way IN (0, 2, 3, 5) OR way = 4 AND k = 1
+        UNION ALL SELECT source_file, line, 'GET', '{OTHER}', 0.9::DOUBLE FROM p WHERE way = 5""",
     ),
     "extract_imports": (
         extract_imports,
@@ -253,6 +275,7 @@ QUERIES = {
     ),
     "code_chunks": (code_chunks, None),
     "python_chunks": (python_chunks, None),
+    "code_pieces": (code_pieces, None),
     "talk_messages": (
         talk_messages,
         r"""WITH t AS (SELECT conv_id, turn, role, regexp_replace(text, '[\n:]', ' ', 'g') AS text FROM conversations),

@@ -2,12 +2,13 @@
 
 import json
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
-from granary.operators import chunking, extract, graph, lens, linking, relevance, scrub, search, tasks, vectors
+from granary.operators import chunking, extract, graph, lens, lexer, linking, relevance, scrub, search, tasks, vectors
 from granary.plans import registry
 from granary.sources import crawl, tables
 from granary.streaming import jobs
@@ -95,6 +96,55 @@ def test_code_chunks(spark):
     assert {r.name for r in small} == {"A_part", "g_part", "<anonymous>_part"}
 
 
+SOURCES = [
+    ("go", 'package a\n\nimport (\n\t"fmt" // ")\n)\n\nfunc Run(a []int) (x interface{}, err error) {\n\tfor i := range a { fmt.Println("}", `}`, i) }\n\treturn nil, nil\n}\n\ntype T struct {\n\tA int\n\tB map[string]struct{}\n}\n'),
+    ("typescript", "import {a} from 'x';\nexport default class Box<T> extends Base {\n  get(k: string): {v: T} { return `${this.m[k].map(x => `<${x}>`)}` }\n}\nconst f = async (x) => {\n  if (/[}`]/.test(x)) { return {a: [1, 2, {b: '}'}]} }\n}\n"),
+    ("csharp", 'namespace N {\n  [A("}")] public class C : D {\n    string S(int i) => $"{i:N2} {d["}"]} {{";\n    void V() { var x = @"a""}"; }\n  }\n  public struct P { }\n}\n'),
+    ("python", 'import os\n\ndef f(a, b=")"):\n    """doc ( """\n    return [x for x in a if x # ]\n            ]\n\nclass É:\n    v = {1: (2, 3)}\n'),
+    ("go", "func f( { [ ) } ]"), ("csharp", '$"{a{'), ("typescript", "`${`${"), ("python", ""),
+]
+
+
+@pytest.mark.parametrize("language,text", SOURCES)
+def test_trees_hold_the_text(language, text):
+    root = lexer.tree(text, language)
+    every = [root]
+    for node in every:
+        every.extend(node.children)
+    for group in lexer.groups(root):
+        last = group.start
+        for c in group.children:
+            assert last <= c.start < c.end <= group.end
+            last = c.end
+    for limit in (1, 3, 8, 20, 1000):
+        cuts = list(chunking.pieces(text, language, limit))
+        assert "".join(text[a:b] for a, b in cuts) == text and all(a < b for a, b in cuts)
+        leaves = [n.start for n in every if not n.children]
+        assert all(chunking.count_tokens(text[a:b]) <= limit or sum(a <= x < b for x in leaves) <= 1 for a, b in cuts)
+        joined = [chunking.count_tokens(text[a:d]) for (a, _), (_, d) in zip(cuts, cuts[1:])]
+        assert limit < 1000 or not joined
+
+
+def test_large_sources_in_time(spark):
+    text = "func f() {\n" + "\tx := g(a, [1, 2], {b: c}); y\n" * 20_000 + "}\n"
+    began = time.time()
+    cuts = list(chunking.pieces(text, "go", 100))
+    assert "".join(text[a:b] for a, b in cuts) == text and max(chunking.count_tokens(text[a:b]) for a, b in cuts) <= 100
+    assert len(cuts) <= 2 * chunking.count_tokens(text) / 100 and time.time() - began < 20
+    assert len(list(lexer.groups(lexer.tree("(" * 50_000, "go")))) == 50_000
+    out = chunking.tree_chunks(spark.createDataFrame([(1, "a.go", text[:5000], "go"), (2, "b", None, "go"), (3, "c.rs", "fn a() {}", "rust"), (4, None, "x", None)], "doc_id long, uri string, text string, language string"), 50).orderBy("doc_id", "ordinal").collect()
+    assert "".join(r.text for r in out if r.doc_id == 1) == text[:5000] and [r.doc_id for r in out if r.doc_id > 1] == [3, 4]
+
+
+def test_symbols_behind_strings_and_holes():
+    found = lambda language, text: [(k, n, text[a:b]) for a, b, k, n in chunking.brace_symbols(text, language)]
+    go, ts, cs = (t for _, t in SOURCES[:3])
+    assert [f[:2] for f in found("go", go)] == [("function", "Run"), ("type", "<anonymous>")] and found("go", go)[0][2].endswith("nil, nil\n}")
+    assert [f[:2] for f in found("typescript", ts)] == [("class", "<anonymous>")] and found("typescript", ts)[0][2].startswith("class Box")
+    assert [f[:2] for f in found("csharp", cs)] == [("class", "C"), ("struct", "P")] and found("csharp", cs)[0][2].startswith('[A("}")] public')
+    assert [f[:2] for f in found("typescript", "function f(a = {}): {x: 1} {}\nfoo(function g() {}); namespace N { export class A {} }")] == [("function", "f"), ("class", "<anonymous>")]
+
+
 def test_messages(spark):
     texts = ['[{"type": "message", "user": "u", "text": "a", "ts": "1.5", "thread_ts": "t"}, {"type": "join"}, 3, {"type": "message", "username": "b"}]', '{"messages": [{"type": "message", "text": "x", "ts": "no"}]}', "Ann: hi\nno name\nBob:  there", "just text ", " ", None, "[]"]
     rows = chunking.messages(spark.createDataFrame([("u", k, t) for k, t in enumerate(texts)], "uri string, doc_id long, content string")).orderBy("doc_id", "pos").collect()
@@ -232,6 +282,11 @@ def test_workers(spark):
         ("python", 's.get("http://a-api/x")\nself.http_client.put("http://b/y")\nd.get("http://a/b")\nurllib.head("http://c/z", x)', [(1, "GET", "http://a-api/x", 0.9), (2, "PUT", "http://b/y", 0.9), (4, "HEAD", "http://c/z", 0.9)]),
         ("csharp", '_http.SendAsync("http://s/x");\nhttp.PutAsync(@"http://s/y");\nw.DownloadString("http://no/x");\nwebClient.UploadData("http://s/z", d);\nclient.Fetch("http://no/y");', [(1, "GET", "http://s/x", 0.9), (2, "PUT", "http://s/y", 0.9), (4, "POST", "http://s/z", 0.9)]),
         ("typescript", 'superagent.put("http://s/x"); userApi.request("http://s/y"); map.get("http://no/x")', [(1, "PUT", "http://s/x", 0.9), (1, "GET", "http://s/y", 0.9)]),
+        ("go", 'client.Get("http://a/x/" + id); http.Get(fmt.Sprintf("http://a/x/%d", id))\nhttp.Get(`http://a/y`)', [(1, "GET", "http://a/x/", 0.7), (1, "GET", "http://a/x/%d", 0.7), (2, "GET", "http://a/y", 0.9)]),
+        ("go", 's := "/*"; http.Get("http://a/x") // */\nfmt.Println("http://no/x")\nreq, _ := http.NewRequestWithContext(ctx, "put", "http://s/y"+z, nil)', [(1, "GET", "http://a/x", 0.9), (3, "PUT", "http://s/y", 0.7)]),
+        ("typescript", 'fetch("http://a/u", {headers: {a: 1}, method: "POST"}); axios.request({url: \'http://a/x\'});\naxios.get("http://no/x/" + id)', [(1, "POST", "http://a/u", 0.9), (1, "GET", "http://a/x", 0.9)]),
+        ("typescript", "const r = /[`\"]/g; getClient().get<A<B>>(`http://a/${await http.put('http://b/c')}`)", [(1, "GET", "http://a/${await http.put('http://b/c')}", 0.7), (1, "PUT", "http://b/c", 0.9)]),
+        ("csharp", '#region "\nvar s = $"a{b["}"]}"; client.GetAsync("http://no/x/" + id);\n_http?.PostAsync($"http://s/{d["k"]}", x); client.DeleteAsync(requestUri: "http://t/u")', [(3, "POST", 'http://s/{d["k"]}', 0.7), (3, "DELETE", "http://t/u", 0.9)]),
         ("csharp", 'var r = await _client.GetAsync("http://s/x");\nclient.PostAsync($"http://s/{id}");\n/* client.GetAsync("http://n/x") */', [(1, "GET", "http://s/x", 0.9), (2, "POST", "http://s/{id}", 0.7)]),
     ],
 )
@@ -239,6 +294,15 @@ def test_extraction(language, text, calls):
     assert extract.calls_in(text, language) == calls
 
 
+def test_imports(spark):
+    files = [("p", "python", 'import os, sys as s\nfrom a.b import c\n"""import no"""\nfrom . import x\nfrom .y import z\n# import no\n'), ("g", "go", 'import "net/http"\nimport (\n\tx "fmt"\n\t_ "a/b"\n)\nvar s = `\nimport "no"`\n'),
+             ("t", "typescript", "import axios from 'axios';\nimport {\n a,\n b } from './x'\nimport 'side';\nexport * from \"y\";\nconst s = `\nimport z from 'no'`;"), ("c", "csharp", 'using System.Net;\nusing static A.B;\nusing J = K.L;\nusing (var x = y) { }\nvar s = @"\nusing No;";'), ("n", "go", None), ("o", "rust", "use x;")]
+    got = {}
+    for r in extract.imports(spark.createDataFrame(files, "path string, language string, content string")).collect():
+        got.setdefault(r.path, set()).add(r.module)
+    assert got == {"p": {"os", "sys", "a.b", ".", ".y"}, "g": {"net/http", "fmt", "a/b"}, "t": {"axios", "./x", "side", "y"}, "c": {"System.Net", "A.B", "K.L"}}
+
+
 def test_stores(spark, tmp_path):
     store = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     new = spark.createDataFrame([(2, "x"), (3, "z"), (3, "y")], "id long, v string")
