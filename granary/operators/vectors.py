@@ -45,7 +45,8 @@ def nearest(store: DataFrame, query: list[float], k: int, where: Column | None =
 
 
 def packed(rows: DataFrame, key: str) -> DataFrame:
-    """(ids, vectors) in blocks of up to BLOCK rows (key, embedding), as bytes of 64-bit numbers. Null vectors go."""
+    """(ids, vectors) in blocks of up to BLOCK rows (key, embedding), as bytes of 64-bit numbers. Rows
+    with a null key or vector go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,7 +55,7 @@ def packed(rows: DataFrame, key: str) -> DataFrame:
                 vectors = some.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8")
                 yield pa.RecordBatch.from_arrays([pa.array([some.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], names=["ids", "vectors"])
 
-    return rows.filter("embedding is not null").select(F.col(key).cast("long"), "embedding").mapInArrow(run, "ids binary, vectors binary")
+    return rows.filter(F.col("embedding").isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long"), "embedding").mapInArrow(run, "ids binary, vectors binary")
 
 
 def nearest_for_each(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -62,7 +63,7 @@ def nearest_for_each(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     All rows are compared, exactly: each block of the store meets each block of queries in one matrix product, which
     leaves few pairs to be measured anew and ranked. A window takes the best of all blocks. Both tables must hold vectors
-    of one size; null ones are left out.
+    of one size; null ones, and rows without an id, are left out.
     """
     pairs = packed(store, "vec_id").crossJoin(packed(queries, "query_id").withColumnsRenamed({"ids": "query_ids", "vectors": "query_vectors"}))  # of blocks
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.operators import ivfpq as Q
 from granary.operators import vectors as V
-from granary.sources.tables import table
+from granary.sources.tables import shared_folder, table
 
 
 def _query(store: DataFrame, vec_id: int) -> list[float]:
@@ -36,6 +39,18 @@ def knn_per_query(spark: SparkSession, sf: str) -> DataFrame:
     return V.nearest_for_each(store, queries, 5).select("query_id", "vec_id", F.round("distance", 5).alias("distance"))
 
 
+def knn_ivfpq(spark: SparkSession, sf: str) -> DataFrame:
+    """The queries of knn_per_query by the approximate index, which is built over all rows: about the 10 nearest of each."""
+    store = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    queries = store.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    books = Q.fit(store)
+    if books is None:
+        return V.nearest_for_each(store, queries, 10).select("query_id", "vec_id", "distance", "rank")
+    path = f"{shared_folder(spark)}/ivfpq-{uuid.uuid4().hex}"
+    Q.write(store, books, path)
+    return Q.search(store, books, path, queries).select("query_id", "vec_id", F.round("distance", 5).alias("distance"), "rank")
+
+
 def vector_means(spark: SparkSession, sf: str) -> DataFrame:
     return V.mean_vectors(table(spark, sf, "embeddings"), "label").select("label", "position", F.round("mean", 6).alias("mean"))
 
@@ -60,5 +75,6 @@ QUERIES = {
         f"""WITH d AS (SELECT a.vec_id AS query_id, b.vec_id, {_L2} AS d FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS k FROM d) SELECT query_id, vec_id, round(d, 5) AS distance FROM r WHERE k <= 5""",
     ),
+    "knn_ivfpq": (knn_ivfpq, None),
     "vector_means": (vector_means, "SELECT label, CAST(p - 1 AS INTEGER) AS position, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS p FROM embeddings) GROUP BY ALL"),
 }
