@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.operators import keyword_index as I
 from granary.operators import search as S
-from granary.sources.tables import cut_lineage, table
+from granary.sources.tables import cut_lineage, shared_folder, table
 
 TERMS, NEAR = ("thing", "erth", "quele"), ("inor", "eneux")
 NOW = "2024-02-01 00:00:00"
@@ -31,6 +34,24 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return S.fuse(lists[0].unionByName(lists[1])).select("doc_id", F.round("score", 8).alias("score"), "lists")
 
 
+def _index(spark: SparkSession, sf: str) -> I.Index:
+    docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("corpus"), "text")
+    return I.build(docs, T.code_words(F.col("text")), f"{shared_folder(spark)}/keywords-{uuid.uuid4().hex}")
+
+
+def bm25_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Each benchmark item as a query for all its words, in one job on one index; those of odd ids among English texts only."""
+    items = table(spark, sf, "benchmark").select("item_id", F.explode(T.code_words(F.col("text"))).alias("term"))
+    queries = items.select(F.col("item_id").alias("query_id"), "term", F.when(F.col("item_id") % 2 == 1, "en").alias("corpus"))
+    return I.search(_index(spark, sf), queries, 10).select("query_id", "doc_id", "score", "rank")
+
+
+def bm25_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """In how many documents each word of the index is, and its share."""
+    index = _index(spark, sf)
+    return index.terms(spark).select("term", "df", F.round(F.col("df") / index.n, 6).alias("share"))
+
+
 def rerank_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select("user_id", F.col("value").alias("score"))
     return S.best_of_duplicates(rows, "user_id")
@@ -68,8 +89,26 @@ def _bm25(terms: tuple[str, ...]) -> str:
     SELECT doc_id, round({part}, 6) AS score FROM c, s WHERE {part} > 0)"""
 
 
+def _words(text: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+    return rf"list_filter(regexp_split_to_array(lower(regexp_replace(coalesce({text}, ''), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({stop}))"
+
+
 QUERIES = {
     "bm25_topk": (bm25_topk, f"SELECT doc_id, score FROM {_bm25(TERMS)} ORDER BY score DESC, doc_id LIMIT 20"),
+    "bm25_index": (
+        bm25_index,
+        rf"""WITH w AS (SELECT doc_id, lang, {_words("text")} AS l FROM documents), s AS (SELECT count(*) AS n, avg(len(l)) AS mean FROM w),
+        p AS (SELECT doc_id, lang, len(l) AS len, unnest(l) AS term FROM w), t AS (SELECT doc_id, lang, len, term, count(*) AS tf FROM p GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
+        q AS (SELECT DISTINCT item_id AS query_id, unnest({_words("text")}) AS term FROM benchmark),
+        c AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 6) AS score FROM q JOIN d USING (term) JOIN t USING (term), s WHERE query_id % 2 = 0 OR lang = 'en' GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM c) SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""",
+    ),
+    "bm25_terms": (
+        bm25_terms,
+        rf"""WITH w AS (SELECT doc_id, {_words("text")} AS l FROM documents), t AS (SELECT DISTINCT doc_id, unnest(l) AS term FROM w)
+        SELECT term, count(*) AS df, round(count(*)::DOUBLE / (SELECT count(*) FROM documents), 6) AS share FROM t GROUP BY 1""",
+    ),
     "rrf_fusion": (
         rrf_fusion,
         f"""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS r FROM {_bm25(TERMS)}), b AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS r FROM {_bm25(NEAR)}),
