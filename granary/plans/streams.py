@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from granary.functions import text as T
 from granary.sources.crawl import requests, yaml_resources
@@ -20,7 +21,42 @@ def bus_requests(events: DataFrame) -> DataFrame:
 
 
 def bus_replay(spark: SparkSession, sf: str) -> DataFrame:
-    return J.finish(J.task_lives(bus_requests(J.event_stream(spark, sf))), "bus", "complete")
+    return J.finish(J.task_lives(bus_requests(J.event_stream(spark, sf))), "bus", ["pool", "task"])
+
+
+def _replay(spark: SparkSession, sf: str, timeout: int | None) -> str:
+    """The folder of a run of tasks' lives over all events, in three parts, and a last request that moves time on to NOW."""
+    folder, late = J.new_folder(spark, "lives"), 3600
+    requests = bus_requests(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    lives = lambda stream: J.watched_lives(stream, timeout, f"{late} seconds")
+    with J.rocks(spark):
+        J.replayed(requests, "seq", 3, folder, lives)
+        if timeout is not None:
+            clock = requests.limit(0).unionByName(spark.range(1).select(F.lit("").alias("pool"), F.col("id").alias("seq"), (F.unix_timestamp(F.lit(NOW).cast("timestamp")) + late).alias("at"), F.lit("clock").alias("tool"), F.lit("").alias("worker"), F.lit("").alias("task")))
+            J.replayed(clock, "seq", 1, folder, lives)
+    return folder
+
+
+def task_timeouts(spark: SparkSession, sf: str) -> DataFrame:
+    """As lost_tasks, from a stream that sets a timer for each task that starts."""
+    folder = _replay(spark, sf, J.TASK_TIMEOUT)
+    lives = J.latest(spark, folder, StructType.fromDDL(J.LIVES), ["pool", "task"]).filter("pool <> ''")
+    return lives.groupBy("pool", "state").agg(F.count("*").alias("n"), F.count("worker").alias("with_worker"))
+
+
+def task_state_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """The lives of tasks, read from the state of a stream that has ended."""
+    return J.life_snapshot(spark, _replay(spark, sf, None))
+
+
+def ingest_increments(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents ingested in two runs on one checkpoint: most of them first, then new and changed ones."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("source"), "text")
+    folder = J.new_folder(spark, "ingest")
+    first, second = docs.filter("source % 11 <> 3"), docs.filter("source % 11 = 3 or source % 5 = 1").withColumn("text", F.concat("text", F.lit("+")))
+    read = [sum(J.replayed(rows, "source", 1, folder, J.ingested)) for rows in (first, second)]
+    schema = StructType.fromDDL("source long, hash string, n_chars int")
+    return J.latest(spark, folder, schema, ["source"]).select("source", "hash", "n_chars", F.col("batch").alias("run"), F.lit(read[0]).alias("first_read"), F.lit(read[1]).alias("second_read"))
 
 
 def lost_tasks(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,7 +71,7 @@ def request_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hourly_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return J.finish(J.hourly(J.event_stream(spark, sf)), "hourly", "complete")
+    return J.finish(J.hourly(J.event_stream(spark, sf)), "hourly", ["start", "event_type"])
 
 
 def user_sessions(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,12 +115,19 @@ _LIVES = """r AS (SELECT event_type AS pool, 't' || user_id AS task, event_id, C
 l AS (SELECT pool, task, count(*) FILTER (tool = 'submit') AS submitted, count(*) FILTER (tool = 'failed') AS failed, arg_max(tool, event_id) AS t, arg_max(worker, event_id) AS worker, arg_max(sec, event_id) AS since FROM r WHERE tool IN ('submit', 'start', 'done', 'failed') GROUP BY ALL),
 s AS (SELECT pool, task, submitted, failed, CASE t WHEN 'start' THEN 'executing' WHEN 'done' THEN 'done' ELSE 'queued' END AS state, worker, since FROM l)"""
 
+_LOST = f"""WITH {_LIVES}, q AS (SELECT *, state = 'executing' AND CAST(epoch(TIMESTAMP '{NOW}') AS BIGINT) - since > {J.TASK_TIMEOUT} AS lost FROM s)
+    SELECT pool, CASE WHEN lost THEN 'queued' ELSE state END AS state, count(*) AS n, count(*) FILTER (NOT lost) AS with_worker FROM q GROUP BY ALL"""
+
 QUERIES = {
     "bus_replay": (bus_replay, f"WITH {_LIVES} SELECT * FROM s"),
-    "lost_tasks": (
-        lost_tasks,
-        f"""WITH {_LIVES}, q AS (SELECT *, state = 'executing' AND CAST(epoch(TIMESTAMP '{NOW}') AS BIGINT) - since > {J.TASK_TIMEOUT} AS lost FROM s)
-        SELECT pool, CASE WHEN lost THEN 'queued' ELSE state END AS state, count(*) AS n, count(*) FILTER (NOT lost) AS with_worker FROM q GROUP BY ALL""",
+    "lost_tasks": (lost_tasks, _LOST),
+    "task_timeouts": (task_timeouts, _LOST),
+    "task_state_snapshot": (task_state_snapshot, f"WITH {_LIVES} SELECT * FROM s"),
+    "ingest_increments": (
+        ingest_increments,
+        """WITH d AS (SELECT doc_id AS source, coalesce(CASE WHEN doc_id % 11 = 3 OR doc_id % 5 = 1 THEN text || '+' ELSE text END, '') AS text FROM documents)
+        SELECT source, sha256(text) AS hash, CAST(length(text) AS INTEGER) AS n_chars, CAST(CASE WHEN source % 11 = 3 OR source % 5 = 1 THEN 1 ELSE 0 END AS BIGINT) AS run,
+        CAST(count(*) FILTER (source % 11 <> 3) OVER () AS INTEGER) AS first_read, CAST(count(*) FILTER (source % 11 = 3 OR source % 5 = 1) OVER () AS INTEGER) AS second_read FROM d""",
     ),
     "request_errors": (
         request_errors,
