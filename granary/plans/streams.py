@@ -24,23 +24,22 @@ def bus_replay(spark: SparkSession, sf: str) -> DataFrame:
     return J.finish(J.task_lives(bus_requests(J.event_stream(spark, sf))), "bus", ["pool", "task"])
 
 
+#: Seconds that the replayed requests may be late, and after which a replayed task has run too long.
+LATE, LONG = 3600, 2 * 86_400
+
+
 def _replay(spark: SparkSession, sf: str, timeout: int | None) -> str:
-    """The folder of a run of tasks' lives over all events, in three parts, and a last request that moves time on to NOW."""
-    folder, late = J.new_folder(spark, "lives"), 3600
+    """The folder of a run of tasks' lives over all events, in three parts."""
+    folder = J.new_folder(spark, "lives")
     requests = bus_requests(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")))
-    lives = lambda stream: J.watched_lives(stream, timeout, f"{late} seconds")
     with J.rocks(spark):
-        J.replayed(requests, "seq", 3, folder, lives)
-        if timeout is not None:
-            clock = requests.limit(0).unionByName(spark.range(1).select(F.lit("").alias("pool"), F.col("id").alias("seq"), (F.unix_timestamp(F.lit(NOW).cast("timestamp")) + late).alias("at"), F.lit("clock").alias("tool"), F.lit("").alias("worker"), F.lit("").alias("task")))
-            J.replayed(clock, "seq", 1, folder, lives)
+        J.replayed(requests, "seq", 3, folder, lambda stream: J.watched_lives(stream, timeout, f"{LATE} seconds"))
     return folder
 
 
 def task_timeouts(spark: SparkSession, sf: str) -> DataFrame:
-    """As lost_tasks, from a stream that sets a timer for each task that starts."""
-    folder = _replay(spark, sf, J.TASK_TIMEOUT)
-    lives = J.latest(spark, folder, StructType.fromDDL(J.LIVES), ["pool", "task"]).filter("pool <> ''")
+    """States of tasks by pool from a stream that sets a timer for each task that starts, as far as the watermark came."""
+    lives = J.latest(spark, _replay(spark, sf, LONG), StructType.fromDDL(J.LIVES), ["pool", "task"])
     return lives.groupBy("pool", "state").agg(F.count("*").alias("n"), F.count("worker").alias("with_worker"))
 
 
@@ -115,13 +114,17 @@ _LIVES = """r AS (SELECT event_type AS pool, 't' || user_id AS task, event_id, C
 l AS (SELECT pool, task, count(*) FILTER (tool = 'submit') AS submitted, count(*) FILTER (tool = 'failed') AS failed, arg_max(tool, event_id) AS t, arg_max(worker, event_id) AS worker, arg_max(sec, event_id) AS since FROM r WHERE tool IN ('submit', 'start', 'done', 'failed') GROUP BY ALL),
 s AS (SELECT pool, task, submitted, failed, CASE t WHEN 'start' THEN 'executing' WHEN 'done' THEN 'done' ELSE 'queued' END AS state, worker, since FROM l)"""
 
-_LOST = f"""WITH {_LIVES}, q AS (SELECT *, state = 'executing' AND CAST(epoch(TIMESTAMP '{NOW}') AS BIGINT) - since > {J.TASK_TIMEOUT} AS lost FROM s)
+
+
+def _lost(test: str) -> str:
+    return f"""WITH {_LIVES}, q AS (SELECT *, state = 'executing' AND {test} AS lost FROM s)
     SELECT pool, CASE WHEN lost THEN 'queued' ELSE state END AS state, count(*) AS n, count(*) FILTER (NOT lost) AS with_worker FROM q GROUP BY ALL"""
 
+
 QUERIES = {
     "bus_replay": (bus_replay, f"WITH {_LIVES} SELECT * FROM s"),
-    "lost_tasks": (lost_tasks, _LOST),
-    "task_timeouts": (task_timeouts, _LOST),
+    "lost_tasks": (lost_tasks, _lost(f"CAST(epoch(TIMESTAMP '{NOW}') AS BIGINT) - since > {J.TASK_TIMEOUT}")),
+    "task_timeouts": (task_timeouts, _lost(f"since + {LONG} < (SELECT max(sec) FROM r WHERE tool IN ('submit', 'start', 'done', 'failed')) - {LATE}")),
     "task_state_snapshot": (task_state_snapshot, f"WITH {_LIVES} SELECT * FROM s"),
     "ingest_increments": (
         ingest_increments,
