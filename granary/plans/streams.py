@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 from granary.functions import text as T
 from granary.sources.crawl import requests, yaml_resources
 from granary.sources.tables import table
+from granary.sources.yaml import boundary_signals, resources
 from granary.streaming import jobs as J
 
 NOW = "2024-01-20 00:00:00"
@@ -103,6 +104,25 @@ def yaml_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"), F.sum(F.coalesce(F.try_element_at("ports", F.lit(1)), F.lit(0))).alias("ports"))
 
 
+def yaml_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """What resources written for orders say of services: a service with listed ports, an ingress in flow form, a deployment
+    whose environment names another service, or a network policy."""
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    q = lambda *parts: F.concat(*(F.lit(p) if p not in "kc" else {"k": k, "c": c}[p] for p in parts))
+    head = lambda kind: (f"kind: {kind}\nmetadata: # of the order\n  labels:\n    app: 'app-", "c", "'\n    tier: \"a: b\"\n  name: r", "k", "\n")
+    service = q(*head("Service"), "spec:\n  selector: {app: app-", "c", "}\n  ports:\n  - name: web\n    port: 80\n    targetPort: 8080\n  - {port: 443, targetPort: https}\n")
+    ingress = q(*head("Ingress"), "spec:\n  rules:\n  - host: h", "c", ".example.com\n    http: {paths: [{path: /a, backend: {service: {name: s", "k", ",\n      port: {number: 90}}}}, {backend: {serviceName: old, servicePort: 91}}]}\n")
+    deploy = q(*head("Deployment"), "spec:\n  template:\n    spec:\n      containers:\n      - name: x\n        image: img/", "c", ":1\n        env:\n        - name: URL\n          value: \"http://svc-", "c", ":8080/x#y\"\n        - name: P\n          value: http: no\n")
+    deploy = F.replace(deploy, F.lit("value: http: no"), F.lit("valueFrom:\n            secretKeyRef: {name: sec, key: 'k'}"))
+    policy = q(*head("NetworkPolicy"), "spec:\n  podSelector:\n    matchLabels:\n      app: app-", "c", "\n---\n- no\n- resource\n---\nkind: Secret\nstringData:\n  note: |\n    kind: Service\n    port: 1\n")
+    way = F.col("o_orderkey") % 4
+    content = F.when(way == 0, service).when(way == 1, ingress).when(way == 2, deploy).otherwise(policy)
+    found = resources(table(spark, sf, "orders").select(k.alias("path"), content.alias("content")))
+    signals = boundary_signals(found).select("path", "ordinal", "signal", "target", "port", "route")
+    facts = found.select("path", "ordinal", "kind", "name", "service_name", F.array_join("ports", ",").alias("ports"), F.array_join(F.concat("images", "env_refs"), ",").alias("refs"))
+    return facts.join(signals, ["path", "ordinal"], "left")
+
+
 def latest_states(spark: SparkSession, sf: str) -> DataFrame:
     """Each user's last event, as a change feed applied to a table would leave it."""
     e = table(spark, sf, "events")
@@ -151,5 +171,15 @@ QUERIES = {
         yaml_kinds,
         "SELECT 'Service' AS kind, count(*) AS n, count(DISTINCT o_orderkey) AS names, CAST(sum(o_orderkey % 1000 + 80) AS BIGINT) AS ports FROM orders UNION ALL SELECT 'Deployment', count(*), count(DISTINCT o_custkey), 0 FROM orders",
     ),
+    "yaml_signals": (
+        yaml_signals,
+        """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, CAST(o_custkey AS VARCHAR) AS c, o_orderkey % 4 AS way FROM orders),
+        r AS (SELECT k, c, way, 0 AS ordinal, (['Service', 'Ingress', 'Deployment', 'NetworkPolicy'])[way + 1] AS kind, 'r' || k AS name, 'app-' || c AS service_name, (['80,8080,443', '90,91', '', ''])[way + 1] AS ports, CASE WHEN way = 2 THEN 'img/' || c || ':1,sec' ELSE '' END AS refs FROM o
+          UNION ALL SELECT k, c, 9, 2, 'Secret', '', NULL, '', '' FROM o WHERE way = 3),
+        s AS (SELECT k, 0 AS ordinal, 'network' AS signal, 'app-' || c AS target, unnest([80, 443]) AS port, CAST(NULL AS VARCHAR) AS route FROM o WHERE way = 0
+          UNION ALL SELECT k, 0, 'external', 's' || k, 90, 'h' || c || '.example.com/a' FROM o WHERE way = 1 UNION ALL SELECT k, 0, 'external', 'old', 91, 'h' || c || '.example.com/' FROM o WHERE way = 1
+          UNION ALL SELECT k, 0, 'depends', 'svc-' || c, 8080, NULL FROM o WHERE way = 2 UNION ALL SELECT k, 0, 'policy', 'app-' || c, NULL, NULL FROM o WHERE way = 3)
+        SELECT r.k AS path, r.ordinal, kind, name, service_name, ports, refs, signal, target, port, route FROM r LEFT JOIN s ON r.k = s.k AND r.ordinal = s.ordinal""",
+    ),
     "latest_states": (latest_states, "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1"),
 }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.text import language_of
+from granary.sources import yaml
 
 SKIPPED = ("node_modules", ".git", "dist", "build", "__pycache__", ".venv", "venv", "target", ".tox", ".mypy_cache")
 CODE, DOCS = ("py", "ts", "tsx", "js", "go", "cs", "java", "rs", "rb", "php"), ("md", "mdx", "rst", "txt")
@@ -82,11 +83,8 @@ def transcripts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def yaml_resources(docs: DataFrame) -> DataFrame:
-    """(path, ordinal, kind, name, ports): the documents of YAML files, split at --- lines, that name a kind."""
-    parts = docs.select("path", F.posexplode(F.split("content", r"(?m)^---[ \t]*$")).alias("ordinal", "doc"))
-    field = lambda p: F.regexp_extract("doc", p, 1)
-    rows = parts.select("path", "ordinal", field(r"(?m)^kind:[ ]*(\S+)").alias("kind"), field(r"(?m)^metadata:[ ]*\n(?:[ ]+.*\n)*?[ ]+name:[ ]*(\S+)").alias("name"), F.regexp_extract_all("doc", F.lit(r"(?m)[pP]ort:[ ]*([0-9]+)"), F.lit(1)).cast("array<int>").alias("ports"))
-    return rows.filter("kind <> ''")
+    """(path, ordinal, kind, name, ports): the documents of YAML files (path, content) that name a kind."""
+    return yaml.resources(docs).select("path", "ordinal", "kind", "name", "ports")
 
 
 def requests(lines: DataFrame) -> DataFrame:

@@ -354,8 +354,8 @@ def test_streams_append_in_turns(spark, tmp_path):
     rows = spark.range(6).selectExpr("id", "timestamp_seconds(id * 3600) as ts", "'a' as event_type", "cast(id as double) as value")
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    assert jobs.finish(stream.select("id"), "ids").count() == 6
-    assert jobs.finish(jobs.hourly(stream), "hours", "complete").count() == 6
+    assert jobs.finish(stream.select("id"), "ids", ["id"]).count() == 6
+    assert jobs.finish(jobs.hourly(stream), "hours", ["start", "event_type"]).count() == 6
 
 
 def test_requests_and_yaml(spark):
