@@ -200,20 +200,19 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
     """(doc_id, section, heading, level, text): what stands from each heading of 1 to 6 signs to the next, trimmed.
 
     Text before the first heading is the section 0, named (preamble), if it is not blank; a text without headings is
-    one section of level 0 with an empty heading. Lines are numbered and summed by window; nothing runs in Python.
+    one section of level 0 with an empty heading. Texts are cut in their rows: nothing is shuffled or runs in Python.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    marked = lines.withColumn("head", F.col("line").rlike(r"^#{1,6}\s+\S").cast("int"))
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    numbered = marked.withColumn("section", F.sum("head").over(order)).withColumn("heads", F.sum("head").over(Window.partitionBy("doc_id")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n")
-    first = F.min_by("line", "pos")
-    rows = numbered.groupBy("doc_id", "section", "heads").agg(joined.alias("raw"), first.alias("line"))
-    text = F.regexp_replace("raw", r"^\s+|\s+$", "")
-    heading = F.when(F.col("heads") == 0, "").when(F.col("section") == 0, "(preamble)").otherwise(F.regexp_extract("line", r"^#{1,6}\s+(.+)$", 1))
-    level = F.when(F.col("section") == 0, 0).otherwise(F.length(F.regexp_extract("line", "^(#{1,6})", 1)))
-    out = rows.select("doc_id", "section", "heads", heading.alias("heading"), level.alias("level"), F.when(F.col("heads") == 0, F.col("raw")).otherwise(text).alias("text"))
-    return out.filter("heads = 0 or section > 0 or text <> ''").drop("heads")
+    head = r"^#{1,6}\s+\S"
+    parts = F.split("text", r"(?dm)(?=^#{1,6}[^\S\n]+\S)", -1)
+    cut = docs.select("doc_id", parts.alias("parts")).withColumn("headed", F.get("parts", 0).rlike(head))
+    rows = cut.select("doc_id", "headed", (F.size("parts") == 1).alias("alone"), F.posexplode("parts").alias("pos", "raw"))
+    line, section = F.substring_index("raw", "\n", 1), F.col("pos") + F.col("headed").cast("int")
+    none = F.col("alone") & ~F.col("headed")
+    text = F.when(none, F.col("raw")).otherwise(F.regexp_replace("raw", r"^\s+|\s+$", ""))
+    heading = F.when(none, "").when(section == 0, "(preamble)").otherwise(F.regexp_extract(line, r"^#{1,6}\s+(.+)$", 1))
+    level = F.when(section == 0, 0).otherwise(F.length(F.regexp_extract(line, "^(#{1,6})", 1)))
+    out = rows.select("doc_id", section.cast("long").alias("section"), none.alias("none"), heading.alias("heading"), level.alias("level"), text.alias("text"))
+    return out.filter("none or section > 0 or text <> ''").drop("none")
 
 
 def section_chunks(sections: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:
@@ -335,19 +334,25 @@ def merged_siblings(chunks: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:
     """(doc_id, ordinal, first, last, n_tokens, text) of chunks (doc_id, ordinal, text): neighbours of a document are
     joined by line ends as long as limit allows; a chunk over the limit stays alone."""
     sized = chunks.withColumn("size", token_count(F.col("text")))
-    listed = sized.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "size"))).alias("l"))  # one document's own
-    start = F.struct(F.lit(0).alias("total"), F.lit(-1).alias("part"), F.array().cast("array<int>").alias("parts"))
+    listed = sized.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "size", "text"))).alias("l"))  # one document's own
+    kind = chunks.schema["doc_id"].dataType.simpleString()
 
-    def step(acc: Column, x: Column) -> Column:
-        new = (acc.part < 0) | (acc.total + x["size"] > limit)
-        part = F.when(new, acc.part + 1).otherwise(acc.part)
-        return F.struct(F.when(new, x["size"]).otherwise(acc.total + x["size"]).alias("total"), part.alias("part"), F.concat(acc.parts, F.array(part)).alias("parts"))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for doc_id, parts in zip(frame["doc_id"], frame["l"]):
+                runs: list[list[dict]] = []
+                total = 0
+                for p in parts:
+                    if not runs or total + p["size"] > limit:
+                        runs.append([])
+                        total = 0
+                    runs[-1].append(p)
+                    total += p["size"]
+                rows += [(doc_id, k, r[0]["ordinal"], r[-1]["ordinal"], sum(p["size"] for p in r), "\n".join(p["text"] for p in r)) for k, r in enumerate(runs)]
+            yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "first", "last", "n_tokens", "text"])
 
-    parts = listed.select("doc_id", F.explode(F.arrays_zip(F.col("l.ordinal").alias("at"), F.aggregate("l", start, step, lambda acc: acc.parts).alias("part"))).alias("x"))
-    placed = sized.join(parts.select("doc_id", F.col("x.at").alias("ordinal"), "x.part"), ["doc_id", "ordinal"])
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda t: t.text), "\n")
-    out = placed.groupBy("doc_id", "part").agg(F.min("ordinal").alias("first"), F.max("ordinal").alias("last"), F.sum("size").alias("n_tokens"), text.alias("text"))
-    return out.withColumnRenamed("part", "ordinal")
+    return listed.mapInPandas(run, f"doc_id {kind}, ordinal int, first int, last int, n_tokens long, text string")
 
 
 def threads(messages: DataFrame) -> DataFrame:
@@ -386,8 +391,8 @@ def windows(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     step = size - overlap
     w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
     rows = docs.select("doc_id", w.alias("w")).withColumn("last", F.greatest(F.lit(0), F.ceil((F.size("w") - size) / step)).cast("int"))
-    at = rows.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("window"))
-    return at.select("doc_id", "window", F.array_join(F.slice("w", F.col("window") * step + 1, size), " ").alias("text"))
+    texts = F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.array_join(F.slice("w", k * step + 1, size), " "))  # the words are in one row
+    return rows.select("doc_id", F.posexplode(texts).alias("window", "text"))
 
 
 def token_windows(docs: DataFrame, size: int = 1600, overlap: int = 160) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import normal_path
+from granary.operators.automaton import contained
 
 MIN_CONFIDENCE = 0.7
 
@@ -26,8 +27,9 @@ def template_fits(template: Column, path: Column) -> Column:
 def link(calls: DataFrame, routes: DataFrame) -> DataFrame:
     """Each call (call_id, target_service, call_type, method, url_path) with its best route (service, method, path, handler, seq).
 
-    A route fits by service, method and path template; the number of segments is a join key too, so only routes
-    of the same shape are compared. The one with most literal segments wins, then most segments, then the first
+    A route fits by service, method and path template. A service's routes of a method and size have few masks, which say
+    where parameters are; a call's path is written under each such mask and joined by equality, so no two templates are
+    tried in turn, however many routes a service has. The one with most literal segments wins, then most segments, then the first
     registered. A call that is not HTTP, or has no path, links to its service as such if that has any route.
     Without a route, miss_reason says what was lacking first: no_routes, method_mismatch or path_mismatch.
     """
@@ -39,7 +41,14 @@ def link(calls: DataFrame, routes: DataFrame) -> DataFrame:
     http = (F.col("call_type") == "http") & F.col("url_path").isNotNull()
     asked = calls.withColumn("is_http", F.coalesce(http, F.lit(False))).withColumn("m", F.upper(F.coalesce("method", F.lit("GET"))))
     asked = asked.withColumn("parts", segments(F.col("url_path"))).withColumn("shape", F.size("parts"))
-    met = asked.filter("is_http").join(shaped, ["target_service", "m", "shape"]).filter(template_fits(F.col("template"), F.col("parts")))
+    mask = F.array_join(F.transform("template", lambda x: F.when(is_parameter(x), "1").otherwise("0")), "")
+    written = F.array_join(F.transform("template", lambda x: F.when(is_parameter(x), "{}").otherwise(x)), "/")
+    keyed = shaped.withColumns({"mask": mask, "written": written}).drop("template")
+    masks = keyed.select("target_service", "m", "shape", "mask").distinct()
+    open_at = lambda i: F.substring(F.col("mask"), i + 1, F.lit(1)) == "1"
+    under = F.array_join(F.transform("parts", lambda x, i: F.when(open_at(i), F.when(x != "", "{}")).otherwise(x)), "/", "\0")  # an empty segment fits no parameter
+    tried = asked.filter("is_http").join(masks, ["target_service", "m", "shape"]).withColumn("written", under)
+    met = tried.join(keyed, ["target_service", "m", "shape", "mask", "written"])
     best = met.groupBy("call_id").agg(F.min_by(F.struct("route_path", "handler"), F.struct(-F.col("literal"), -F.col("shape"), "seq")).alias("route"))
     services = routes.groupBy(F.col("service").alias("target_service")).agg(F.lit(True).alias("known"))
     methods = shaped.select("target_service", "m").distinct().withColumn("has_method", F.lit(True))
@@ -62,47 +71,37 @@ def resolve_services(names: DataFrame, services: DataFrame) -> DataFrame:
     """(name, service): exact name, else the host without port and domain, else the first registered of which one
     contains the other; else null.
 
-    The registry (name, seq) may be of any size. Whole names are joined by equality. For containment, what is looked
-    up is cut into all its substrings of the sizes that occur, and these are joined by equality too, so only names that
-    fit meet; a name has few hundred substrings.
+    The registry (name, seq) may be of any size. Whole names are joined by equality; containment is told by automata
+    over the registry, and over the names that are looked up.
     """
     cleaned = F.lower(F.substring_index(F.substring_index("name", ":", 1), ".", 1))
     asked = names.select("name").distinct().withColumn("cleaned", cleaned)
     known = services.groupBy(F.col("name").alias("service")).agg(F.min("seq").alias("seq"))
     exact = asked.join(known, F.col("name") == F.col("service")).select("name", F.lit(0).alias("rank"), "seq", "service")
     host = asked.join(known, F.col("cleaned") == F.col("service")).select("name", F.lit(1).alias("rank"), "seq", "service")
-    inside = _parts(asked, "cleaned").join(known, F.col("part") == F.col("service")).select("name", F.lit(2).alias("rank"), "seq", "service")
-    around = _parts(known, "service").join(asked, F.col("part") == F.col("cleaned")).select("name", F.lit(2).alias("rank"), "seq", "service")
+    rank = lambda pairs: pairs.select("cleaned", F.lit(2).alias("rank"), "seq", "service").groupBy("cleaned", "rank").agg(F.min(F.struct("seq", "service")).alias("x")).select("cleaned", "rank", "x.*")
+    sought = asked.select("cleaned").filter("cleaned <> ''").distinct()
+    inside = rank(contained(sought, "cleaned", "cleaned", known.select(F.col("service").alias("name"))).join(known, F.col("name") == F.col("service")))
+    around = rank(contained(known, "service", "service", sought.select(F.col("cleaned").alias("name"))).withColumnRenamed("name", "cleaned").join(known, "service"))
+    near = asked.join(inside.unionByName(around), "cleaned").select("name", "rank", "seq", "service")
     first = known.select(F.min_by(F.struct("seq", "service"), F.struct("seq", "service"))).scalar()
     every = asked.filter("cleaned = ''").select("name", first.alias("x")).select("name", F.lit(2).alias("rank"), "x.seq", "x.service")
-    found = exact.unionByName(host).unionByName(inside).unionByName(around).unionByName(every).filter("service is not null")
+    found = exact.unionByName(host).unionByName(near).unionByName(every).filter("service is not null")
     best = found.groupBy("name").agg(F.min_by("service", F.struct("rank", "seq", "service")).alias("service"))
     return asked.select("name").join(best, "name", "left")
 
 
-def _parts(rows: DataFrame, column: str) -> DataFrame:
-    """A row for each distinct substring (part) of a column that is not empty."""
-    n = F.length(column)
-    starts = F.sequence(F.lit(1), n)
-    parts = F.flatten(F.transform(starts, lambda a: F.transform(F.sequence(F.lit(1), n - a + 1), lambda size: F.substr(F.col(column), a, size))))
-    return rows.filter(n > 0).withColumn("part", F.explode(F.array_distinct(parts)))
-
-
 def service_references(texts: DataFrame, services: DataFrame) -> DataFrame:
     """(doc_id, service, n) of texts (doc_id, text): 1 if a known service (name) stands anywhere in the lower-case text,
     and 1 more for each url whose host is its name.
 
-    Services are looked for in the texts that hold their first three signs; only pairs of a text and such a name meet.
+    An automaton over the services reads each text once.
     """
-    low = F.lower("text")
-    hosts = texts.select("doc_id", F.explode(F.regexp_extract_all(low, F.lit(r"https?://([a-z0-9\-]+)[:\./]"), F.lit(1))).alias("service"))
-    known = services.select(F.col("name").alias("service")).distinct().filter("service <> ''")
+    lowered = texts.select("doc_id", F.lower("text").alias("low"))
+    hosts = lowered.select("doc_id", F.explode(F.regexp_extract_all("low", F.lit(r"https?://([a-z0-9\-]+)[:\./]"), F.lit(1))).alias("service"))
+    known = services.select(F.col("name").alias("service")).distinct().filter("service <> ''").withColumn("name", F.lower("service"))
     named = hosts.join(known, "service", "left_semi").select("doc_id", "service")
-    runs = F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda k: F.substr(low, k, F.lit(n))) for n in (1, 2, 3))))
-    said = texts.select("doc_id", F.explode(F.array_distinct(runs)).alias("begin"))
-    keyed = known.withColumn("begin", F.substring(F.lower("service"), 1, 3))
-    pairs = said.join(keyed, "begin").select("doc_id", "service")
-    there = pairs.join(texts.select("doc_id", low.alias("low")), "doc_id").filter(F.col("low").contains(F.lower("service"))).select("doc_id", "service")
+    there = contained(lowered, "doc_id", "low", known).join(known, "name").select("doc_id", "service")
     return named.unionByName(there).groupBy("doc_id", "service").agg(F.count("*").alias("n"))
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: (entity, pattern, replacement, score). Patterns mean the same in Java, RE2 and Python. Longer kinds come first.
@@ -30,6 +31,15 @@ CUSTOM: tuple[tuple[str, str, str, float], ...] = (
     ("INTERNAL_HOSTNAME", r"\b[A-Za-z0-9_-]+\.(?:internal|corp)\.[A-Za-z0-9_.-]+\b", "[HOST]", 0.8),
 )
 
+#: Numbers of records and plans: (entity, pattern, score, words that raise it when they stand near).
+CONTEXTS: tuple[tuple[str, str, float, tuple[str, ...]], ...] = (
+    ("MEDICAL_RECORD_NUMBER", r"\bMRN[-:]?\s?[0-9]{6,10}\b", 0.7, ("medical", "record", "patient", "chart", "mrn")),
+    ("HEALTH_PLAN_ID", r"\b[A-Z]{3}[0-9]{9,12}\b", 0.3, ("insurance", "plan", "beneficiary", "member", "policy")),
+    ("INTERNAL_HOSTNAME", r"\b[A-Za-z0-9_-]+\.(?:internal|corp)\.[A-Za-z0-9_.-]+\b", 0.8, ()),
+)
+#: What any of ENTITIES has.
+SIGNS = "[0-9@]"
+
 SECRETS: tuple[tuple[str, str], ...] = (
     ("AWS_KEY", r"\bAKIA[0-9A-Z]{16}\b"),
     ("SK_KEY", r"\bsk-[A-Za-z0-9]{20,}"),
@@ -47,10 +57,34 @@ def found(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
 
-def entity_rows(docs: DataFrame, entities: Sequence = ENTITIES) -> DataFrame:
-    """(doc_id, entity, value, score) for each match of each pattern, in built-in functions."""
+def entity_rows(docs: DataFrame, entities: Sequence = ENTITIES, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, *keep, entity, value, score) for each match of each pattern, in built-in functions. Of ENTITIES each has a
+    digit or an @, so texts without either are not searched."""
+    rows = docs.filter(F.col("text").rlike(SIGNS)) if entities is ENTITIES else docs
     each = F.array(*(F.struct(F.lit(n).alias("entity"), found(F.col("text"), p).alias("values"), F.lit(s).alias("score")) for n, p, _, s in entities))
-    return docs.select("doc_id", F.explode(each).alias("e")).select("doc_id", "e.entity", F.explode("e.values").alias("value"), "e.score")
+    return rows.select("doc_id", *keep, F.explode(each).alias("e")).select("doc_id", *keep, "e.entity", F.explode("e.values").alias("value"), "e.score")
+
+
+#: Signs before and after a match in which context words are looked for, what they add to its score, and what it is then
+#: at least.
+AROUND, RAISE, RAISED = 40, 0.35, 0.4
+
+
+def in_context(docs: DataFrame, recognizers: Sequence = CONTEXTS, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, *keep, entity, value, start, score) for each match of each recogniser (entity, pattern, score, words): a
+    word near the match raises its score. start counts characters from 0. A text is cut at the matches, so each knows what
+    is around it."""
+    out = []
+    for entity, pattern, score, words in recognizers:
+        own = docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("__t")).withColumn("__m", F.regexp_extract_all("__t", F.lit(pattern), F.lit(0))).filter(F.size("__m") > 0)
+        gaps = own.withColumn("__g", F.split("__t", pattern, -1))
+        hits = F.arrays_zip(F.col("__m").alias("m"), F.slice("__g", F.lit(1), F.size("__m")).alias("g"), F.slice("__g", F.lit(2), F.size("__m")).alias("h"))
+        rows = gaps.withColumn("__k", F.monotonically_increasing_id()).select("doc_id", *keep, "__k", F.posexplode(hits).alias("__n", "x"))
+        end = F.sum(F.length("x.g") + F.length("x.m")).over(Window.partitionBy("__k").orderBy("__n"))
+        near = F.concat(F.right("x.g", F.lit(AROUND)), F.lit(" "), F.left("x.h", F.lit(AROUND))).rlike(rf"(?i)\b(?:{'|'.join(words)})\b") if words else F.lit(False)
+        raised = F.least(F.lit(1.0), F.greatest(F.lit(score) + RAISE, F.lit(RAISED)))
+        out.append(rows.select("doc_id", *keep, F.lit(entity).alias("entity"), F.col("x.m").alias("value"), (end - F.length("x.m")).cast("long").alias("start"), F.when(near, raised).otherwise(F.lit(score)).alias("score")))
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def scrub_constants(text: Column, entities: Sequence = ENTITIES) -> Column:
@@ -120,7 +154,7 @@ def scrub(docs: DataFrame, entities: Sequence = ENTITIES, load: Callable[[], Det
 
 def gate(docs: DataFrame, tiers: DataFrame, corpus: str) -> DataFrame:
     """(doc_id, clean, tier): texts of the clean tier pass as they are, others are scrubbed; unknown tiers count as sensitive."""
-    tiered = docs.join(F.broadcast(tiers), corpus, "left").withColumn("tier", F.coalesce("tier", F.lit("sensitive")))
+    tiered = docs.join(tiers, corpus, "left").withColumn("tier", F.coalesce("tier", F.lit("sensitive")))
     return tiered.select("doc_id", F.when(F.col("tier") == "clean", F.col("text")).otherwise(scrub_constants(F.col("text"))).alias("clean"), "tier")
 
 
@@ -147,6 +181,32 @@ def thread_pseudonyms(messages: DataFrame, salt: str) -> DataFrame:
     return messages.withColumn("text", mention_pseudonyms(F.col("text"), salt)).withColumn("speaker", author)
 
 
+#: Characters of a bucket in which spans meet.
+BUCKET = 256
+
+
+def span_evaluation(predicted: DataFrame, truth: DataFrame, group: str | None = None) -> DataFrame:
+    """(group, hit, right, truth, predicted, recall, precision, f2) of spans (doc_id, start, end, group): a true span is hit,
+    and a predicted one right, if it overlaps one of the other kind in its document, in part or whole; each counts once.
+
+    Spans meet in buckets of BUCKET characters, so a document's spans are not all compared; a span of many buckets meets
+    another by the first that both are in. Empty spans and rows with nulls take no part. Without group there is one row.
+    """
+    own = lambda d, n: d.select("doc_id", "start", "end", (F.col(group) if group else F.lit("all")).alias("group")).filter("doc_id is not null and end > start").distinct().withColumn("id", F.struct("doc_id", "start", "end", "group")).withColumn("side", F.lit(n))
+    buckets = lambda d: d.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor((F.col("end") - 1) / BUCKET))))
+    p, t = own(predicted, "p"), own(truth, "t")
+    a, b = buckets(p).alias("a"), buckets(t).alias("b")
+    same = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.bucket") == F.col("b.bucket")) & F.col("a.group").eqNullSafe(F.col("b.group"))
+    met = a.join(b, same & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end"))).select(F.col("a.group").alias("group"), F.explode(F.array(F.struct(F.lit("p").alias("side"), F.col("a.id").alias("id")), F.struct(F.lit("t").alias("side"), F.col("b.id").alias("id")))).alias("x"))
+    touched = met.select("group", F.col("x.side").alias("side"), "x.id").distinct().withColumn("met", F.lit(1))
+    all_ = p.select("group", "side", F.lit(0).alias("met")).unionByName(t.select("group", "side", F.lit(0).alias("met"))).unionByName(touched.select("group", "side", "met"))
+    n = lambda side, met: F.count_if((F.col("side") == side) & (F.col("met") == met))
+    counts = all_.groupBy("group").agg(n("t", 1).alias("hit"), n("p", 1).alias("right"), n("t", 0).alias("truth"), n("p", 0).alias("predicted"))
+    recall, precision = F.col("hit") / F.nullif("truth", F.lit(0)), F.col("right") / F.nullif("predicted", F.lit(0))
+    rated = counts.withColumns({"recall": recall, "precision": precision})
+    return rated.withColumn("f2", F.lit(5) * F.col("precision") * F.col("recall") / F.nullif(4 * F.col("precision") + F.col("recall"), F.lit(0.0)))
+
+
 def evaluation(predicted: DataFrame, truth: DataFrame, key: Sequence[str]) -> DataFrame:
     """recall, precision and F2 of predicted keys against true ones, in one row."""
     p, t = predicted.select(*key).distinct().withColumn("p", F.lit(1)), truth.select(*key).distinct().withColumn("t", F.lit(1))

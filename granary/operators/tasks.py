@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators.numbering import numbered
+
 
 def next_workers(workers: DataFrame, group: str) -> DataFrame:
     """For each group the free worker to take: a polling one before an idle one, then the longest inactive, then the first registered."""
@@ -15,7 +17,7 @@ def next_workers(workers: DataFrame, group: str) -> DataFrame:
 
 def queue_places(tasks: DataFrame, queue: str) -> DataFrame:
     """Place of each waiting task in its queue, from 1, by arrival."""
-    return tasks.withColumn("place", F.row_number().over(Window.partitionBy(queue).orderBy("ts", "event_id")))
+    return numbered(tasks, [queue], ["ts", "event_id"], "place").withColumn("place", F.col("place").cast("int"))
 
 
 def worker_states(workers: DataFrame, pending: DataFrame, now) -> DataFrame:

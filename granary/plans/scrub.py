@@ -34,8 +34,7 @@ def pii_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scrub_report(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _docs(spark, sf).select("doc_id", "text", "lang")
-    rows = S.entity_rows(docs).join(docs.select("doc_id", "lang"), "doc_id")
+    rows = S.entity_rows(_docs(spark, sf), keep=["lang"])
     return rows.rollup("lang", "entity").agg(F.count("*").alias("n")).select(F.coalesce("lang", F.lit("all")).alias("lang"), F.coalesce("entity", F.lit("all")).alias("entity"), "n")
 
 
@@ -50,11 +49,10 @@ def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pii_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _docs(spark, sf)
-    corpus = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "CONVO_SLACK").otherwise("DOC_DESIGN").alias("corpus"))
-    rows = S.entity_rows(docs)
+    corpus = F.when(F.col("doc_id") % 2 == 0, "CONVO_SLACK").otherwise("DOC_DESIGN")
+    rows = S.entity_rows(_docs(spark, sf).withColumn("corpus", corpus), keep=["corpus"])
     often = rows.groupBy("value").agg(F.countDistinct("doc_id").alias("n")).filter("n > 2").select("value")
-    return S.over_threshold(rows.join(corpus, "doc_id"), F.col("corpus"), often).groupBy("corpus", "entity").agg(F.count("*").alias("n"))
+    return S.over_threshold(rows, F.col("corpus"), often).groupBy("corpus", "entity").agg(F.count("*").alias("n"))
 
 
 def custom_entities(spark: SparkSession, sf: str) -> DataFrame:

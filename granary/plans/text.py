@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.operators.numbering import numbered
 from granary.sources.tables import table
 
 #: SQL of the token count of an expression, for DuckDB.
@@ -103,8 +104,8 @@ def task_lines(spark: SparkSession, sf: str) -> DataFrame:
 def worker_names(spark: SparkSession, sf: str) -> DataFrame:
     """Valid names, made unique by -1, -2 ... in order of arrival."""
     asked = table(spark, sf, "events").select("event_id", F.concat("event_type", F.lit("_"), F.col("user_id") % 10).alias("name")).filter(F.col("name").rlike("^[A-Za-z0-9_-]{1,64}$"))
-    nth = F.row_number().over(Window.partitionBy("name").orderBy("event_id")) - 1
-    return asked.select("event_id", F.when(nth == 0, F.col("name")).otherwise(F.concat("name", F.lit("-"), nth.cast("string"))).alias("worker"))
+    nth = F.col("nth") - 1
+    return numbered(asked, ["name"], ["event_id"], "nth").select("event_id", F.when(nth == 0, F.col("name")).otherwise(F.concat("name", F.lit("-"), nth.cast("string"))).alias("worker"))
 
 
 def hover_text(spark: SparkSession, sf: str) -> DataFrame:
