@@ -204,7 +204,7 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
     """
     head = r"^#{1,6}\s+\S"
     parts = F.split("text", r"(?dm)(?=^#{1,6}[^\S\n]+\S)", -1)
-    cut = docs.select("doc_id", parts.alias("parts")).withColumn("headed", F.get("parts", 0).rlike(head))
+    cut = docs.select("doc_id", parts.alias("parts")).withColumn("headed", F.substring_index(F.get("parts", 0), "\n", 1).rlike(head))
     rows = cut.select("doc_id", "headed", (F.size("parts") == 1).alias("alone"), F.posexplode("parts").alias("pos", "raw"))
     line, section = F.substring_index("raw", "\n", 1), F.col("pos") + F.col("headed").cast("int")
     none = F.col("alone") & ~F.col("headed")

@@ -58,16 +58,26 @@ def safe_pattern(pattern: str) -> str:
     return pattern
 
 
+#: Lenses that lens_symbols takes at once: their patterns become one expression.
+MAX_LENSES = 200
+
+
 def lens_symbols(symbols: DataFrame, lenses: DataFrame) -> DataFrame:
     """(lens, and the columns of symbols: uri, name, kind as number ...) of all lenses at once: the kind is among the
-    lens's, if it has any; some extract pattern is in the name, if there are any; no ignore pattern in name or uri."""
+    lens's, if it has any; some extract pattern is in the name, if there are any; no ignore pattern in name or uri. A
+    symbol's row is read once; each lens's patterns are one literal expression. More than MAX_LENSES lenses are an error."""
     own = [c for c in symbols.columns if c not in ("lens", "kinds", "extract", "ignore")]
-    kinds = F.explode(F.when(F.size("kinds") > 0, F.col("kinds")).otherwise(F.sequence(F.lit(1), F.lit(len(SYMBOL_KINDS)))))
-    wanted = lenses.select("lens", "extract", "ignore", kinds.alias("kind"))
-    met = symbols.select(*own).join(F.broadcast(wanted), "kind")  # a row for each lens and kind
-    hit = lambda text, patterns: F.exists(patterns, lambda p: F.rlike(text, F.concat(F.lit("(?i)"), p)))
-    named = (F.size("extract") == 0) | hit(F.col("name"), F.col("extract"))
-    return met.filter(named & ~hit(F.col("name"), F.col("ignore")) & ~hit(F.col("uri"), F.col("ignore"))).select("lens", *own)
+    rows = lenses.select("lens", "kinds", "extract", "ignore").limit(MAX_LENSES + 1).collect()
+    if len(rows) > MAX_LENSES:
+        raise ValueError(f"more than {MAX_LENSES} lenses")
+    hit = lambda text, patterns: F.col(text).rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
+    tests = []
+    for r in rows:
+        fits = F.col("kind").isin(*r["kinds"]) if r["kinds"] else F.col("kind").between(1, len(SYMBOL_KINDS))
+        named = hit("name", r["extract"]) if r["extract"] else F.lit(True)
+        tests.append(F.when(fits & named & ~hit("name", r["ignore"]) & ~hit("uri", r["ignore"]), F.lit(r["lens"])))
+    found = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
+    return symbols.select(F.explode(found).alias("lens"), *own)
 
 
 def plan_definitions(symbols: DataFrame, order: Sequence[str], most: int = MAX_SYMBOLS) -> DataFrame:

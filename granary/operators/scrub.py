@@ -72,16 +72,19 @@ AROUND, RAISE, RAISED = 40, 0.35, 0.4
 
 def in_context(docs: DataFrame, recognizers: Sequence = CONTEXTS, keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, *keep, entity, value, start, score) for each match of each recogniser (entity, pattern, score, words): a
-    word near the match raises its score. start counts characters from 0. A text is cut at the matches, so each knows what
-    is around it."""
+    word within AROUND characters raises its score. start counts characters from 0."""
     out = []
     for entity, pattern, score, words in recognizers:
         own = docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("__t")).withColumn("__m", F.regexp_extract_all("__t", F.lit(pattern), F.lit(0))).filter(F.size("__m") > 0)
         gaps = own.withColumn("__g", F.split("__t", pattern, -1))
         hits = F.arrays_zip(F.col("__m").alias("m"), F.slice("__g", F.lit(1), F.size("__m")).alias("g"), F.slice("__g", F.lit(2), F.size("__m")).alias("h"))
         rows = gaps.withColumn("__k", F.monotonically_increasing_id()).select("doc_id", *keep, "__k", F.posexplode(hits).alias("__n", "x"))
-        end = F.sum(F.length("x.g") + F.length("x.m")).over(Window.partitionBy("__k").orderBy("__n"))
-        near = F.concat(F.right("x.g", F.lit(AROUND)), F.lit(" "), F.left("x.h", F.lit(AROUND))).rlike(rf"(?i)\b(?:{'|'.join(words)})\b") if words else F.lit(False)
+        order = Window.partitionBy("__k").orderBy("__n")
+        end = F.sum(F.length("x.g") + F.length("x.m")).over(order)
+        beside = lambda part, lo, hi: F.array_join(F.collect_list(part).over(order.rowsBetween(lo, hi)), "")
+        before = F.concat(beside(F.right(F.concat("x.g", "x.m"), F.lit(AROUND)), -AROUND, -1), "x.g")
+        after = F.concat(F.col("x.h"), beside(F.left(F.concat("x.m", "x.h"), F.lit(AROUND)), 1, AROUND))
+        near = F.concat(F.right(before, F.lit(AROUND)), F.lit(" "), F.left(after, F.lit(AROUND))).rlike(rf"(?i)\b(?:{'|'.join(words)})\b") if words else F.lit(False)
         raised = F.least(F.lit(1.0), F.greatest(F.lit(score) + RAISE, F.lit(RAISED)))
         out.append(rows.select("doc_id", *keep, F.lit(entity).alias("entity"), F.col("x.m").alias("value"), (end - F.length("x.m")).cast("long").alias("start"), F.when(near, raised).otherwise(F.lit(score)).alias("score")))
     return functools.reduce(DataFrame.unionByName, out)

@@ -61,6 +61,31 @@ def custom_entities(spark: SparkSession, sf: str) -> DataFrame:
     return S.entity_rows(p, S.CUSTOM).groupBy("entity").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"))
 
 
+def context_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Record numbers of patients, plan numbers of members, and plan numbers far from any such word."""
+    k = F.col("o_orderkey")
+    padded = F.lpad(k.cast("string"), 8, "0")
+    text = (
+        F.when(k % 3 == 0, F.concat(F.lit("🙂 Patient é: MRN-"), padded, F.lit(" and MRN: "), padded))
+        .when(k % 3 == 1, F.concat(F.lit("ABC1"), padded, F.lit(" is the number of a member")))
+        .otherwise(F.concat(F.lit("member "), F.repeat(F.lit("x "), 30), F.lit("ABC1"), padded, F.lit(" policyholder")))
+    )
+    docs = table(spark, sf, "orders").select(k.alias("doc_id"), text.alias("text"))
+    return S.in_context(docs).select("doc_id", "entity", "value", "start", F.round("score", 6).alias("score"))
+
+
+def _spans(docs: DataFrame, pattern: str) -> DataFrame:
+    found = S.in_context(docs, [("x", pattern, 1.0, ())], keep=["lang"])
+    return found.select("doc_id", "lang", "start", (F.col("start") + F.length("value")).alias("end"))
+
+
+def span_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of two digits or more, held against words of three signs or more that have a digit, by language."""
+    docs = _docs(spark, sf)
+    out = S.span_evaluation(_spans(docs, "[0-9]{2,}"), _spans(docs, r"[^ \n]*[0-9][^ \n]{2,}"), "lang")
+    return out.select(F.col("group").alias("lang"), "hit", "right", "truth", "predicted", *(F.round(c, 6).alias(c) for c in ("recall", "precision", "f2")))
+
+
 def mention_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
     made = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("@"), F.col("role"), F.lit(": "), "text", F.lit(" cc @team"), F.col("conv_id").cast("string")).alias("text"))
     return made.select("conv_id", "turn", S.mention_pseudonyms(F.col("text"), SALT).alias("text"))
@@ -94,7 +119,28 @@ def _clean() -> str:
 _MENTION = "@[A-Za-z0-9_.-]+"
 _PSEUDO = f"lower(entity) || '-' || substr(sha256('{SALT}' || entity || ':' || lower(trim(value))), 1, 16)"
 
+def _spans_sql(pattern: str) -> str:
+    return rf"""(SELECT doc_id, lang, e - length(m) AS a, e AS b FROM (SELECT doc_id, lang, x[2] AS m, sum(length(x[1]) + length(x[2])) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM
+      (SELECT doc_id, lang, unnest(list_zip(regexp_split_to_array(text, '{pattern}'), regexp_extract_all(text, '{pattern}'))) AS x, generate_subscripts(regexp_split_to_array(text, '{pattern}'), 1) AS i FROM documents)) WHERE m IS NOT NULL)"""
+
+
 QUERIES = {
+    "context_entities": (
+        context_entities,
+        """WITH o AS (SELECT o_orderkey AS k, lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS p FROM orders)
+        SELECT k AS doc_id, 'MEDICAL_RECORD_NUMBER' AS entity, unnest(['MRN-' || p, 'MRN: ' || p]) AS value, CAST(unnest([13, 30]) AS BIGINT) AS start, 1.0::DOUBLE AS score FROM o WHERE k % 3 = 0
+        UNION ALL SELECT k, 'HEALTH_PLAN_ID', 'ABC1' || p, CASE WHEN k % 3 = 1 THEN 0 ELSE 67 END, CASE WHEN k % 3 = 1 THEN 0.65::DOUBLE ELSE 0.3::DOUBLE END FROM o WHERE k % 3 > 0""",
+    ),
+    "span_evaluation": (
+        span_evaluation,
+        rf"""WITH p AS {_spans_sql("[0-9]{2,}")}, t AS {_spans_sql(r"[^ \n]*[0-9][^ \n]{2,}".replace(chr(92) * 2, chr(92)))},
+        g AS (SELECT lang FROM p UNION SELECT lang FROM t),
+        c AS (SELECT g.lang, (SELECT count(*) FROM t WHERE t.lang IS NOT DISTINCT FROM g.lang AND EXISTS (SELECT 1 FROM p WHERE p.doc_id = t.doc_id AND p.a < t.b AND t.a < p.b)) AS hit,
+          (SELECT count(*) FROM p WHERE p.lang IS NOT DISTINCT FROM g.lang AND EXISTS (SELECT 1 FROM t WHERE p.doc_id = t.doc_id AND p.a < t.b AND t.a < p.b)) AS "right",
+          (SELECT count(*) FROM t WHERE t.lang IS NOT DISTINCT FROM g.lang) AS truth, (SELECT count(*) FROM p WHERE p.lang IS NOT DISTINCT FROM g.lang) AS predicted FROM g),
+        r AS (SELECT *, hit / nullif(truth, 0)::DOUBLE AS recall, "right" / nullif(predicted, 0)::DOUBLE AS precision FROM c)
+        SELECT lang, hit, "right", truth, predicted, round(recall, 6) AS recall, round(precision, 6) AS precision, round(5 * precision * recall / nullif(4 * precision + recall, 0), 6) AS f2 FROM r""",
+    ),
     "pii_counts": (pii_counts, f"SELECT entity, count(*) AS n, count(DISTINCT value) AS n_values FROM ({_rows(S.ENTITIES)}) GROUP BY 1"),
     "pii_scrub_constant": (pii_scrub_constant, f"SELECT doc_id, sha256({_clean()}) AS clean_sha256 FROM documents"),
     "pii_pseudonyms": (pii_pseudonyms, f"SELECT DISTINCT entity, value, {_PSEUDO} AS pseudonym FROM ({_rows(S.ENTITIES)}) WHERE entity IN ('EMAIL_ADDRESS', 'PHONE_NUMBER')"),
