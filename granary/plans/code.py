@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators import chunking as C
 from granary.operators import extract as X
 from granary.plans.text import doc_uri, tokens_sql
-from granary.sources.tables import table
+from granary.sources.datasource import register
+from granary.sources.tables import shared_folder, table
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,6 +62,23 @@ def thread_split(spark: SparkSession, sf: str) -> DataFrame:
     return C.thread_chunks(rows, 128).select("doc_id", "ordinal", "first", "last", F.sha2("text", 256).alias("text_sha256"))
 
 
+def chat_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations written as an export of seven channels; those of two channels read by the data source and cut by the
+    table function."""
+    register(spark)
+    folder = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    t = table(spark, sf, "conversations")
+    said = F.struct("turn", F.struct(F.lit("message").alias("type"), F.col("role").alias("user"), "text", F.col("conv_id").cast("string").alias("thread_ts")).alias("m"))
+    talks = t.groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(said)), lambda x: x.m)).alias("value"))
+    talks.select("value", (F.col("conv_id") % 7).alias("channel")).write.partitionBy("channel").text(folder)
+    read = spark.read.format("chat_export").load(folder).filter(F.col("channel").isin("channel=1", "channel=3"))
+    rows = read.select(F.col("thread").cast("long").alias("doc_id"), "pos", F.concat("speaker", F.lit(": "), "text").alias("line"))
+    name = f"messages_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(name)
+    chunks = spark.sql(f"SELECT doc_id, ordinal, first, last, text FROM chunk_messages(TABLE({name}) PARTITION BY doc_id ORDER BY (pos), 128)")
+    return chunks.select("doc_id", "ordinal", "first", "last", F.sha2("text", 256).alias("text_sha256"))
+
+
 def word_windows(spark: SparkSession, sf: str) -> DataFrame:
     return C.windows(_docs(spark, sf), 100, 10).select("doc_id", "window", F.sha2("text", 256).alias("text_sha256"))
 
@@ -244,6 +264,17 @@ QUERIES = {
         SELECT c.doc_id, CAST(ordinal AS INTEGER) AS ordinal, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last, sha256(string_agg(line, chr(10) ORDER BY i)) AS text_sha256
         FROM c JOIN m ON m.doc_id = c.doc_id AND m.i BETWEEN c.first AND c.last GROUP BY ALL""",
     ),
+    "chat_source": (
+        chat_source,
+        f"""WITH RECURSIVE l AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role || ': ' || text AS line FROM conversations WHERE conv_id % 7 IN (1, 3)),
+        m AS (SELECT *, {tokens_sql('line')} AS size FROM l),
+        r(doc_id, i, first, total, ordinal) AS (SELECT doc_id, i, i, size, 0 FROM m WHERE i = 0
+          UNION ALL SELECT m.doc_id, m.i, CASE WHEN total + m.size > 128 THEN r.i ELSE first END, CASE WHEN total + m.size > 128 THEN o.size ELSE total END + m.size, CASE WHEN total + m.size > 128 THEN ordinal + 1 ELSE ordinal END
+          FROM r JOIN m ON m.doc_id = r.doc_id AND m.i = r.i + 1 JOIN m o ON o.doc_id = r.doc_id AND o.i = r.i),
+        c AS (SELECT doc_id, ordinal, min(first) AS first, max(i) AS last FROM r GROUP BY ALL)
+        SELECT c.doc_id, CAST(ordinal AS INTEGER) AS ordinal, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last, sha256(string_agg(line, chr(10) ORDER BY i)) AS text_sha256
+        FROM c JOIN m ON m.doc_id = c.doc_id AND m.i BETWEEN c.first AND c.last GROUP BY ALL""",
+    ),
     "word_windows": (
         word_windows,
         r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
