@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.sources.tables import cut_lineage, upsert
+from granary.sources.tables import cut_lineage, shared_folder, upsert
 
 
 def upsert_entities(rows: DataFrame, order: Column) -> DataFrame:
@@ -56,9 +57,27 @@ def neighbours(edges: DataFrame, starts: DataFrame, hops: int, direction: str =
     return seen.filter("hop > 0")
 
 
-def dependents(edges: DataFrame, starts: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """All that depends on each start, directly or not: steps are taken until one finds nothing new."""
-    return neighbours(edges, starts, most, "in").select("start", "node", "hop")
+def dependents(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, node, hop): all that depends on each start, directly or not, with the fewest steps; starts are left out.
+
+    Each step's nodes are a table in the shared folder. A step reads the last one's table and joins it once; what has
+    been seen is the tables of all steps, so plans stay as small as they are at first. As many jobs run as the longest
+    way has steps.
+    """
+    spark, folder = edges.sparkSession, f"{shared_folder(edges.sparkSession)}/dependents-{uuid.uuid4().hex}"
+    steps = cut_lineage(directed(edges, "in").select("a", "b").distinct())
+    front = starts.select("start", F.col("start").alias("node")).distinct()
+    schema, hop = front.schema, 0
+    front.write.parquet(f"{folder}/hop=0")
+    while True:
+        front, seen = spark.read.schema(schema).parquet(f"{folder}/hop={hop}"), spark.read.schema(schema).parquet(folder)
+        met = front.join(steps, front["node"] == steps["a"]).select("start", F.col("b").alias("node")).distinct()
+        hop += 1
+        met.join(seen.select("start", "node"), ["start", "node"], "left_anti").write.parquet(f"{folder}/hop={hop}")
+        if spark.read.schema(schema).parquet(f"{folder}/hop={hop}").isEmpty():
+            break
+    every = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in schema)}, hop int").parquet(folder)
+    return every.filter("hop > 0").select("start", "node", "hop")
 
 
 def called_by(calls: DataFrame) -> DataFrame:

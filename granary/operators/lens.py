@@ -224,3 +224,25 @@ def first_matching_files(files: DataFrame, patterns: Sequence[str], ignore: str,
     """(path, pattern): files by the first pattern that they match, in the patterns' order, then by path."""
     first = F.coalesce(*(F.when(F.col("path").rlike(p), k) for k, p in enumerate(patterns)))
     return files.select("path").distinct().withColumn("pattern", first).filter(F.col("pattern").isNotNull() & ~F.col("path").rlike(ignore)).orderBy("pattern", "path").limit(most)
+
+
+#: Fields that a manifest must have, and each of its leaves.
+MANIFEST_FIELDS, LEAF_FIELDS = ("stack_name", "source_branch", "target_branch", "leaves"), ("id", "title", "files")
+
+
+def manifest_error(manifest: Column, stack: Column) -> Column:
+    """What is first wrong with a manifest (JSON): no JSON, a missing field, another stack's name, no leaf, or a leaf without
+    a field; null if nothing is. A field that is null or false counts as missing."""
+    v = F.try_parse_json(manifest)
+    there = lambda value, field: F.coalesce(F.try_variant_get(value, f"$.{field}", "string").isNotNull() & ~F.coalesce(F.try_variant_get(value, f"$.{field}", "string") == "false", F.lit(False)), F.lit(False))
+    leaves = F.coalesce(F.try_variant_get(v, "$.leaves", "array<variant>"), F.array().cast("array<variant>"))
+    lacking = lambda value, fields, said: F.coalesce(*(F.when(~there(value, f), F.format_string(said, F.lit(f))) for f in fields))
+    of_leaf = F.filter(F.transform(leaves, lambda x, i: F.coalesce(*(F.when(~there(x, f), F.concat(F.lit("leaf "), i.cast("string"), F.lit(f" lacks {f}"))) for f in LEAF_FIELDS))), lambda e: e.isNotNull())
+    name = F.try_variant_get(v, "$.stack_name", "string")
+    return (
+        F.when(manifest.isNull() | v.isNull(), "no JSON")
+        .when(lacking(v, MANIFEST_FIELDS, "missing %s").isNotNull(), lacking(v, MANIFEST_FIELDS, "missing %s"))
+        .when(name != stack, "another stack")
+        .when(F.size(leaves) == 0, "no leaf")
+        .otherwise(F.get(of_leaf, 0))
+    )

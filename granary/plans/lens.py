@@ -181,6 +181,21 @@ def manifest_checks(spark: SparkSession, sf: str) -> DataFrame:
     return m.select(F.when(F.col("m.stack_name").isNull(), "no name").otherwise("ok").alias("check"), returned.alias("returned")).groupBy("check").agg(F.count("*").alias("n"), F.sum("returned").alias("returned"))
 
 
+def manifest_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as manifests with one of nine faults, by their keys, and what is found wrong with each."""
+    l, k, way = table(spark, sf, "lineitem"), F.col("l_orderkey").cast("string"), F.col("l_orderkey") % 10  # noqa: E741
+    fault = lambda n, x: F.when((F.col("l_orderkey") % 10 == n) & (F.col("l_linenumber") == 1), None).otherwise(x)
+    leaf = F.struct(fault(1, F.col("l_linenumber")).alias("id"), fault(2, F.concat(F.lit("part "), F.col("l_partkey").cast("string"))).alias("title"), fault(3, F.array("l_returnflag")).alias("files"))
+    rows = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", leaf.alias("leaf")))).alias("x"))
+    leaves = F.when(way == 8, F.array().cast("array<struct<id: int, title: string, files: array<string>>>")).when(way != 7, F.transform("x", lambda x: x.leaf))
+    name = F.when(way == 5, "other").when(way != 4, F.concat(F.lit("s"), k))
+    made = F.to_json(F.struct(name.alias("stack_name"), F.when(way != 6, "a").alias("source_branch"), F.when(way == 9, F.lit("")).otherwise("b").alias("target_branch"), leaves.alias("leaves")))
+    text = F.when(way == 9, F.substring(made, 1, 20)).otherwise(made)
+    first = F.element_at(F.transform("x", lambda x: x.l_linenumber), 1)
+    found = rows.select("l_orderkey", first.alias("first_line"), L.manifest_error(text, F.concat(F.lit("s"), k)).alias("error"))
+    return found.groupBy("first_line", "error").agg(F.count("*").alias("n"))
+
+
 def split_ranges(spark: SparkSession, sf: str) -> DataFrame:
     """Line ranges `start-end` of documents, validated, and what they cut out."""
     d = table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("lines"), F.concat((F.col("doc_id") % 4).cast("string"), F.lit("-"), (F.col("doc_id") % 5).cast("string")).alias("range"))
@@ -279,6 +294,12 @@ QUERIES = {
         manifest_checks,
         "WITH o AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1) SELECT CASE WHEN l_orderkey % 9 = 0 THEN 'no name' ELSE 'ok' END AS \"check\", count(*) AS n, CAST(sum(r) AS BIGINT) AS returned FROM o GROUP BY 1",
     ),
+    "manifest_errors": (
+        manifest_errors,
+        """WITH o AS (SELECT l_orderkey % 10 AS way, min(l_linenumber) AS f FROM lineitem GROUP BY l_orderkey)
+        SELECT f AS first_line, CASE way WHEN 1 THEN CASE WHEN f = 1 THEN 'leaf 0 lacks id' END WHEN 2 THEN CASE WHEN f = 1 THEN 'leaf 0 lacks title' END WHEN 3 THEN CASE WHEN f = 1 THEN 'leaf 0 lacks files' END
+          WHEN 4 THEN 'missing stack_name' WHEN 5 THEN 'another stack' WHEN 6 THEN 'missing source_branch' WHEN 7 THEN 'missing leaves' WHEN 8 THEN 'no leaf' WHEN 9 THEN 'no JSON' END AS error, count(*) AS n FROM o GROUP BY ALL""",
+    ),
     "split_ranges": (
         split_ranges,
         """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l, doc_id % 4 AS a, doc_id % 5 AS b FROM documents), v AS (SELECT *, a >= 1 AND b >= a AND b <= len(l) AS valid FROM d)

@@ -73,7 +73,7 @@ def kind_names(spark: SparkSession, sf: str) -> DataFrame:
 
 def code_words(spark: SparkSession, sf: str) -> DataFrame:
     found = T.code_words(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.size(found).cast("long").alias("n_words"), F.array_join(F.slice(found, 1, 8), " ").alias("head"))
+    return table(spark, sf, "documents").select("doc_id", F.size(found).cast("long").alias("n_words"), F.array_join(F.slice(found, 1, 8), " ").alias("head"), F.sha2(F.array_join(found, " "), 256).alias("words_sha256"))
 
 
 def snippets(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,7 +156,7 @@ QUERIES = {
     "code_words": (
         code_words,
         rf"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({_STOP})) AS l FROM documents)
-        SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, coalesce(array_to_string(l[1:8], ' '), '') AS head FROM w""",
+        SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, coalesce(array_to_string(l[1:8], ' '), '') AS head, sha256(coalesce(array_to_string(l, ' '), '')) AS words_sha256 FROM w""",
     ),
     "snippets": (
         snippets,
