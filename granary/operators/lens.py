@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import SYMBOL_KINDS
+from granary.operators.numbering import numbered
 
 MAX_REFERENCES, MAX_SYMBOLS, MAX_OUTPUT = 20, 50, 500
 
@@ -44,7 +45,7 @@ def agent_lenses(requests: DataFrame) -> DataFrame:
 
 def with_lens(requests: DataFrame, lenses: DataFrame) -> DataFrame:
     """Requests (lens) with their lens's row; an unknown lens fails the query."""
-    joined = requests.join(F.broadcast(lenses.withColumn("__known", F.lit(True))), "lens", "left")  # a row for each lens
+    joined = requests.join(lenses.withColumn("__known", F.lit(True)), "lens", "left")
     checked = F.when(F.col("__known"), F.col("lens")).otherwise(F.raise_error(F.concat(F.lit("unknown lens: "), F.coalesce("lens", F.lit("null")))))
     return joined.withColumn("lens", checked).drop("__known")
 
@@ -199,18 +200,29 @@ def index_stats(statuses: DataFrame) -> DataFrame:
     return counts.select("status", "n", F.floor(F.col("n") * 100 / total + 0.5).cast("long").alias("percent"))
 
 
-def index_lines(statuses: DataFrame, order: Sequence[str]) -> DataFrame:
-    """(lens, pos, line): an index page's table rows of docs (lens, doc, status, generated), lenses in the given order,
-    docs by name; a lens without docs has the row (empty). The date is what stands before the T."""
+def index_rows(statuses: DataFrame, order: Sequence[str]) -> DataFrame:
+    """(lens, pos, n, line): the rows of an index page's tables, of docs (lens, doc, status, generated), lenses in the given
+    order, rows by their text from 1; a lens without docs has the row (empty). The date is what stands before the T."""
     lenses = statuses.sparkSession.createDataFrame([(n, k) for k, n in enumerate(order)], "lens string, pos int")
     line = F.concat_ws(" | ", "doc", "status", F.split_part("generated", F.lit("T"), F.lit(1)))
-    rows = lenses.join(statuses, "lens", "left").withColumn("line", F.when(F.col("doc").isNull(), "(empty)").otherwise(line))
-    return rows.groupBy("lens", "pos").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("lines"))
+    rows = lenses.join(statuses, "lens", "left").select("lens", "pos", F.when(F.col("doc").isNull(), "(empty)").otherwise(line).alias("line"))
+    return numbered(rows, ["lens", "pos"], ["line"], "n").select("lens", "pos", "n", "line")
+
+
+def write_index(rows: DataFrame, folder: str) -> None:
+    """Writes index_rows as text, in a folder for each lens; files of a lens are in order of their names."""
+    rows.repartitionByRange("pos", "n").sortWithinPartitions("lens", "n").select("lens", "line").write.mode("overwrite").partitionBy("lens").text(folder)
+
+
+def index_lines(statuses: DataFrame, order: Sequence[str]) -> DataFrame:
+    """(lens, pos, lines): index_rows of a lens in one text, for lenses with few docs."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x.line)
+    return index_rows(statuses, order).groupBy("lens", "pos").agg(F.array_join(ordered, "\n").alias("lines"))
 
 
 def lenses_for(agents: DataFrame, defaults: DataFrame) -> DataFrame:
     """Each request (agent, lens) with its own lens, or its agent's default (agent, default_lens)."""
-    joined = agents.join(F.broadcast(defaults), "agent", "left")  # a row for each kind of agent
+    joined = agents.join(defaults, "agent", "left")
     return joined.withColumn("lens", F.coalesce("lens", "default_lens")).drop("default_lens")
 
 

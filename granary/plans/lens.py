@@ -181,6 +181,13 @@ def manifest_checks(spark: SparkSession, sf: str) -> DataFrame:
     return m.select(F.when(F.col("m.stack_name").isNull(), "no name").otherwise("ok").alias("check"), returned.alias("returned")).groupBy("check").agg(F.count("*").alias("n"), F.sum("returned").alias("returned"))
 
 
+def index_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as pages of lenses by language, in the rows of an index; one lens has none."""
+    d = table(spark, sf, "documents")
+    rows = d.select(F.col("lang").alias("lens"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("doc"), F.when(F.col("doc_id") % 3 == 0, "STALE").otherwise("FRESH").alias("status"), F.lit("2024-01-02T03").alias("generated"))
+    return L.index_rows(rows, ["de", "en", "xx", "fr", "es"])
+
+
 def manifest_errors(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as manifests with one of nine faults, by their keys, and what is found wrong with each."""
     l, k, way = table(spark, sf, "lineitem"), F.col("l_orderkey").cast("string"), F.col("l_orderkey") % 10  # noqa: E741
@@ -294,6 +301,12 @@ QUERIES = {
         manifest_checks,
         "WITH o AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1) SELECT CASE WHEN l_orderkey % 9 = 0 THEN 'no name' ELSE 'ok' END AS \"check\", count(*) AS n, CAST(sum(r) AS BIGINT) AS returned FROM o GROUP BY 1",
     ),
+    "index_pages": (
+        index_pages,
+        """WITH l AS (SELECT unnest(['de', 'en', 'xx', 'fr', 'es']) AS lens, unnest([0, 1, 2, 3, 4]) AS pos),
+        r AS (SELECT l.lens, pos, CASE WHEN doc_id IS NULL THEN '(empty)' ELSE source || '/' || doc_id || ' | ' || CASE WHEN doc_id % 3 = 0 THEN 'STALE' ELSE 'FRESH' END || ' | 2024-01-02' END AS line FROM l LEFT JOIN documents d ON d.lang = l.lens)
+        SELECT lens, CAST(pos AS INTEGER) AS pos, row_number() OVER (PARTITION BY lens ORDER BY line) AS n, line FROM r""",
+    ),
     "manifest_errors": (
         manifest_errors,
         """WITH o AS (SELECT l_orderkey % 10 AS way, min(l_linenumber) AS f FROM lineitem GROUP BY l_orderkey)

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators import automaton, chunking, linking, scrub
+from granary.operators import automaton, chunking, lens, linking, scrub
 from granary.operators.numbering import numbered
 
 
@@ -85,6 +85,14 @@ def test_sections_cut_in_their_rows(spark):
     assert got == [preamble(0), (0, 1, "B", 2), (0, 2, "c", 6), (1, 1, "A", 1), (2, 1, "A", 1), preamble(3), (3, 1, "b c", 1), (4, 0, "", 0), preamble(5), (5, 1, "y", 1), (5, 2, "z", 1)]
 
 
+def test_index_is_written_in_order(spark, tmp_path):
+    rows = [("b", f"d{k:03}", "FRESH", "2024-01-02T03") for k in range(300)] + [("c", "x", None, None)]
+    made = lens.index_rows(spark.createDataFrame(rows, "lens string, doc string, status string, generated string").repartition(5), ["a", "b", "c"])
+    lens.write_index(made, str(tmp_path / "index"))
+    said = lambda n: [line for f in sorted((tmp_path / "index" / f"lens={n}").glob("part-*")) for line in f.read_text().splitlines()]
+    assert said("a") == ["(empty)"] and said("c") == ["x"] and said("b") == [f"d{k:03} | FRESH | 2024-01-02" for k in range(300)]
+
+
 @pytest.mark.parametrize("bucket", [4, 256])
 def test_span_evaluation_against_all_pairs(spark, monkeypatch, bucket):
     monkeypatch.setattr(scrub, "BUCKET", bucket)
