@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.operators.search import K1, B
+from granary.sources.tables import cut_lineage
 
 #: Documents of a window, on average; folders that terms are dealt into; windows of a query that are scored first.
 WINDOW, BUCKETS, FIRST = 512, 32, 2
@@ -86,13 +87,13 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     buckets = [r[0] for r in asked.select("bucket").distinct().collect()]  # at most BUCKETS: prunes the scans
     df = F.col("df")
     weighed = asked.join(index.terms(spark).filter(F.col("bucket").isin(buckets)), ["bucket", "term"]).withColumn("idf", F.log(1 + (F.lit(index.n) - df + 0.5) / (df + 0.5)))
-    weighed = weighed.select("query_id", "term", "only", "idf", F.col("bucket").alias("in"), F.col("term").alias("of"))
+    weighed = cut_lineage(weighed.select("query_id", "term", "only", "idf", F.col("bucket").alias("in"), F.col("term").alias("of")))  # read by each pass
     blocks = index.blocks(spark).filter(F.col("bucket").isin(buckets))
     met = (F.col("bucket") == F.col("in")) & (F.col("term") == F.col("of")) & (F.col("only").isNull() | (F.col("corpus") == F.col("only")))
     heads = blocks.select("bucket", "term", "corpus", "window", "best").join(weighed.drop("term"), met)
     bounds = heads.groupBy("query_id", "corpus", "window").agg(F.sum(F.col("idf") * F.col("best")).alias("bound"))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "corpus", "window"))
-    windows = bounds.withColumn("nth", nth)
+    windows = cut_lineage(bounds.withColumn("nth", nth))
     key = lambda d: d.select(F.col("query_id").alias("by"), F.col("corpus").alias("c"), F.col("window").alias("w"))
 
     def scored(chosen: DataFrame) -> DataFrame:
