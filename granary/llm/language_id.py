@@ -9,7 +9,6 @@ packed table of transitions.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
