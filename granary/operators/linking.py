@@ -19,11 +19,6 @@ def is_parameter(segment: Column) -> Column:
     return segment.startswith("{") & segment.endswith("}")
 
 
-def template_fits(template: Column, path: Column) -> Column:
-    """Segment by segment: a parameter takes any that is not empty, others must be equal. Sizes must agree."""
-    return F.forall(F.zip_with(template, path, lambda t, p: F.when(is_parameter(t), p != "").otherwise(t == p)), lambda x: x)
-
-
 def link(calls: DataFrame, routes: DataFrame) -> DataFrame:
     """Each call (call_id, target_service, call_type, method, url_path) with its best route (service, method, path, handler, seq).
 

@@ -3,7 +3,6 @@
 import re
 
 import numpy as np
-import pytest
 
 from granary.operators import ivfpq as Q
 from granary.operators import vectors as V
