@@ -57,7 +57,7 @@ CUES = (
 FEATURES = ("kind", "digits", "luhn", "shape", "lead", "left", "right", "cue", "octets", "last")
 #: Trees, their depth, the step of each, and the regulariser of leaves.
 TREES, DEPTH, RATE, RIDGE = 16, 3, 0.4, 1.0
-#: Feature patterns that are fitted, the most frequent first: a bound of what comes to the driver.
+#: Feature patterns that are fitted on the driver; of more, the sums of each level of a tree are made by Spark.
 PATTERNS = 20_000
 #: Weight of an unlabelled candidate as a negative one.
 DOUBT = 0.05
@@ -200,25 +200,33 @@ def _labelled(base: DataFrame, proposed: DataFrame) -> DataFrame:
     return features(texts).select(*names, F.lit(1).alias("label")).unionByName(proposed.select(*names, F.when(broken, 0).alias("label")))
 
 
+def _split(sums: list[dict[int, Sequence[float]]], g: float, h: float):
+    """(feature, greatest value that goes left, its sums) of the split that gains most, from each feature's sums by value;
+    None if none gains."""
+    best = (1e-6, None)
+    for f, of in enumerate(sums):
+        gl = hl = 0.0
+        for value in sorted(of)[:-1]:
+            gl, hl = gl + of[value][0], hl + of[value][1]
+            gain = gl * gl / (hl + RIDGE) + (g - gl) ** 2 / (h - hl + RIDGE) - g * g / (h + RIDGE)
+            if gain > best[0]:
+                best = (gain, (f, value, gl, hl))
+    return best[1]
+
+
 def _tree(rows: list, grads: list[float], hess: list[float], members: list[int], depth: int):
     """A leaf's value, or (feature, greatest value that goes left, left, right), by the gain of its best split."""
     g, h = sum(grads[i] for i in members), sum(hess[i] for i in members)
-    best = (1e-6, None, None)
-    for f in range(len(FEATURES)) if depth else ():
-        sums: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0])
+    found: list[dict[int, list[float]]] = [defaultdict(lambda: [0.0, 0.0]) for _ in range(len(FEATURES) if depth else 0)]
+    for f, sums in enumerate(found):
         for i in members:
             s = sums[rows[i][f]]
             s[0] += grads[i]
             s[1] += hess[i]
-        gl = hl = 0.0
-        for value in sorted(sums)[:-1]:
-            gl, hl = gl + sums[value][0], hl + sums[value][1]
-            gain = gl * gl / (hl + RIDGE) + (g - gl) ** 2 / (h - hl + RIDGE) - g * g / (h + RIDGE)
-            if gain > best[0]:
-                best = (gain, f, value)
-    if best[1] is None:
+    best = _split(found, g, h)
+    if best is None:
         return -RATE * g / (h + RIDGE)
-    _, f, value = best
+    f, value, _, _ = best
     sides = [i for i in members if rows[i][f] <= value], [i for i in members if rows[i][f] > value]
     return f, value, *(_tree(rows, grads, hess, side, depth - 1) for side in sides)
 
@@ -272,13 +280,81 @@ def thresholds(trees: list, held: list[tuple[tuple[int, ...], float, float]]) ->
     return out
 
 
+def _score(tree) -> Column:
+    if not isinstance(tree, tuple):
+        return F.lit(tree)
+    f, value, left, right = tree
+    return F.when(F.col(FEATURES[f]) <= value, _score(left)).otherwise(_score(right))
+
+
+def _grown(counts: DataFrame, trees: list):
+    """The next tree over all patterns (*FEATURES, p, n): Spark sums a level's nodes by feature and value, which are few
+    whatever the number of patterns, and the driver splits them. Sums are decimals, so their order changes nothing."""
+    total, chance = F.col("p") + F.col("n"), 1 / (1 + F.exp(-sum((_score(t) for t in trees), F.lit(0.0))))
+    exact = lambda c: c.cast("decimal(28,12)")
+    rows = counts.filter("p + n > 0").select(*FEATURES, exact(chance * total - F.col("p")).alias("g"), exact(chance * (1 - chance) * total).alias("h"))
+    shape, leaves, open_nodes = 0, {}, {0}  # a tree whose leaves are numbers of nodes
+    for _ in range(DEPTH):
+        each = F.explode(F.array(*(F.struct(F.lit(k).alias("f"), F.col(f).cast("int").alias("v")) for k, f in enumerate(FEATURES))))
+        placed = rows.select(_score(shape).alias("node"), "g", "h", each.alias("x")).filter(F.col("node").isin(*open_nodes))
+        sums = {node: [{} for _ in FEATURES] for node in open_nodes}
+        for r in placed.groupBy("node", "x.f", "x.v").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
+            sums[r.node][r.f][r.v] = float(r.g), float(r.h)
+        splits = {}
+        for node in open_nodes:
+            g, h = leaves.get(node) or [sum(x[k] for x in sums[node][0].values()) for k in (0, 1)]
+            leaves[node] = g, h
+            if best := _split(sums[node], g, h):
+                f, value, gl, hl = best
+                left = max(leaves) + 1
+                splits[node] = f, value, left, left + 1
+                leaves[left], leaves[left + 1] = (gl, hl), (g - gl, h - hl)
+        shape = _replaced(shape, splits)
+        open_nodes = {x for split in splits.values() for x in split[2:]}
+        if not open_nodes:
+            break
+    return _replaced(shape, {node: -RATE * g / (h + RIDGE) for node, (g, h) in leaves.items()})
+
+
+def _replaced(tree, by: dict):
+    """A tree with its leaves replaced, as far as they are in by."""
+    if not isinstance(tree, tuple):
+        return by.get(tree, tree)
+    return *tree[:2], _replaced(tree[2], by), _replaced(tree[3], by)
+
+
+def _least(counts: DataFrame, trees: list) -> dict[int, float]:
+    """thresholds() over all held-out patterns (*FEATURES, hp, hn): scores come one by one, the highest first. The pools that
+    keep TARGET end where what the precision exceeds it by, summed up so far, is last at its greatest."""
+    score = F.round(sum((_score(t) for t in trees), F.lit(0.0)), 9)
+    levels = counts.filter("hp + hn > 0").groupBy("kind", score.alias("score")).agg(F.sum("hp").alias("p"), F.sum("hn").alias("n"))
+    out: dict[int, float] = {}
+    kind, over, most = None, 0.0, 0.0
+    for r in levels.orderBy("kind", F.desc("score")).toLocalIterator():
+        if r.kind != kind:
+            kind, over, most = r.kind, 0.0, 0.0
+        over += r.p - TARGET * (r.p + r.n)
+        if over >= most - 1e-9:
+            most, out[kind] = max(over, most), r.score
+    return out
+
+
 def learned(base: DataFrame, proposed: DataFrame) -> tuple[list, dict[int, float]]:
-    """Trees and thresholds from the counts of feature patterns over all texts."""
+    """Trees and thresholds from the counts of feature patterns over all texts: on the driver if there are PATTERNS of them
+    at most, else by sums that Spark makes. All patterns count either way."""
     label = F.col("label")
     weight = lambda fold: [F.sum(F.when(fold & (label == 1), 1.0).otherwise(0.0)), F.sum(F.when(fold & (label == 0), 1.0).when(fold & label.isNull(), DOUBT).otherwise(0.0))]
     held, rest = weight(F.col("fold") == 0), weight(F.col("fold") != 0)
     counts = _labelled(base, proposed).groupBy(*FEATURES).agg(*(c.alias(n) for c, n in zip((*rest, *held), ("p", "n", "hp", "hn"), strict=True)))
-    found = counts.orderBy(F.desc(F.expr("p + n + hp + hn")), *FEATURES).limit(PATTERNS).collect()
+    counts = stored(counts, "pii-patterns")
+    found = counts.orderBy(F.desc(F.expr("p + n + hp + hn")), *FEATURES).limit(PATTERNS + 1).collect()
+    if len(found) > PATTERNS:
+        trees: list = []
+        if counts.filter("p > 0").isEmpty():
+            return trees, {}
+        for _ in range(TREES):
+            trees.append(_grown(counts, trees))
+        return trees, _least(counts, trees)
     fit = [(tuple(r[f] for f in FEATURES), r.p, r.n) for r in found if r.p + r.n]
     calibrate = [(tuple(r[f] for f in FEATURES), r.hp, r.hn) for r in found if r.hp + r.hn]
     if not any(p for _, p, _ in fit):
@@ -287,13 +363,6 @@ def learned(base: DataFrame, proposed: DataFrame) -> tuple[list, dict[int, float
     return trees, thresholds(trees, calibrate)
 
 
-def _score(tree) -> Column:
-    if not isinstance(tree, tuple):
-        return F.lit(tree)
-    f, value, left, right = tree
-    return F.when(F.col(FEATURES[f]) <= value, _score(left)).otherwise(_score(right))
-
-
 def accepted(proposed: DataFrame, trees: list, least: dict[int, float]) -> DataFrame:
     """(row, kind, start, end, score): candidates over their kind's threshold; those that overlap become one span."""
     score = sum((_score(t) for t in trees), F.lit(0.0))

@@ -102,6 +102,19 @@ def test_relaxed_forms_are_added(spark, corpus):
     assert caught >= 0.9 * wanted and wrong <= 0.01 * len(corpus)
 
 
+def test_all_patterns_count(spark, corpus, monkeypatch):
+    docs = docs_of(spark, [t for _, t, _, _ in corpus])
+    base, proposed = P.candidates(P.placed(P.matches(docs)))
+    trees, least = P.learned(base, proposed)
+    monkeypatch.setattr(P, "PATTERNS", 3)
+    many, bars = P.learned(base, proposed)
+    score = lambda forest, row: sum(P._leaf(t, row) for t in forest)
+    rows = [tuple(r) for r in P._labelled(base, proposed).select(*P.FEATURES).distinct().collect()]
+    assert least and len(many) == len(trees) and len(rows) > 3
+    assert all(score(many, r) == pytest.approx(score(trees, r), abs=1e-6) for r in rows)
+    assert bars == {k: pytest.approx(v, abs=1e-6) for k, v in least.items()}
+
+
 def test_thresholds_and_trees():
     f = lambda kind, cue: (kind, 10, 0, 0, 0, 1, 1, cue, 0, 4)
     examples = [(f(3, 0), 90.0, 5.0), (f(3, 5), 1.0, 200.0), (f(2, 0), 0.0, 30.0)]
