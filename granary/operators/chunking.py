@@ -8,12 +8,12 @@ import itertools
 import re
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.text import token_count
 from granary.operators import lexer
+from granary.operators.batches import flat_map
 
 MAX_TOKENS, OVERLAP = 512, 50
 CHUNK = "doc_id long, ordinal int, chunk_id string, text string, start long, end long, kind string, name string"
@@ -68,16 +68,11 @@ def line_spans(text: str, base: int, limit: int, overlap: int, end: int | None =
 def _map(docs: DataFrame, cut, *more: str) -> DataFrame:
     """Runs cut(uri, text) on each row (doc_id, uri, text) and numbers what it gives. more: further columns for cut."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in CHUNK.split(", ")]
-        for frame in frames:
-            rows = []
-            for doc_id, uri, text, *rest in zip(frame["doc_id"], frame["uri"], frame["text"], *(frame[c] for c in more)):
-                for k, (part, start, end, kind, name) in enumerate(cut(uri or "", text if isinstance(text, str) else "", *rest)):
-                    rows.append((doc_id, k, _id(uri or "", start, end), part, start, end, kind, name))
-            yield pd.DataFrame(rows, columns=names)
+    def each(doc_id: int, uri: str | None, text: str | None, *rest: object) -> Iterator[tuple]:
+        for k, (part, start, end, kind, name) in enumerate(cut(uri or "", text or "", *rest)):
+            yield doc_id, k, _id(uri or "", start, end), part, start, end, kind, name
 
-    return docs.select("doc_id", "uri", "text", *more).mapInPandas(run, CHUNK)
+    return flat_map(docs.select(F.col("doc_id").cast("long"), "uri", "text", *more), each, CHUNK)
 
 
 def line_chunks(docs: DataFrame, limit: int = MAX_TOKENS, overlap: int = OVERLAP) -> DataFrame:
@@ -337,22 +332,20 @@ def merged_siblings(chunks: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:
     listed = sized.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "size", "text"))).alias("l"))  # one document's own
     kind = chunks.schema["doc_id"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for doc_id, parts in zip(frame["doc_id"], frame["l"]):
-                runs: list[list[dict]] = []
-                total = 0
-                for p in parts:
-                    if not runs or total + p["size"] > limit:
-                        runs.append([])
-                        total = 0
-                    runs[-1].append(p)
-                    total += p["size"]
-                rows += [(doc_id, k, r[0]["ordinal"], r[-1]["ordinal"], sum(p["size"] for p in r), "\n".join(p["text"] for p in r)) for k, r in enumerate(runs)]
-            yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "first", "last", "n_tokens", "text"])
+    def each(doc_id: object, parts: list[dict]) -> Iterator[tuple]:
+        made = lambda k, r: (doc_id, k, r[0]["ordinal"], r[-1]["ordinal"], sum(p["size"] for p in r), "\n".join(p["text"] for p in r))
+        run: list[dict] = []
+        total = k = 0
+        for p in parts:
+            if run and total + p["size"] > limit:
+                yield made(k, run)
+                run, total, k = [], 0, k + 1
+            run.append(p)
+            total += p["size"]
+        if run:
+            yield made(k, run)
 
-    return listed.mapInPandas(run, f"doc_id {kind}, ordinal int, first int, last int, n_tokens long, text string")
+    return flat_map(listed, each, f"doc_id {kind}, ordinal int, first int, last int, n_tokens long, text string")
 
 
 def threads(messages: DataFrame) -> DataFrame:
@@ -369,21 +362,17 @@ def thread_chunks(messages: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:
     with the last message of the run before."""
     listed = messages.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line).alias("lines"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for doc_id, lines in zip(frame["doc_id"], frame["lines"]):
-                sizes = [count_tokens(x) for x in lines]
-                first, total, k = 0, 0, 0
-                for i, size in enumerate(sizes):
-                    if total + size > limit and i > first:
-                        rows.append((doc_id, k, first, i - 1, "\n".join(lines[first:i])))
-                        first, total, k = i - 1, sizes[i - 1], k + 1
-                    total += size
-                rows.append((doc_id, k, first, len(lines) - 1, "\n".join(lines[first:])))
-            yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "first", "last", "text"])
+    def each(doc_id: int, lines: list[str]) -> Iterator[tuple]:
+        sizes = [count_tokens(x) for x in lines]
+        first, total, k = 0, 0, 0
+        for i, size in enumerate(sizes):
+            if total + size > limit and i > first:
+                yield doc_id, k, first, i - 1, "\n".join(lines[first:i])
+                first, total, k = i - 1, sizes[i - 1], k + 1
+            total += size
+        yield doc_id, k, first, len(lines) - 1, "\n".join(lines[first:])
 
-    return listed.mapInPandas(run, "doc_id long, ordinal int, first int, last int, text string")
+    return flat_map(listed, each, "doc_id long, ordinal int, first int, last int, text string")
 
 
 def windows(docs: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -399,12 +388,9 @@ def token_windows(docs: DataFrame, size: int = 1600, overlap: int = 160) -> Data
     """(doc_id, ordinal, first, last, text): whole words of size tokens at most, each window beginning with as many of the
     last one's words as have overlap tokens at most. A text without words has none."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                words = text.split() if isinstance(text, str) else []
-                rows += [(doc_id, k, a, b - 1, " ".join(words[a:b])) for k, (a, b) in enumerate(pack(words, size, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "first", "last", "text"])
+    def each(doc_id: int, text: str | None) -> Iterator[tuple]:
+        words = (text or "").split()
+        for k, (a, b) in enumerate(pack(words, size, overlap)):
+            yield doc_id, k, a, b - 1, " ".join(words[a:b])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ordinal int, first int, last int, text string")
+    return flat_map(docs.select(F.col("doc_id").cast("long"), "text"), each, "doc_id long, ordinal int, first int, last int, text string")

@@ -7,10 +7,11 @@ import functools
 import re
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.operators.batches import flat_map
+
 #: (entity, pattern, replacement, score). Patterns mean the same in Java, RE2 and Python. Longer kinds come first.
 ENTITIES: tuple[tuple[str, str, str, float], ...] = (
     ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]", 1.0),
@@ -134,25 +135,25 @@ def scrub(docs: DataFrame, entities: Sequence = ENTITIES, load: Callable[[], Det
     """
     labels = {n: label for n, _, label, _ in entities}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each() -> Callable[[int, str | None], Iterator[tuple]]:
         model = load() if load else None
-        for frame in frames:
-            clean, logs, errors = [], [], []
-            for text in frame["text"]:
-                try:
-                    spans, error = detections(text, entities, model) if isinstance(text, str) else [], None
-                except Exception as e:  # whatever a model raises belongs to its row
-                    spans, error = [], f"{type(e).__name__}: {e}"
-                parts, at = [], 0
-                for a, b, n in spans:
-                    parts += [text[at:a], labels.get(n, f"[{n}]")]
-                    at = b
-                clean.append("".join([*parts, text[at:]]) if isinstance(text, str) and not error else None)
-                logs.append([{"entity": n, "start": a, "end": b, "replacement": labels.get(n, f"[{n}]")} for a, b, n in spans])
-                errors.append(error)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "clean": clean, "log": logs, "error": errors})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, clean string, log array<struct<entity: string, start: int, end: int, replacement: string>>, error string")
+
+        def scrubbed(doc_id: int, text: str | None) -> Iterator[tuple]:
+            try:
+                spans, error = detections(text, entities, model) if text is not None else [], None
+            except Exception as e:  # whatever a model raises belongs to its row
+                spans, error = [], f"{type(e).__name__}: {e}"
+            parts, at = [], 0
+            for a, b, n in spans:
+                parts += [text[at:a], labels.get(n, f"[{n}]")]
+                at = b
+            clean = "".join([*parts, text[at:]]) if text is not None and not error else None
+            yield doc_id, clean, [{"entity": n, "start": a, "end": b, "replacement": labels.get(n, f"[{n}]")} for a, b, n in spans], error
+
+        return scrubbed
+
+    log = "array<struct<entity: string, start: int, end: int, replacement: string>>"
+    return flat_map(docs.select(F.col("doc_id").cast("long"), "text"), each, f"doc_id long, clean string, log {log}, error string", load=True)
 
 
 def gate(docs: DataFrame, tiers: DataFrame, corpus: str) -> DataFrame:

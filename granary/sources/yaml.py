@@ -11,10 +11,11 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.operators.batches import flat_map
+
 _KEY = re.compile(r"""("(?:\\.|[^"\\])*"|'(?:''|[^'])*'|[^\s"'\[\]{},#&*!|>%@`-][^#\n]*?|-[^\s][^#\n]*?)[ \t]*:(?=[ \t]|$)[ \t]*""")
 _FLOW = re.compile(r"""[ \t\n]*([\[\]{},:]|"(?:\\.|[^"\\])*"|'(?:''|[^'])*'|[^\[\]{},:\s](?:[^\[\]{},:\n]|:(?=\S))*)""")
 _NUMBERS = ((re.compile(r"[-+]?[0-9]+"), int), (re.compile(r"[-+]?(?:[0-9]+\.[0-9]*|\.[0-9]+|[0-9]+)(?:[eE][-+]?[0-9]+)?"), float))
@@ -184,20 +185,16 @@ def documents(files: DataFrame) -> DataFrame:
     """(path, ordinal, value, error) of YAML files (path, content): a variant for each document that says something, split
     at --- lines; error tells the line that can't be read. Null and empty files have no documents."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for path, content in zip(frame["path"], frame["content"]):
-                for n, part in enumerate(re.split(r"(?m)^---(?:[ \t].*)?$", content.replace("\r\n", "\n")) if isinstance(content, str) else ()):
-                    try:
-                        value = document(re.split(r"(?m)^\.\.\.[ \t]*$", part)[0])
-                        if value is not None:
-                            rows.append((path, n, json.dumps(value), None))
-                    except (ValueError, RecursionError) as e:
-                        rows.append((path, n, None, str(e)[:200]))
-            yield pd.DataFrame(rows, columns=["path", "ordinal", "json", "error"])
-
-    found = files.select("path", "content").mapInPandas(run, "path string, ordinal int, json string, error string")
+    def each(path: str, content: str | None) -> Iterator[tuple]:
+        for n, part in enumerate(re.split(r"(?m)^---(?:[ \t].*)?$", content.replace("\r\n", "\n")) if content is not None else ()):
+            try:
+                value = document(re.split(r"(?m)^\.\.\.[ \t]*$", part)[0])
+                if value is not None:
+                    yield path, n, json.dumps(value), None
+            except (ValueError, RecursionError) as e:
+                yield path, n, None, str(e)[:200]
+
+    found = flat_map(files.select("path", "content"), each, "path string, ordinal int, json string, error string")
     return found.select("path", "ordinal", F.try_parse_json("json").alias("value"), "json", "error")
 
 
