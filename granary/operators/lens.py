@@ -44,8 +44,9 @@ def agent_lenses(requests: DataFrame) -> DataFrame:
 
 
 def with_lens(requests: DataFrame, lenses: DataFrame) -> DataFrame:
-    """Requests (lens) with their lens's row; an unknown lens fails the query."""
-    joined = requests.join(lenses.withColumn("__known", F.lit(True)), "lens", "left")
+    """Requests (lens) with their lens's row; an unknown lens fails the query. Lenses are few and broadcast, so that a lens's
+    requests need not meet in one task."""
+    joined = requests.join(F.broadcast(lenses.withColumn("__known", F.lit(True))), "lens", "left")
     checked = F.when(F.col("__known"), F.col("lens")).otherwise(F.raise_error(F.concat(F.lit("unknown lens: "), F.coalesce("lens", F.lit("null")))))
     return joined.withColumn("lens", checked).drop("__known")
 
@@ -160,7 +161,7 @@ def with_details(symbols: DataFrame, hovers: DataFrame, references: DataFrame, m
 
 def plan_calls(files: DataFrame, lenses: DataFrame) -> DataFrame:
     """A documentSymbol call for each file and lens whose operations have it."""
-    return files.join(lenses.filter(F.array_contains("operations", "documentSymbol")), "lens").select("lens", "path", F.lit("documentSymbol").alias("operation"))
+    return files.join(F.broadcast(lenses.filter(F.array_contains("operations", "documentSymbol"))), "lens").select("lens", "path", F.lit("documentSymbol").alias("operation"))
 
 
 def plan_details(symbols: DataFrame, order: Sequence[str], most: int = MAX_SYMBOLS) -> DataFrame:

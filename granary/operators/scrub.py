@@ -157,8 +157,9 @@ def scrub(docs: DataFrame, entities: Sequence = ENTITIES, load: Callable[[], Det
 
 
 def gate(docs: DataFrame, tiers: DataFrame, corpus: str) -> DataFrame:
-    """(doc_id, clean, tier): texts of the clean tier pass as they are, others are scrubbed; unknown tiers count as sensitive."""
-    tiered = docs.join(tiers, corpus, "left").withColumn("tier", F.coalesce("tier", F.lit("sensitive")))
+    """(doc_id, clean, tier): texts of the clean tier pass as they are, others are scrubbed; unknown tiers count as sensitive.
+    tiers, a row for each corpus, are few and broadcast, so that a corpus's texts need not meet in one task."""
+    tiered = docs.join(F.broadcast(tiers), corpus, "left").withColumn("tier", F.coalesce("tier", F.lit("sensitive")))
     return tiered.select("doc_id", F.when(F.col("tier") == "clean", F.col("text")).otherwise(scrub_constants(F.col("text"))).alias("clean"), "tier")
 
 

@@ -118,3 +118,15 @@ def test_context_raises_scores(spark):
     docs = spark.createDataFrame([(1, "é MRN 1234567 of a Patient"), (2, "MRN-123456789 " + "x" * 60), (3, "my member id ABC123456789, ABC123456789"), (4, "remembers ABC123456789"), (5, None), (6, "a.corp.b")], "doc_id long, text string")
     got = sorted((r.doc_id, r.entity[:3], r.start, round(r.score, 6)) for r in scrub.in_context(docs).collect())
     assert got == [(1, "MED", 2, 1.0), (2, "MED", 0, 0.7), (3, "HEA", 13, 0.65), (3, "HEA", 27, 0.65), (4, "HEA", 10, 0.3), (6, "INT", 0, 0.8)]
+
+
+def test_few_rules_are_broadcast(spark):
+    """Rule tables of unknown size to Spark: a corpus's texts, or a lens's requests, must not meet in one task."""
+    docs = spark.createDataFrame([(1, "xx", "a@b.co"), (2, None, "a@b.co"), (3, "en", "a@b.co")], "doc_id long, lang string, text string")
+    gated = scrub.gate(docs, spark.createDataFrame([("en", "clean")], "lang string, tier string"), "lang")
+    asked = lens.with_lens(docs.select(F.when(F.col("doc_id") == 1, "flows").otherwise("contracts").alias("lens"), "doc_id"), lens.lens_table(spark).drop("agent"))
+    for found in (gated, asked):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert {(r.doc_id, r.tier, r.clean) for r in gated.collect()} == {(1, "sensitive", "[EMAIL]"), (2, "sensitive", "[EMAIL]"), (3, "clean", "a@b.co")}
+    assert asked.count() == 3
