@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators import automaton, chunking, lens, linking, scrub
+from granary.operators import automaton, chunking, graph, lens, linking, scrub
 from granary.operators.numbering import numbered
 
 
@@ -130,3 +130,31 @@ def test_few_rules_are_broadcast(spark):
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
     assert {(r.doc_id, r.tier, r.clean) for r in gated.collect()} == {(1, "sensitive", "[EMAIL]"), (2, "sensitive", "[EMAIL]"), (3, "clean", "a@b.co")}
     assert asked.count() == 3
+
+
+def test_neighbours_deal_hot_nodes_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROWS", 150)
+    rng = random.Random(4)
+    pairs = [(1, k) for k in range(100, 400)] + [(k, 2) for k in range(100, 400)] + [(k, 3) for k in range(100, 130)] + [(rng.randrange(40), rng.randrange(40)) for _ in range(120)]
+    rows = [(a, b, "CM"[(a + b) % 2]) for a, b in pairs] + [(5, None, "C"), (None, 5, "C"), (1, 100, "A")]
+    edges = spark.createDataFrame(rows, "src long, dst long, type string")
+    starts = spark.createDataFrame([(k,) for k in (1, 2, 3, 7, 100, 999)], "start long")
+    steps = {(a, b, t) for a, b, t in rows if None not in (a, b)} | {(b, a, t) for a, b, t in rows if None not in (a, b)}
+    expected = {}
+    for start in (1, 2, 3, 7, 100, 999):
+        seen, front = {start}, {start}
+        for hop in (1, 2):
+            met = {}
+            for a, b, t in steps:
+                if a in front and b not in seen:
+                    met[b] = min(met.get(b, (a, t)), (a, t))
+            expected |= {(start, b): (hop, f"{a}:{t}") for b, (a, t) in met.items()}
+            seen, front = seen | set(met), set(met)
+    got = [((r.start, r.node), (r.hop, r.via)) for r in graph.neighbours(edges, starts, 2, "both").collect()]
+    assert len(got) == len(expected) and dict(got) == expected
+    steps = graph.directed(edges, "both").filter("a <> b").distinct()
+    front = starts.select("start", F.col("start").alias("node"))
+    sizes = graph.sized(front, steps)
+    assert {r.node: r.parts for r in sizes.filter("parts > 1").collect()} == {1: 3, 2: 3}
+    dealt = graph.taken(front, steps, sizes, 16).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert max(r["count"] for r in dealt) < 280 and sum(r["count"] for r in dealt) == sizes.agg(F.sum(F.col("f") * F.col("d"))).first()[0]
