@@ -7,6 +7,7 @@ complex keys are no part of it; a document with a line that it can't place has a
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Iterator
@@ -24,8 +25,9 @@ _ESCAPED = re.compile(r"\\(u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|.)", re.S)
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\0", "e": "\x1b"}
 
 
+@functools.lru_cache(4096)
 def scalar(text: str) -> object:
-    """The value of a plain or quoted scalar."""
+    """The value of a plain or quoted scalar; keys and common values are remembered."""
     text = text.strip()
     if text[:1] == '"' and text[-1:] == '"' and len(text) > 1:
         return _ESCAPED.sub(lambda m: chr(int(m[1][1:], 16)) if m[1][0] in "ux" and len(m[1]) > 1 else _ESCAPES.get(m[1], m[1]), text[1:-1])
@@ -144,7 +146,7 @@ def document(text: str) -> object:
             else:
                 raise ValueError(line)
             holder, key = stack[-1][1], stack[-1][2]
-            if b := re.fullmatch(r"([|>])([-+]?)[0-9]?([-+]?)", body):
+            if body[0] in "|>" and (b := re.fullmatch(r"([|>])([-+]?)[0-9]?([-+]?)", body)):
                 own, k = _block(lines, k, stack[-1][0] if holder is not root else -1)
                 said = "\n".join(own) if b[1] == "|" else re.sub(r"\n(\n*)", lambda m: m[1] or " ", "\n".join(own))
                 holder[key] = said.rstrip("\n") + ("" if "-" in (b[2], b[3]) else "\n")

@@ -81,3 +81,13 @@ def test_documents_and_errors_in_files(spark):
     got = {(r.path, r.ordinal): (r.json is not None, r.error is not None) for r in yaml.documents(made).collect()}
     assert got[("a", 1)] == (True, False) and got[("a", 3)] == (False, True) and ("b", 0) not in got and ("c", 0) not in got and ("f", 0) in got
     assert {(r.path, r.kind, tuple(r.ports)) for r in yaml.resources(made).collect()} == {("a", "X", ()), ("d", "[1]", ()), ("e", "Pod", (70,))}
+
+
+def test_signals_parse_each_file_once_in_many_tasks(spark, data, monkeypatch):
+    from granary.plans import streams
+
+    monkeypatch.setattr(streams, "PARSED", 100)
+    df = streams.yaml_signals(spark, data)
+    orders = spark.read.parquet(f"{data}/orders.parquet").count()
+    assert "MapInArrow" not in df._jdf.queryExecution().toString() and df.select("path").distinct().count() == orders
+    assert streams.dealt(spark.range(1000), 100).rdd.getNumPartitions() == 10
