@@ -1,6 +1,7 @@
 """The approximate vector index: recall against all distances, lists by cell, pruning."""
 
 import re
+import tracemalloc
 
 import numpy as np
 
@@ -69,3 +70,34 @@ def test_exact_search_leaves_out_null_ids(spark):
     store = spark.createDataFrame([(None, [1.0]), (2, [2.0]), (3, None)], ROWS)
     queries = spark.createDataFrame([(1, [1.0]), (None, [0.0])], "query_id long, embedding array<float>")
     assert [(r.query_id, r.vec_id, r.distance) for r in V.nearest_for_each(store, queries, 2).collect()] == [(1, 2, 1.0)]
+
+
+def test_few_distances_from_centres_are_in_memory_at_once():
+    rng = np.random.default_rng(3)
+    x, centres = rng.normal(size=(20_000, 4)), rng.normal(size=(500, 4))
+    tracemalloc.start()
+    near, far = Q.nearest(x, centres)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    some = ((x[:50, None] - centres) ** 2).sum(2)
+    assert (near[:50] == some.argmin(1)).all() and np.allclose(far[:50], some.min(1)) and peak < 40 << 20
+
+
+def test_shares_parts_and_turns_find_the_same_rows(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 8))
+    x[:600] = x[0] + rng.normal(size=(600, 8)) * 1e-3  # a cell with many rows
+    store = spark.createDataFrame(list(enumerate(x.tolist())), ROWS)
+    books = Q.fit(store)
+    monkeypatch.setattr(Q, "BLOCK", 32)
+    Q.write(store, books, str(tmp_path / "lists"))
+    queries = store.filter("vec_id % 40 = 0").withColumnRenamed("vec_id", "query_id")
+    run = lambda asked: Q.search(store, books, str(tmp_path / "lists"), asked, 5, 10)
+    rows = lambda found: sorted((r.query_id, r.vec_id, r["rank"]) for r in found.collect())
+    once = rows(run(queries))
+    for name, value in (("SHARE", 9), ("PARTS", 3), ("PART", 500), ("MOST", 100)):
+        monkeypatch.setattr(Q, name, value)
+    split = run(queries)
+    assert len(once) == 250 and rows(split) == once
+    assert str(split._jdf.queryExecution().optimizedPlan()).count("WindowGroupLimit") <= 1  # coded rows are not sorted
+    assert rows(run(queries.filter("query_id < 0"))) == []
