@@ -152,11 +152,25 @@ def lens_filter(kind: Column, name: Column, path: Column, kinds: Sequence[str],
     return ok
 
 
-def with_details(symbols: DataFrame, hovers: DataFrame, references: DataFrame, most: int = MAX_REFERENCES) -> DataFrame:
-    """Symbols with signature by place and their first references by path, most at the most."""
-    nth = F.row_number().over(Window.partitionBy("path", "name").orderBy("ref"))
-    listed = references.withColumn("n", nth).filter(F.col("n") <= most).groupBy("path", "name").agg(F.sort_array(F.collect_list("ref")).alias("references"))
-    return symbols.join(hovers, ["path", "line", "column"], "left").join(listed, ["path", "name"], "left")
+#: References that one task sorts, about, and turns that a symbol's references are dealt to before the first are known.
+REFERENCES, TURNS = 1 << 21, 16
+
+
+def with_details(symbols: DataFrame, hovers: DataFrame, references: DataFrame, most: int = MAX_REFERENCES, key: Sequence[str] = ("path", "name")) -> DataFrame:
+    """Symbols with signature by place and their first references (key, ref), each once, most at the most.
+
+    The number of tasks grows with the references, so that what a task sorts does not; they are counted first. A symbol
+    with very many of them is dealt to TURNS tasks, which leave most each.
+    """
+    tasks = max(1, -(-references.count() // REFERENCES))
+    sorted_by = lambda *by: Window.partitionBy(*by).orderBy("ref")
+    turn = sorted_by(*key, "__turn")
+    dealt = references.select(*key, "ref", F.pmod(F.xxhash64("ref"), F.lit(TURNS)).cast("int").alias("__turn")).repartition(tasks, *key, "__turn")
+    ranked = dealt.select("*", F.dense_rank().over(turn).alias("n"), F.row_number().over(turn).alias("k"), F.lag("ref").over(turn).alias("before"))
+    few = ranked.filter((F.col("n") <= most) & ((F.col("k") == 1) | ~F.col("ref").eqNullSafe(F.col("before")))).select(*key, "ref").repartition(tasks, *key)
+    first = few.withColumn("n", F.row_number().over(sorted_by(*key))).filter(F.col("n") <= most)
+    listed = first.groupBy(*key).agg(F.sort_array(F.collect_list("ref")).alias("references"))
+    return symbols.join(hovers, ["path", "line", "column"], "left").join(listed, [*key], "left")
 
 
 def plan_calls(files: DataFrame, lenses: DataFrame) -> DataFrame:
