@@ -25,14 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import mapped, partitions, stored, table
+from granary.llm.common import mapped, stored, table
 
 #: Bound of a whole-number component; with up to 256 components products fit a long.
 LARGEST = 1 << 27
 #: Centres for dealing out candidates, and rows of least hash that they are chosen from.
 CELLS, SAMPLE = 64, 2048
-#: Rows of a tree, anchors of a pack, members of a node that is not divided.
-BLOCK, PACK, LEAF = 8192, 256, 32
+#: Rows of a tree, anchors of a pack, members of a node that is not divided, packs of a task.
+BLOCK, PACK, LEAF, GROUP = 8192, 256, 128, 4
 #: A child's covering radius is this part of its parent's.
 SHRINK = 1 / 1.5
 #: Sums of products below this are exact in doubles.
@@ -141,7 +141,13 @@ class Tree:
         """Offers to wanted the rows that can matter, node by node, the node of the highest bound first."""
         everyone = np.arange(len(wanted.vectors))
         top = self.centres[:1]
-        score = products(wanted.vectors, self.points[top])
+        small = float(np.abs(wanted.vectors).max(initial=0)) * float(np.abs(self.points).max(initial=0)) * max(self.size, 1) < EXACT
+        x, y = (wanted.vectors.astype(np.float64), self.points.astype(np.float64)) if small else (wanted.vectors, self.points)  # once, not for each node
+
+        def scores(who: np.ndarray, points: np.ndarray) -> np.ndarray:
+            return np.rint(x[who] @ y[points].T).astype(np.int64) if small else products(x[who], y[points])
+
+        score = scores(everyone, top)
         wanted.offer(everyone, self, top, score)
         heap = [(0.0, 0, 0, everyone, score[:, 0])]
         pushed = 0
@@ -156,7 +162,7 @@ class Tree:
             points, nodes = self.child_points[span], self.child_nodes[span]
             if not len(points):
                 continue
-            score = products(wanted.vectors[who], self.points[points])
+            score = scores(who, points)
             fresh = points != self.centres[node]
             wanted.offer(who, self, points[fresh], score[:, fresh])
             for k in np.flatnonzero(nodes >= 0):
@@ -183,6 +189,11 @@ class Wanted:
         if not len(points):
             return
         fits = (tree.labels[points] == self.labels[who][:, None]) == self.same
+        fits &= (score >= self.low[who].min(1)[:, None]) & (score <= self.high[who].max(1)[:, None])
+        rows, own = np.flatnonzero(fits.any(1)), np.flatnonzero(fits.any(0))  # mostly few: the rest is done for them only
+        if not len(rows):
+            return
+        who, points, score, fits = who[rows], points[own], score[np.ix_(rows, own)], fits[np.ix_(rows, own)]
         if self.same:
             for a, p in zip(*np.nonzero(fits & (tree.ids[points] == self.ids[who][:, None]))):
                 fits[a, p] = not np.array_equal(tree.points[points[p]], self.vectors[who[a]])
@@ -326,8 +337,8 @@ def _anchors(found: DataFrame) -> DataFrame:
 
 
 def _met(anchors: DataFrame, trees: DataFrame, lines: int, k: int, same: bool) -> DataFrame:
-    """(anchor, line, vec_id, score) of the best of each tree, for anchors (anchor, vec_id, label, size, v, low, high) whose
-    low and high are arrays of lines numbers. Blocks of anchors meet blocks of rows; no pairs of rows are made."""
+    """(anchor, line, vec_id, score) of the best of each task's trees, for anchors (anchor, vec_id, label, size, v, low, high)
+    whose low and high are arrays of lines numbers. Blocks of anchors meet blocks of rows; no pairs of rows are made."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -346,23 +357,25 @@ def _met(anchors: DataFrame, trees: DataFrame, lines: int, k: int, same: bool) -
             yield made(size)
 
     packs = mapped(anchors.select("anchor", "vec_id", "label", "size", "v", "low", "high"), pack, "p_size int, p_anchors binary, p_ids binary, p_labels binary, p_low binary, p_high binary, p_points binary")
-    # each pack is sent to every salt, and each tree has one: an equal join without a hot key
-    salts = partitions(trees)
-    salted = trees.filter("kind = 0").drop("kind").withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
-    sent = packs.withColumn("p_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    pairs = salted.join(sent, (F.col("size") == F.col("p_size")) & (F.col("salt") == F.col("p_salt"))).drop("salt", "p_salt")
+    # every part of the trees' table is read beside every group of packs: nothing is broadcast, and only packs are shuffled
+    groups = max(1, -(-anchors.count() // (PACK * GROUP)))
+    pairs = trees.filter("kind = 0").drop("kind").hint("shuffle_replicate_nl").join(packs.repartition(groups), F.col("size") == F.col("p_size"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple[np.ndarray, Wanted]] = {}  # a task's packs: what one tree gave is a bound for the next
         for batch in batches:
             for row in range(batch.num_rows):
                 one = {n: batch.column(n)[row].as_py() for n in batch.schema.names}
                 tree = Tree.unpacked(one["size"], [one[n] for n, _ in Tree.FIELDS])
-                names, ids, labels, low, high = (np.frombuffer(one[f"p_{n}"], "<i8") for n in ("anchors", "ids", "labels", "low", "high"))
-                wanted = Wanted(ids, labels, np.frombuffer(one["p_points"], "<i4").reshape(len(ids), tree.size), low.reshape(-1, lines), high.reshape(-1, lines), k, same)
-                tree.descend(wanted)
-                out = [(names[a], line, i, -s) for a, own in enumerate(wanted.found) for line, best in enumerate(own) for s, i in best]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(4)], names=["anchor", "line", "found_id", "score"])
+                if one["p_anchors"] not in held:
+                    names, ids, labels, low, high = (np.frombuffer(one[f"p_{n}"], "<i8") for n in ("anchors", "ids", "labels", "low", "high"))
+                    vectors = np.frombuffer(one["p_points"], "<i4").reshape(len(ids), tree.size)
+                    held[one["p_anchors"]] = names, Wanted(ids, labels, vectors, low.reshape(-1, lines), high.reshape(-1, lines), k, same)
+                tree.descend(held[one["p_anchors"]][1])
+        for names, wanted in held.values():
+            out = [(names[a], line, i, -s) for a, own in enumerate(wanted.found) for line, best in enumerate(own) for s, i in best]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(4)], names=["anchor", "line", "found_id", "score"])
 
     return mapped(pairs, run, "anchor long, line long, found_id long, score long")
 

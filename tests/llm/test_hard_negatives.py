@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.llm import hard_negatives as H
+from granary.llm.common import stored
 
 ROWS = "vec_id long, embedding array<float>, label int"
 
@@ -93,3 +94,18 @@ def test_tree_covers_and_prunes():
     tree.descend(wanted)
     assert sorted(-s for s, _ in wanted.found[0][0]) == sorted((points @ points[0].astype(np.int64)).tolist())[-3:]
     assert len(seen) == len(set(map(int, seen))) < 2500
+
+
+def test_packs_go_to_no_broadcast(spark, monkeypatch):
+    """Packs grow with the input: they must not be collected by the driver, least of all one copy for each partition."""
+    monkeypatch.setattr(H, "PACK", 3)
+    monkeypatch.setattr(H, "GROUP", 2, raising=False)
+    rng = np.random.default_rng(7)
+    rows = [(k, v, int(rng.integers(0, 3))) for k, v in enumerate(vectors("random", 1100, 8, rng).tolist())]
+    found = stored(H.index(H.whole_numbers(spark.createDataFrame(rows, ROWS)), 50, 5, 6), "trees")
+    anchors = stored(H._anchors(found), "anchors").withColumns({"low": F.array("low"), "high": F.array(F.lit(-H._NEVER))})
+    met = H._met(anchors, found, 1, 5, True)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Exchange ") == 1
+    assert met.rdd.getNumPartitions() >= 4 and met.select("anchor").distinct().count() == 22
+    assert got(spark, rows) == plain(rows)
