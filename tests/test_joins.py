@@ -1,6 +1,7 @@
 """Joins of names, spans and numbers against plain loops, on hot groups and long texts."""
 
 import random
+import re
 import time
 
 import pytest
@@ -158,3 +159,32 @@ def test_neighbours_deal_hot_nodes_to_many_tasks(spark, monkeypatch):
     assert {r.node: r.parts for r in sizes.filter("parts > 1").collect()} == {1: 3, 2: 3}
     dealt = graph.taken(front, steps, sizes, 16).groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert max(r["count"] for r in dealt) < 280 and sum(r["count"] for r in dealt) == sizes.agg(F.sum(F.col("f") * F.col("d"))).first()[0]
+
+
+def test_neighbours_by_packed_lists(spark, monkeypatch):
+    """Pairs of a hop are not shuffled one by one, whatever the numbers of nodes are; hot starts and nodes are whole too."""
+    monkeypatch.setattr(graph, "ROWS", 2500)
+    monkeypatch.setattr(graph, "LIST", 40, raising=False)
+    rng = random.Random(6)
+    far = [rng.choice([k, -k * 300, k * 70_000, k * 2**45]) for k in range(1, 500)]
+    pairs = [(10**6 + k, 10**7 + rng.randrange(16)) for k in range(60) for _ in range(5)] + [(7, 10**7 + k) for k in range(16)] + [(10**7 + k, n) for k in range(16) for n in rng.sample(far, 170)]
+    rows = [(a, b, rng.choice(["C", "M", None])) for a, b in pairs]
+    edges = spark.createDataFrame([*rows, *rows[:50], (None, 3, "C"), (3, 3, "C")], "src long, dst long, type string").repartition(5)
+    steps = {(a, b, t) for a, b, t in rows}
+    least = lambda a, t: (a, t is not None, t or "")
+    for starts, hot in (([10**6 + k for k in range(60)] + [7, 999], True), ([10**6 + k for k in range(60)] + [far[0]], False)):
+        expected = {}
+        for start in starts:
+            seen, front = {start}, {start}
+            for hop in (1, 2, 3):
+                met = {}
+                for a, b, t in steps | {(b, a, t) for a, b, t in steps}:
+                    if a in front and b not in seen:
+                        met[b] = min(met.get(b, least(a, t)), least(a, t))
+                expected |= {(start, b): (hop, f"{a}:{t}" if there else f"{a}") for b, (a, there, t) in met.items() if hop < 3 or not hot}
+                seen, front = seen | set(met), set(met)
+        found = graph.neighbours(edges, spark.createDataFrame([(k,) for k in starts], "start long"), 2 if hot else 3, "both")
+        got = [((r.start, r.node), (r.hop, r.via)) for r in found.collect()]
+        assert len(got) == len(expected) and dict(got) == expected
+    found = graph.neighbours(edges, spark.createDataFrame([(10**6 + k,) for k in range(60)], "start long"), 2, "both")
+    assert "hashpartitioning(start#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and not re.search(r"hashpartitioning\(start#\d+L, node#\d+L", plan)
